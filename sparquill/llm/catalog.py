@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, quality_rules, url_filter
+from . import bpe, license_scan, mixing, near_dup, quality_rules, url_filter
 from .common import table
 
 #: File of the public tokenizer that the queries use.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Sets and threshold of op6.
+NEAR = near_dup.Rule(words=3, percent=85)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(mixing.sized_rows(table(spark, sf_dir, "documents"))).taken()
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -21,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op5_quality_rules, op7_byte_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op3_license_scan, op5_quality_rules, op6_near_duplicates, op7_byte_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
