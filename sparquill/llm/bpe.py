@@ -459,6 +459,24 @@ def token_digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_table(docs: DataFrame, vocabulary_path: str, pattern: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep``, ids, n_tokens, and round_trip: whether the decoded
+    ids are the text's bytes again.  Null texts count as empty."""
+    data = _vocabulary_bytes(docs, vocabulary_path)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(data.value, pattern)
+        for batch in encode_batches(batches, data.value, pattern):
+            ids, text = batch.column("ids"), pc.fill_null(batch.column("text"), "").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), ids, pc.list_value_length(ids).cast(pa.int64()), pc.equal(own.decode_all(ids), text)],
+                [*keep, "ids", "n_tokens", "round_trip"],
+            )
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, "text").mapInArrow(encode, f"{kinds}, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def sha256(values: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(v or b"").hexdigest() for v in values.to_pylist()], pa.string())
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, near_dup, quality_rules, url_filter
+from . import ann, bpe, html_extract, langid, license_scan, mixing, near_dup, quality_model, quality_rules, url_filter
 from .common import table
 
 #: File of the public tokenizer that the queries use.
@@ -19,10 +20,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(mixing.sized_rows(table(spark, sf_dir, "documents"))).taken()
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -39,13 +48,27 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+QUERIES = (
+    op1_mixing, op2_quality_classifier, op3_license_scan, op4_language_id, op5_quality_rules,
+    op6_near_duplicates, op7_byte_bpe, op8_html_extraction, op9_nearest_neighbours, op10_url_filter,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_license_scan, op5_quality_rules, op6_near_duplicates, op7_byte_bpe, op10_url_filter)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.oracle()}
+    return {"op9_nearest_neighbours": ann.oracle(), "op10_url_filter": url_filter.oracle()}
