@@ -1,13 +1,597 @@
-"""Named queries over the test tables and the DuckDB SQL that checks them."""
+"""Named queries over the test tables, each with the DuckDB SQL that checks it.
 
+A query applies one operator to whole tables.  Those without SQL are checked by
+brute force in the tests.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparquill.functions import text, urls
+from sparquill.operators import articles, audits, grid, lines, links, naming, notes, packs, rules, sections
+from sparquill.sources import snapshots
+from sparquill.streaming import events as streams
+from sparquill.tables import table
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+LINES_SQL = """
+  lines as (
+    select doc_id, row_number() over (partition by doc_id order by pos) as line, text from (
+      select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)
+    where trim(text) <> '')"""
+HEADINGS_SQL = "headings as (select doc_id, length(text) % 4 + 1 as level, text, line from lines where length(text) < 60)"
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.number_lines(table(spark, d, "documents"), "doc_id")
+
+
+def _headings(spark: SparkSession, d: str) -> DataFrame:
+    """Short lines stand in for headings, since the test documents have none."""
+    return _lines(spark, d).where("length(text) < 60").select("doc_id", (F.length("text") % 4 + 1).alias("level"), "text", "line")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Article lines with a literal and one line around them, with a flag for more."""
+    found = articles.lines(articles.parse_pages(table(spark, d, "pages").select("page_id", "url", "html")))
+    return lines.page_of_matches(found, "page_id", " ", 1, 1, 80)
+
+
+# --- lines -------------------------------------------------------------------
+
+@query(f"with {LINES_SQL} select * from lines")
+def line_numbers(spark, d):
+    return _lines(spark, d)
+
+
+@query(f"with {LINES_SQL} select * from lines where contains(text, ' the ')")
+def find_literal(spark, d):
+    return lines.find(_lines(spark, d), " the ")
+
+
+@query(f"""with {LINES_SQL}, near as (
+  select *, max(contains(text, ' the ')::int) over (partition by doc_id order by line rows between 1 preceding and 1 following) as near from lines)
+  select doc_id, line, text from near where near = 1""")
+def find_context(spark, d):
+    return lines.with_context(_lines(spark, d), "doc_id", " the ", 1)
+
+
+@query(f"""with {LINES_SQL}, t as (select *, max(line) over (partition by doc_id) as total from lines)
+  select doc_id, line, text, true as more_before, least(6, total) < total as more_after from t where line between 3 and 6""")
+def paging(spark, d):
+    return lines.page(_lines(spark, d), "doc_id", 3, 4)
+
+
+@query(f"""with {LINES_SQL},
+  m as (select *, contains(text, ' of ')::int as hit from lines),
+  n as (select *, sum(hit) over (partition by doc_id order by line) as number,
+          max(hit) over (partition by doc_id order by line rows between 1 preceding and 1 following) as near from m),
+  k as (select *, row_number() over (partition by doc_id order by line) as place, count(*) over (partition by doc_id) as total,
+          max(case when hit = 1 and number = 2 then line end) over (partition by doc_id) as first,
+          coalesce(max(case when hit = 1 and number = 1 then line end) over (partition by doc_id), 0) as before,
+          max(case when hit = 1 then line end) over (partition by doc_id) as last_match
+        from n where near = 1),
+  b as (select *, greatest(min(case when line >= greatest(first - 1, before + 1) then place end) over (partition by doc_id),
+                           max(case when line = first then place end) over (partition by doc_id) - 4) as begin from k where first is not null),
+  s as (select * from b where place >= begin and place < begin + 5)
+  select doc_id, line, text, 2::bigint as match_offset, begin > 1 as more_before, begin + 4 < total as more_after,
+         last_match > max(line) over (partition by doc_id) as more_matches from s""")
+def find_match_paging(spark, d):
+    return lines.page_of_matches(_lines(spark, d), "doc_id", " of ", 1, 2, 5)
+
+
+@query()
+def pack_parts(spark, d):
+    return lines.parts(table(spark, d, "documents"), "doc_id")
+
+
+@query("select doc_id, sha256(text) as digest, length(text) > 15000 as is_cut from documents where text is not null")
+def pack_parts_round_trip(spark, d):
+    cut = lines.parts(table(spark, d, "documents"), "doc_id")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda s: s["body"]), "\n")
+    return cut.groupBy("doc_id").agg(F.sha2(whole, 256).alias("digest"), (F.count(F.lit(1)) > 1).alias("is_cut"))
+
+
+@query("select source, count(*) as docs, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::bigint as n_lines from documents group by source")
+def corpus_counters(spark, d):
+    n = F.size(text.lines_of(F.col("text")))
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(n).alias("n_lines"))
+
+
+# --- sections ----------------------------------------------------------------
+
+@query(f"""with {LINES_SQL}, {HEADINGS_SQL}, totals as (select doc_id, max(line) as total from lines group by doc_id)
+  select h.doc_id, h.level, h.text, h.line, coalesce(min(n.line) - 1, any_value(t.total)) as end_line
+  from headings h join totals t using (doc_id) left join headings n on n.doc_id = h.doc_id and n.line > h.line and n.level <= h.level
+  group by h.doc_id, h.level, h.text, h.line""")
+def section_bounds(spark, d):
+    totals = _lines(spark, d).groupBy("doc_id").agg(F.max("line").alias("total"))
+    return sections.bounds(_headings(spark, d), "doc_id", totals).withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"""with {LINES_SQL}, {HEADINGS_SQL}, totals as (select doc_id, max(line) as total from lines group by doc_id),
+  b as (select h.doc_id, h.text, h.line, coalesce(min(n.line) - 1, any_value(t.total)) as end_line
+    from headings h join totals t using (doc_id) left join headings n on n.doc_id = h.doc_id and n.line > h.line and n.level <= h.level
+    group by h.doc_id, h.level, h.text, h.line),
+  r as (select *, case when text = 'The' then 1 when contains(text, 'The') then 2 end as rank from b),
+  m as (select *, min(rank) over (partition by doc_id) as best from r),
+  c as (select doc_id, min(line) as line, min(end_line) as end_line from m where rank = best group by doc_id having count(*) = 1)
+  select l.doc_id, l.line, l.text from lines l join c using (doc_id) where l.line between c.line and c.end_line""")
+def section_lines(spark, d):
+    rows = _lines(spark, d)
+    found = sections.bounds(_headings(spark, d), "doc_id", rows.groupBy("doc_id").agg(F.max("line").alias("total")))
+    return sections.section_lines(rows, sections.choose(found, "doc_id", "The").where("status = 'ok'"), "doc_id")
+
+
+@query(f"""with {LINES_SQL}, {HEADINGS_SQL}, places as (select doc_id, line as place from lines where length(text) > 500),
+  last as (select p.doc_id, p.place, h.level, max_by(h.text, h.line) as text, max(h.line) as line
+    from places p join headings h on h.doc_id = p.doc_id and h.line <= p.place group by p.doc_id, p.place, h.level),
+  alive as (select a.* from last a where not exists (
+    select 1 from last b where b.doc_id = a.doc_id and b.place = a.place and b.level < a.level and b.line > a.line))
+  select p.doc_id, p.place, coalesce(string_agg(a.text, ' > ' order by a.level), '') as path
+  from places p left join alive a on a.doc_id = p.doc_id and a.place = p.place group by p.doc_id, p.place""")
+def heading_path(spark, d):
+    places = _lines(spark, d).where("length(text) > 500").select("doc_id", F.col("line").alias("place"))
+    found = sections.heading_paths(_headings(spark, d), places, "doc_id")
+    return found.select("doc_id", "place", F.array_join("path", " > ").alias("path"))
+
+
+# --- links and titles --------------------------------------------------------
+
+@query("""select page_id, href, min(pos)::bigint as first_pos, count(*) as n from (
+    select page_id, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) as href,
+           generate_subscripts(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1), 1) as pos from pages) group by page_id, href""")
+def link_harvest(spark, d):
+    return links.harvest(table(spark, d, "pages"))
+
+
+@query("""with h as (select page_id, href, min(pos) as first_pos from (
+    select page_id, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) as href,
+           generate_subscripts(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1), 1) as pos from pages) group by page_id, href)
+  select page_id, href, dense_rank() over (partition by page_id order by first_pos) as link_id from h""")
+def link_ids(spark, d):
+    return links.link_ids(links.harvest(table(spark, d, "pages")))
+
+
+_PLAIN = "split_part(split_part(url, '#', 1), '?', 1)"
+
+
+def _index_sql(source: str) -> str:
+    return f"""with seen as (select url, {_PLAIN} as identity from ({source}))
+      select identity, coalesce(min(case when url = identity then url end), identity) as url,
+        case when max((url = identity)::int) = 1 then 'observed_url' else 'query_removed_from_observed_url' end as url_source,
+        string_agg(distinct url, ' ' order by url) as observed, count(distinct url) as n_observed
+      from seen group by identity"""
+
+
+def _index_columns(index: DataFrame) -> DataFrame:
+    return index.select("identity", "url", "url_source", F.array_join(F.array_sort("observed_urls"), " ").alias("observed"), F.size("observed_urls").cast("long").alias("n_observed"))
+
+
+@query(_index_sql("select url from pages"))
+def title_index(spark, d):
+    return _index_columns(links.title_index(links.observe(table(spark, d, "pages"))))
+
+
+@query(_index_sql("select url from pages union all select url || '?keyword=x' from pages"))
+def title_index_merge(spark, d):
+    first = links.observe(table(spark, d, "pages"))
+    more = links.observe(table(spark, d, "pages").select((F.concat("url", F.lit("?keyword=x"))).alias("url")))
+    return _index_columns(links.title_index(first.unionByName(more)))
+
+
+@query("""select title, n from (select p_name as title, count(*) as n from part group by p_name)
+  where contains(title, 'ring') order by (title <> 'ring')::int, title limit 8""")
+def title_search(spark, d):
+    titles = table(spark, d, "part").groupBy(F.col("p_name").alias("title")).agg(F.count(F.lit(1)).alias("n"))
+    return links.search_titles(titles, "ring", fuzzy=False).select("title", "n")
+
+
+@query()
+def title_search_fuzzy(spark, d):
+    titles = table(spark, d, "part").groupBy(F.col("p_name").alias("title")).agg(F.count(F.lit(1)).alias("n"))
+    return links.search_titles(titles, "smal rings").select("title", "n", "rank")
+
+
+@query("select url from pages where regexp_matches(url, '^https://.+example\\.org/.+$') order by url limit 8")
+def damaged_url_candidates(spark, d):
+    return links.damaged_candidates(table(spark, d, "pages").select("url"), "https://�example.org/�")
+
+
+# --- URLs and rules ----------------------------------------------------------
+
+@query("select page_id, split_part(url, '#', 1) || '%E3%81x' as identity from pages where not contains(url, '#') union all "
+       "select page_id, split_part(url, '#', 1) as identity from pages where contains(url, '#')")
+def url_identity(spark, d):
+    damaged = F.concat("url", F.lit("%e3%81x"))
+    return table(spark, d, "pages").select("page_id", urls.identity(damaged).alias("identity"))
+
+
+@query("""select page_id, case when not starts_with(u, 'https://') then 'url_out_of_scope'
+    when regexp_extract(u, '^https://([^/?#]*)', 1) <> 'wiki.example.org' then 'url_out_of_scope'
+    when not regexp_matches(regexp_extract(u, '^https://[^/?#]*([^?#]*)', 1), '^/en/?(d/.*)?$') then 'url_out_of_scope' end as error_code
+  from (select page_id, 'https://wiki.example.org/' || split_part(url, '/', 4) || '/d/x' as u from pages)""")
+def url_scope(spark, d):
+    inside = F.concat(F.lit("https://wiki.example.org/"), F.split_part("url", F.lit("/"), F.lit(4)), F.lit("/d/x"))
+    return table(spark, d, "pages").select("page_id", urls.scope_error(inside, "wiki.example.org", "en").alias("error_code"))
+
+
+_HOST_RULES = {"ad": ["example.net", "m.example.com"], "tracking": ["blog.tionble.example.com", "example.net"], "affiliate": ["example.com", "a8.net"]}
+
+
+@query("""with rules(rule, category) as (values ('example.net', 'ad'), ('m.example.com', 'ad'), ('blog.tionble.example.com', 'tracking'),
+    ('example.com', 'affiliate'), ('a8.net', 'affiliate')),
+  h as (select page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) as host from pages),
+  m as (select h.*, r.rule, r.category, row_number() over (partition by page_id order by length(r.rule) desc) as rn
+    from h left join rules r on host = rule or suffix(host, '.' || rule))
+  select page_id, host, rule, category from m where rn = 1""")
+def host_category(spark, d):
+    found = rules.host_categories(table(spark, d, "pages").select("page_id", "url"), rules.host_rules(spark, _HOST_RULES))
+    return found.select("page_id", "host", "rule", "category")
+
+
+@query("""select page_id, class_name, count(*) as n from (
+    select page_id, unnest(regexp_extract_all(html, '<div class="([^"]*)"', 1)) as class_name from pages) group by page_id, class_name""")
+def ad_skip_log(spark, d):
+    return rules.element_log(table(spark, d, "pages"))
+
+
+@query("""with u as (select split_part(url, '/', 4) as bucket, page_id, unnest(regexp_extract_all(url, '(?:https?:)?//[^\\s<>"''`\\\\|\\]\\[)(]+')) as url from pages),
+  c as (select bucket, url, page_id, count(*) as uses from u group by all),
+  f as (select *, row_number() over (partition by bucket, url order by page_id) as place from c)
+  select bucket, url, sum(uses)::bigint as n, string_agg(page_id::varchar, ',' order by page_id) filter (where place <= 5) as paths from f group by bucket, url""")
+def output_scan(spark, d):
+    texts = table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(4)).alias("bucket"), "page_id", F.col("url").alias("text"))
+    return rules.output_urls(texts, "bucket", "page_id", "text").select("bucket", "url", "n", F.array_join(F.col("paths").cast("array<string>"), ",").alias("paths"))
+
+
+# --- articles ----------------------------------------------------------------
+
+@query()
+def article_lines(spark, d):
+    return articles.lines(articles.parse_pages(table(spark, d, "pages")))
+
+
+@query()
+def article_headings(spark, d):
+    return articles.child(articles.parse_pages(table(spark, d, "pages")), "headings")
+
+
+@query("select page_id, 1::bigint as n_h1, true as is_closed from pages")
+def article_summary(spark, d):
+    parsed = articles.parse_pages(table(spark, d, "pages"))
+    return parsed.select("page_id", F.size(F.filter("article.headings", lambda h: h["level"] == 1)).cast("long").alias("n_h1"), F.col("article.closed").alias("is_closed"))
+
+
+# --- audits ------------------------------------------------------------------
+
+@query("""select page_id, token, count(*) as n, 'named' as reason from (
+    select page_id, unnest(regexp_extract_all(html, '&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z]+);', 1)) as token from pages) group by page_id, token""")
+def reference_audit(spark, d):
+    return audits.references(table(spark, d, "pages"))
+
+
+@query("""select doc_id, (length(text) - length(replace(text, 'é', '')))::bigint as n from documents where contains(text, 'é')""")
+def replacement_audit(spark, d):
+    damaged = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("é"), F.lit("�")).alias("text"))
+    return audits.replaced(damaged, "doc_id")
+
+
+@query("""select hex(encode(c)) as unit, count(*) as n from (select unnest(regexp_extract_all(text, '[^\\x00-\\x7f]')) as c from documents)
+  group by c order by n desc, unit limit 40""")
+def charset_units(spark, d):
+    return audits.byte_units(table(spark, d, "documents"))
+
+
+@query("""select count(*) as total, count(*) filter (lang = 'en') as english, count(*) filter (n_chars > 5000) as long_texts,
+  count(*) filter (text is null or trim(text) = '') as empty_texts from documents""")
+def diagnostics_counts(spark, d):
+    c = F.col
+    return audits.counts(table(spark, d, "documents"), english=c("lang") == "en", long_texts=c("n_chars") > 5000, empty_texts=c("text").isNull() | (F.trim("text") == ""))
+
+
+@query("""with r as (select source, doc_id, row_number() over (partition by source order by doc_id) as place, count(*) over (partition by source) as total from documents)
+  select source, doc_id, total > 40 as truncated from r where place <= 40""")
+def bounded_samples(spark, d):
+    return audits.bounded(table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 40)
+
+
+# --- notes, grids, definitions -----------------------------------------------
+
+@query("""with m as (select source, doc_id, lang from documents where n_chars < 3000),
+  e as (select source, doc_id, case when n_chars % 3 = 0 then upper(lang) when n_chars % 3 = 1 then '' else lang end as text from documents where n_chars > 500)
+  select coalesce(m.source, e.source) as source, coalesce(m.doc_id, e.doc_id) as number, coalesce(nullif(e.text, ''), m.lang) as text,
+    case when m.lang is not null and coalesce(e.text, '') <> '' and m.lang <> e.text then 'conflict'
+         when m.lang is not null and coalesce(e.text, '') <> '' then 'match' when m.lang is not null then 'marker_only'
+         when coalesce(e.text, '') <> '' then 'footer_only' else 'unavailable' end as agreement,
+    case when m.doc_id is null then 'unreferenced' else 'referenced' end as reference_state,
+    case when e.doc_id is null then 'missing' when e.text <> '' then 'text' else 'empty' end as definition_state
+  from m full outer join e on m.source = e.source and m.doc_id = e.doc_id""")
+def footnote_agreement(spark, d):
+    docs = table(spark, d, "documents")
+    markers = docs.where("n_chars < 3000").select("source", F.col("doc_id").alias("number"), F.col("lang").alias("title"))
+    said = F.when(F.col("n_chars") % 3 == 0, F.upper("lang")).when(F.col("n_chars") % 3 == 1, "").otherwise(F.col("lang"))
+    entries = docs.where("n_chars > 500").select("source", F.col("doc_id").alias("number"), said.alias("text"), F.lit(1).alias("ord"))
+    return notes.reconcile(markers, entries, "source")
+
+
+@query("""select l_orderkey, r as grid_row, c as grid_col, count(*) as n from (
+    select l_orderkey, unnest(range(l_linenumber, l_linenumber + (l_quantity::bigint % 3) + 1)) as r, l_linenumber from lineitem) t,
+    (values (1::bigint), (2::bigint)) as w(c) group by all""")
+def grid_spread(spark, d):
+    cells = table(spark, d, "lineitem").select(
+        "l_orderkey", F.lit(1).cast("long").alias("table_idx"), F.col("l_linenumber").cast("long").alias("row"), F.lit(1).cast("long").alias("col"),
+        (F.col("l_quantity").cast("long") % 3 + 1).alias("h"), F.lit(2).cast("long").alias("w"), F.col("l_linenumber").cast("long").alias("src_row"),
+        F.lit(1).cast("long").alias("src_cell"), F.lit(None).cast("string").alias("warning"))
+    return grid.spread(cells, "l_orderkey").groupBy("l_orderkey", "grid_row", "grid_col").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def grid_expand(spark, d):
+    cells = table(spark, d, "lineitem").select(
+        "l_orderkey", F.lit(1).cast("long").alias("table_idx"), F.col("l_linenumber").cast("long").alias("row_idx"), F.lit(1).cast("long").alias("cell_idx"),
+        F.lit(1).cast("long").alias("rowspan"), (F.col("l_quantity").cast("long") % 3 + 1).alias("colspan"))
+    return grid.expand(cells, "l_orderkey")
+
+
+@query("""select o_custkey, o_orderkey + 2 as grid_row, o_orderkey::varchar as counterpart,
+    case when o_orderstatus = 'F' then '' else o_orderstatus end as calls, o_orderpriority as called_by from orders""")
+def nickname_records(spark, d):
+    orders = table(spark, d, "orders")
+    head = orders.select("o_custkey").distinct().select("o_custkey", F.lit(1).cast("long").alias("grid_row"), F.posexplode(F.array(*map(F.lit, ("who", "calls", "called by")))).alias("c", "text"))
+    calls = F.when(F.col("o_orderstatus") == "F", "－").otherwise(F.concat("o_orderstatus", F.lit("*1")))
+    body = orders.select("o_custkey", (F.col("o_orderkey") + 2).alias("grid_row"), F.posexplode(F.array(F.col("o_orderkey").cast("string"), calls, F.col("o_orderpriority"))).alias("c", "text"))
+    cells = head.unionByName(body).select("o_custkey", "grid_row", (F.col("c") + 1).alias("grid_col"), "text", F.concat_ws("/", "grid_row", "c").alias("src"))
+    return grid.naming_records(cells, ("who", "calls", "calledby"), "o_custkey")
+
+
+@query(f"""with {LINES_SQL}, g as (select *, length(text) < 80 as is_label from lines),
+  f as (select *, sum(is_label::int) over (partition by doc_id order by line) as group_no from g),
+  l as (select *, first_value(text) over (partition by doc_id, group_no order by line) as label from f where group_no > 0)
+  select doc_id, label, string_agg(text, '、' order by line) as items from l where not is_label group by doc_id, group_no, label""")
+def definition_items(spark, d):
+    kind = F.when(F.length("text") < 80, "dt").otherwise("dd")
+    return grid.definition_items(_lines(spark, d).select("doc_id", F.col("line").alias("ord"), kind.alias("kind"), "text"), "doc_id")
+
+
+# --- names -------------------------------------------------------------------
+
+_EDGES_SQL = """edges as (select distinct c_nationkey::bigint as src, s_nationkey::bigint as dst from lineitem join orders on l_orderkey = o_orderkey
+    join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity > 48 and l_returnflag = 'R' and l_linestatus = 'F' and o_totalprice > 300000)"""
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    item = table(spark, d, "lineitem").where("l_quantity > 48 and l_returnflag = 'R' and l_linestatus = 'F'")
+    orders = table(spark, d, "orders").where("o_totalprice > 300000")
+    joined = item.join(orders, item.l_orderkey == orders.o_orderkey)
+    joined = joined.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = joined.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+
+
+@query(f"with {_EDGES_SQL} select a.src, a.dst, b.src is not null as mutual from edges a left join edges b on a.src = b.dst and a.dst = b.src")
+def naming_edges_mutual(spark, d):
+    return naming.mutual(_edges(spark, d))
+
+
+@query(f"""with {_EDGES_SQL} select a.n_name as src, b.n_name as dst, case when e.src is null then '-' else 'calls' end as label
+  from nation a join nation b on a.n_nationkey <> b.n_nationkey left join edges e on e.src = a.n_nationkey and e.dst = b.n_nationkey""")
+def naming_matrix(spark, d):
+    nation = table(spark, d, "nation")
+    named = lambda c: nation.select(F.col("n_nationkey").cast("long").alias(c), F.col("n_name").alias(f"{c}_name"))
+    edges = _edges(spark, d).join(named("src"), "src").join(named("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), F.lit("calls").alias("label"))
+    return naming.matrix(nation.select(F.col("n_name").alias("name")), edges)
+
+
+_FOLD_SQL = "regexp_replace(lower({}), '[ \\t\\n\\r_.''`@-]', '', 'g')"
+
+
+@query(f"""with k as (select {_FOLD_SQL.format('p_name')} as key, p_brand as slug, count(*) as n from part group by all),
+  o as (select key, count(*) as owners, max(n) as support from k where length(key) between 2 and 24 group by key)
+  select key, case when owners > 1 then 'ambiguous' else 'nickname' end as status, owners, support from o""")
+def name_keys_ambiguous(spark, d):
+    part = table(spark, d, "part")
+    none = part.limit(0).select(F.col("p_name").alias("key"))
+    found = naming.nickname_keys(part.select(F.col("p_brand").alias("slug"), F.col("p_name").alias("original")), none, text.ascii_fold)
+    return found.select("key", "status", F.size("slugs").cast("long").alias("owners"), "support")
+
+
+@query(f"""with q(qid, query) as (values (1, 'NATION_7'), (2, 'nation 1'), (3, 'Region 2'), (4, 'zzz'), (5, 'small'), (6, '.-')),
+  qk as (select qid, query, {_FOLD_SQL.format('query')} as key from q),
+  keys as (select {_FOLD_SQL.format('n_name')} as key, n_name as slug from nation union select {_FOLD_SQL.format('p_name')}, p_name from part union select {_FOLD_SQL.format('r_name')}, r_name from region),
+  words as (select distinct unnest(string_split(lower(p_name), ' ')) as word, p_name as slug from part),
+  hits as (select qid, k.slug, 1 as stage from qk join keys k using (key)
+    union select qid, w.slug, 3 from qk join words w on starts_with(w.word, qk.key) where length(qk.key) >= 3
+    union select qid, k.slug, 4 from qk join keys k on contains(k.key, qk.key) where qk.key <> ''),
+  best as (select *, min(stage) over (partition by qid) as first from hits),
+  c as (select qid, first, count(distinct slug) as n, min(slug) as slug from best where stage = first group by qid, first)
+  select qk.qid::bigint as qid, qk.query, first::bigint as stage, case when qk.key = '' then 'empty' when n is null then 'not_found' when n > 1 then 'ambiguous' else 'ok' end as status,
+    coalesce(n, 0) as n_candidates, slug as first_slug from qk left join c using (qid)""")
+def name_resolve(spark, d):
+    wanted = [(1, "NATION_7"), (2, "nation 1"), (3, "Region 2"), (4, "zzz"), (5, "small"), (6, ".-")]
+    asked = spark.createDataFrame(wanted, "qid long, query string").withColumn("key", text.ascii_fold(F.col("query")))
+    parts = table(spark, d, "part").select("p_name").distinct()
+    people = (
+        table(spark, d, "nation").select(F.col("n_name").alias("original")).unionByName(parts.select(F.col("p_name").alias("original")))
+        .unionByName(table(spark, d, "region").select(F.col("r_name").alias("original"))).select("original", F.col("original").alias("slug"), F.lit("name").alias("kind"))
+    )
+    words = parts.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"), F.col("p_name").alias("slug"))
+    found = naming.resolve(asked, naming.strong_keys(people, text.ascii_fold), words)
+    return found.select("qid", "query", "stage", "status", F.size("slugs").cast("long").alias("n_candidates"), F.try_element_at("slugs", F.lit(1)).alias("first_slug"))
+
+
+@query()
+def name_fuzzy(spark, d):
+    keys = table(spark, d, "part").select(text.ascii_fold(F.col("p_name")).alias("key"), F.col("p_name").alias("slug")).distinct()
+    asked = spark.createDataFrame([(1, "smalring"), (2, "redwigdet"), (3, "hotgears")], "qid long, key string")
+    return naming.suggest(asked, keys)
+
+
+@query("""with q(qid, key) as (values (1, 'smalring'), (2, 'redwigdet'), (3, 'hotgears')),
+  k as (select distinct replace(lower(p_name), ' ', '') as other, p_name as slug from part),
+  s as (select qid::bigint as qid, slug, round(1 - levenshtein(key, other)::double / greatest(length(key), length(other)), 9) as score from q join k on abs(length(key) - length(other)) <= length(key)),
+  r as (select *, row_number() over (partition by qid order by score desc, slug) as place from s where score >= 0.7)
+  select qid, slug, score from r where place <= 5""")
+def name_suggest_edit_distance(spark, d):
+    def similarity(a, b):
+        return F.round(1 - F.levenshtein(a, b).cast("double") / F.greatest(F.length(a), F.length(b)), 9)
+
+    keys = table(spark, d, "part").select(text.ascii_fold(F.col("p_name")).alias("key"), F.col("p_name").alias("slug")).distinct()
+    asked = spark.createDataFrame([(1, "smalring"), (2, "redwigdet"), (3, "hotgears")], "qid long, key string")
+    return naming.suggest(asked, keys, similarity=similarity)
+
+
+# --- packs -------------------------------------------------------------------
+
+@query(f"""with {LINES_SQL}, n(name) as (values ('MIT'), ('Apache'), ('CC'), ('stupid'))
+  select doc_id, line, name from lines join n on regexp_matches(text, '(^|[^A-Za-z0-9_])' || name || '($|[^A-Za-z0-9_])')""")
+def co_mention(spark, d):
+    return packs.co_mentions(_lines(spark, d), ["MIT", "Apache", "CC", "stupid"], "doc_id")
+
+
+@query(f"""with {LINES_SQL}, r as (select *, row_number() over (partition by doc_id order by line) as place from lines where contains(text, 'under the'))
+  select doc_id, line, text, 'phrase' as matched from r where place <= 3""")
+def topic_search(spark, d):
+    return packs.topic(_lines(spark, d), "under the", 3, "doc_id")
+
+
+@query(f"""with {LINES_SQL}, r as (select *, row_number() over (partition by doc_id order by line) as place from lines where contains(text, 'MIT') or contains(text, 'Apache'))
+  select doc_id, line, text, 'words' as matched from r where place <= 3""")
+def topic_search_words(spark, d):
+    return packs.topic(_lines(spark, d), "MIT Apache", 3, "doc_id")
+
+
+@query(f"""with {LINES_SQL}, t as (
+    select doc_id, 'licence' as kind, line, text from lines where contains(text, 'License') or contains(text, 'CC BY')
+    union all select doc_id, 'abuse', line, text from lines where contains(text, 'stupid') or contains(text, 'moron')),
+  a as (select *, row_number() over (partition by doc_id, kind order by line) as n from t),
+  b as (select *, row_number() over (partition by doc_id order by kind, line) as m from a where n <= 8)
+  select doc_id, kind, line, text from b where m <= 48""")
+def reaction_candidates(spark, d):
+    return packs.reactions(_lines(spark, d), {"licence": ["License", "CC BY"], "abuse": ["stupid", "moron"]}, "doc_id")
+
+
+@query("""with named(name, ord) as (values ('NATION_20', 1), ('NATION_3', 2)),
+  rest as (select n_name as name, n_nationkey as ord from nation join region on n_regionkey = r_regionkey where r_regionkey in (1, 3)
+    and n_name not in (select name from named) and n_name <> 'NATION_6'),
+  u as (select name, 0 as source, ord from named union all select name, 1, ord from rest)
+  select name, row_number() over (order by source, ord) as place from u""")
+def cast_group(spark, d):
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    roster = nation.select(F.col("n_name").alias("name"), F.col("r_regionkey").cast("string").alias("grp"), F.col("n_nationkey").alias("ord"), F.lit(False).alias("former"))
+    named = spark.createDataFrame([("NATION_20", 1), ("NATION_3", 2)], "name string, ord int")
+    return packs.cast(roster, named, ["1", "3"], spark.createDataFrame([("NATION_6",)], "name string"))
+
+
+_CAPS = (100_000, 20_000, 12_000, 8_000, 4_000, 2_000, 1_000, 500, 100)
+
+
+@query(f"""with caps(rank, cap) as (values {", ".join(f"({i}, {c})" for i, c in enumerate(_CAPS, 1))}),
+  s as (select source, rank, sum(least(n_chars, cap))::bigint as size, least(120000 + 15000 * (count(*) - 1), 300000) as limit_ from documents cross join caps group by source, rank)
+  select source, coalesce(min(case when size <= limit_ then rank end), 99)::bigint as tier,
+    coalesce(min_by(size, case when size <= limit_ then rank end), min(size)) as size from s group by source""")
+def pack_tier(spark, d):
+    tiers = F.posexplode(F.array(*map(F.lit, _CAPS))).alias("rank", "cap")
+    rows = table(spark, d, "documents").select("source", "n_chars", tiers)
+    sizes = rows.groupBy("source", F.col("rank") + 1).agg(F.sum(F.least("n_chars", "cap")).alias("size"), packs.automatic_budget(F.count(F.lit(1))).alias("limit"))
+    return packs.first_fitting_tier(sizes.toDF("source", "rank", "size", "limit"), "source")
+
+
+# --- snapshots ---------------------------------------------------------------
+
+@query("""with f as (select user_id, ts, event_id, event_type, value from events where event_type <> 'error' and ts >= (select max(ts) from events) - interval 6 hours),
+  r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from f)
+  select user_id, event_id, event_type, value from r where rn = 1""")
+def snapshot_fresh_latest(spark, d):
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    return snapshots.fresh_latest(events, "user_id", "ts", now, "6 hours", F.col("event_type") != "error").select("user_id", "event_id", "event_type", "value")
+
+
+@query("select doc_id, sha256('v1' || chr(10) || source || chr(10) || text) as key from documents")
+def snapshot_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.record_key(F.lit("v1"), F.col("source"), F.col("text")).alias("key"))
+
+
+@query(f"""with {LINES_SQL}, s as (select text, n_chars from lines join (select doc_id, n_chars from documents) using (doc_id)),
+  c as (select text, sum(case when n_chars < 3000 then -1 else 0 end + case when n_chars > 1000 then 1 else 0 end)::bigint as d from s group by text)
+  select text, case when d > 0 then 'added' else 'removed' end as change, abs(d) as n from c where d <> 0""")
+def snapshot_diff(spark, d):
+    docs = table(spark, d, "documents")
+    return snapshots.difference(lines.number_lines(docs.where("n_chars < 3000"), "doc_id"), lines.number_lines(docs.where("n_chars > 1000"), "doc_id"), "text")
+
+
+@query("""with a as (select doc_id, sha256(text) as x from documents where lang <> 'fr'), b as (select doc_id, sha256(case when lang = 'en' then text else '' end) as x from documents where lang <> 'de')
+  select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.doc_id is null then 'added' when b.doc_id is null then 'removed' when a.x = b.x then 'same' else 'changed' end as status
+  from a full outer join b on a.doc_id = b.doc_id""")
+def snapshot_changes(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.where("lang <> 'fr'").select("doc_id", F.sha2("text", 256).alias("x"))
+    new = docs.where("lang <> 'de'").select("doc_id", F.sha2(F.when(F.col("lang") == "en", F.col("text")).otherwise(""), 256).alias("x"))
+    return snapshots.changed_documents(old, new, "doc_id", "x")
+
+
+@query("""with m as (select doc_id, n_chars as size, sha256(text) as sha from documents where lang <> 'fr'),
+  f as (select doc_id, n_chars + (source = 'src1')::bigint as size, sha256(case when lang = 'es' then '' else text end) as sha from documents where lang <> 'de')
+  select coalesce(m.doc_id, f.doc_id) as doc_id, case when f.doc_id is null then 'missing' when m.doc_id is null then 'extra'
+    when m.size <> f.size then 'size' when m.sha <> f.sha then 'digest' else 'ok' end as status from m full outer join f on m.doc_id = f.doc_id""")
+def manifest_verify(spark, d):
+    docs = table(spark, d, "documents")
+    listed = docs.where("lang <> 'fr'").select("doc_id", F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha256"))
+    body = F.when(F.col("lang") == "es", "").otherwise(F.col("text"))
+    found = docs.where("lang <> 'de'").select("doc_id", (F.col("n_chars") + (F.col("source") == "src1").cast("long")).alias("size"), F.sha2(body, 256).alias("sha256"))
+    return snapshots.verify(listed, found, "doc_id")
+
+
+@query("""with r as (select *, sum((event_type <> 'error')::int) over (partition by user_id order by ts, event_id) as run from events),
+  n as (select *, row_number() over (partition by user_id, run order by ts, event_id) as attempt from r where event_type = 'error')
+  select event_id, user_id, attempt, 0.5::double * pow(2.0::double, attempt - 1) as wait,
+    case when attempt > 3 then 'give_up' when 0.5::double * pow(2.0::double, attempt - 1) >= 1.5 then 'retry_deferred' else 'retry' end as decision from n""")
+def retry_decision(spark, d):
+    found = snapshots.retry_decisions(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 1.5, 3)
+    return found.select("event_id", "user_id", "attempt", "wait", "decision")
+
+
+@query("select event_id, (props->>'$.k')::bigint as k from events")
+def props_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# --- streams (an extension) --------------------------------------------------
+
+@query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as begins from events),
+  s as (select *, sum(begins) over (partition by user_id order by ts, event_id) as no from g)
+  select user_id, min(ts) as start, count(*) as n from s group by user_id, no""")
+def stream_sessions(spark, d):
+    found = streams.sessions(table(spark, d, "events").select("user_id", "ts", "event_id"))
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all""")
+def stream_windows(spark, d):
+    found = streams.windowed(table(spark, d, "events"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
