@@ -31,7 +31,7 @@ MARGIN = 0.13  # below the threshold, over four deviations of the sketch's estim
 SEED = 9127
 #: Up to so many documents are looked up by a broadcast of their ids.
 BROADCAST_IDS = 1_000_000
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 200_000
 
 
 @dataclass(frozen=True)
