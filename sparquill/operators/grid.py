@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparquill.functions.text import cell_value
 
@@ -12,41 +13,50 @@ from sparquill.functions.text import cell_value
 MAX_ROWS, MAX_COLUMNS, MAX_AREA, MAX_SPAN = 50_000, 256, 1_000_000, 10_000
 
 
-def place_cells(cells: pd.DataFrame) -> tuple[list[tuple[int, int, int, int, int, int]] | None, str | None]:
-    """(row, column, height, width, source row, source cell) of each cell of a
-    table, or why it has no grid.  Cells go left to right into free columns."""
-    height = int(cells["row_idx"].max())
+PLACED = T.StructType([
+    T.StructField("warning", T.StringType()),
+    T.StructField("cells", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("row", "col", "h", "w", "src_row", "src_cell")]))),
+])
+
+
+def place_cells(cells: list) -> tuple[str | None, list[tuple]]:
+    """Why a table has no grid, or its cells as (row, column, height, width,
+    source row, source cell); ``cells`` are (row, cell, rowspan, colspan) in
+    order.  Cells go left to right into free columns."""
+    height = max(c[0] for c in cells)
     if height > MAX_ROWS:
-        return None, "rows"
-    taken: dict[int, dict[int, bool]] = {}
-    placed, area, width = [], 0, 0
-    for row, part in cells.sort_values(["row_idx", "cell_idx"]).groupby("row_idx"):
-        column = 1
-        for cell in part.itertuples():
-            h, w = cell.rowspan, cell.colspan
-            if pd.isna(h) or pd.isna(w) or not 1 <= h <= MAX_SPAN or not 1 <= w <= MAX_SPAN:
-                return None, "span"
-            h, w = int(h), int(w)
-            while column in taken.get(row, {}):
-                column += 1
-            area += h * w
-            if column + w - 1 > MAX_COLUMNS or area > MAX_AREA:
-                return None, "size"
-            if row + h - 1 > height:
-                return None, "rowspan past the last row"
-            for r in range(row, row + h):
-                line = taken.setdefault(r, {})
-                for c in range(column, column + w):
-                    if c in line:
-                        return None, "overlap"
-                    line[c] = True
-            placed.append((int(row), column, h, w, int(row), int(cell.cell_idx)))
-            width = max(width, column + w - 1)
-            column += w
-        taken.pop(row, None)
-    if height * width > MAX_AREA:
-        return None, "size"
-    return placed, None
+        return "rows", []
+    taken: dict[int, set[int]] = {}
+    placed, area, width, row, column = [], 0, 0, None, 1
+    for source_row, cell, h, w in cells:
+        if source_row != row:
+            taken.pop(row, None)
+            row, column = source_row, 1
+        if h is None or w is None or not 1 <= h <= MAX_SPAN or not 1 <= w <= MAX_SPAN:
+            return "span", []
+        while column in taken.get(row, ()):
+            column += 1
+        area += h * w
+        width = max(width, column + w - 1)
+        if width > MAX_COLUMNS or area > MAX_AREA or height * width > MAX_AREA:
+            return "size", []
+        if row + h - 1 > height:
+            return "rowspan past the last row", []
+        span = range(column, column + w)
+        for r in range(row, row + h):
+            if not taken.setdefault(r, set()).isdisjoint(span):
+                return "overlap", []
+            taken[r].update(span)
+        placed.append((row, column, h, w, row, cell))
+        column += w
+    return None, placed
+
+
+@F.pandas_udf(PLACED)
+def place(tables: pd.Series) -> pd.DataFrame:
+    rows = [place_cells([(c["row_idx"], c["cell_idx"], c["rowspan"], c["colspan"]) for c in cells]) for cells in tables]
+    names = PLACED["cells"].dataType.elementType.fieldNames()
+    return pd.DataFrame({"warning": [w for w, _ in rows], "cells": [[dict(zip(names, c, strict=True)) for c in cells] for _, cells in rows]})
 
 
 def expand(cells: DataFrame, key: str = "page_id") -> DataFrame:
@@ -54,22 +64,12 @@ def expand(cells: DataFrame, key: str = "page_id") -> DataFrame:
 
     ``cells``: key, table_idx, row_idx, cell_idx, rowspan, colspan.  A table
     without a grid gives one row with a warning and null coordinates.  Only the
-    placing, where each cell depends on those before it, leaves the JVM; the
-    spans are spread by ``sequence``.
+    placing, where each cell depends on those before it, leaves the JVM, for
+    many tables at once; the spans are spread by ``sequence``.
     """
-
-    def place(batch: pd.DataFrame) -> pd.DataFrame:
-        placed, warning = place_cells(batch)
-        rows = placed if placed is not None else [(None,) * 6]
-        out = pd.DataFrame(rows, columns=["row", "col", "h", "w", "src_row", "src_cell"])
-        out.insert(0, "table_idx", batch["table_idx"].iloc[0])
-        out.insert(0, key, batch[key].iloc[0])
-        return out.assign(warning=warning)
-
-    kind = cells.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, table_idx long, row long, col long, h long, w long, src_row long, src_cell long, warning string"
-    placed = cells.groupBy(key, "table_idx").applyInPandas(place, schema)
-    return spread(placed, key)
+    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("row_idx", "cell_idx", "rowspan", "colspan")])))
+    tables = cells.groupBy(key, "table_idx").agg(ordered.alias("cells")).select(key, "table_idx", place.asNondeterministic()("cells").alias("placed"))
+    return spread(tables.select(key, "table_idx", "placed.warning", F.inline_outer("placed.cells")), key)
 
 
 def spread(placed: DataFrame, key: str) -> DataFrame:
