@@ -25,8 +25,8 @@ MAX_PASSES = 2  # over a source
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 SEED = 20240607
-#: Parts that a source's documents, and runs of shards, are dealt into for running totals.
-PARTS = 1024
+#: Parts that a source's documents are dealt into for running totals, and shards in a run.
+PARTS, RUN_SHARDS = 1024, 64
 ROUNDS = 12
 
 
@@ -126,7 +126,9 @@ class Mix:
         self.documents = staged(
             placed.join(self.plan, "key").select("rid", "doc_id", "size", "source_size", "target", "source_no", "start"), "mix-documents"
         )
-        self.spans = self._pieces(block_words).join(self._slots(seed, max_passes), ["source_no", "block"])
+        # both sides grow with the words; their sizes after explode are not known to
+        # the optimizer, which would otherwise broadcast the slots
+        self.spans = self._pieces(block_words).join(self._slots(seed, max_passes).hint("merge"), ["source_no", "block"])
 
     def _pieces(self, block_words: int) -> DataFrame:
         """The part of a document that lies in a block."""
@@ -150,12 +152,13 @@ class Mix:
             at = F.col(bound) / F.col("n_shards")
             return F.floor(at) + F.when(uniform(F.lit(seed), F.col("shard"), F.floor(at)) < at - F.floor(at), 1).otherwise(0)
 
+        runs = self.plan.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_shards") - 1) / RUN_SHARDS))))
+        first = F.col("run") * RUN_SHARDS
         drawn = (
-            self.plan.where("slots > 0")
-            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)))
+            runs.repartition("source_no", "run")  # a source's runs are spread before they grow
+            .withColumn("shard", F.explode(F.sequence(first, F.least(first + RUN_SHARDS, "n_shards") - 1)))
             .withColumn("below", count_below("low"))
             .withColumn("drawn", count_below("high") - F.col("below"))
-            .withColumn("run", F.floor(F.col("shard") / F.lit(PARTS)))
         )
         number = F.col("number")
         return (
