@@ -119,7 +119,7 @@ class Mix:
             .withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0))
             .withColumn("high", F.sum("slots").over(up_to))
             .withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(every) / F.lit(float(shard_slots)))).cast("long"))
-            .withColumn("low", F.col("high") - F.col("slots")),
+            .withColumn("low", F.coalesce(F.sum("slots").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))),
             "mix-plan",
         )
         placed = running_totals(keyed, "key", "part", ["doc_id", "size", "text_hash"], "size", "start")
