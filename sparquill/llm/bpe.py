@@ -14,6 +14,7 @@ import base64
 import hashlib
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,16 @@ SPECIAL_BLANKS = "[ \\n][ \\n]|[\\x01\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\
 #: Text that is encoded at once.
 BATCH_BYTES = 4 << 20
 #: Entries that a worker remembers in each of its two generations.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Bytes up to which pieces are encoded together and remembered.
 LONG_PIECE = 64
 _MISSING = 1 << 62
 
 
+def int32(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class HashTable:
     """int64 keys to int32 values, looked up by whole arrays; absent keys give -1."""
 
@@ -298,10 +303,10 @@ class Tokenizer:
         every = range(max(vocabulary.tokens) + 1)
         self.bytes = pa.array([vocabulary.tokens.get(i) for i in every], pa.binary())
         self.decimal = pa.array([b"%d" % i for i in every], pa.binary())
-        self._recent: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        self._recent: dict[str, bytes] = {}  # ids as int32, which take little room
+        self._older: dict[str, bytes] = {}
 
-    def known(self, run: str) -> list[int] | None:
+    def known(self, run: str) -> bytes | None:
         """Two generations of runs are remembered: when the younger is full, it
         becomes the older, which is dropped."""
         ids = self._recent.get(run)
@@ -309,36 +314,36 @@ class Tokenizer:
             self.remember(run, ids)
         return ids
 
-    def remember(self, run: str, ids: list[int]) -> None:
+    def remember(self, run: str, ids: bytes) -> None:
         if len(run) <= LONG_PIECE:
             if len(self._recent) >= MEMORY:
                 self._older, self._recent = self._recent, {}
             self._recent[run] = ids
 
-    def runs(self, runs: list[str]) -> list[list[int]]:
-        """Ids of each run of non-blanks; what is new is encoded together."""
+    def runs(self, runs: list[str]) -> list[bytes]:
+        """Ids (int32) of each run of non-blanks; what is new is encoded together."""
         found = list(map(self.known, runs))
         new = {run: self.matches(run) for run, ids in zip(runs, found, strict=True) if ids is None}
         if not new:
             return found
         pieces = list({p for parts in new.values() for p in parts})
-        coded: dict[str, list[int]] = {}
+        coded: dict[str, bytes] = {}
         fresh = []
         for p in pieces:
             data = p.encode()
             token = self.vocabulary.ranks.get(data)  # a piece that is a token stays one
-            ids = [token] if token is not None else self.known(p)
+            ids = int32([token]) if token is not None else self.known(p)
             if ids is not None:
                 coded[p] = ids
             elif len(data) > LONG_PIECE:
-                coded[p] = PrefixTable(self.vocabulary, data).ids()
+                coded[p] = int32(PrefixTable(self.vocabulary, data).ids())
             else:
                 fresh.append(p)
-        coded |= zip(fresh, self.vocabulary.encode_short([p.encode() for p in fresh]), strict=True)
+        coded |= zip(fresh, map(int32, self.vocabulary.encode_short([p.encode() for p in fresh])), strict=True)
         for p in fresh:
             self.remember(p, coded[p])
         for run, parts in new.items():
-            new[run] = coded[run] if parts == [run] else [i for p in parts for i in coded[p]]
+            new[run] = coded[run] if parts == [run] else b"".join(map(coded.__getitem__, parts))
             self.remember(run, new[run])
         return [new[run] if ids is None else ids for run, ids in zip(runs, found, strict=True)]
 
@@ -350,7 +355,7 @@ class Tokenizer:
         """No match crosses the end of a run of non-blanks, and only one space
         before a run belongs to it, so runs are encoded one by one."""
         runs = (self.pieces if ODD_SPACE.search(text) else CHUNK).findall(text)  # odd ones are blanks to re only
-        return list(itertools.chain.from_iterable(self.runs(runs)))
+        return np.frombuffer(b"".join(self.runs(runs)), np.int32).tolist()
 
     def encode_all(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text; each distinct run of non-blanks is encoded once.
@@ -371,9 +376,9 @@ class Tokenizer:
             for row, ids in odd:  # its text was emptied above, so it is one empty run
                 which = which.copy() if not which.flags.writeable else which
                 which[firsts[row]] = len(distinct)
-                distinct.append(ids)
-        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        pool = np.fromiter(itertools.chain.from_iterable(distinct), np.int32, sizes.sum())
+                distinct.append(int32(ids))
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
+        pool = np.frombuffer(b"".join(distinct), np.int32)
         starts = np.cumsum(sizes) - sizes
         lengths = sizes[which]
         ends = np.concatenate([[0], np.cumsum(lengths)])
