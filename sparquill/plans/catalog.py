@@ -109,7 +109,7 @@ def pack_parts(spark, d):
     return lines.parts(table(spark, d, "documents"), "doc_id")
 
 
-@query("select doc_id, sha256(text) as digest, length(text) > 15000 as is_cut from documents where text is not null")
+@query("select doc_id, sha256(text) as digest, length(text) > 15000 and contains(text, chr(10)) as is_cut from documents where text is not null")
 def pack_parts_round_trip(spark, d):
     cut = lines.parts(table(spark, d, "documents"), "doc_id")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda s: s["body"]), "\n")
