@@ -177,7 +177,7 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
 
     # the sample has SAMPLE rows at most, so it may be broadcast and meet in few parts
     texts = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
-    rows = texts.coalesce(FIT_PARTS).mapInArrow(count, "lang string, trigrams binary, scripts binary, n long").collect()
+    rows = texts.repartition(FIT_PARTS).mapInArrow(count, "lang string, trigrams binary, scripts binary, n long").collect()
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
