@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,9 +167,10 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         for i in range(0, len(ids), CHUNK_ROWS):
             part = order[i : i + CHUNK_ROWS]
             binary = [[x.tobytes()] for x in (ids[part], data[part], quantizer.encode(data[part].astype(np.float64)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in binary], ["ids", "vectors", "codes"])
+            number = pa.array([TaskContext.get().partitionId()], pa.int64())
+            yield pa.RecordBatch.from_arrays([number, *[pa.array(x, pa.binary()) for x in binary]], ["part", "ids", "vectors", "codes"])
 
-    packed = rows.repartition(n_parts, F.xxhash64("vec_id")).mapInArrow(pack, "ids binary, vectors binary, codes binary")
+    packed = rows.repartition(n_parts, F.xxhash64("vec_id")).mapInArrow(pack, "part long, ids binary, vectors binary, codes binary")
     chunks = staged(packed.withColumn("chunk", F.monotonically_increasing_id()), "vector-chunks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             )
 
     asked = staged(chunks.select("ids", "vectors", "chunk").mapInArrow(ask, "of long, q_ids binary, q_at binary, q_vectors binary"), "queries")
-    every_chunk = [r[0] for r in chunks.select("chunk").collect()]  # one number for each chunk of rows
+    last_part = chunks.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("of", "chunk", "q_ids", "q_at", "q_vectors", "ids", "vectors", "codes")
@@ -216,8 +218,8 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     [pa.array(q), pa.array(np.full(len(q), of.as_py())), pa.array(q_row), pa.array(v), pa.array(s)], ["query_id", "of", "q_row", "vec_id", "score"]
                 )
 
-    everywhere = asked.withColumn("chunk", F.explode(F.array(*map(F.lit, every_chunk)).cast("array<long>")))
-    found = everywhere.join(chunks, "chunk").mapInArrow(search, "query_id long, of long, q_row long, vec_id long, score double")
+    everywhere = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last_part)))).hint("merge")
+    found = everywhere.join(chunks, "part").mapInArrow(search, "query_id long, of long, q_row long, vec_id long, score double")
     order = Window.partitionBy("query_id", "of", "q_row").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
