@@ -170,7 +170,8 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             number = pa.array([TaskContext.get().partitionId()], pa.int64())
             yield pa.RecordBatch.from_arrays([number, *[pa.array(x, pa.binary()) for x in binary]], ["part", "ids", "vectors", "codes"])
 
-    packed = rows.repartition(n_parts, F.xxhash64("vec_id")).mapInArrow(pack, "part long, ids binary, vectors binary, codes binary")
+    # evenly and by no key, so that chunks hold CHUNK_ROWS whatever the session's partitions
+    packed = rows.repartition(n_parts).mapInArrow(pack, "part long, ids binary, vectors binary, codes binary")
     chunks = staged(packed.withColumn("chunk", F.monotonically_increasing_id()), "vector-chunks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
