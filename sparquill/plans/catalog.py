@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.functions import text, urls
-from sparquill.operators import articles, audits, grid, lines, links, naming, notes, packs, rules, sections
-from sparquill.sources import snapshots
+from sparquill.operators import articles, audits, corpus, grid, lines, links, naming, notes, packs, rules, sections
+from sparquill.sources import pages, snapshots
 from sparquill.streaming import events as streams
 from sparquill.tables import table
 
@@ -595,3 +595,111 @@ def stream_sessions(spark, d):
 def stream_windows(spark, d):
     found = streams.windowed(table(spark, d, "events"))
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+# --- corpus, responses, selections -------------------------------------------
+
+@query("select page_id, true as is_html from pages")
+def html_evidence(spark, d):
+    return table(spark, d, "pages").select("page_id", pages.looks_like_html(F.col("html")).alias("is_html"))
+
+
+@query("""select doc_id, case when n_chars % 7 = 0 then 'partial_response' when n_chars % 5 = 0 then 'truncated_response' end as error_code from documents""")
+def response_framing(spark, d):
+    n = F.col("n_chars")
+    declared = F.when(n % 5 == 0, n + 1).otherwise(n).cast("string")
+    error = pages.framing_error(F.lit(200), F.when(n % 7 == 0, "bytes 0-1"), declared, F.lit(None).cast("string"), n)
+    return table(spark, d, "documents").select("doc_id", error.alias("error_code"))
+
+
+@query("""with g as (select event_id, user_id, ts - lag(ts) over (partition by user_id order by ts) as gap from events)
+  select event_id, user_id from g where gap < interval 60 seconds""")
+def request_gaps(spark, d):
+    return pages.short_gaps(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 60.0).select("event_id", "user_id")
+
+
+@query("""with e as (select *, case when event_type = 'error' then 'E' end as code from events),
+  c as (select *, (code is distinct from lag(code) over (partition by user_id order by ts, event_id))::int as ch from e),
+  r as (select *, sum(ch) over (partition by user_id order by ts, event_id) as run from c),
+  n as (select *, case when code is not null then row_number() over (partition by user_id, run order by ts, event_id) end as cnt from r),
+  t as (select *, max((cnt >= 3)::int) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as tripped from n)
+  select event_id, user_id, case when tripped = 1 then 'not_checked' when code is not null then 'failed' else 'checked' end as status from t""")
+def stop_after_failures(spark, d):
+    log = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    found = pages.failing_in_a_row(log, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "error", "E"), 3)
+    return found.select("event_id", "user_id", "status")
+
+
+@query("""select count(*) as requests, count(*) filter (blocked) as blocked, string_agg(distinct case when not blocked then host end, ',' order by case when not blocked then host end) as hosts
+  from (select regexp_extract(url, '://([^/?#]*)', 1) as host, not suffix(regexp_extract(url, '://([^/?#]*)', 1), '.example.org') as blocked from pages)""")
+def network_log(spark, d):
+    host = urls.host(F.col("url"))
+    found = pages.network_summary(table(spark, d, "pages"), host, ~host.endswith(".example.org"))
+    return found.select("requests", "blocked", F.array_join("hosts", ",").alias("hosts"))
+
+
+@query(f"""with {LINES_SQL}, p as (select doc_id, n_chars, source from documents), n as (select doc_id, count(*) as n_lines from lines group by doc_id)
+  select p.doc_id, p.source, coalesce(n_lines, 0) as n_lines from p left join n using (doc_id)""")
+def page_list(spark, d):
+    return corpus.page_list(table(spark, d, "documents").select("doc_id", "source"), _lines(spark, d), "doc_id")
+
+
+@query(f"""with {LINES_SQL} select doc_id, line, case when length(text) > 300 then substr(text, 1, 300) || '…' else text end as text
+  from lines where contains(text, 'License') order by doc_id, line limit 50""")
+def corpus_search(spark, d):
+    return corpus.search(_lines(spark, d), "License", 50, "doc_id")
+
+
+@query("select n_name as slug, r_name as region from nation join region on n_regionkey = r_regionkey where r_name = (select r_name from region where r_regionkey = 2)")
+def roster_filter(spark, d):
+    people = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = table(spark, d, "region").where("r_regionkey = 2").first()["r_name"]
+    return corpus.roster(people.select(F.col("n_name").alias("slug"), F.col("r_name").alias("region")), region=name)
+
+
+@query("""with s as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+  v as (select doc_id, pos, case when trim(text) <> '' then sum((trim(text) <> '')::int) over (partition by doc_id order by pos) end as line from s)
+  select doc_id, pos, coalesce(last_value(line ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row),
+    first_value(line ignore nulls) over (partition by doc_id order by pos rows between current row and unbounded following), 1)::bigint as line from v""")
+def visible_lines(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("parts"))
+    shown = F.filter(F.transform("parts", lambda x, i: F.when(F.trim(x) != "", i + 1)), lambda i: i.isNotNull())
+    rows = parts.withColumn("shown", shown).select("doc_id", "shown", F.posexplode("parts").alias("pos", "text"))
+    line = F.when(F.trim("text") != "", F.array_position("shown", F.col("pos") + 1))
+    return corpus.visible_lines(rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), line.alias("line")), "doc_id")
+
+
+@query("""with h as (select page_id, href, min(pos) as first_pos from (
+    select page_id, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) as href,
+           generate_subscripts(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1), 1) as pos from pages) group by page_id, href),
+  i as (select page_id, href, dense_rank() over (partition by page_id order by first_pos) as link_id from h)
+  select page_id, href, link_id from i where link_id in (1, 3)""")
+def used_links(spark, d):
+    ids = links.link_ids(links.harvest(table(spark, d, "pages")))
+    used = [ids.where(F.col("link_id") == n).select("page_id", "link_id") for n in (1, 3)]
+    return corpus.used_links(ids, used, "page_id").select("page_id", "href", "link_id")
+
+
+@query("""with d as (select doc_id, replace(text, 'é', chr(65533)) as text, replace(source, 's', chr(65533)) as source from documents),
+  f as (select doc_id, '/text' as field, text as v from d union all select doc_id, '/source', source from d)
+  select doc_id, field, (length(v) - length(replace(v, chr(65533), '')))::bigint as n from f where contains(v, chr(65533))""")
+def damaged_fields(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("é"), F.lit("�")).alias("text"), F.replace("source", F.lit("s"), F.lit("�")).alias("source"))
+    return corpus.damaged_fields(rows, "doc_id", ["text", "source"])
+
+
+@query("""select zone, count(*) filter (kind = 'ad') as ad, count(*) filter (kind = 'chrome') as chrome from (
+    select unnest(regexp_extract_all(html, '<(nav|div|article|footer)[ >]', 1)) as zone, case when page_id % 2 = 0 then 'ad' else 'chrome' end as kind from pages) group by zone""")
+def zone_inventory(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(nav|div|article|footer)[ >]"), 1)).alias("zone"))
+    return corpus.inventory(rows.withColumn("kind", F.when(F.col("page_id") % 2 == 0, "ad").otherwise("chrome")))
+
+
+@query("""select l_orderkey, max(r) as height, 2::bigint as width, max(r) * 2 - count(distinct r) * 2 as holes from (
+    select l_orderkey, unnest(range(l_linenumber, l_linenumber + (l_quantity::bigint % 3) + 1)) as r from lineitem) group by l_orderkey""")
+def grid_size(spark, d):
+    cells = table(spark, d, "lineitem").select(
+        "l_orderkey", F.lit(1).cast("long").alias("table_idx"), F.col("l_linenumber").cast("long").alias("row"), F.lit(1).cast("long").alias("col"),
+        (F.col("l_quantity").cast("long") % 3 + 1).alias("h"), F.lit(2).cast("long").alias("w"), F.lit(1).cast("long").alias("src_row"),
+        F.lit(1).cast("long").alias("src_cell"), F.lit(None).cast("string").alias("warning"))
+    return corpus.grid_size(grid.spread(cells, "l_orderkey"), "l_orderkey").drop("table_idx")
