@@ -22,6 +22,12 @@ WORD_BREAKS = r"[\s_・]+"
 PLACEHOLDERS = ("-", "‐", "–", "—", "―", "−", "－", "ー")
 QUOTES = " 　「」『』\"'"
 REPLACEMENT = "�"
+# Patterns of name cells: struck names, bracketed notes, note marks, breaks between names.
+STRUCK, BRACKETED, NOTE_MARK, NAME_BREAKS = "~~.*?~~", "[（(][^）)]*[）)]", r"[*＊]\d+", r"[、,，/／;；]\s*|\s{2,}"
+# Patterns of profile rows: the row that lists accounts, an account, a name with its reading.
+ACCOUNT_ROW = r"^\s*\|\s*X\s*[（(](?:旧\s*)?Twitter[）)]\s*\|"
+ACCOUNT = r"(?<![A-Za-z0-9_])(@[A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])"
+READING_ROW = r"^\|\s*\[colspan=\d+\]\s*([^|（(]+?)\s*[（(]([^|（()）]+)[）)]"
 
 _KATAKANA = {c: c + 0x60 for c in range(ord("ぁ"), ord("ゖ") + 1)}
 
@@ -72,24 +78,24 @@ def cell_value(text: Column) -> Column:
 
 def split_names(cell: Column) -> Column:
     """Current names in a cell: no struck ones, no bracketed notes, no note marks."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(cell, "~~.*?~~", ""), "[（(][^）)]*[）)]", ""), r"[*＊]\d+", "")
-    parts = F.transform(F.split(plain, r"[、,，/／;；]\s*|\s{2,}"), lambda p: F.regexp_replace(p, f"^[{QUOTES}]+|[{QUOTES}]+$", ""))
+    plain = cell
+    for dropped in (STRUCK, BRACKETED, NOTE_MARK):
+        plain = F.regexp_replace(plain, dropped, "")
+    parts = F.transform(F.split(plain, NAME_BREAKS), lambda p: F.regexp_replace(p, f"^[{QUOTES}]+|[{QUOTES}]+$", ""))
     return F.filter(parts, lambda p: p != "")
 
 
 def accounts(lines: Column) -> Column:
     """Distinct @handles of the profile rows that list accounts."""
-    rows = F.filter(lines, lambda x: x.rlike(r"^\s*\|\s*X\s*[（(](?:旧\s*)?Twitter[）)]\s*\|"))
-    found = F.regexp_extract_all(F.concat_ws(" ", F.lit(""), F.array_join(rows, " ")), F.lit(r"(?<![A-Za-z0-9_])(@[A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])"), 1)
-    return F.array_distinct(found)
+    rows = F.filter(lines, lambda x: x.rlike(ACCOUNT_ROW))
+    return F.array_distinct(F.regexp_extract_all(F.array_join(rows, " "), F.lit(ACCOUNT), 1))
 
 
 def reading(lines: Column, name: Column) -> Column:
     """The reading in brackets behind ``name`` in the first table row that has one,
     unless it is the name itself."""
-    pattern = r"^\|\s*\[colspan=\d+\]\s*([^|（(]+?)\s*[（(]([^|（()）]+)[）)]"
-    rows = F.filter(lines, lambda x: F.regexp_extract(x, pattern, 1) == name)
-    found = F.regexp_extract(F.try_element_at(rows, F.lit(1)), pattern, 2)
+    rows = F.filter(lines, lambda x: F.regexp_extract(x, READING_ROW, 1) == name)
+    found = F.regexp_extract(F.try_element_at(rows, F.lit(1)), READING_ROW, 2)
     return F.when((found != "") & (found != name), found)
 
 

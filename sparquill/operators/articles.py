@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparquill.operators import rules
+from sparquill.operators.notes import plain_text
 
 # Fixed values.
 BLOCKS = frozenset(
@@ -274,3 +275,28 @@ def lines(articles: DataFrame, key: str = "page_id") -> DataFrame:
 def child(articles: DataFrame, part: str, key: str = "page_id") -> DataFrame:
     """headings, links, line_links, cells or images as a table of their own."""
     return articles.select(key, F.inline(f"article.{part}"))
+
+
+def metadata(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, last_updated, categories and tags: the first of each block of a page."""
+    updated = plain_text(F.regexp_extract(html, r'(?is)<p\b[^>]*class="(?:[^"]*\s)?update(?:\s[^"]*)?"[^>]*>(.*?)</p>', 1))
+
+    def items(element_id: str):
+        block = F.regexp_extract(html, rf'(?is)<ul\b[^>]*id="{element_id}"[^>]*>(.*?)</ul>', 1)
+        rows = F.filter(F.regexp_extract_all(block, F.lit(r'(?is)(<li\b[^>]*>.*?)(?=<li\b|</li>|$)'), 1), lambda r: ~r.rlike(r'(?i)^<li\b[^>]*class="(?:[^"]*\s)?title'))
+        return F.array_distinct(F.filter(F.transform(rows, plain_text), lambda t: t != ""))
+
+    said = F.trim(F.regexp_replace(updated, r"^最終更新\s*[:：]?\s*", ""))
+    return pages.select(key, F.nullif(said, F.lit("")).alias("last_updated"), items("page-category").alias("categories"), items("page-tags").alias("tags"))
+
+
+def empty_state(articles: DataFrame, html: str = "html") -> DataFrame:
+    """``articles`` with article_state: text, empty (the container closed and held
+    nothing), no_extractable_text (it held media or forms only), or error."""
+    media = F.size("article.images") > 0
+    state = (
+        F.when(F.size("article.lines") > 0, "text")
+        .when((F.col("article.error_code") == "empty_article") & F.col("article.closed"), F.when(media, "no_extractable_text").otherwise("empty"))
+        .otherwise("error")
+    )
+    return articles.withColumn("article_state", state)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.functions.text import collapse
@@ -38,3 +38,50 @@ def reconcile(markers: DataFrame, entries: DataFrame, key: str) -> DataFrame:
         F.when(F.col("titles").isNull(), "unreferenced").otherwise("referenced").alias("reference_state"),
         F.when(F.col("texts").isNull(), "missing").when(F.col("has_text") == 1, "text").when(F.col("has_text").isNull(), "non_text").otherwise("empty").alias("definition_state"),
     )
+
+
+# --- notes in a page's markup --------------------------------------------------
+
+ANCHOR = r"(?i)<a\b[^>]*>"
+MARKER = r'(?i)\bhref="#footer-footnote([0-9]+)"'
+TARGET = r'(?i)\b(?:name|id)="footer-footnote([0-9]+)"'
+LIST = r'(?is)<(?:ul|ol)\b[^>]*class="[^"]*\bfooter-footnote\b[^"]*"[^>]*>(.*?)</(?:ul|ol)>'
+ROW = r"(?is)<li\b[^>]*>(.*?)(?=<li\b|</li>|$)"
+
+
+def plain_text(markup: Column) -> Column:
+    """Markup without tags, with the common character references and one space
+    for each run of white space."""
+    bare = F.regexp_replace(markup, r"(?s)<[^>]*>", "")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(name), F.lit(sign))
+    return F.trim(collapse(bare))
+
+
+def markers(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, number, title, ord: links to notes, with what their title says."""
+    tags = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), 0)).alias("ord", "tag"))
+    title = plain_text(F.regexp_extract("tag", r'(?i)\btitle="([^"]*)"', 1))
+    return tags.where(F.col("tag").rlike(MARKER)).select(key, F.regexp_extract("tag", MARKER, 1).cast("long").alias("number"), title.alias("title"), "ord")
+
+
+def entries(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, number, text, ord: rows of the note lists that hold one note's target.
+
+    A row with several targets defines none of them.  The label in front of the
+    text is dropped, and one separator behind it."""
+    lists = pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(LIST), 1)).alias("list"))
+    rows = lists.select(key, F.posexplode(F.regexp_extract_all("list", F.lit(ROW), 1)).alias("ord", "row"))
+    numbers = F.array_distinct(F.regexp_extract_all("row", F.lit(TARGET), 1))
+    said = plain_text(F.regexp_replace("row", r'(?is)<a\b[^>]*(?:name|id)="footer-footnote[0-9]+"[^>]*>.*?</a>', ""))
+    return rows.where(F.size(numbers) == 1).select(key, F.element_at(numbers, 1).cast("long").alias("number"), F.trim(F.regexp_replace(said, "^[:：]", "")).alias("text"), "ord")
+
+
+def diagnose(found: DataFrame, key: str) -> DataFrame:
+    """key and the numbers of notes that are missing, empty, unreferenced or not text."""
+    having = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("number"))))
+    state, reference = F.col("definition_state"), F.col("reference_state")
+    return found.groupBy(key).agg(
+        having(state == "missing").alias("missing"), having(state == "empty").alias("empty"),
+        having(reference == "unreferenced").alias("unreferenced"), having(state == "non_text").alias("non_text"),
+    )

@@ -113,3 +113,10 @@ def output_urls(texts: DataFrame, bucket: str, path: str, text: str, paths: int
     return uses.groupBy(bucket, "url").agg(F.sum("uses").alias("n")).join(
         listed.groupBy(bucket, "url").agg(F.array_sort(F.collect_list(F.col(path))).alias("paths")), [bucket, "url"]
     )
+
+
+def attribute_hosts(elements: DataFrame, key: str, attribute: str = "value") -> DataFrame:
+    """key and host of each URL of an attribute; a srcset has several."""
+    candidates = F.transform(F.split(F.col(attribute), ","), lambda u: F.split_part(F.trim(u), F.lit(" "), F.lit(1)))
+    found = elements.select(key, F.explode(candidates).alias("url"))
+    return found.select(key, urls.host(F.col("url")).alias("host")).where("host is not null").distinct()

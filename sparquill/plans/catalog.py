@@ -703,3 +703,22 @@ def grid_size(spark, d):
         (F.col("l_quantity").cast("long") % 3 + 1).alias("h"), F.lit(2).cast("long").alias("w"), F.lit(1).cast("long").alias("src_row"),
         F.lit(1).cast("long").alias("src_cell"), F.lit(None).cast("string").alias("warning"))
     return corpus.grid_size(grid.spread(cells, "l_orderkey"), "l_orderkey").drop("table_idx")
+
+
+@query("""with m as (select page_id, 'n' || (page_id % 3)::varchar as t from pages)
+  select page_id, 1::bigint as number, t as text, case when page_id % 2 = 0 then 'match' else 'conflict' end as agreement from m""")
+def footnotes_from_markup(spark, d):
+    title = F.concat(F.lit("n"), (F.col("page_id") % 3).cast("string"))
+    other = F.when(F.col("page_id") % 2 == 0, title).otherwise("x")
+    marked = F.concat(F.lit('<p>a<a href="#footer-footnote1" title="'), other, F.lit('">*1</a></p><ul class="footer-footnote"><li><a id="footer-footnote1">*1</a>: '), title, F.lit("</li></ul>"))
+    rows = table(spark, d, "pages").select("page_id", marked.alias("html"))
+    found = notes.reconcile(notes.markers(rows, "page_id"), notes.entries(rows, "page_id"), "page_id")
+    return found.select("page_id", "number", "text", "agreement")
+
+
+@query("""select page_id, regexp_extract(url, '://([^/?#]*)', 1) as updated, split_part(url, '/', 4) as categories from pages""")
+def page_metadata(spark, d):
+    block = F.concat(F.lit('<p class="update">最終更新： '), F.regexp_extract("url", "://([^/?#]*)", 1), F.lit('</p><ul id="page-category"><li class="title">c</li><li>'),
+                     F.split_part("url", F.lit("/"), F.lit(4)), F.lit("</li></ul>"))
+    found = articles.metadata(table(spark, d, "pages").select("page_id", block.alias("html")))
+    return found.select("page_id", F.col("last_updated").alias("updated"), F.array_join("categories", ",").alias("categories"))

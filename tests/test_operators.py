@@ -245,3 +245,56 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
         got = spark.table(name).count()
         want = operator(source).count()
         assert 0 < got <= want and got >= want - 60, name  # what the watermark has not closed is still open
+
+
+def test_notes_in_markup(spark):
+    html = ('<p>x<a href="#footer-footnote1" title="one">*1</a><a title="q" href="#footer-footnote3">*3</a></p><ul class="a footer-footnote">'
+            '<li><a name="footer-footnote1">*1</a>：one &amp; <b>more</b><li><a id="footer-footnote2">*2</a> two</li><li><a id="footer-footnote4">4</a><a id="footer-footnote5">5</a>both</li></ul>')
+    pages = spark.createDataFrame([(1, html), (2, None)], "k long, html string")
+    assert [(r["number"], r["title"]) for r in notes.markers(pages, "k").orderBy("ord").collect()] == [(1, "one"), (3, "q")]
+    assert [(r["number"], r["text"]) for r in notes.entries(pages, "k").orderBy("ord").collect()] == [(1, "one & more"), (2, "two")]
+    found = notes.diagnose(notes.reconcile(notes.markers(pages, "k"), notes.entries(pages, "k"), "k"), "k").first()
+    assert (found["missing"], found["unreferenced"]) == ([3], [2])
+
+
+def test_metadata_and_states(spark):
+    html = '<p class="update">最終更新： 2024<img alt="z"></p><ul id="page-category"><li class="title">C<li>a<li>b</li><li>a</li></ul><div>%s</div>'
+    pages = spark.createDataFrame([(1, "u", html % "x"), (2, "u", "<div> </div>"), (3, "u", "<div><img src=a></div>"), (4, "u", None)], "page_id long, url string, html string")
+    got = articles.metadata(pages).orderBy("page_id").first()
+    assert (got["last_updated"], got["categories"], got["tags"]) == ("2024", ["a", "b"], [])
+    states = articles.empty_state(articles.parse_pages(pages, selector=articles.Selector(tag="div"))).orderBy("page_id").collect()
+    assert [r["article_state"] for r in states] == ["text", "empty", "no_extractable_text", "error"]
+
+
+def test_surrogates_are_joined(spark):
+    pages = spark.createDataFrame([(1, "a&#xD83D;&#xDE00;b&#55357;&#56832;"), (2, "&#xD83D;x"), (3, None), (4, "&amp;")], "page_id long, html string")
+    got = {r["page_id"]: r["html"] for r in charset.repaired(pages).collect()}
+    assert got == {1: "a\U0001f600b\U0001f600", 2: "&#xD83D;x", 3: None, 4: "&amp;"}
+
+
+def test_responses(spark):
+    from sparquill.sources import pages
+
+    rows = [(200, None, "5", None, 5), (206, None, None, None, 5), (200, "bytes 0-1", None, None, 5), (200, None, "x", None, 5), (200, None, "9", None, 5), (200, None, "5", "chunked", 5)]
+    frame = spark.createDataFrame(rows, "s int, r string, l string, t string, n long")
+    got = [r[0] for r in frame.select(pages.framing_error(*[F.col(c) for c in "srltn"])).collect()]
+    assert got == [None, "partial_response", "partial_response", "invalid_content_length", "truncated_response", "ambiguous_framing"]
+    two = spark.createDataFrame([(1, "m"), (2, "d")], "k int, v string"), spark.createDataFrame([(1, "D")], "k int, v string")
+    assert {tuple(r) for r in pages.prefer_desktop(*two, "k", F.col("v") == "m").collect()} == {(1, "D", True), (2, "d", False)}
+
+
+def test_indexes(spark, tmp_path):
+    import json
+
+    from sparquill.sources import indexes
+
+    (tmp_path / "old.json").write_text(json.dumps({"schema": 1, "wiki": "w", "entries": [{"title": "T", "url": "u"}]}))
+    (tmp_path / "new.json").write_text(json.dumps({"schema": 2, "wiki": "w", "entries": [{"title": "S", "url": "v", "observed_urls": ["v?k", "v"]}]}))
+    (tmp_path / "other.json").write_text(json.dumps({"schema": 2, "wiki": "x", "entries": [{"title": "S", "url": "v"}]}))
+    got = {r["title"]: r["observed_urls"] for r in indexes.read_titles(spark, str(tmp_path / "*.json"), "w").collect()}
+    assert got == {"T": ["u"], "S": ["v?k", "v"]}
+    names = {"schema": "s", "people": {"a": {"name": "A", "words": ["a"]}}, "keys": {"k": [["a", "name", "K"], ["b", "alias", "k"]]}, "ambiguous_nicknames": {"z": ["a", "b"]}}
+    (tmp_path / "n.txt").write_text(json.dumps(names))
+    keys, people, ambiguous = indexes.read_names(spark, str(tmp_path / "n.txt"))
+    assert sorted(tuple(r) for r in keys.collect()) == [("k", "a", "name", "K", 0), ("k", "b", "alias", "k", 1)]
+    assert people.first()["name"] == "A" and ambiguous.first()["slugs"] == ["a", "b"]
