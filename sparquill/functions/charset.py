@@ -18,7 +18,11 @@ META = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re
 HEADER = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.I)
 SNIFFED, MAX_BODY = 64 << 10, 24 << 20
 
-DECODED = T.StructType([T.StructField(n, k) for n, k in (("text", T.StringType()), ("encoding", T.StringType()), ("lossy", T.BooleanType()), ("error_code", T.StringType()))])
+DECODED = T.StructType([
+    T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("lossy", T.BooleanType()),
+    # replacement characters that the page holds itself, and those that decoding put in
+    T.StructField("literal", T.LongType()), T.StructField("introduced", T.LongType()), T.StructField("error_code", T.StringType()),
+])
 
 
 def codec(label: str | None) -> str | None:
@@ -68,17 +72,29 @@ def decode_page(raw: bytes, content_type: str | None) -> tuple[str, str, bool]:
     return raw.decode(name, "replace"), name, True
 
 
+def replacement_counts(raw: bytes, text: str, encoding: str) -> tuple[int, int]:
+    """How many replacement characters were in the bytes, and how many are new."""
+    total = text.count("\ufffd")
+    try:
+        literal = min(total, raw.count("\ufffd".encode(encoding)))
+    except UnicodeError:
+        literal = 0
+    return literal, total - literal
+
+
 @F.pandas_udf(DECODED)
 def decode(bodies: pd.Series, content_types: pd.Series, codings: pd.Series) -> pd.DataFrame:
     rows = []
     for raw, kind, coding in zip(bodies, content_types, codings, strict=True):
         if raw is None:
-            rows.append((None, None, None, "no_body"))
+            rows.append((None, None, None, None, None, "no_body"))
             continue
         try:
-            rows.append((*decode_page(inflate(bytes(raw), coding), kind), None))
+            body = inflate(bytes(raw), coding)
+            text, encoding, lossy = decode_page(body, kind)
+            rows.append((text, encoding, lossy, *replacement_counts(body, text, encoding), None))
         except ValueError as e:
-            rows.append((None, None, None, str(e)))
+            rows.append((None, None, None, None, None, str(e)))
     return pd.DataFrame(rows, columns=DECODED.fieldNames())
 
 

@@ -77,3 +77,9 @@ def damaged_fields(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def inventory(elements: DataFrame, zone: str = "zone", kind: str = "kind", kinds: tuple[str, ...] = ("ad", "chrome")) -> DataFrame:
     """Elements of each kind by zone."""
     return elements.groupBy(zone).pivot(kind, list(kinds)).count().na.fill(0)
+
+
+def profiles_of(resolved: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Profiles of the names that resolved to one entity, and how they matched."""
+    found = resolved.where("status = 'ok'").select("qid", "query", "stage", F.element_at("slugs", 1).alias("slug"))
+    return found.join(profiles, "slug")

@@ -192,6 +192,7 @@ def test_charset(spark):
     frame = spark.createDataFrame([(i, bytearray(b) if b is not None else None, t, c) for i, b, t, c in rows], "i int, b binary, t string, c string")
     got = {r["i"]: r["d"] for r in frame.select("i", charset.decode("b", "t", "c").alias("d")).collect()}
     assert got[1]["text"] == "日本" and got[2]["text"] == "é" and got[3]["text"] == "A" and got[4]["lossy"] and got[7]["text"].endswith("é")
+    assert (got[4]["literal"], got[4]["introduced"]) == (0, 2) and got[2]["introduced"] == 0
     assert got[5]["error_code"] == "unsupported_compression" and got[6]["error_code"] == "no_body"
     assert charset.encode_title("日本 A") == "%C6%FC%CB%DC%20A" and charset.encode_title("\U0001f600") is None
 
@@ -298,3 +299,19 @@ def test_indexes(spark, tmp_path):
     keys, people, ambiguous = indexes.read_names(spark, str(tmp_path / "n.txt"))
     assert sorted(tuple(r) for r in keys.collect()) == [("k", "a", "name", "K", 0), ("k", "b", "alias", "k", 1)]
     assert people.first()["name"] == "A" and ambiguous.first()["slugs"] == ["a", "b"]
+
+
+def test_functions_from_sql(spark):
+    from sparquill.functions.register import register
+
+    register(spark)
+    row = spark.sql("select fold('ＡＢ c') as f, title_escape('日本') as t, closeness('abc', 'abd') as c, absolute_url('http://h/a/', 'b') as u").first()
+    assert row["f"] == "abc" and row["t"] == "%C6%FC%CB%DC" and abs(row["c"] - 2 / 3) < 1e-9 and row["u"] == "http://h/a/b"
+
+
+def test_lookup_joins_profiles(spark):
+    from sparquill.operators import corpus
+
+    resolved = spark.createDataFrame([(1, "A", 1, "ok", ["a"]), (2, "x", None, "not_found", [])], "qid long, query string, stage long, status string, slugs array<string>")
+    profiles = spark.createDataFrame([("a", "JP"), ("b", "EN")], "slug string, region string")
+    assert [tuple(r) for r in corpus.profiles_of(resolved, profiles).collect()] == [("a", 1, "A", 1, "JP")]
