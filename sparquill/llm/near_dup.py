@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from .common import staged
 
 # Parameters.
-SAMPLES = 168  # MinHash samples of a set
-SKETCH_BITS = 1024
+SAMPLES, SKETCH_BITS = 168, 1024  # MinHash samples of a set, and its odd sketch
 MISS = 4e-6  # largest chance that no band brings a pair at the threshold together
 MARGIN = 0.13  # below the threshold, over four deviations of the sketch's estimate
+#: The same for nodes of buckets that hold several components, where pairs are many.
+WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 4096, 0.05
 SEED = 9127
 #: Up to so many documents are looked up by a broadcast of their ids.
 BROADCAST_IDS = 1_000_000
@@ -86,18 +87,19 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
 
 
 class Sketcher:
-    def __init__(self, rule: Rule):
+    def __init__(self, rule: Rule, samples: int = SAMPLES, bits: int = SKETCH_BITS):
         self.rows, self.bands = rule.bands()
+        self.n, self.bits = samples, bits
         random = np.random.default_rng(SEED)
-        self.factor = random.integers(0, 1 << 31, SAMPLES, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
-        self.shift = random.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32)[:, None]
-        self.place = random.integers(0, 1 << 63, SAMPLES, np.uint64)
+        self.factor = random.integers(0, 1 << 31, samples, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
+        self.shift = random.integers(0, 1 << 32, samples, np.uint64).astype(np.uint32)[:, None]
+        self.place = random.integers(0, 1 << 63, samples, np.uint64)
 
     def samples(self, shingles: np.ndarray) -> np.ndarray:
         short = (shingles >> np.uint64(32)).astype(np.uint32)
-        least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-        for i in range(0, len(short), 2048):
-            np.minimum(least, (self.factor * short[i : i + 2048] + self.shift).min(axis=1), out=least)
+        least = np.full(self.n, 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(short), 512):
+            np.minimum(least, (self.factor * short[i : i + 512] + self.shift).min(axis=1), out=least)
         return least.astype(np.uint64)
 
     def keys(self, samples: np.ndarray) -> np.ndarray:
@@ -110,8 +112,8 @@ class Sketcher:
 
     def parity(self, samples: np.ndarray) -> np.ndarray:
         """The odd sketch as 64-bit words."""
-        hit = _mix(samples + self.place) % np.uint64(SKETCH_BITS)
-        bits = np.bincount(hit.astype(np.int64), minlength=SKETCH_BITS) & 1
+        hit = _mix(samples + self.place) % np.uint64(self.bits)
+        bits = np.bincount(hit.astype(np.int64), minlength=self.bits) & 1
         return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -151,18 +153,32 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> Column:
     """Similarity of two sets by their odd sketches: the XOR has one bit for
     each odd bin of the samples that differ."""
     differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    share = F.least(differ / F.lit(float(SKETCH_BITS)), F.lit(0.4999))
-    return 1 + F.lit(SKETCH_BITS / (4.0 * SAMPLES)) * F.log(1 - 2 * share)
+    share = F.least(differ / F.lit(float(bits)), F.lit(0.4999))
+    return 1 + F.lit(bits / (4.0 * samples)) * F.log(1 - 2 * share)
 
 
-def may_link(x: str, y: str, rule: Rule) -> Column:
+def may_link(x: str, y: str, rule: Rule, margin: float = MARGIN, **sketch: int) -> Column:
     """Neither the sizes nor the sketches rule a link out."""
     small, large = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
-    return (100 * small >= rule.percent * large) & (estimate(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) >= rule.percent / 100 - MARGIN)
+    return (100 * small >= rule.percent * large) & (estimate(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), **sketch) >= rule.percent / 100 - margin)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """node and shingles (sorted uint64) of rows whose text is the node's own; another
+    row with the same doc_id may hold another text."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            batch = whole.slice(start, 500)
+            nodes, fa, fb = (batch.column(c).to_pylist() for c in ("node", "fa", "fb"))
+            sets = list(shingle_sets(batch.column("text").to_pylist(), words))
+            own = [i for i, s in enumerate(sets) if fingerprint(s) == (fa[i], fb[i])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "shingles"]
+            )
 
 
 class Linker:
@@ -208,37 +224,43 @@ class Linker:
         split = labelled.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
         sizes = labelled.join(split, "key").groupBy("key", "component").count()
         main = staged(sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main")), "mixed-buckets")
-        side = self.nodes.select("node", "n_shingles", "sketch")
-        rows = staged(labelled.join(main, "key").join(side, "node").select("key", "node", "component", "main", "n_shingles", "sketch"), "mixed-members")
-        x = rows.where("component != main").select("key", F.struct("node", "component", "main", "n_shingles", "sketch").alias("x"))
-        y = rows.select("key", F.struct("node", "component", "main", "n_shingles", "sketch").alias("y"))
+        mixed = staged(labelled.join(main, "key").select("key", "node", "component", "main"), "mixed-members")
+        rows = staged(mixed.join(self._wide_sketches(mixed.select("node").distinct()), "node"), "mixed-sketches")
+        side = F.struct("node", "component", "main", "n_shingles", "bands", "sketch")
+        x = rows.where("component != main").select("key", side.alias("x"))
+        y = rows.select("key", side.alias("y"))
         apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        pairs = x.join(y, "key").where(apart & may_link("x", "y", self.rule))
+        near = may_link("x", "y", self.rule, WIDE_MARGIN, samples=WIDE_SAMPLES, bits=WIDE_BITS)
+        # of the bands that a pair shares, only the first brings it forward
+        common = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())
+        pairs = x.join(y, "key").where(apart & near & (F.try_element_at(common, F.lit(1)) == F.col("key")))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         return staged(pairs.join(tried, ["a", "b"], "left_anti"), "left-over-pairs")
 
+    def _wide_sketches(self, nodes: DataFrame) -> DataFrame:
+        """node, n_shingles, bands and a long odd sketch of the given nodes."""
+        rule = self.rule
+
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sketcher = Sketcher(rule, WIDE_SAMPLES, WIDE_BITS)
+            for batch in _sets(batches, rule.words):
+                made = [sketcher.parity(sketcher.samples(np.frombuffer(s.as_buffer(), np.uint64))) for s in batch.column("shingles")]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.list_(pa.int64()))], ["node", "sketch"])
+
+        made = staged(self._texts(nodes).mapInArrow(sketch, "node long, sketch array<long>"), "wide-sketches").dropDuplicates(["node"])
+        return made.join(self.nodes.select("node", "n_shingles", "bands"), "node")
+
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """node, fa, fb and text of the given nodes, and of rows that only share the doc_id."""
+        wanted = staged(nodes.join(self.nodes, "node").select("node", "first_doc", "fa", "fb"), "wanted")
+        ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        return self.docs.join(ids, F.col("doc_id") == F.col("first_doc")).select("node", "fa", "fb", "text")
+
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those whose full sets are similar enough."""
-        wanted = staged(
-            pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select("node", "first_doc", "fa", "fb"), "wanted"
-        )
-        ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
         words = self.rule.words
-
-        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for start in range(0, whole.num_rows, 500):
-                    batch = whole.slice(start, 500)
-                    nodes, fa, fb = (batch.column(c).to_pylist() for c in ("node", "fa", "fb"))
-                    sets = list(shingle_sets(batch.column("text").to_pylist(), words))
-                    # another row with the same doc_id may hold another text
-                    own = [i for i, s in enumerate(sets) if fingerprint(s) == (fa[i], fb[i])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([nodes[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "shingles"]
-                    )
-
-        texts = self.docs.join(ids, F.col("doc_id") == F.col("first_doc")).select("node", "fa", "fb", "text")
-        sets = staged(texts.mapInArrow(full, "node long, shingles binary"), "sets")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = staged(self._texts(nodes).mapInArrow(lambda b: _sets(b, words), "node long, shingles binary"), "sets")
         percent = self.rule.percent
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
