@@ -259,7 +259,7 @@ class Linker:
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those whose full sets are similar enough."""
         words = self.rule.words
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = staged(self._texts(nodes).mapInArrow(lambda b: _sets(b, words), "node long, shingles binary"), "sets")
         percent = self.rule.percent
 
