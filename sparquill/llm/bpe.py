@@ -31,7 +31,7 @@ SPECIAL_BLANKS = "[ \\n][ \\n]|[\\x01\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\
 #: Text that is encoded at once.
 BATCH_BYTES = 4 << 20
 #: Entries that a worker remembers in each of its two generations.
-MEMORY = 200_000
+MEMORY = 120_000
 #: Bytes up to which pieces are encoded together and remembered.
 LONG_PIECE = 64
 _MISSING = 1 << 62
