@@ -1,8 +1,8 @@
 """Quality rules with thresholds learnt per language and source.
 
 Each text gets a few counts.  Their ratios go into mergeable KLL quantile
-sketches, one per (lang, source); for a small group the merged sketch
-of its language stands in.  The fences come from the sketches, and rows join their group's fences.
+sketches, one per (lang, source), and merged ones per language.  A group's
+fences are those of its own sketch and its language's, weighted by its rows; rows join their group's fences.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ SYMBOLS = "#*$%&|<>"
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
-# Parameters: a ratio fails above median + REACH * (90 % quantile - median), where
-# the spread counts as at least SPREAD.  Groups of fewer rows than SMALL use their language's sketch.
+# Parameters: a ratio fails above median + REACH * spread, where the spread counts as at
+# least SPREAD.  A group of SMALL rows weighs as much as its language, a larger one more.
 REACH, SMALL, SKETCH_K = 4.0, 200, 400
 SPREAD = {"symbols": 0.04, "dup_lines": 0.1, "repeats": 0.1, "length": 1.5}
+# Fixed value: quartile distances to the distance of the median from the 90 % quantile, of a normal distribution.
+QUARTILES = 1.9
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -85,16 +87,26 @@ def fences(counts: DataFrame) -> DataFrame:
     )
     joined = group.join(per_lang.withColumnRenamed("lang", "p_lang"), F.col("lang").eqNullSafe(F.col("p_lang")))
 
-    def quantile(k: str, q: float):
-        chosen = F.when(F.col("n") >= SMALL, F.col(k)).otherwise(F.col(f"lang_{k}"))
-        return F.kll_sketch_get_quantile_double(chosen, F.lit(q))
+    own = F.col("n") / (F.col("n") + F.lit(SMALL))
 
-    def upper(k: str):
-        mid = quantile(k, 0.5)
-        return mid + REACH * F.greatest(quantile(k, 0.9) - mid, F.lit(SPREAD[k]))
+    def weighted(fence, k: str):
+        return own * fence(F.col(k), k) + (1 - own) * fence(F.col(f"lang_{k}"), k)
 
-    low = quantile("length", 0.5) - REACH * F.greatest(quantile("length", 0.5) - quantile("length", 0.1), F.lit(SPREAD["length"]))
-    return joined.select("lang", "source", *[upper(k).alias(f"max_{k}") for k in names], low.alias("min_length"))
+    quantile = F.kll_sketch_get_quantile_double
+
+    def spread(sketch, k: str, lower: float, upper: float):
+        return F.greatest(QUARTILES * (quantile(sketch, F.lit(upper)) - quantile(sketch, F.lit(lower))), F.lit(SPREAD[k]))
+
+    # Each fence takes its spread from the other side of the median, which the rows
+    # beyond the fence do not reach while they are fewer than half.
+    def upper(sketch, k: str):
+        return quantile(sketch, F.lit(0.5)) + REACH * spread(sketch, k, 0.25, 0.5)
+
+    def low(sketch, k: str):  # as many times below the median as the upper one is above it: positive
+        mid = quantile(sketch, F.lit(0.5))
+        return mid * mid / (mid + REACH * spread(sketch, k, 0.5, 0.75))
+
+    return joined.select("lang", "source", *[weighted(upper, k).alias(f"max_{k}") for k in names], weighted(low, "length").alias("min_length"))
 
 
 def with_verdict(counted: DataFrame, limits: DataFrame) -> DataFrame:

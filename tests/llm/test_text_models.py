@@ -71,6 +71,44 @@ def test_sketch_fences_equal_exact_quantiles(spark):
     assert r["max_symbols"] == pytest.approx(4 * quality_rules.SPREAD["symbols"])
 
 
+COUNTED = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+
+
+def test_junk_does_not_move_its_own_fence(spark):
+    def source(name, good, junk, lang="en"):
+        rows = [(lang, name, 100, 480 + i % 40, i % 3, 0, 10, i % 4) for i in range(good)]
+        return rows + [(lang, name, 100, 500, 45 + 20 * i, 0, 10, 0) for i in range(junk)]
+
+    def rejected(rows):
+        frame = spark.createDataFrame(rows, COUNTED)
+        judged = quality_rules.with_verdict(frame, quality_rules.fences(frame)).where("not kept").collect()
+        assert all(r["n_symbols"] >= 45 for r in judged)
+        return Counter(r["source"] for r in judged)
+
+    sizes = {"a": (255, 45), "b": (210, 90), "c": (160, 30), "d": (170, 30), "e": (3, 1)}
+    want = {name: junk for name, (_, junk) in sizes.items()}
+    assert rejected([r for name, (good, junk) in sizes.items() for r in source(name, good, junk)]) == want
+    assert rejected(source("a", 255, 45)) == {"a": 45}
+
+
+def test_fences_move_little_with_one_row(spark):
+    """At the size where a group's own sketch used to take over at once."""
+    def limit(n):
+        rows = [("en", "code", 100, 500, 30 + i % 10, 0, 10, 0) for i in range(n)] + [("en", "prose", 100, 500, 0, 0, 10, 0) for _ in range(900)]
+        return quality_rules.fences(spark.createDataFrame(rows, COUNTED)).where("source = 'code'").first()["max_symbols"]
+
+    assert limit(200) == pytest.approx(limit(199), abs=0.01) and limit(900) > limit(200) > limit(20) > 4 * quality_rules.SPREAD["symbols"]
+
+
+def test_texts_of_very_short_words_fail(spark):
+    rows = [("en", "a", 100, 480 + i % 40, 0, 0, 10, 0) for i in range(255)] + [("en", "a", 100, 110 + i, 0, 0, 10, 0) for i in range(45)]
+    frame = spark.createDataFrame(rows, COUNTED)
+    limits = quality_rules.fences(frame)
+    assert limits.first()["min_length"] > 0
+    judged = quality_rules.with_verdict(frame, limits).collect()
+    assert all(r["kept"] == (r["word_chars"] >= 480) for r in judged)
+
+
 def test_classifier(spark, messy, nothing):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
