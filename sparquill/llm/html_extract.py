@@ -1,7 +1,7 @@
 """Main text of web pages by the consensus of each host's pages.
 
-Every page scores its containers and votes for the tag-class path of the best
-one, with runs of digits generalised.  Votes are summed per host and path in
+Every page scores its containers, climbs from the best one to what holds the
+whole article, and votes for that one's tag-class path, with runs of digits generalised.  Votes are summed per host and path in
 Spark; the path with most votes wins, and every page of the host is extracted
 again from the containers on that path (or, lacking them, from its own best).
 """
@@ -124,9 +124,8 @@ class Page:
             node = self.parents[node]
         return ">".join(steps[::-1])
 
-    def scores(self) -> dict[int, float]:
-        """Of containers: text in their own paragraphs, less text in links, half
-        of it passed to the container above."""
+    def gains(self) -> list[float]:
+        """Of containers: text in their own paragraphs, less text in links."""
         gain = [0.0] * len(self.tags)
         for node, text in self.flow:
             if text and not self.drop[node]:
@@ -136,14 +135,48 @@ class Page:
                     linked = linked or self.tags[node] == "a"
                     node = self.parents[node]
                 gain[node] += -length if linked else length
+        return gain
+
+    def scores(self, gain: list[float]) -> dict[int, float]:
+        """Of containers: what they gain, half of it passed to the container above."""
         share = gain[:]
         for node in range(len(gain) - 1, 0, -1):  # children come after their parents
             share[self.parents[node]] += share[node] / 2
         return {n: share[n] for n in range(1, len(gain)) if self.tags[n] in CONTAINERS and share[n] > 0 and not self.drop[n]}
 
     def best(self) -> int:
-        scores = self.scores()
-        return max(scores, key=lambda n: (scores[n], -n)) if scores else ROOT
+        gain = self.gains()
+        scores = self.scores(gain)
+        return self.climbed(max(scores, key=lambda n: (scores[n], -n)), gain) if scores else ROOT
+
+    def climbed(self, node: int, gain: list[float]) -> int:
+        """The outermost article or main around ``node``; without one, the
+        outermost ancestor below body with more text than links elsewhere in
+        it.  If that has no h1, the nearest ancestor that has one."""
+        above = [node]
+        while above[-1] != ROOT:
+            above.append(self.parents[above[-1]])
+        held = [max(g, 0.0) for g in gain]
+        headed = [False] * len(self.tags)
+        for n, text in self.flow:
+            if text and not self.drop[n] and text.strip():
+                while n != ROOT and self.tags[n] not in BLOCK:
+                    n = self.parents[n]
+                headed[n] = headed[n] or self.tags[n] == "h1"
+        for n in range(len(held) - 1, 0, -1):
+            held[self.parents[n]] += held[n]
+            headed[self.parents[n]] = headed[self.parents[n]] or headed[n]
+        if whole := [n for n in above if self.tags[n] in ("article", "main")]:
+            node = whole[-1]
+        else:
+            for n in above:
+                if n == ROOT or self.tags[n] in ("body", "html"):
+                    break
+                if held[n] > held[node]:
+                    node = n
+        if headed[node]:
+            return node
+        return next((n for n in above[above.index(node) :] if headed[n]), node)
 
     def nodes_on(self, path: str) -> list[int]:
         last = path.rpartition(">")[2]

@@ -30,6 +30,28 @@ def test_votes_outweigh_an_odd_page(spark):
     assert got[9] == "brief"
 
 
+def test_nothing_of_an_article_is_lost(spark):
+    """Headlines outside the body's div, parts of different classes, links and boilerplate beside them."""
+    long, short = "long text " * 40, "short text " * 8
+    menu = "<div class=menu><p>menu</p></div><div class=links><a href=/>elsewhere and elsewhere</a></div>"
+    pages = {
+        "headline": f"<body>{menu}<article><h1>Title</h1><div class=body><p>{long}</p></div></article></body>",
+        "parts": f"<body>{menu}<article><h1>Title</h1><div class=lead><p>{short}</p></div><div class=rest><p>{long}</p></div></article></body>",
+        "sections": f"<body>{menu}<main><h1>Title</h1><section class=a><p>{short}</p></section><section class=b><p>{long}</p></section></main></body>",
+        "main": f"<body>{menu}<main><h1>Title</h1><article><p>{long}</p></article></main></body>",
+        "divs": f"<body>{menu}<div class=post><h1>Title</h1><div class=lead><p>{short}</p></div><div class=rest><p>{long}</p></div></div></body>",
+        "linked": f"<body>{menu}<div class=post><h1><a href=/1>Title</a></h1><div class=rest><p>{long}</p></div></div></body>",
+        "bare": f"<body><h1>Title</h1><div class=menu><p>menu</p></div><div class=rest><p>{long}</p></div></body>",
+        "fragment": f"<h1>Title</h1><div class=menu><p>menu</p></div><div class=rest><p>{long}</p></div>",
+    }
+    rows = [(f"{kind}{i}", f"http://{kind}/{i}", page) for kind, page in pages.items() for i in range(3)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    for r in got:
+        parts = ["Title", short.strip(), long.strip()] if short in pages[r["page_id"][:-1]] else ["Title", long.strip()]
+        assert r["text"] == "\n\n".join(parts), r["page_id"]
+    assert len(got) == len(rows)
+
+
 def test_broken_markup():
     for source in ("<", "<a", "<p>a<", "<p class=\"x>y", "<!-- open", "<script>x", "</div></p>", "<div>" * 3000 + "x", "&#xD800;&#0;&bogus;&amp"):
         html_extract.Page(source).text([0])
