@@ -55,7 +55,7 @@ HOST_RULES = (
 # Pattern rules for what no host rule decides.
 PATTERN_RULES = (
     PatternRule("login page", r"/(?:account/)?login(?:[/?#.]|$)", ("login",)),
-    PatternRule("wp login", r"/wp-login\.php", ("wp", "login", "php")),
+    PatternRule("wp login", r"/wp-login\.php", ("wp", "login")),  # not php: .php5 matches too
     PatternRule("cart", r"/cart(?:[/?#.]|$)", ("cart",)),
     PatternRule("checkout", r"/checkout(?:[/?#.]|$)", ("checkout",)),
     PatternRule("session id", r"[?&;]sessionid=", ("sessionid",)),

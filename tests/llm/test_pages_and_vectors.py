@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -120,6 +121,20 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(frame.limit(0)).count() == 0
 
 
+def test_verdicts_do_not_hang_on_the_literal(spark):
+    """What a rule's pattern matches holds each literal as a whole token, whatever stands beside it."""
+    urls = [
+        "http://h/login", "http://h/account/login?a", "http://h/wp-login.php", "http://h/wp-login.php5", "http://h/wp-login.phpx", "http://h/cart", "http://h/checkout/1",
+        "http://h/?sessionid=1", "http://h/?a;phpsessid=1", "http://a.casino.net/", "http://porn-x.net/", "http://h/a.exe?b", "http://h/a.zip#b",
+        "http://h/?page=1&ref=", "http://h/?a&page=22&ref=b", "http://h/calendar/2020/012",
+    ]
+    for rule in url_filter.PATTERN_RULES:
+        found = [u for u in urls if re.search(rule.pattern, u)]
+        assert found and all(t in url_filter.TOKEN.findall(u) for u in found for t in rule.literals), rule.name
+    alone = spark.createDataFrame([(1, "http://h/wp-login.php5")], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.filter_urls(alone).collect()] == ["block"]
+
+
 def test_rules_hang_on_their_rarest_literal():
     rule = url_filter.PatternRule("r", "wp-login", ("wp", "login"))
     assert list(url_filter.rule_index((rule,), {"wp": 3, "login": 9})) == ["wp"]
