@@ -22,7 +22,7 @@ from .common import once, staged
 from .quality_model import held_out
 
 # Parameters.
-SAMPLE = 8192  # labelled texts that fit the scores
+SAMPLE = 8192  # labelled texts of a language that fit its scores: all up to here, about so many of more
 BINS = 1 << 16  # of hashed trigrams
 SWITCH = 14.0  # penalty, in nats, for a change of language
 WORD_LIMIT = 5.0  # most that one word may speak for a language, in nats
@@ -152,13 +152,19 @@ class Model:
 
 
 def fit(docs: DataFrame, learn_from: Column) -> Model | None:
-    """From at most SAMPLE whole texts with a language, chosen by a hash of
-    doc_id among those with ``learn_from``; None if there are none."""
-    chosen = staged(
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn_from)
-        .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE),
-        "language-sample",
+    """From whole texts of each language, chosen by a hash of doc_id among
+    those with ``learn_from``; None if there are none.
+
+    A language with at most SAMPLE documents is learnt from all of them, a larger
+    one from those whose hash lies in a range that holds SAMPLE on average.
+    """
+    labelled = staged(
+        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn_from).select("doc_id", "lang").distinct(),
+        "language-ids",
     )
+    held = staged(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("held")), "languages")
+    at = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))  # from 0 to 1
+    chosen = staged(labelled.join(F.broadcast(held), "lang").where(at * F.col("held") <= SAMPLE).select("doc_id", "lang"), "language-sample")
     n_scripts = len(SCRIPTS) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +172,17 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = Words([text])
-                own = sums.setdefault(lang, [np.zeros(BINS, np.int64), np.zeros(n_scripts, np.int64), 0])
+                own = sums.setdefault(lang, [np.zeros(BINS, np.int64), np.zeros(n_scripts, np.int64)])
                 own[0] += np.bincount(words.trigrams, minlength=BINS)
                 own[1] += np.bincount(words.letter_scripts, minlength=n_scripts)
-                own[2] += 1
-        rows = [(k, a.astype(np.float32).tobytes(), b.tobytes(), n) for k, (a, b, n) in sums.items()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "trigrams", "scripts", "n"])
-
-    # the sample has SAMPLE rows at most, so it may be broadcast and meet in few parts
-    texts = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
-    rows = texts.repartition(FIT_PARTS).mapInArrow(count, "lang string, trigrams binary, scripts binary, n long").collect()
+        rows = [(k, a.astype(np.float32).tobytes(), b.tobytes()) for k, (a, b) in sums.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        kinds = [pa.string(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "trigrams", "scripts"])
+
+    # the sample has about SAMPLE rows of a language at most, so it may be broadcast and meet in few parts
+    texts = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    rows = texts.repartition(FIT_PARTS).mapInArrow(count, "lang string, trigrams binary, scripts binary").collect()
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
@@ -186,7 +191,8 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
         i = languages.index(r["lang"])
         counts[i] += np.frombuffer(r["trigrams"], np.float32)
         scripts[i] += np.frombuffer(r["scripts"], np.int64)
-        n[i] += r["n"]
+    for r in held.collect():  # of all documents, not of the sample
+        n[languages.index(r["lang"])] = r["held"]
     return Model(languages, counts, scripts, n)
 
 

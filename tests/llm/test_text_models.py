@@ -136,6 +136,17 @@ def test_language_id(spark, messy, nothing):
     assert {r["lang_pred"] for r in langid.identify(messy.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rare_language_is_learnt_whole(spark, monkeypatch):
+    """Whatever the size of the others; the most frequent language stays so."""
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    rows = [(i, "der Hund und die Katze", "de") for i in range(3000)] + [(5000 + i, "the dog and the cat", "en") for i in range(900)]
+    rows += [(9000 + i, "\u03ba\u03b1\u03b9 \u03c4\u03bf", "el") for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, F.lit(True))
+    assert model.languages == ["de", "el", "en"] and model.languages[model.prior] == "de"
+    assert next(iter(model.label(["\u03ba\u03b1\u03b9"])))[0] == "el"
+
+
 def test_mixed_text_gets_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     one = {lang: docs.where((F.col("lang") == lang) & (F.col("n_chars") > 1500)).orderBy("doc_id").first()["text"][:1400] for lang in ("en", "de")}
