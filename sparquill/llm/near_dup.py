@@ -277,7 +277,7 @@ class Linker:
         return staged(pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "links")
 
     def documents(self) -> DataFrame:
-        """doc_id, n_shingles and component_id of each row."""
+        """doc_id, n_shingles, fa, fb and component_id of each row."""
         found = self.components()
         lowest = self.nodes.join(found, "node").groupBy("component").agg(F.min("first_doc").alias("component_id"))
         named = staged(
@@ -288,7 +288,7 @@ class Linker:
         )
         return (
             self.signed.select("doc_id", "n_shingles", "fa", "fb").join(named, ["fa", "fb", "n_shingles"], "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+            .select("doc_id", "n_shingles", "fa", "fb", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         )
 
 
@@ -321,17 +321,32 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     Texts without words (null, empty) have an empty set and link with nothing,
     nor do rows without doc_id: their component is themselves (null where
     doc_id is) and they are kept.  Repeated rows each get a row; kept is doc_id =
-    component_id, so all rows of that doc_id have it.  Other columns are ignored.
+    component_id, for each row by its own text.  Other columns are ignored.
     """
-    found = Linker(docs, rule).documents()
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _judged(docs, rule).drop("fa", "fb")
+
+
+def _judged(docs: DataFrame, rule: Rule) -> DataFrame:
+    return Linker(docs, rule).documents().withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     """The rows of ``docs`` that are kept, with all columns; of rows that agree
     in doc_id and text one stays.  Rows without doc_id all stay."""
-    kept = staged(near_duplicates(docs, rule).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    judged = staged(_judged(docs, rule).where("doc_id is not null").select("doc_id", "fa", "fb", "kept"), "judged")
+    kept = staged(judged.where("kept").select("doc_id").distinct(), "kept")
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    torn = staged(judged.where("not kept").join(kept, "doc_id", "left_semi").select("doc_id").distinct(), "torn-ids")
+    if not torn.isEmpty():  # some doc_id has one text that is kept and one that is not
+
+        @F.pandas_udf("fa long, fb long")
+        def printed(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([fingerprint(s) for s in shingle_sets(texts.tolist(), rule.words)], columns=["fa", "fb"])
+
+        columns = named.columns
+        good = judged.where("kept").join(torn, "doc_id", "left_semi").select("doc_id", F.struct("fa", "fb").alias("_print"))
+        split = named.join(torn, "doc_id", "left_semi").withColumn("_print", printed("text")).join(good, ["doc_id", "_print"], "left_semi")
+        named = named.join(torn, "doc_id", "left_anti").select(*columns).union(split.select(*columns))
     if named.count() > kept.count():  # some doc_id comes more than once
         columns = named.columns
         named = named.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*columns)

@@ -78,3 +78,10 @@ def test_messy_rows(spark, messy, nothing):
     kept = near_dup.drop_near_duplicates(messy, RULE)
     assert kept.columns == messy.columns and kept.count() == messy.count() - 2
     assert near_dup.near_duplicates(nothing, RULE).count() == 0 and near_dup.drop_near_duplicates(nothing, RULE).count() == 0
+
+
+def test_repeated_id_drops_its_near_copy_only(spark):
+    text, other = (" ".join(f"{w}{i}" for i in range(200)) for w in "ab")
+    rows = [(1, text), (5, other), (5, text + " end"), (6, other + " end"), (None, text), (7, "")]
+    kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), RULE).collect()
+    assert {tuple(r) for r in kept} == {(1, text), (5, other), (None, text), (7, "")} and len(kept) == 4
