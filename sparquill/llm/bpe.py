@@ -23,6 +23,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import give_back, in_pieces
+
+# Fixed value: the pattern for which runs of non-blanks may be encoded one by one.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # White space outside the usual blanks is left to the full pattern.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -300,6 +304,7 @@ class Tokenizer:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern)
+        self.cuts = pattern == CUT_PATTERN  # other patterns go through regex alone
         every = range(max(vocabulary.tokens) + 1)
         self.bytes = pa.array([vocabulary.tokens.get(i) for i in every], pa.binary())
         self.decimal = pa.array([b"%d" % i for i in every], pa.binary())
@@ -347,14 +352,21 @@ class Tokenizer:
             self.remember(run, new[run])
         return [new[run] if ids is None else ids for run, ids in zip(runs, found, strict=True)]
 
+    def forget(self) -> None:
+        """Drops the runs, which the next task need not have; the vocabulary stays."""
+        self._recent, self._older = {}, {}
+        self.vocabulary.pairs = HashTable()
+
     def matches(self, run: str) -> list[str]:
         """Matches of the pattern; letters, after at most one space, are one."""
+        if not self.cuts:
+            return self.pieces.findall(run)
         return [run] if run.isalpha() or run[:1] == " " and run[1:].isalpha() else self.pieces.findall(run)
 
     def encode(self, text: str) -> list[int]:
-        """No match crosses the end of a run of non-blanks, and only one space
-        before a run belongs to it, so runs are encoded one by one."""
-        runs = (self.pieces if ODD_SPACE.search(text) else CHUNK).findall(text)  # odd ones are blanks to re only
+        """No match of CUT_PATTERN crosses the end of a run of non-blanks, and only one
+        space before a run belongs to it, so runs are encoded one by one."""
+        runs = (CHUNK if self.cuts and not ODD_SPACE.search(text) else self.pieces).findall(text)  # odd ones are blanks to re only
         return np.frombuffer(b"".join(self.runs(runs)), np.int32).tolist()
 
     def encode_all(self, texts: pa.Array) -> pa.ListArray:
@@ -364,7 +376,7 @@ class Tokenizer:
         space and around a line feed by Arrow; others go through ``encode``.
         """
         texts = pc.fill_null(texts, "")
-        plain = pc.invert(pc.match_substring_regex(texts, SPECIAL_BLANKS))
+        plain = pc.invert(pc.match_substring_regex(texts, SPECIAL_BLANKS if self.cuts else ""))  # nothing is plain to another pattern
         cut = pc.replace_substring(pc.replace_substring(pc.if_else(plain, texts, ""), " ", "\x01 "), "\n", "\x01\n\x01")
         runs = pc.split_pattern(cut, "\x01")
         coded = runs.flatten().dictionary_encode()
@@ -402,18 +414,13 @@ def tokenizer(data: bytes, pattern: str) -> Tokenizer:
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], data: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Batches whose last column is the text become batches with a column ids,
-    of about BATCH_BYTES of text, or one row if that is longer."""
+    """Batches with a text become batches with a column ids, of about BATCH_BYTES
+    of text, or one row if that is longer."""
     own = tokenizer(data, pattern)
-    for whole in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < whole.num_rows:
-            done = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right")))
-            batch = whole.slice(start, stop - start)
-            yield pa.RecordBatch.from_arrays([*batch.columns, own.encode_all(batch.column(batch.num_columns - 1))], [*batch.schema.names, "ids"])
-            start = stop
+    for batch in in_pieces(batches, "text", BATCH_BYTES):
+        yield pa.RecordBatch.from_arrays([*batch.columns, own.encode_all(batch.column("text"))], [*batch.schema.names, "ids"])
+    own.forget()
+    give_back()
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:

@@ -21,18 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, give_back, in_pieces, staged
 
 # Parameters.
 SAMPLES, SKETCH_BITS = 168, 1024  # MinHash samples of a set, and its odd sketch
 MISS = 4e-6  # largest chance that no band brings a pair at the threshold together
-MARGIN = 0.13  # below the threshold, over four deviations of the sketch's estimate
+MARGIN = 0.2  # below the threshold; see the README for how rarely a pair falls below it
 #: The same for nodes of buckets that hold several components, where pairs are many.
-WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 4096, 0.05
+WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 4096, 0.08
 SEED = 9127
-#: Up to so many documents are looked up by a broadcast of their ids.
-BROADCAST_IDS = 1_000_000
-CHUNK_WORDS = 200_000
+#: Ids of documents are broadcast up to so many bytes, counted before.
+BROADCAST_BYTES = 32 << 20
+#: Nodes of a bucket that meet in one task; larger buckets are dealt out by pairs of blocks.
+BLOCK_NODES = 2048
+#: Words that are hashed at once, and bytes of texts of one batch of sets.
+CHUNK_WORDS, SET_BYTES = 200_000, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -131,22 +134,21 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(rule)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                rows, bands, sketches = [], [], []
-                for shingles in shingle_sets(batch.column(1).to_pylist(), rule.words):
-                    rows.append((len(shingles), *fingerprint(shingles)))
-                    samples = sketcher.samples(shingles)
-                    bands.append(sketcher.keys(samples))
-                    sketches.append(sketcher.parity(samples))
-                sizes, fa, fb = zip(*rows, strict=True) if rows else ([], [], [])
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x) if x else [], pa.int64()), n).cast(pa.list_(pa.int64()))
-                         for x, n in ((bands, sketcher.bands), (sketches, SKETCH_BITS // 64))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(c, pa.int64()) for c in (sizes, fa, fb)], *lists],
-                    ["doc_id", "n_shingles", "fa", "fb", "bands", "sketch"],
-                )
+        for batch in in_pieces(batches, "text", SET_BYTES):
+            rows, bands, sketches = [], [], []
+            for shingles in shingle_sets(batch.column(1).to_pylist(), rule.words):
+                rows.append((len(shingles), *fingerprint(shingles)))
+                samples = sketcher.samples(shingles)
+                bands.append(sketcher.keys(samples))
+                sketches.append(sketcher.parity(samples))
+            sizes, fa, fb = zip(*rows, strict=True)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x), pa.int64()), n).cast(pa.list_(pa.int64()))
+                     for x, n in ((bands, sketcher.bands), (sketches, SKETCH_BITS // 64))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in (sizes, fa, fb)], *lists],
+                ["doc_id", "n_shingles", "fa", "fb", "bands", "sketch"],
+            )
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(
         sign, f"doc_id {kind}, n_shingles long, fa long, fb long, bands array<long>, sketch array<long>"
@@ -170,23 +172,24 @@ def may_link(x: str, y: str, rule: Rule, margin: float = MARGIN, **sketch: int)
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """node and shingles (sorted uint64) of rows whose text is the node's own; another
     row with the same doc_id may hold another text."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 500):
-            batch = whole.slice(start, 500)
-            nodes, fa, fb = (batch.column(c).to_pylist() for c in ("node", "fa", "fb"))
-            sets = list(shingle_sets(batch.column("text").to_pylist(), words))
-            own = [i for i, s in enumerate(sets) if fingerprint(s) == (fa[i], fb[i])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "shingles"]
-            )
+    for batch in in_pieces(batches, "text", SET_BYTES):
+        nodes, fa, fb = (batch.column(c).to_pylist() for c in ("node", "fa", "fb"))
+        ids, sets = [], []
+        for node, a, b, shingles in zip(nodes, fa, fb, shingle_sets(batch.column("text").to_pylist(), words), strict=True):
+            if fingerprint(shingles) == (a, b):
+                ids.append(node)
+                sets.append(shingles.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+    give_back()
 
 
 class Linker:
     def __init__(self, docs: DataFrame, rule: Rule):
         self.docs, self.rule = docs.select("doc_id", "text"), rule
-        self.signed = staged(signatures(self.docs, rule), "signatures")
+        self.scratch = Scratch(docs.sparkSession, "near-dup")
+        self.signed = self.scratch.staged(signatures(self.docs, rule), "signatures")
         whole = self.signed.where("n_shingles > 0 and doc_id is not null").groupBy("fa", "fb", "n_shingles")
-        self.nodes = staged(
+        self.nodes = self.scratch.staged(
             whole.agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
             .withColumn("node", F.monotonically_increasing_id()),
             "nodes",
@@ -194,48 +197,63 @@ class Linker:
 
     def components(self) -> DataFrame:
         """node and component, for nodes with links."""
+        keep, drop = self.scratch.staged, self.scratch.drop
         members = self.nodes.select("node", F.explode("bands").alias("key"))
-        buckets = staged(
+        buckets = keep(
             members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "buckets"
         )
         ends = members.join(buckets, "key").select("node", F.explode(F.array("low", "high")).alias("other")).where("node != other")
         tried = self._near(ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
         links = self._confirmed(tried)
-        found = connected(links)
-        more = self._confirmed(self._left_over(members, buckets.where("n > 2"), found, tried))
+        found = connected(links, self.scratch)
+        left_over = self._left_over(members, buckets.where("n > 2"), found, tried)
+        drop(tried, buckets)
+        more = self._confirmed(left_over)
         if more.isEmpty():
             return found
-        return connected(links.union(more))
+        return connected(links.union(more), self.scratch)
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that may be linked."""
         side = self.nodes.select("node", "n_shingles", "sketch")
         x = side.select(F.col("node").alias("a"), F.struct("n_shingles", "sketch").alias("x"))
         y = side.select(F.col("node").alias("b"), F.struct("n_shingles", "sketch").alias("y"))
-        pairs = staged(pairs, "pairs")
-        return staged(pairs.join(x, "a").join(y, "b").where(may_link("x", "y", self.rule)).select("a", "b"), "near-pairs")
+        pairs = self.scratch.staged(pairs, "pairs")
+        near = self.scratch.staged(pairs.join(x, "a").join(y, "b").where(may_link("x", "y", self.rule)).select("a", "b"), "near-pairs")
+        self.scratch.drop(pairs)
+        return near
 
     def _left_over(self, members: DataFrame, buckets: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs of one bucket, not tried yet, that may join two components."""
-        labelled = staged(
-            members.join(buckets.select("key"), "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")),
+        """Pairs of one bucket, not tried yet, that may join two components.
+
+        A bucket of more than BLOCK_NODES nodes is dealt out by pairs of blocks,
+        so that no task holds its nodes against each other alone."""
+        keep, drop = self.scratch.staged, self.scratch.drop
+        labelled = keep(
+            members.join(buckets.select("key", "n"), "key").join(found, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component")),
             "labelled",
         )
         split = labelled.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
         sizes = labelled.join(split, "key").groupBy("key", "component").count()
-        main = staged(sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main")), "mixed-buckets")
-        mixed = staged(labelled.join(main, "key").select("key", "node", "component", "main"), "mixed-members")
-        rows = staged(mixed.join(self._wide_sketches(mixed.select("node").distinct()), "node"), "mixed-sketches")
+        main = keep(sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main")), "mixed-buckets")
+        mixed = keep(labelled.join(main, "key").select("key", "n", "node", "component", "main"), "mixed-members")
+        drop(labelled, main)
+        sketches = self._wide_sketches(mixed.select("node").distinct())
+        rows = keep(mixed.join(sketches, "node"), "mixed-sketches")
         side = F.struct("node", "component", "main", "n_shingles", "bands", "sketch")
-        x = rows.where("component != main").select("key", side.alias("x"))
-        y = rows.select("key", side.alias("y"))
+        last = F.floor((F.col("n") - 1) / BLOCK_NODES)
+        own, others = F.pmod(F.xxhash64("node"), last + 1), F.explode(F.sequence(F.lit(0).cast("long"), last))
+        x = rows.where("component != main").select("key", own.alias("i"), others.alias("j"), side.alias("x"))
+        y = rows.select("key", others.alias("i"), own.alias("j"), side.alias("y"))
         apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         near = may_link("x", "y", self.rule, WIDE_MARGIN, samples=WIDE_SAMPLES, bits=WIDE_BITS)
         # of the bands that a pair shares, only the first brings it forward
         common = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())
-        pairs = x.join(y, "key").where(apart & near & (F.try_element_at(common, F.lit(1)) == F.col("key")))
+        pairs = x.join(y, ["key", "i", "j"]).where(apart & near & (F.try_element_at(common, F.lit(1)) == F.col("key")))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        return staged(pairs.join(tried, ["a", "b"], "left_anti"), "left-over-pairs")
+        out = keep(pairs.join(tried, ["a", "b"], "left_anti"), "left-over-pairs")
+        drop(mixed, rows)
+        return out
 
     def _wide_sketches(self, nodes: DataFrame) -> DataFrame:
         """node, n_shingles, bands and a long odd sketch of the given nodes."""
@@ -247,20 +265,21 @@ class Linker:
                 made = [sketcher.parity(sketcher.samples(np.frombuffer(s.as_buffer(), np.uint64))) for s in batch.column("shingles")]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.list_(pa.int64()))], ["node", "sketch"])
 
-        made = staged(self._texts(nodes).mapInArrow(sketch, "node long, sketch array<long>"), "wide-sketches").dropDuplicates(["node"])
+        made = self.scratch.staged(self._texts(nodes).mapInArrow(sketch, "node long, sketch array<long>"), "wide-sketches").dropDuplicates(["node"])
         return made.join(self.nodes.select("node", "n_shingles", "bands"), "node")
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """node, fa, fb and text of the given nodes, and of rows that only share the doc_id."""
-        wanted = staged(nodes.join(self.nodes, "node").select("node", "first_doc", "fa", "fb"), "wanted")
-        ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        wanted = self.scratch.staged(nodes.join(self.nodes, "node").select("node", "first_doc", "fa", "fb"), "wanted")
+        size = wanted.agg(F.sum(24 + F.octet_length(F.col("first_doc").cast("string")))).first()[0] or 0
+        ids = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
         return self.docs.join(ids, F.col("doc_id") == F.col("first_doc")).select("node", "fa", "fb", "text")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those whose full sets are similar enough."""
         words = self.rule.words
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = staged(self._texts(nodes).mapInArrow(lambda b: _sets(b, words), "node long, shingles binary"), "sets")
+        sets = self.scratch.staged(self._texts(nodes).mapInArrow(lambda b: _sets(b, words), "node long, shingles binary"), "sets")
         percent = self.rule.percent
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,47 +291,56 @@ class Linker:
                     if 100 * both >= percent * (len(p) + len(q) - both):
                         kept.append(i)
                 yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+            give_back()
 
         x, y = sets.toDF("b", "x"), sets.toDF("a", "y")
-        return staged(pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "links")
+        links = self.scratch.staged(pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "links")
+        self.scratch.drop(sets)
+        return links
 
     def documents(self) -> DataFrame:
-        """doc_id, n_shingles, fa, fb and component_id of each row."""
+        """doc_id, n_shingles, fa, fb and component_id of each row.  Only what has
+        a set looks for its component; the copies of a text are split between
+        tasks where Spark finds their key skewed."""
         found = self.components()
         lowest = self.nodes.join(found, "node").groupBy("component").agg(F.min("first_doc").alias("component_id"))
-        named = staged(
+        named = self.scratch.staged(
             self.nodes.select("node", "fa", "fb", "n_shingles", "first_doc")
             .join(found, "node", "left").join(lowest, "component", "left")
             .select("fa", "fb", "n_shingles", F.coalesce("component_id", "first_doc").alias("component_id")),
             "components",
         )
-        return (
-            self.signed.select("doc_id", "n_shingles", "fa", "fb").join(named, ["fa", "fb", "n_shingles"], "left")
-            .select("doc_id", "n_shingles", "fa", "fb", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-        )
+        rows = self.signed.select("doc_id", "n_shingles", "fa", "fb")
+        linked = rows.where("n_shingles > 0").join(named, ["fa", "fb", "n_shingles"], "left")
+        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        both = linked.select(*rows.columns, own.alias("component_id")).union(rows.where("n_shingles = 0").select("*", F.col("doc_id").alias("component_id")))
+        out = staged(both, "near-duplicates")
+        self.scratch.close()
+        return out
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and component (its smallest node) of links (a, b), by turns of
     large-star and small-star steps until nothing changes."""
 
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    keep = scratch.staged
+    edges = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     before = None
     while True:
-        both = staged(edges.union(edges.select("b", "a")).toDF("u", "v"), "cc")
-        least = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "cc")
-        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
-        star = large.join(least, "u")
-        edges = staged(star.select("u", "m").union(star.where("v != m").select("v", "m")).toDF("a", "b").distinct(), "cc")
-        now = state(edges)
+        both = keep(edges.union(edges.select("b", "a")).toDF("u", "v"), "cc")
+        least = keep(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "cc")
+        large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
+        lower = keep(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        star = large.join(lower, "u")
+        new = keep(star.select("u", "m").union(star.where("v != m").select("v", "m")).toDF("a", "b").distinct(), "cc")
+        scratch.drop(edges, both, least, large, lower)
+        edges, now = new, state(new)
         if now == before:
-            break
+            return edges.union(edges.select("b", "b")).distinct().toDF("node", "component")
         before = now
-    return edges.union(edges.select("b", "b")).distinct().toDF("node", "component")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -332,22 +360,25 @@ def _judged(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     """The rows of ``docs`` that are kept, with all columns; of rows that agree
-    in doc_id and text one stays.  Rows without doc_id all stay."""
-    judged = staged(_judged(docs, rule).where("doc_id is not null").select("doc_id", "fa", "fb", "kept"), "judged")
-    kept = staged(judged.where("kept").select("doc_id").distinct(), "kept")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    torn = staged(judged.where("not kept").join(kept, "doc_id", "left_semi").select("doc_id").distinct(), "torn-ids")
-    if not torn.isEmpty():  # some doc_id has one text that is kept and one that is not
-
-        @F.pandas_udf("fa long, fb long")
-        def printed(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([fingerprint(s) for s in shingle_sets(texts.tolist(), rule.words)], columns=["fa", "fb"])
-
-        columns = named.columns
-        good = judged.where("kept").join(torn, "doc_id", "left_semi").select("doc_id", F.struct("fa", "fb").alias("_print"))
-        split = named.join(torn, "doc_id", "left_semi").withColumn("_print", printed("text")).join(good, ["doc_id", "_print"], "left_semi")
-        named = named.join(torn, "doc_id", "left_anti").select(*columns).union(split.select(*columns))
-    if named.count() > kept.count():  # some doc_id comes more than once
-        columns = named.columns
-        named = named.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*columns)
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    in doc_id and text one stays.  Rows without doc_id all stay.
+
+    Texts meet only the ids that go: an anti join, which Spark broadcasts while
+    that table is small.
+    """
+    judged = _judged(docs, rule).where("doc_id is not null")
+    by_id = judged.groupBy("doc_id").agg(F.count_if("kept").alias("good"), F.count_if(~F.col("kept")).alias("bad"))
+    odd = staged(by_id.where("bad > 0 or good > 1"), "odd-ids")  # some row of theirs goes
+    columns, named = docs.columns, docs.where("doc_id is not null")
+    rest = docs.where("doc_id is null").union(named.join(odd.select("doc_id"), "doc_id", "left_anti").select(*columns))
+    again = odd.where("good > 0")
+    if again.isEmpty():
+        return rest
+
+    # a doc_id comes more than once: its rows are told apart by their own texts
+    @F.pandas_udf("fa long, fb long")
+    def printed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fingerprint(s) for s in shingle_sets(texts.tolist(), rule.words)], columns=["fa", "fb"])
+
+    good = judged.where("kept").join(again, "doc_id", "left_semi").select("doc_id", F.struct("fa", "fb").alias("_print")).distinct()
+    split = named.join(again, "doc_id", "left_semi").withColumn("_print", printed("text")).join(good, ["doc_id", "_print"], "left_semi")
+    return rest.union(split.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*columns))
