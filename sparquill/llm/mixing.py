@@ -1,12 +1,12 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's documents form one stream of words, cut into blocks of a fixed
-length.  Every output shard draws how many of its slots each source fills: a
-multinomial draw with one uniform number in each slot's own stratum, so that
-counts vary between shards but their sums stay near the targets.  A source's
-slots are numbered through all shards; a pseudorandom permutation of its blocks
-(another one for each pass) maps slot numbers to block numbers, and blocks join
-slots by that number.
+length.  How many of its slots each source fills is a multinomial draw of every
+output shard: one source for each slot, by a hashed uniform number.  A source's
+slots are numbered through all shards; those beyond its quota stay empty, and
+what it lacks is drawn into shards behind the last, so that the sum meets its
+target.  A pseudorandom permutation of its blocks (another one for each pass)
+maps slot numbers to block numbers, and blocks join slots by that number.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +27,8 @@ SHARD_SLOTS = 4096
 SEED = 20240607
 #: Parts that a source's documents are dealt into for running totals, and shards in a run.
 PARTS, RUN_SHARDS = 1024, 64
+#: Equal ranges of [0, 1) under which the sources' shares are filed, and slots of one task.
+BINS, TASK_SLOTS = 4096, 100_000
 ROUNDS = 12
 
 
@@ -47,8 +49,8 @@ def permuted(x: Column, n: Column, *salt: Column) -> Column:
 
 
 def uniform(*salt: Column) -> Column:
-    """In [0, 1), from 31 bits of a hash."""
-    return F.pmod(F.xxhash64(*salt), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    """In [0, 1), from 53 bits of a hash."""
+    return F.shiftrightunsigned(F.xxhash64(*salt), 11) / F.lit(float(1 << 53))
 
 
 def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -114,21 +116,24 @@ class Mix:
         blocks = F.ceil(F.col("source_size") / F.lit(float(block_words))).cast("long")
         every = Window.partitionBy()
         up_to = every.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
-        self.plan = staged(
+        scratch = self.scratch = Scratch(rows.sparkSession, "mix")
+        share_of = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0)
+        self.plan = scratch.staged(
             plan.withColumn("n_blocks", blocks)
-            .withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0))
-            .withColumn("high", F.sum("slots").over(up_to))
-            .withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(every) / F.lit(float(shard_slots)))).cast("long"))
-            .withColumn("low", F.coalesce(F.sum("slots").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))),
-            "mix-plan",
+            .withColumn("quota", share_of.cast("long"))
+            .withColumn("high", F.sum("quota").over(up_to) / F.greatest(F.sum("quota").over(every), F.lit(1)))
+            .withColumn("low", F.coalesce(F.lag("high").over(every.orderBy("source_no")), F.lit(0.0))),
+            "plan",
         )
         placed = running_totals(keyed, "key", "part", ["doc_id", "size", "text_hash"], "size", "start")
-        self.documents = staged(
-            placed.join(self.plan, "key").select("rid", "doc_id", "size", "source_size", "target", "source_no", "start"), "mix-documents"
+        self.documents = scratch.staged(
+            placed.join(self.plan, "key").select("rid", "doc_id", "size", "source_size", "target", "source_no", "start"), "documents"
         )
+        self.n_slots = self.plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+        self.n_tasks = max(1, -(-self.n_slots // TASK_SLOTS))
         # both sides grow with the words; their sizes after explode are not known to
         # the optimizer, which would otherwise broadcast the slots
-        self.spans = self._pieces(block_words).join(self._slots(seed, max_passes).hint("merge"), ["source_no", "block"])
+        self.spans = self._pieces(block_words).join(self._slots(seed, shard_slots).hint("merge"), ["source_no", "block"])
 
     def _pieces(self, block_words: int) -> DataFrame:
         """The part of a document that lies in a block."""
@@ -144,29 +149,43 @@ class Mix:
                     (F.least(end, (F.col("block") + 1) * length) - begin).alias("n_words"))
         )
 
-    def _slots(self, seed: int, max_passes: int) -> DataFrame:
-        """One row for each slot of each shard with the block that fills it."""
+    def _drawn(self, seed: int, shard_slots: int) -> DataFrame:
+        """shard, source_no and drawn: the sources' counts in each shard.
 
-        def count_below(bound: str) -> Column:
-            """Slots of the shard that lie below a bound of the sources' ranges."""
-            at = F.col(bound) / F.col("n_shards")
-            return F.floor(at) + F.when(uniform(F.lit(seed), F.col("shard"), F.floor(at)) < at - F.floor(at), 1).otherwise(0)
-
-        runs = self.plan.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_shards") - 1) / RUN_SHARDS))))
-        first = F.col("run") * RUN_SHARDS
-        drawn = (
-            runs.repartition("source_no", "run")  # a source's runs are spread before they grow
-            .withColumn("shard", F.explode(F.sequence(first, F.least(first + RUN_SHARDS, "n_shards") - 1)))
-            .withColumn("below", count_below("low"))
-            .withColumn("drawn", count_below("high") - F.col("below"))
+        Every slot draws its source; the shares are filed under the bins of [0, 1)
+        that they touch, so a slot meets the one or few sources of its bin."""
+        bins = self.scratch.staged(
+            self.plan.where("quota > 0").select("source_no", "low", "high", F.explode(F.sequence(
+                F.floor(F.col("low") * BINS), F.least(F.floor(F.col("high") * BINS), F.lit(BINS - 1)))).alias("bin")),
+            "bins",
+        )
+        at = F.col("at")
+        slots = (
+            self.plan.sparkSession.range(0, self.n_slots, 1, self.n_tasks)
+            .select(F.floor(F.col("id") / shard_slots).alias("shard"), uniform(F.lit(seed), "id").alias("at"))
+            .withColumn("bin", F.floor(at * BINS))
         )
+        counts = slots.join(bins, "bin").where((at >= F.col("low")) & (at < F.col("high"))).groupBy("source_no", "shard").agg(F.count(F.lit(1)).alias("drawn"))
+        counts = self.scratch.staged(counts, "counts")
+        sums = counts.groupBy("source_no").agg(F.sum("drawn").alias("sum"))
+        lacking = self.plan.where("quota > 0").join(sums, "source_no", "left").select(
+            "source_no", F.lit(-(-self.n_slots // shard_slots)).cast("long").alias("shard"), (F.col("quota") - F.coalesce("sum", F.lit(0))).alias("drawn")
+        )
+        return counts.union(lacking.where("drawn > 0"))
+
+    def _slots(self, seed: int, shard_slots: int) -> DataFrame:
+        """One row for each slot of each shard with the block that fills it."""
+        before = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+        drawn = self._drawn(seed, shard_slots).withColumn("run", F.floor(F.col("shard") / RUN_SHARDS))
+        drawn = running_totals(drawn, "source_no", "run", ["shard"], "drawn", "earlier").withColumn("below", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+        sources = self.plan.select("source_no", "n_blocks", "quota")
         number = F.col("number")
         return (
-            running_totals(drawn, "source_no", "run", ["shard"], "drawn", "earlier")
-            .where("drawn > 0")
-            .select("source_no", "n_blocks", "shard", "below", "earlier", F.explode(F.sequence(F.lit(0), F.col("drawn") - 1)).alias("i"))
-            .select("source_no", "n_blocks", "shard", (F.col("below") + F.col("i")).alias("slot"), (F.col("earlier") + F.col("i")).alias("number"))
-            .where(number < F.col("n_blocks") * max_passes)  # a slot beyond stays empty, as no block may come more often
+            drawn.repartition(self.n_tasks, "source_no", "shard")  # by number: spread as it is before it grows
+            .select("source_no", "shard", "below", "earlier", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)).alias("i"))
+            .join(sources, "source_no")
+            .select("source_no", "n_blocks", "quota", "shard", (F.col("below") + F.col("i")).alias("slot"), (F.col("earlier") + F.col("i")).alias("number"))
+            .where(number < F.col("quota"))  # a slot beyond the quota stays empty
             .withColumn("pass", F.floor(number / F.col("n_blocks")))
             .withColumn("block", permuted(number % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("source_no"), F.col("pass")))
             .select("source_no", "block", "shard", "slot", "pass")
@@ -192,25 +211,40 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each pass over a document, a row with the words
     taken in it, in order, with their own white space; all other columns stay,
     n_chars (where there is one) follows the text.  Documents of which nothing
-    is taken are left out."""
-    table = staged(
-        docs.select(F.monotonically_increasing_id().alias("rid"), word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row")), "mix-rows"
+    is taken are left out.
+
+    Texts are read twice and shuffled once, to meet what is taken of them: rows
+    are known by two hashes of their columns (maps aside).  Rows alike in these
+    are interchangeable, and one of them stands for all.
+    """
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    prints = F.struct(F.xxhash64(*hashed).alias("a"), F.xxhash64(F.lit(SEED), *hashed[::-1]).alias("b"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), prints.alias("print"))
+    scratch = Scratch(docs.sparkSession, "mix-documents")
+    sizes = scratch.staged(
+        rows.select(F.monotonically_increasing_id().alias("rid"), "print", "row.doc_id", "row.source",
+                    word_count(F.col("row.text")).alias("size"), F.xxhash64("row.text").alias("text_hash")), "sizes"
     )
-    mix = Mix(table.select("rid", "row.doc_id", "row.source", "size", F.xxhash64("row.text").alias("text_hash")))
+    mix = Mix(sizes)
     passes = mix.spans.groupBy("rid", "pass").agg(
         F.sum("n_words").alias("n_taken"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("parts")
     )
+    passes = staged(passes.join(sizes.select("rid", "print", "size"), "rid").select("print", "size", "n_taken", "parts"), "mix-passes")
+    repeated = staged(sizes.groupBy("print").count().where("count > 1").select("print"), "repeated-rows")
+    scratch.close()
+    mix.scratch.close()
+    if not repeated.isEmpty():
+        again = rows.join(repeated, "print", "left_semi").dropDuplicates(["print"])
+        rows = rows.join(repeated, "print", "left_anti").unionByName(again)
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), 0)
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words", (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")))), "")
-    text = F.when(F.col("n_taken") == F.col("size"), F.col("row.text")).otherwise(cut)
     whole = F.col("n_taken") == F.col("size")
     out = (
-        table.join(passes, "rid")
+        rows.join(passes, "print")
         .withColumn("words", F.when(~whole, words))
-        .withColumn("text", text)
-        .withColumn("row", F.col("row").withField("text", F.col("text")))
+        .withColumn("row", F.col("row").withField("text", F.when(whole, F.col("row.text")).otherwise(cut)))
     )
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("row", F.col("row").withField("n_chars", F.length("text").cast(kind)))
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast(kind)))
     return out.select("row.*")
