@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, html_extract, langid, license_scan, mixing, near_dup, quality_model, quality_rules, url_filter
-from .common import table
+from .common import small_batches
+from .common import table as read_table
 
 #: File of the public tokenizer that the queries use.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
-
 #: Sets and threshold of op6.
 NEAR = near_dup.Rule(words=3, percent=85)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(mixing.sized_rows(table(spark, sf_dir, "documents"))).taken()
 

@@ -1,7 +1,7 @@
 """Quality by the votes of the nearest labelled texts in a latent space.
 
-A text's terms are the shapes of its words (letters, capitals, digits and runs
-of them folded; signs kept) and whether words repeat the one before.  TF-IDF
+A text's terms are its words, the shapes of its words (letters, capitals, digits
+and runs of them folded; signs kept) and whether words repeat the one before.  TF-IDF
 rows of a bounded labelled sample give latent axes by an eigendecomposition.
 The sample's latent vectors are broadcast; blocked matrix products give the
 exact cosine of every document with every one of them, and the nearest vote
@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import once, staged
+from .common import give_back, once, staged
 
 # Parameters.
 SAMPLE = 4096  # labelled texts, the bound of everything that is learnt or broadcast
-TERMS = 1024  # most frequent terms of the sample; others count as one
+TERMS = {"shape": 1024, "word": 512}  # most frequent terms of the sample; other shapes count as one
+WEIGHT = {"shape": 1.0, "word": 0.5}  # of a term's TF-IDF
 AXES = 32
 NEIGHBOURS = 25
 SHARPNESS = 6.0  # power of the similarity in a vote
@@ -38,26 +39,35 @@ _SHAPE = bytes(
 
 
 def term_counts(text: str | None) -> dict[str, int]:
-    """How often each word shape occurs, and words equal to the one before."""
+    """How often each word and each word shape occurs, and words equal to the one
+    before.  Words have a space in front, which no shape has."""
     if not text:
         return {}
     raw = text.encode()
     shape = np.frombuffer(raw.translate(_SHAPE), np.uint8)
     folded = shape[np.concatenate([[True], shape[1:] != shape[:-1]])].tobytes()
     counts = {k.decode("utf-8", "replace"): v for k, v in Counter(folded.split()).items()}
+    words = raw.lower().split()
+    counts |= {" " + k.decode(): v for k, v in Counter(words).items()}
     words = raw.split()
     repeats = sum(map(eq, words, words[1:]))
     return counts | ({REPEAT: repeats} if repeats else {})
 
 
+def kind_of(term: str) -> str:
+    return "word" if term[0] == " " else "shape"
+
+
 class Model:
-    def __init__(self, counts: list[dict[str, int]], labels: list[int]):
+    """Fitted on the counts of the sample's texts: ``frequency`` has, of each of
+    its most frequent terms, the number of texts that hold it."""
+
+    def __init__(self, counts: list[dict[str, int]], labels: list[int], frequency: dict[str, int]):
         self.labels = np.array(labels, np.float32)
-        seen = Counter(t for c in counts for t in c)
-        self.terms = {t: i for i, (t, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TERMS])}
-        self.terms.setdefault(OTHER, len(self.terms))
-        df = np.array([seen.get(t, 0) for t in self.terms], np.float32)
-        self.idf = np.log((len(counts) + 1) / (df + 1)) + 1
+        self.terms = {t: i for i, t in enumerate(sorted({*frequency, OTHER}))}
+        df = np.array([frequency.get(t, 0) for t in self.terms], np.float32)
+        weight = np.array([WEIGHT[kind_of(t)] for t in self.terms], np.float32)
+        self.idf = (np.log((len(counts) + 1) / (df + 1)) + 1) * weight
         rows = self.rows(counts)
         gram = rows.T.astype(np.float64) @ rows
         _, vectors = np.linalg.eigh(gram)
@@ -65,14 +75,27 @@ class Model:
         self.latent = self._unit(rows @ self.axes)
         self.prior = float(self.labels.mean())
 
+    @staticmethod
+    def known(count: dict[str, int], terms) -> dict[str, int]:
+        """``count`` by terms that are known; other shapes are one term, other
+        words none.  As every word has a shape, shapes sum up to the words."""
+        out: dict[str, int] = {}
+        for term, n in count.items():
+            if term not in terms:
+                if term[0] == " ":
+                    continue
+                term = OTHER
+            out[term] = out.get(term, 0) + n
+        return out
+
     def rows(self, counts: list[dict[str, int]]) -> np.ndarray:
         out = np.zeros((len(counts), len(self.terms)), np.float32)
-        other = self.terms[OTHER]
-        for row, count in zip(out, counts, strict=True):
-            for term, n in count.items():
-                row[self.terms.get(term, other)] += n
-        words = out.sum(axis=1, keepdims=True)
-        return np.sqrt(out / np.where(words > 0, words, 1)) * self.idf
+        words = np.ones((len(counts), 1), np.float32)
+        for i, (row, count) in enumerate(zip(out, counts, strict=True)):
+            for term, n in self.known(count, self.terms).items():
+                row[self.terms[term]] = n
+            words[i] = max(1, sum(n for t, n in count.items() if t[0] != " "))
+        return np.sqrt(out / words) * self.idf
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -105,23 +128,47 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model | None:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE),
         "labelled",
     )
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [term_counts(t) for t in batch.column(1).to_pylist()]
-            terms = [sorted(c, key=lambda t: (-c[t], t))[:TERMS] for c in counts]
-            numbers = [[c[t] for t in ts] for c, ts in zip(counts, terms, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(terms, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())),
+                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))],
                 ["doc_id", "quality", "terms", "numbers"],
             )
 
-    # the sample has SAMPLE rows at most, so it may be broadcast and its counts collected
+    # the sample has SAMPLE rows at most, so it may be broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
     counted = texts.mapInArrow(count, f"doc_id {kind}, quality int, terms array<string>, numbers array<long>")
-    rows = counted.orderBy("doc_id", F.hash("terms", "numbers")).limit(SAMPLE).collect()
-    return Model([dict(zip(r["terms"], r["numbers"], strict=True)) for r in rows], [r["quality"] for r in rows]) if rows else None
+    # a doc_id may come more than once: of its texts the one with the least hash stands for it
+    held = staged(counted.withColumn("order", F.xxhash64("terms", "numbers")), "term-counts")
+    first = held.groupBy("doc_id").agg(F.min("order").alias("order"))
+    held = held.join(F.broadcast(first), ["doc_id", "order"]).dropDuplicates(["doc_id"])
+    held = staged(held.select("doc_id", "quality", "terms", "numbers"), "sample-counts")
+    seen = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    frequency: dict[str, int] = {}
+    for name, most in TERMS.items():
+        of_kind = seen.where(F.startswith("term", F.lit(" ")) == F.lit(name == "word"))
+        frequency |= {r["term"]: r["n"] for r in of_kind.orderBy(F.desc("n"), "term").limit(most).collect()}
+
+    names = held.columns
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("terms").to_pylist(), batch.column("numbers").to_pylist(), strict=True)
+            known = [Model.known(dict(zip(*p, strict=True)), frequency) for p in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("quality"), pa.array([list(c) for c in known], pa.list_(pa.string())),
+                 pa.array([list(c.values()) for c in known], pa.list_(pa.int64()))],
+                names,
+            )
+
+    # of each text the driver gets its known terms, and one for all other shapes: bounded by TERMS
+    rows = held.mapInArrow(reduce, held.schema).orderBy("doc_id").collect()
+    counts = [dict(zip(r["terms"], r["numbers"], strict=True)) for r in rows]
+    return Model(counts, [r["quality"] for r in rows], frequency) if rows else None
 
 
 def scorer(docs: DataFrame, model: Model | None):
@@ -130,9 +177,11 @@ def scorer(docs: DataFrame, model: Model | None):
 
     @once
     @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        return pd.Series(own.scores(texts.tolist()) if own else np.full(len(texts), 0.5))
+        for texts in batches:
+            yield pd.Series(own.scores(texts.tolist()) if own else np.full(len(texts), 0.5))
+        give_back()
 
     return score
 

@@ -8,13 +8,14 @@ fences are those of its own sketch and its language's, weighted by its rows; row
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import once, staged
+from .common import give_back, once, staged
 
 SYMBOLS = "#*$%&|<>"
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -51,8 +52,10 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 @once
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-def counts_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_counts(t) for t in texts], columns=COUNTS)
+def counts_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        yield pd.DataFrame([text_counts(t) for t in texts], columns=COUNTS)
+    give_back()
 
 
 BASE_FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
