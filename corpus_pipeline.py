@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparquill.llm import bpe, mixing, near_dup, quality_model, quality_rules
-from sparquill.llm.common import staged, table
+from sparquill.llm.common import Scratch, small_batches, table
 
 #: Word shingles and threshold of the near-duplicate stage.
 NEAR = near_dup.Rule(words=5, percent=80)
@@ -20,6 +20,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learnt fences keep."""
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
@@ -58,9 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = staged(docs, f"stage-{number}")
-    return docs
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        used, docs = docs, scratch.staged(stage(spark, docs, sf_dir), "stage")
+        scratch.drop(used)
+    return STAGES[-1][1](spark, docs, sf_dir)
