@@ -1,7 +1,7 @@
 """Languages of words, spans and whole texts.
 
-Letters' script ranges leave a word with the languages that use its script.
-Character trigrams, with word ends, score each word for each language.  The
+Letters' script ranges leave a word with the languages that use the scripts of
+most of its letters.  Character trigrams, with word ends, score each word for each language.  The
 best path over a text's words, with a penalty for every change of language,
 labels spans of mixed-language text.
 """
@@ -18,14 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import once, staged
+from .common import give_back, once, staged
 from .quality_model import held_out
 
 # Parameters.
 SAMPLE = 8192  # labelled texts of a language that fit its scores: all up to here, about so many of more
 BINS = 1 << 16  # of hashed trigrams
 SWITCH = 14.0  # penalty, in nats, for a change of language
-WORD_LIMIT = 5.0  # most that one word may speak for a language, in nats
+WORD_LIMIT = 5.0  # most that one word may speak for a language among those of its script, in nats
+BARRED = 1000.0  # nats against a language that does not use the word's script: more than any run of words gains by it
 SCRIPT_SHARE = 0.02  # of a language's letters, from which it uses a script
 FIT_PARTS = 8
 CHUNK_CHARS = 2_000_000
@@ -75,7 +76,6 @@ class Words:
         self.trigrams = mixed >> np.uint32(16)
         self.starts = np.flatnonzero(code[at - 1] == 0)  # into the letters
         self.sizes = np.diff(np.append(self.starts, len(at)))
-        self.scripts = script[at[self.starts]]
         self.letter_scripts = script[at]
         #: First word of each text, and one after the last.
         self.bounds = np.concatenate([[0], np.searchsorted(at[self.starts] - 1, ends)])
@@ -91,17 +91,30 @@ class Model:
         self.uses = used.T  # (scripts, languages)
         self.prior = int(texts.argmax())
 
+    def candidates(self, words: Words) -> np.ndarray:
+        """(words, languages): those that use the scripts of most of a word's letters;
+        all of them for a word in scripts that no language uses."""
+        first = words.letter_scripts[words.starts]
+        out = self.uses[first]
+        mixed = np.add.reduceat((words.letter_scripts != np.repeat(first, words.sizes)).astype(np.int64), words.starts) > 0
+        for i in np.flatnonzero(mixed):
+            start = words.starts[i]
+            held = self.uses[words.letter_scripts[start : start + words.sizes[i]]].sum(axis=0)
+            out[i] = (held == held.max()) & (held > 0)
+        out[~out.any(axis=1)] = True
+        return out
+
     def word_scores(self, words: Words) -> np.ndarray:
-        """(words, languages): nats below the best language, limited per word."""
+        """(words, languages): nats below the best candidate, limited per word;
+        BARRED for languages that are none."""
         if not len(words.starts):
             return np.zeros((0, len(self.languages)))
         out = np.add.reduceat(self.scores[words.trigrams], words.starts, axis=0).astype(np.float64)
-        uses = self.uses[words.scripts]
-        none = ~uses.any(axis=1)
-        out[~uses] = -np.inf
-        out[none] = 0  # no language uses the script: no evidence
-        out -= out.max(axis=1, keepdims=True)
-        return np.maximum(out, -WORD_LIMIT)
+        first = words.letter_scripts[words.starts]
+        out[~self.uses[first].any(axis=1)] = 0  # no language uses the script: no evidence
+        fits = self.candidates(words)
+        out -= np.where(fits, out, -np.inf).max(axis=1, keepdims=True)
+        return np.where(fits, np.clip(out, -WORD_LIMIT, 0), -BARRED)
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The language of each word on the best path.
@@ -175,13 +188,16 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
                 own = sums.setdefault(lang, [np.zeros(BINS, np.int64), np.zeros(n_scripts, np.int64)])
                 own[0] += np.bincount(words.trigrams, minlength=BINS)
                 own[1] += np.bincount(words.letter_scripts, minlength=n_scripts)
+        give_back()
         rows = [(k, a.astype(np.float32).tobytes(), b.tobytes()) for k, (a, b) in sums.items()]
         columns = list(zip(*rows, strict=True)) or [[]] * 3
         kinds = [pa.string(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "trigrams", "scripts"])
 
     # the sample has about SAMPLE rows of a language at most, so it may be broadcast and meet in few parts
-    texts = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    texts = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    # of texts that share a doc_id and language one stands for all, so the sample stays bounded
+    texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
     rows = texts.repartition(FIT_PARTS).mapInArrow(count, "lang string, trigrams binary, scripts binary").collect()
     if not rows:
         return None
@@ -208,7 +224,8 @@ def identify(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
 
     Rows whose crc32(doc_id) mod ``parts`` is ``part`` are held out of fitting.
     Texts without a letter (null, empty) are ``und`` with score 0 and no spans;
-    so are all if no row has a language.  Scripts that no learnt language uses
+    so are all if no row has a language.  A word belongs to a language that uses
+    its script; words in scripts that none uses follow their neighbours, and alone
     fall to the most frequent language.  Repeated rows are labelled alike;
     other columns are ignored.
     """
@@ -216,10 +233,12 @@ def identify(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
 
     @once
     @F.pandas_udf(LABELLED)
-    def label(texts: pd.Series) -> pd.DataFrame:
-        rows = model.value.label(texts.tolist()) if model.value else ((UNDETERMINED, 0.0, []) for _ in texts)
-        out = [(lang, score, [dict(zip(("first_word", "n_words", "lang"), s, strict=True)) for s in spans]) for lang, score, spans in rows]
-        return pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = model.value.label(texts.tolist()) if model.value else ((UNDETERMINED, 0.0, []) for _ in texts)
+            out = [(lang, score, [dict(zip(("first_word", "n_words", "lang"), s, strict=True)) for s in spans]) for lang, score, spans in rows]
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
+        give_back()
 
     rows = docs.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), label("text").alias("found"))
     return rows.select("doc_id", "held_out", "found.*")

@@ -167,3 +167,32 @@ def test_best_path_equals_exhaustive_search():
         scores = -random_.random((9, 2)) * langid.WORD_LIMIT * 2
         value = lambda p: sum(scores[i, s] for i, s in enumerate(p)) - langid.SWITCH * sum(x != y for x, y in itertools.pairwise(p))
         assert value(model.path(scores)) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=9))))
+
+
+def test_scripts_narrow_the_languages(spark):
+    rows = [(i, "the dog and the cat went home", "en") for i in range(50)] + [(100 + i, "\u043a\u043e\u0442 \u0438 \u0441\u043e\u0431\u0430\u043a\u0430", "ru") for i in range(5)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    words = langid.Words(["the \u0436\u0443\u043a \u0436aa \u65e5\u672c"])
+    scores = model.word_scores(words)
+    assert model.languages == ["en", "ru"] and model.candidates(words).tolist() == [[True, False], [False, True], [True, False], [True, True]]
+    assert scores[0, 1] == scores[1, 0] == -langid.BARRED and scores[3].tolist() == [0, 0]
+    (lang, score, spans), = model.label(["the cat and the \u0436\u0443\u043a"])
+    assert lang == "en" and spans == [(0, 4, "en"), (4, 1, "ru")]
+
+
+def test_path_equals_plain_viterbi_on_real_words(spark):
+    """The short cut for texts of one language, against the recursion over all words."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs, F.lit(True))
+    texts = [r["text"] for r in docs.limit(60).collect()]
+    texts = [a[:400] + " " + b[:300] for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    for text in texts:
+        scores = model.word_scores(langid.Words([text]))
+        best = scores[0].copy()
+        for row in scores[1:]:
+            best = np.maximum(best, best.max() - langid.SWITCH) + row
+        path = model.path(scores)
+        got = scores[np.arange(len(path)), path].sum() - langid.SWITCH * (path[1:] != path[:-1]).sum()
+        assert got == pytest.approx(best.max())
