@@ -52,20 +52,29 @@ HOST_RULES = (
     HostRule("com", "/de/", "block"),
 )
 
-# Pattern rules for what no host rule decides.
+# What no host rule decides.  Path steps of forms, accounts, shops, traps and
+# machine files; parameters of sessions, replies, sharing and printing; words of hosts; files.
+PATH_STEPS = (
+    "login", "logout", "signin", "signup", "register", "cart", "basket", "checkout", "wp-admin", "wp-json", "wp-login.php", "xmlrpc.php",
+    "cgi-bin", "admin", "search", "feed", "rss", "trackback", "print", "comment-page-1", "lost-password", "privacy-policy", "cookie-policy",
+    "terms-of-service", "unsubscribe", "captcha",
+)
+PARAMETERS = ("sessionid", "phpsessid", "jsessionid", "sid", "replytocom", "share", "print", "add-to-cart", "utm_redirect", "redirect_to", "captcha")
+HOST_WORDS = ("casino", "poker", "porn", "xxx", "escort", "viagra", "adserver", "doubleclick", "tracker")
+FILE_ENDS = ("exe", "zip", "rar", "dmg", "apk", "iso", "jpg", "jpeg", "png", "gif", "mp3", "mp4", "css", "js")
+
+
+def literals_of(text: str) -> tuple[str, ...]:
+    """The tokens of a literal text, which stand whole in a URL as the pattern guards both ends."""
+    return tuple(dict.fromkeys(TOKEN.findall(text)))
+
+
 PATTERN_RULES = (
-    PatternRule("login page", r"/(?:account/)?login(?:[/?#.]|$)", ("login",)),
-    PatternRule("wp login", r"/wp-login\.php", ("wp", "login")),  # not php: .php5 matches too
-    PatternRule("cart", r"/cart(?:[/?#.]|$)", ("cart",)),
-    PatternRule("checkout", r"/checkout(?:[/?#.]|$)", ("checkout",)),
-    PatternRule("session id", r"[?&;]sessionid=", ("sessionid",)),
-    PatternRule("php session", r"[?&;]phpsessid=", ("phpsessid",)),
-    PatternRule("casino host", r"://[^/?#]*\bcasino\b", ("casino",)),
-    PatternRule("porn host", r"://[^/?#]*\bporn\b", ("porn",)),
-    PatternRule("executable", r"\.exe(?:[?#]|$)", ("exe",)),
-    PatternRule("archive", r"\.zip(?:[?#]|$)", ("zip",)),
-    PatternRule("paged listing", r"[?&]page=[0-9]+&ref=", ("page", "ref")),
-    PatternRule("calendar trap", r"/calendar/[0-9]{4}/[0-9]{2}", ("calendar",)),
+    *(PatternRule(f"step {s}", rf"/{re.escape(s)}(?:[/?#]|$)", literals_of(s)) for s in PATH_STEPS),
+    *(PatternRule(f"parameter {p}", rf"[?&;]{re.escape(p)}=", literals_of(p)) for p in PARAMETERS),
+    *(PatternRule(f"host {w}", rf"://(?:[^/?#]*[^a-z0-9/?#])?{w}(?:[^a-z0-9]|$)", (w,)) for w in HOST_WORDS),
+    *(PatternRule(f"file {e}", rf"\.{e}(?:[?#]|$)", (e,)) for e in FILE_ENDS),
+    PatternRule("calendar", r"/calendar/[0-9]{4}/[0-9]{2}(?:[/?#]|$)", ("calendar",)),
 )
 
 

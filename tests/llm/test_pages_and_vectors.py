@@ -116,23 +116,32 @@ def test_url_rules(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(frame).collect()}
     assert got[0] == ("example.org", "/es/1", "example.org/es/", "block") and got[1] == ("sub.example.org", "/en/12", "example.org/en/1", "block")
     assert got[2][2:] == ("org/", "allow") and got[3][2:] == ("com/fr/", "allow") and got[4][2:] == ("com/de/", "block") and got[5][2] is None
-    assert [got[i][3] for i in range(6, 10)] == ["block", "allow", "block", "block"]
+    assert [got[i][3] for i in range(6, 10)] == ["block", "allow", "block", "allow"]
     assert all(got[i][:2] == ("", "") and got[i][3] == "allow" for i in (10, 11, 12)) and got[13][:2] == ("b", "") and got[14][:2] == ("h", "")
     assert url_filter.filter_urls(frame.limit(0)).count() == 0
 
 
 def test_verdicts_do_not_hang_on_the_literal(spark):
     """What a rule's pattern matches holds each literal as a whole token, whatever stands beside it."""
-    urls = [
-        "http://h/login", "http://h/account/login?a", "http://h/wp-login.php", "http://h/wp-login.php5", "http://h/wp-login.phpx", "http://h/cart", "http://h/checkout/1",
-        "http://h/?sessionid=1", "http://h/?a;phpsessid=1", "http://a.casino.net/", "http://porn-x.net/", "http://h/a.exe?b", "http://h/a.zip#b",
-        "http://h/?page=1&ref=", "http://h/?a&page=22&ref=b", "http://h/calendar/2020/012",
-    ]
+    urls = [f"http://h/{x}{tail}" for x in (*url_filter.PATH_STEPS, "calendar/2020/01") for tail in ("", "/1", "?a", "#b", "5", "x")]
+    urls += [f"http://h/p{sign}{p}=1" for p in url_filter.PARAMETERS for sign in ("?", "?a&", "?a;")]
+    urls += [f"http://{host}/" for w in url_filter.HOST_WORDS for host in (w, f"a.{w}.net", f"{w}-x.net", f"x{w}.net", f"a.{w}:80")]
+    urls += [f"http://h/a.{e}{tail}" for e in url_filter.FILE_ENDS for tail in ("", "?b", "#c", "x")]
     for rule in url_filter.PATTERN_RULES:
         found = [u for u in urls if re.search(rule.pattern, u)]
         assert found and all(t in url_filter.TOKEN.findall(u) for u in found for t in rule.literals), rule.name
-    alone = spark.createDataFrame([(1, "http://h/wp-login.php5")], "page_id long, url string")
-    assert [r["verdict"] for r in url_filter.filter_urls(alone).collect()] == ["block"]
+    alone = spark.createDataFrame([(1, "http://h/wp-login.php"), (2, "http://h/wp-login.php5")], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.filter_urls(alone).orderBy("page_id").collect()] == ["block", "allow"]
+
+
+def test_index_gives_what_every_pattern_gives(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").limit(200)
+    more = [f"http://h{i}.net/{s}" for i, s in enumerate(url_filter.PATH_STEPS)] + ["http://casino.net/a.zip?sid=1", "http://h/wp-json/feed"]
+    rows = rows.union(spark.createDataFrame([(-i, u) for i, u in enumerate(more, 1)], "page_id long, url string"))
+    for r in url_filter.filter_urls(rows).collect():
+        low = r["url"].lower()
+        first = next((p.name for p in url_filter.PATTERN_RULES if re.search(p.pattern, low)), None)
+        assert r["pattern"] == first, r["url"]
 
 
 def test_rules_hang_on_their_rarest_literal():
