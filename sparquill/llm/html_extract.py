@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, staged
+from .common import give_back, lower_ascii, staged
 
 # Tags by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,11 +31,15 @@ BOILERPLATE_TAGS = frozenset(
     "aside button canvas dialog footer form head header iframe input label menu nav noscript object option script select style svg"
     " template textarea title".split()
 )
+HEADINGS = ("h1", "h2", "h3")
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus"
     " footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related"
     " respond share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# A class or id with such a word tells a state, not what the element is for; the others name what holds an article.
+STATE_WORDS = frozenset("allowed closed disabled enabled free has hide is no off on open with without".split())
+ARTICLE_WORDS = frozenset("article content entry hentry main page post story text".split())
 # Open elements of the first kind end where one of the second begins.
 ENDED_BY = {
     "p": BLOCK - {"body", "head", "html"},
@@ -56,19 +60,28 @@ ROOT = 0
 
 
 class Page:
-    """A light tree: per node its tag, path step, parent and whether it is
+    """A light tree: per node its tag, path, parent and whether it is
     boilerplate; texts and block boundaries in page order."""
 
     def __init__(self, source: str):
-        self.tags, self.steps, self.parents, self.drop = [""], [""], [ROOT], [False]
+        self.tags, self.parents, self.drop = [""], [ROOT], [False]
+        self.soft = [""]  # why a node may be boilerplate: form, header or named; "hard" for what always is
+        #: Nearest container and block around a node, and whether it is in a link below that container.
+        self.home, self.block, self.linked = [ROOT], [ROOT], [False]
+        #: Paths are numbered: of each node, and of each step below a path; steps with the path above.
+        self.paths, self.below, self.steps = [0], {}, [(0, "")]
         self.flow: list[tuple[int, str | None]] = []  # (node, text); None: a block begins or ends; " ": line break
-        stack = [ROOT]
+        self.stack = [ROOT]
+        #: Places in the stack: of each tag, of walls, and of what may end without an end tag.
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.ending: list[int] = []
         at = 0
         while True:
             m = TAG.search(source, at)
             text = source[at : m.start() if m else len(source)]
             if text:
-                self.flow.append((stack[-1], text))
+                self.flow.append((self.stack[-1], text))
             if not m:
                 break
             at = m.end()
@@ -76,52 +89,116 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                self._end(tag, stack)
+                self._end(tag)
             else:
-                self._start(tag, m[3], stack)
+                self._start(tag, m[3])
                 if tag in RAW and not m[3].endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
-                    stack.pop()
+                    self._cut(len(self.stack) - 1)
+        self._settle()
 
-    def _start(self, tag: str, attributes: str, stack: list[int]) -> None:
-        while len(stack) > 1:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if self.tags[stack[i]] in ENDED_BY or self.tags[stack[i]] in WALLS), 0)
-            if not i or tag not in ENDED_BY.get(self.tags[stack[i]], ()):
-                break
-            del stack[i:]
+    def _start(self, tag: str, attributes: str) -> None:
+        while self.ending and tag in ENDED_BY.get(self.tags[self.stack[self.ending[-1]]], ()):
+            self._cut(self.ending[-1])
         names = {k.lower(): (a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = set(re.split(r"[^a-z]+", f"{names.get('class', '')} {names.get('id', '')}")) if names else ()
-        parent = stack[-1]
-        node = len(self.tags)
+        parent, node = self.stack[-1], len(self.tags)
         self.tags.append(tag)
-        self.steps.append(re.sub(r"\d+", "0", ".".join([tag, *names.get("class", "").split()])))
         self.parents.append(parent)
-        hidden = "hidden" in names or names.get("aria-hidden") == "true" or names.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search")
-        self.drop.append(self.drop[parent] or tag in BOILERPLATE_TAGS or hidden or not BOILERPLATE_WORDS.isdisjoint(words))
+        step = re.sub(r"\d+", "0", ".".join([tag, *names.get("class", "").replace(">", "").split()]))
+        above = self.paths[parent]
+        if (above, step) not in self.below:
+            self.below[above, step] = len(self.steps)
+            self.steps.append((above, step))
+        self.paths.append(self.below[above, step])
+        container = tag in CONTAINERS
+        self.home.append(node if container else self.home[parent])
+        self.linked.append(not container and (tag == "a" or self.linked[parent]))
+        self.block.append(node if tag in BLOCK else self.block[parent])
+        self.soft.append(self._kind(tag, names))
         if tag in BLOCK:
             self.flow.append((node, None))
         elif tag == "br":
             self.flow.append((parent, " "))
         if tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+            place = len(self.stack)
+            self.stack.append(node)
+            self.places.setdefault(tag, []).append(place)
+            if tag in WALLS:
+                self.walls.append(place)
+            if tag in WALLS or tag in ENDED_BY:
+                self.ending.append(place)
 
-    def _end(self, tag: str, stack: list[int]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            open_tag = self.tags[stack[i]]
-            if open_tag == tag:
-                del stack[i:]
-                break
-            if open_tag in WALLS and tag not in WALLS:
-                break
+    @staticmethod
+    def _kind(tag: str, names: dict[str, str]) -> str:
+        if "hidden" in names or names.get("aria-hidden") == "true" or names.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search"):
+            return "hard"
+        if tag in ("form", "header"):
+            return tag
+        if tag in BOILERPLATE_TAGS:
+            return "hard"
+        if not names or tag in ("html", "body", "article", "main"):
+            return ""
+        named = article = False
+        for token in f"{names.get('class', '')} {names.get('id', '')}".split():
+            words = set(re.split(r"[^a-z]+", token))
+            if BOILERPLATE_WORDS.isdisjoint(words):
+                article = article or not ARTICLE_WORDS.isdisjoint(words)
+            elif STATE_WORDS.isdisjoint(words):
+                named = True
+        return "named" if named and not article else ""
+
+    def _cut(self, place: int) -> None:
+        """Closes what is open from this place of the stack on."""
+        while len(self.stack) > place:
+            self.places[self.tags[self.stack.pop()]].pop()
+        for places in (self.walls, self.ending):
+            while places and places[-1] >= place:
+                places.pop()
+
+    def _end(self, tag: str) -> None:
+        if places := self.places.get(tag):
+            if tag in WALLS or not self.walls or self.walls[-1] <= places[-1]:
+                self._cut(places[-1])
         if tag in BLOCK:
-            self.flow.append((stack[-1], None))
+            self.flow.append((self.stack[-1], None))
+
+    def _settle(self) -> None:
+        """What is boilerplate, once it is known what each element holds.
+
+        A form or an element named like boilerplate that holds an article or main
+        stays, as does a form around most of the page's text, and an article's
+        own header if it holds a heading."""
+        n = len(self.tags)
+        hard, inside = [False] * n, [False] * n
+        for i in range(1, n):
+            up = self.parents[i]
+            hard[i] = hard[up] or self.soft[i] == "hard"
+            inside[i] = inside[up] or self.tags[up] in ("article", "main")
+        size, whole, headed = [0] * n, [False] * n, [False] * n
+        for i, text in self.flow:
+            if text and not hard[i]:
+                size[i] += len(text.strip())
+        for i in range(n - 1, 0, -1):  # children come after their parents
+            up = self.parents[i]
+            size[up] += size[i]
+            whole[up] = whole[up] or whole[i] or self.tags[i] in ("article", "main")
+            headed[up] = headed[up] or headed[i] or self.tags[i] in HEADINGS
+        for i in range(1, n):
+            kind = self.soft[i]
+            stays = (
+                not kind
+                or kind == "header" and inside[i] and headed[i]
+                or kind in ("form", "named") and whole[i]
+                or kind == "form" and 2 * size[i] > size[ROOT]
+            )
+            self.drop.append(self.drop[self.parents[i]] or not stays)
 
     def path(self, node: int) -> str:
-        steps = []
-        while node != ROOT:
-            steps.append(self.steps[node])
-            node = self.parents[node]
+        steps, number = [], self.paths[node]
+        while number:
+            number, step = self.steps[number]
+            steps.append(step)
         return ">".join(steps[::-1])
 
     def gains(self) -> list[float]:
@@ -130,11 +207,7 @@ class Page:
         for node, text in self.flow:
             if text and not self.drop[node]:
                 length = len(text.strip())
-                linked = False
-                while node != ROOT and self.tags[node] not in CONTAINERS:
-                    linked = linked or self.tags[node] == "a"
-                    node = self.parents[node]
-                gain[node] += -length if linked else length
+                gain[self.home[node]] += -length if self.linked[node] else length
         return gain
 
     def scores(self, gain: list[float]) -> dict[int, float]:
@@ -160,8 +233,7 @@ class Page:
         headed = [False] * len(self.tags)
         for n, text in self.flow:
             if text and not self.drop[n] and text.strip():
-                while n != ROOT and self.tags[n] not in BLOCK:
-                    n = self.parents[n]
+                n = self.block[n]
                 headed[n] = headed[n] or self.tags[n] == "h1"
         for n in range(len(held) - 1, 0, -1):
             held[self.parents[n]] += held[n]
@@ -179,15 +251,15 @@ class Page:
         return next((n for n in above[above.index(node) :] if headed[n]), node)
 
     def nodes_on(self, path: str) -> list[int]:
-        last = path.rpartition(">")[2]
-        return [n for n in range(1, len(self.tags)) if self.steps[n] == last and not self.drop[n] and self.path(n) == path]
+        number = 0
+        for step in path.split(">"):
+            number = self.below.get((number, step), -1)
+        return [n for n in range(1, len(self.tags)) if self.paths[n] == number and not self.drop[n]]
 
     def text(self, chosen: list[int]) -> str:
-        inside = [False] * len(self.tags)
+        inside, of = [ROOT in chosen] * len(self.tags), set(chosen)
         for n in range(1, len(self.tags)):
-            inside[n] = n in chosen or inside[self.parents[n]]
-        if ROOT in chosen:
-            inside = [True] * len(self.tags)
+            inside[n] = n in of or inside[self.parents[n]]
         blocks, parts = [], []
         for node, text in [*self.flow, (ROOT, None)]:
             if text is None:
@@ -212,6 +284,7 @@ def votes(pages: DataFrame) -> DataFrame:
                     hosts.append(host)
                     paths.append(page.path(best))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
+        give_back()
 
     rows = pages.select(host_of_page().alias("host"), "html").mapInArrow(vote, "host string, path string")
     return rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
@@ -242,6 +315,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 page = Page(source or "")
                 texts.append(page.text((page.nodes_on(path) if path else []) or [page.best()]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        give_back()
 
     rows = pages.select("page_id", "url", "html", host_of_page().alias("_own_host"))
     joined = rows.join(winner, F.col("_own_host") == F.col("_host"), "left").select("page_id", "url", "html", "path")

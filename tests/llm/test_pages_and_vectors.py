@@ -53,6 +53,49 @@ def test_nothing_of_an_article_is_lost(spark):
     assert len(got) == len(rows)
 
 
+def best_text(source):
+    page = html_extract.Page(source)
+    return page.text([page.best()])
+
+
+def test_articles_named_or_wrapped_like_boilerplate():
+    body = "<p>" + "long text " * 40 + "</p>"
+    want = "Title\n\n" + ("long text " * 40).strip()
+    menu = "<header><h1>Site</h1></header><div class=share-box>share</div><div class='post-comments'><p>a comment</p></div>"
+    for page in (
+        f"<body>{menu}<article><header><h1>Title</h1></header>{body}</article></body>",
+        f"<body>{menu}<div class='post share-enabled'><h1>Title</h1>{body}</div></body>",
+        f"<body class='has-sidebar'>{menu}<div class=no-sidebar><h1>Title</h1>{body}</div></body>",
+        f"<body>{menu}<article class='post social'><h1>Title</h1>{body}</article></body>",
+        f"<body><form action=/x>{menu}<div class=main><h1>Title</h1>{body}</div></form></body>",
+        f"<body><div class=social>{menu}<main><h1>Title</h1>{body}</main></div></body>",
+        f"<body>{menu}<div class=page-content><h1>Title</h1>{body}<form><p>mail address</p></form></div></body>",
+    ):
+        assert best_text(page) == want, page
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    for page in ("<b>" * 30_000 + "x", "<div>" * 30_000 + "x", "<p>a<b>" * 30_000, "<table><tr><td>" * 10_000 + "x", "</b>" * 30_000, "<p>" + "word " * 1_000_000):
+        began = time.process_time()
+        best_text(page)
+        assert time.process_time() - began < 3
+
+
+def test_extraction_equals_the_winning_path_by_hand(spark, sf_dir):
+    """The test pages have one article each: its blocks, cut out by patterns."""
+    import html
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"(?s)<article>(.*?)(?:</article>|$)", r["html"])[1]
+        blocks = re.split(r"</?(?:h1|p)>", inner)
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", b))).split()) for b in blocks]
+        assert got[r["page_id"]] == "\n\n".join(b for b in plain if b), r["page_id"]
+
+
 def test_broken_markup():
     for source in ("<", "<a", "<p>a<", "<p class=\"x>y", "<!-- open", "<script>x", "</div></p>", "<div>" * 3000 + "x", "&#xD800;&#0;&bogus;&amp"):
         html_extract.Page(source).text([0])
