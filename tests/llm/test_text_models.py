@@ -34,6 +34,39 @@ def test_license_scan(spark, messy, nothing, sf_dir):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+def brute_labels(words, index):
+    """Every template at every place, without the index."""
+    best = {}
+    for t, label in enumerate(index.labels):
+        for origin in range(-len(index.notices[t]), len(words)):
+            if index._verified(t, origin, words):
+                best[label] = max(best.get(label, 0.0), index._score(t, origin, words))
+    return {k: v for k, v in best.items() if v >= license_scan.LEAST_SCORE}
+
+
+def test_index_finds_what_every_place_gives(spark, sf_dir):
+    import random
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n, frequency = license_scan.document_frequencies(docs, license_scan.TEMPLATES)
+    index = license_scan.Index(license_scan.TEMPLATES, n, frequency)
+    random_ = random.Random(5)
+    filler = "the and of software license copy to some other words".split()
+    for t in license_scan.TEMPLATES:
+        for damage in (0, 0, 1, 2):
+            notice = t.notice.split()
+            for _ in range(damage):
+                del notice[random_.randrange(len(notice))]
+            text = " ".join(random_.choices(filler, k=random_.randint(0, 30)) + notice + random_.choices(filler, k=20))
+            words = license_scan.words_of(text)
+            got = {k: v for k, v in index.scan(words, set(words)).items() if v >= license_scan.LEAST_SCORE}
+            assert got == pytest.approx(brute_labels(words, index)), text
+            assert damage or t.label in got, text
+    for text in [r["text"] for r in docs.where("contains(text, 'icense')").limit(10).collect()]:
+        words = license_scan.words_of(text[:1500])
+        assert {k: v for k, v in index.scan(words, set(words)).items() if v >= license_scan.LEAST_SCORE} == pytest.approx(brute_labels(words, index))
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
