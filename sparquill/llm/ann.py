@@ -13,16 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import give_back, staged
 
 # Parameters.
 CENTROIDS = 16  # a code has four bits
 SAMPLE = 16_384  # vectors that fit the centroids
 CHUNK_ROWS = 4096
+PART_ROWS = 65_536  # of chunks that a block of queries meets in one task; fewer while there are few tasks
 RERANKED = 200  # of each chunk, for each query
 THRESHOLD = 0.2  # score, as a share of the norm, from which errors matter
 FIT_ROUNDS, CODE_ROUNDS = 6, 2
@@ -129,86 +131,114 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part: ids and vectors that are
-    not null, of the most frequent length (of equal ones the longer), all of
-    whose components are finite and not all zero."""
+    """vec_id and embedding (float or double) of the rows that take part: ids and
+    vectors that are not null, whose components are all finite and not all zero."""
     finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = vectors.select("vec_id", "embedding").where(
+    exact = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    embedding = F.col("embedding") if exact else F.col("embedding").cast("array<double>")
+    return vectors.select("vec_id", embedding.alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda e: e != 0)
     )
-    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("embedding") == (lengths["n"] if lengths else 0))
+
+
+def fitted(rows: DataFrame) -> dict[int, Quantizer]:
+    """A quantizer for each length of vectors that a sample of SAMPLE rows has
+    often enough; vectors of other lengths have no codes and are all reranked."""
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select(F.col("embedding").cast("array<double>").alias("e")).toPandas()["e"]
+    by_length: dict[int, list] = {}
+    for vector in sample:
+        by_length.setdefault(len(vector), []).append(vector)
+    return {n: Quantizer.fit(np.array(v, np.float64)) for n, v in by_length.items() if len(v) >= CENTROIDS}
 
 
 def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by
     ``every`` its k nearest other rows (all, if fewer).
 
-    Rows that repeat a vec_id are rows of their own; a query skips only its own
-    row, and queries that repeat a vec_id are answered together.  Ties go to the
-    smaller vec_id.  A table without usable vectors gives no rows.
+    Only vectors of a query's own length have a product with it and are its
+    candidates.  Rows that repeat a vec_id are rows of their own; a query skips
+    only its own row, and queries that repeat a vec_id are answered together.
+    Ties go to the smaller vec_id.  A table without usable vectors gives no rows.
+    Components other than float are taken as double.
     """
     rows = usable(vectors)
+    kind = np.float32 if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
     n_rows = rows.count()
-    n_parts = max(1, -(-n_rows // CHUNK_ROWS))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    quantizer = Quantizer.fit(np.array(sample.tolist(), np.float64)) if len(sample) else None
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    n_parts = max(1, min(-(-n_rows // CHUNK_ROWS), max(tasks, -(-n_rows // PART_ROWS))))
+    quantizers = fitted(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, data = [], []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def packed(n: int, whole: bool) -> Iterator[pa.RecordBatch]:
+            ids, data = (np.concatenate(x) for x in zip(*held[n], strict=True))
+            full = len(ids) if whole else len(ids) // CHUNK_ROWS * CHUNK_ROWS
+            held[n] = [(ids[full:], data[full:])]
+            for i in range(0, full, CHUNK_ROWS):
+                end = min(i + CHUNK_ROWS, full)
+                order = i + np.argsort(ids[i:end], kind="stable")
+                codes = quantizers[n].encode(data[order].astype(np.float64)).tobytes() if n in quantizers else b""
+                binary = [pa.array([x], pa.binary()) for x in (ids[order].tobytes(), data[order].tobytes(), codes)]
+                numbers = [pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), n)]
+                yield pa.RecordBatch.from_arrays([*numbers, *binary], ["part", "length", "ids", "vectors", "codes"])
+
         for batch in batches:
-            ids.append(batch.column(0).to_numpy())
-            flat = batch.column(1).flatten().to_numpy()
-            data.append(flat.reshape(batch.num_rows, -1).astype(np.float32) if batch.num_rows else np.zeros((0, 1), np.float32))
-        if not ids or not sum(map(len, ids)):
-            return
-        ids, data = np.concatenate(ids).astype(np.int64), np.concatenate([d for d in data if len(d)])
-        order = np.argsort(ids, kind="stable")
-        for i in range(0, len(ids), CHUNK_ROWS):
-            part = order[i : i + CHUNK_ROWS]
-            binary = [[x.tobytes()] for x in (ids[part], data[part], quantizer.encode(data[part].astype(np.float64)))]
-            number = pa.array([TaskContext.get().partitionId()], pa.int64())
-            yield pa.RecordBatch.from_arrays([number, *[pa.array(x, pa.binary()) for x in binary]], ["part", "ids", "vectors", "codes"])
-
-    # evenly and by no key, so that chunks hold CHUNK_ROWS whatever the session's partitions
-    packed = rows.repartition(n_parts).mapInArrow(pack, "part long, ids binary, vectors binary, codes binary")
-    chunks = staged(packed.withColumn("chunk", F.monotonically_increasing_id()), "vector-chunks")
+            sizes = pc.list_value_length(batch.column(1)).to_numpy()
+            for n in np.unique(sizes).tolist():
+                of = batch.filter(pa.array(sizes == n))
+                flat = of.column(1).flatten().to_numpy().astype(kind)
+                held.setdefault(n, []).append((of.column(0).to_numpy().astype(np.int64), flat.reshape(of.num_rows, n)))
+                if sum(len(i) for i, _ in held[n]) >= CHUNK_ROWS:
+                    yield from packed(n, False)
+        for n in held:
+            yield from packed(n, True)
+
+    # evenly and by no key, so that chunks are full whatever the session's partitions
+    spread = rows.repartition(n_parts).mapInArrow(pack, "part long, length long, ids binary, vectors binary, codes binary")
+    chunks = staged(spread.withColumn("chunk", F.monotonically_increasing_id()), "vector-chunks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ids, data, chunk in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "chunk")), strict=True):
+            for ids, data, chunk, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "chunk", "length")), strict=True):
                 ids = np.frombuffer(ids, np.int64)
-                data = np.frombuffer(data, np.float32).reshape(len(ids), -1)
                 at = np.flatnonzero(ids % every == 0)
                 if len(at):
-                    out.append((chunk, ids[at].tobytes(), at.tobytes(), data[at].tobytes()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
+                    out.append((chunk, n, ids[at].tobytes(), at.tobytes(), np.frombuffer(data, kind).reshape(len(ids), n)[at].tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["of", "q_ids", "q_at", "q_vectors"]
+                [*[pa.array(c, pa.int64()) for c in columns[:2]], *[pa.array(c, pa.binary()) for c in columns[2:]]], ["of", "length", "q_ids", "q_at", "q_vectors"]
             )
 
-    asked = staged(chunks.select("ids", "vectors", "chunk").mapInArrow(ask, "of long, q_ids binary, q_at binary, q_vectors binary"), "queries")
+    asked = chunks.select("ids", "vectors", "chunk", "length").mapInArrow(ask, "of long, length long, q_ids binary, q_at binary, q_vectors binary")
+    asked = staged(asked, "queries")
     last_part = chunks.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("of", "chunk", "q_ids", "q_at", "q_vectors", "ids", "vectors", "codes")
+        names = ("of", "chunk", "length", "q_ids", "q_at", "q_vectors", "ids", "vectors", "codes")
         for batch in batches:
-            for of, chunk, q_ids, q_at, q_vectors, ids, data, codes in zip(*(batch.column(c) for c in names), strict=True):
+            for of, chunk, length, q_ids, q_at, q_vectors, ids, data, codes in zip(*(batch.column(c) for c in names), strict=True):
+                n = length.as_py()
                 ids = np.frombuffer(ids.as_buffer(), np.int64)
-                data = np.frombuffer(data.as_buffer(), np.float32).reshape(len(ids), -1)
-                codes = np.ascontiguousarray(np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1).T)
+                data = np.frombuffer(data.as_buffer(), kind).reshape(len(ids), n)
+                quantizer = quantizers.get(n)
+                if quantizer:
+                    codes = np.ascontiguousarray(np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1).T)
                 q_ids, q_at = (np.frombuffer(x.as_buffer(), np.int64) for x in (q_ids, q_at))
-                queries = np.frombuffer(q_vectors.as_buffer(), np.float32).reshape(len(q_ids), -1)
+                queries = np.frombuffer(q_vectors.as_buffer(), kind).reshape(len(q_ids), n)
                 same = of.as_py() == chunk.as_py()
                 found = []
                 for q, query in enumerate(queries):
-                    rough = np.zeros(len(ids), np.float32)
-                    for table, byte in zip(quantizer.tables(query.astype(np.float64)), codes, strict=True):
-                        rough += table[byte]
-                    if same:
-                        rough[q_at[q]] = -np.inf
-                    at = best(rough, RERANKED)
+                    if quantizer:
+                        rough = np.zeros(len(ids), np.float32)
+                        for table, byte in zip(quantizer.tables(query.astype(np.float64)), codes, strict=True):
+                            rough += table[byte]
+                        if same:
+                            rough[q_at[q]] = -np.inf
+                        at = best(rough, RERANKED)
+                    else:
+                        at = np.arange(len(ids))
                     if same:
                         at = at[at != q_at[q]]
                     score = exact_scores(query, data[at])
@@ -218,9 +248,10 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q), pa.array(np.full(len(q), of.as_py())), pa.array(q_row), pa.array(v), pa.array(s)], ["query_id", "of", "q_row", "vec_id", "score"]
                 )
+        give_back()
 
     everywhere = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last_part)))).hint("merge")
-    found = everywhere.join(chunks, "part").mapInArrow(search, "query_id long, of long, q_row long, vec_id long, score double")
+    found = everywhere.join(chunks, ["part", "length"]).mapInArrow(search, "query_id long, of long, q_row long, vec_id long, score double")
     order = Window.partitionBy("query_id", "of", "q_row").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
@@ -239,7 +270,7 @@ def oracle(k: int = 20, every: int = 20) -> str:
         and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
     scored as (
       select q.vec_id as query_id, q.row_no as q_row, c.vec_id, list_inner_product(q.e, c.e) as score
-      from v q join v c on q.row_no <> c.row_no where q.vec_id % {every} = 0),
+      from v q join v c on q.row_no <> c.row_no and len(q.e) = len(c.e) where q.vec_id % {every} = 0),
     ranked as (
       select *, row_number() over (partition by q_row order by score desc, vec_id) as rn from scored)
     select query_id, rn::integer as rank, vec_id, score from ranked where rn <= {k}"""

@@ -101,15 +101,15 @@ def test_broken_markup():
         html_extract.Page(source).text([0])
 
 
-def brute(rows, k, every):
+def brute(rows, k, every, kind=np.float32):
     def sound(v):
         return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
-    usable = [(i, np.array(v, np.float32).astype(np.float64)) for i, v in rows if i is not None and sound(v)]
+    usable = [(i, np.array(v, kind).astype(np.float64)) for i, v in rows if i is not None and sound(v)]
     out = []
     for n, (i, q) in enumerate(usable):
         if i % every == 0:
-            found = sorted(((-float(np.cumsum(q * v)[-1]), j) for m, (j, v) in enumerate(usable) if m != n))[:k]
+            found = sorted(((-float(np.cumsum(q * v)[-1]), j) for m, (j, v) in enumerate(usable) if m != n and len(v) == len(q)))[:k]
             out += [(i, rank, j, -s) for rank, (s, j) in enumerate(found, 1)]
     return sorted(out)
 
@@ -127,6 +127,15 @@ def test_search_equals_brute_force(spark):
     assert ann.neighbours(frame.limit(0)).count() == 0
 
 
+def test_doubles_and_other_lengths(spark):
+    random_ = np.random.default_rng(8)
+    rows = [(i, random_.normal(size=(10, 7, 3)[i % 11 % 3]).tolist()) for i in range(200)] + [(400, [1.0]), (420, [2.0]), (440, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ann.neighbours(frame).collect())) == brute(rows, 20, 20, np.float64)
+    whole = spark.createDataFrame([(i, [i % 5, 1 + i % 3]) for i in range(60)], "vec_id long, embedding array<int>")
+    assert sorted(map(tuple, ann.neighbours(whole).collect())) == brute([(i, [i % 5, 1 + i % 3]) for i in range(60)], 20, 20, np.float64)
+
+
 def test_recall_on_test_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
     got = {tuple(r)[:3] for r in ann.neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()}
