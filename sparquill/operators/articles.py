@@ -9,6 +9,7 @@ job.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -18,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparquill.operators import rules
-from sparquill.operators.notes import plain_text
+from sparquill.operators import markup, rules
 
 # Fixed values.
 BLOCKS = frozenset(
@@ -34,7 +34,8 @@ IMPLIED_END = {  # an open element of the first kind ends where one of the secon
     "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"},
 }
 SCOPE = frozenset("article body div section table td th ul ol dl html".split())
-MAX_BYTES = 24 << 20
+MAX_BYTES, CHUNK = 24 << 20, 64 << 10
+NOTE = re.compile("#footer-footnote([0-9]{1,9})")
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,10 @@ class Selector:
     element_id: str | None = None
     class_name: str | None = None
 
+    @property
+    def name(self) -> str:
+        return (self.tag or "") + (f"#{self.element_id}" if self.element_id else "") + (f".{self.class_name}" if self.class_name else "")
+
     def fits(self, tag: str, attributes: dict[str, str]) -> bool:
         return (
             (self.tag is None or tag == self.tag)
@@ -62,58 +67,84 @@ def _string(*names: str) -> list[T.StructField]:
 
 
 ARTICLE = T.StructType([
-    *_string("error_code"),
+    *_string("error_code", "page_title"),
     T.StructField("lines", T.ArrayType(T.StringType())),
-    T.StructField("headings", T.ArrayType(T.StructType([*_long("level", "line"), *_string("text")]))),
-    T.StructField("links", T.ArrayType(T.StructType([*_long("link_id"), *_string("href")]))),
+    T.StructField("headings", T.ArrayType(T.StructType([*_long("level", "line", "source_line"), *_string("text")]))),
+    T.StructField("links", T.ArrayType(T.StructType([*_long("link_id"), *_string("href"), T.StructField("original_hrefs", T.ArrayType(T.StringType()))]))),
     T.StructField("line_links", T.ArrayType(T.StructType(_long("line", "link_id")))),
-    T.StructField("cells", T.ArrayType(T.StructType([*_long("table_idx", "row_idx", "cell_idx", "rowspan", "colspan"), *_string("tag", "text")]))),
-    T.StructField("images", T.ArrayType(T.StructType(_string("src", "alt", "url")))),
+    T.StructField("line_notes", T.ArrayType(T.StructType(_long("line", "number")))),
+    T.StructField("cells", T.ArrayType(T.StructType([
+        *_long("table_idx", "row_idx", "cell_idx", "rowspan", "colspan"), *_string("rowspan_raw", "colspan_raw", "tag", "text"), *_long("outer_table")]))),
+    T.StructField("images", T.ArrayType(T.StructType([*_string("src", "alt", "url", "width", "height", "srcset"), *_long("source_line")]))),
+    T.StructField("container", T.StringType()),
     T.StructField("closed", T.BooleanType()),
+    T.StructField("warnings", T.ArrayType(T.StringType())),
 ])
 
 
 class ArticleParser(HTMLParser):
-    """Follows one container; writes text, boundaries and marks as it goes."""
+    """Follows one container; writes text, boundaries and marks as it goes.
+
+    Open elements are found by tag through their places in the stack, so no end
+    tag looks through all of them."""
 
     def __init__(self, base: str, selector: Selector, skip_classes: frozenset[str]):
         super().__init__(convert_charrefs=True)
         self.base, self.selector, self.skip_classes = base, selector, skip_classes
-        self.stack: list[tuple[str, bool]] = []  # open elements, and whether they are silent
+        self.stack: list[tuple[str, bool, bool]] = []  # open elements, whether they are silent, and in an area of the article
+        self.places: dict[str, list[int]] = {}  # in the stack, by tag
+        self.scopes: list[int] = []
+        self.ending: list[int] = []  # of elements that may end without an end tag, and of scopes
         self.depth = None  # of the container
-        self.closed = False
-        self.out: list[str] = []
-        self.marks: list[tuple[str, int, object]] = []  # kind, place in out, value
+        self.closed = self.has_area = False
+        self.title: list[str] = []
+        self.out: list[tuple[str, bool]] = []  # text, and whether it is in an area
+        self.marks: list[tuple[str, int, object, int]] = []  # kind, place in out, value, source line
         self.links: dict[str, int] = {}
+        self.originals: dict[int, dict[str, None]] = {}
         self.images: list[tuple] = []
         self.cells: list[list] = []
         self.tables: list[list[int]] = []  # index, row, cell of the open tables
         self.n_tables = 0
-        self.cell_from: list[int] = []
-        self.hrefs: list[int | None] = []
+        self.open_cells: list[tuple[int, int]] = []  # index in cells, and where its text begins
+        self.hrefs: list[tuple[int, str] | None] = []
+        self.warnings: list[str] = []
 
     def silent(self) -> bool:
         return self.depth is None or self.closed or bool(self.stack and self.stack[-1][1])
 
-    def boundary(self) -> None:
-        self.out.append("\n")
+    def write(self, text: str) -> None:
+        self.out.append((text, bool(self.stack) and self.stack[-1][2]))
+
+    def mark(self, kind: str, value: object) -> None:
+        self.marks.append((kind, len(self.out), value, self.getpos()[0]))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         attributes = {k: v or "" for k, v in attrs}
-        while self.stack:
-            i = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] in IMPLIED_END or self.stack[i][0] in SCOPE), None)
-            if i is None or tag not in IMPLIED_END.get(self.stack[i][0], ()):
-                break
-            self.close_to(i)
+        while self.ending and tag in IMPLIED_END.get(self.stack[self.ending[-1]][0], ()):
+            self.close_to(self.ending[-1])
+        area = bool(self.stack) and self.stack[-1][2]
         if self.depth is None and not self.closed and self.selector.fits(tag, attributes):
             self.depth = len(self.stack)
-            self.stack.append((tag, False))
+            self.push(tag, False, False)
             return
         quiet = bool(self.stack and self.stack[-1][1]) or tag in SILENT or self.is_skipped(attributes)
+        if self.depth is not None and not area and not quiet and not set(attributes.get("class", "").split()).isdisjoint(rules.ARTICLE_CLASSES):
+            area = True
+            self.has_area = self.has_area or rules.ARTICLE_CLASSES[0] in attributes.get("class", "").split()
+        if tag not in VOID:
+            self.push(tag, quiet, area)
         if not quiet and not self.silent():
             self.open(tag, attributes)
-        if tag not in VOID:
-            self.stack.append((tag, quiet))
+
+    def push(self, tag: str, quiet: bool, area: bool) -> None:
+        place = len(self.stack)
+        self.stack.append((tag, quiet, area))
+        self.places.setdefault(tag, []).append(place)
+        if tag in SCOPE:
+            self.scopes.append(place)
+        if tag in SCOPE or tag in IMPLIED_END:
+            self.ending.append(place)
 
     def is_skipped(self, attributes: dict[str, str]) -> bool:
         classes = set(attributes.get("class", "").split())
@@ -123,10 +154,10 @@ class ArticleParser(HTMLParser):
 
     def open(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in BLOCKS:
-            self.boundary()
+            self.write("\n")
         if re.fullmatch("h[1-6]", tag):
-            self.marks.append(("h", len(self.out), int(tag[1])))
-            self.out.append("#" * int(tag[1]) + " ")
+            self.mark("h", int(tag[1]))
+            self.write("#" * int(tag[1]) + " ")
         elif tag == "table":
             self.n_tables += 1
             self.tables.append([self.n_tables, 0, 0])
@@ -134,18 +165,27 @@ class ArticleParser(HTMLParser):
             self.tables[-1][1:] = [self.tables[-1][1] + 1, 0]
         elif tag in ("td", "th") and self.tables:
             self.tables[-1][2] += 1
-            self.cells.append([*self.tables[-1], self.span(attributes.get("rowspan")), self.span(attributes.get("colspan")), tag, ""])
-            spans = "".join(f"[{k}={attributes[k]}] " for k in ("rowspan", "colspan") if attributes.get(k, "1") != "1")
-            self.out.append("| " + spans)
-            self.cell_from.append(len(self.out))
+            raw = [attributes.get(k) for k in ("rowspan", "colspan")]
+            outer = self.tables[-2][0] if len(self.tables) > 1 else None
+            self.cells.append([*self.tables[-1], *map(self.span, raw), *raw, tag, "", outer])
+            spans = "".join(f"[{k}={' '.join(v.split())}] " for k, v in zip(("rowspan", "colspan"), raw, strict=True) if v not in (None, "1"))
+            self.write("| " + spans)
+            self.open_cells.append((len(self.cells) - 1, len(self.out)))
         elif tag == "img":
-            self.out.append(attributes.get("alt", ""))
-            self.images.append((attributes.get("src"), attributes.get("alt", ""), self.join(attributes.get("src"))))
+            self.write(" ".join(attributes.get("alt", "").split()))
+            url = self.join(attributes.get("src"))
+            if attributes.get("src") and url is None:
+                self.warnings.append(f"image at line {self.getpos()[0]}: its address cannot be resolved")
+            self.images.append((*map(attributes.get, ("src", "alt")), url, *map(attributes.get, ("width", "height", "srcset")), self.getpos()[0]))
         elif tag in STRUCK:
-            self.out.append("~~")
+            self.write("~~")
         elif tag == "a":
-            href = self.join(attributes.get("href"))
-            self.hrefs.append(None if href is None else self.links.setdefault(href, len(self.links) + 1))
+            raw = attributes.get("href")
+            note = NOTE.fullmatch(raw or "")
+            href = None if note or raw is None or raw.strip().startswith("#") else self.join(raw)
+            if note:
+                self.mark("n", int(note[1]))
+            self.hrefs.append(None if href is None else (self.links.setdefault(href, len(self.links) + 1), raw))
 
     def join(self, href: str | None) -> str | None:
         try:
@@ -160,104 +200,123 @@ class ArticleParser(HTMLParser):
         return int(value) if re.fullmatch("[0-9]{1,5}", value) and 1 <= int(value) <= 10_000 else None
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.close_to(i)
-                return
-            if self.stack[i][0] in SCOPE and tag not in SCOPE:
-                return
-
-    def close_to(self, i: int) -> None:
-        while len(self.stack) > i:
-            tag, quiet = self.stack.pop()
-            if self.depth is not None and len(self.stack) == self.depth and not self.closed:
+        places = self.places.get(tag)
+        if places and (tag in SCOPE or not self.scopes or self.scopes[-1] <= places[-1]):
+            self.close_to(places[-1])
+
+    def close_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag, quiet, _ = self.stack[-1]
+            if self.depth is not None and len(self.stack) - 1 == self.depth and not self.closed:
                 self.closed = True
             elif not quiet and not self.silent():
                 self.shut(tag)
+            self.stack.pop()
+            for places in (self.places[tag], self.scopes, self.ending):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
 
     def shut(self, tag: str) -> None:
-        if tag in ("td", "th") and self.cell_from:
-            begin = self.cell_from.pop()
-            parts = [" ".join(p.split()) for p in "".join(self.out[begin:]).split("\n")]
-            self.cells[-1][-1] = "\n".join(p for p in parts if p)
-            self.out[begin:] = [" / ".join(p for p in parts if p) + " "]
+        if tag in ("td", "th") and self.open_cells:
+            cell, begin = self.open_cells.pop()
+            parts = [" ".join(p.split()) for p in "".join(t for t, _ in self.out[begin:]).split("\n")]
+            self.cells[cell][8] = "\n".join(p for p in parts if p)
+            inside = self.out[begin][1] if begin < len(self.out) else bool(self.stack and self.stack[-1][2])
+            i = len(self.marks) - 1
+            while i >= 0 and self.marks[i][1] > begin:  # the cell becomes one piece
+                kind, _, value, line = self.marks[i]
+                self.marks[i] = (kind, begin, value, line)
+                i -= 1
+            self.out[begin:] = [(" / ".join(p for p in parts if p) + " ", inside)]
             return
         if tag == "tr" and self.tables:
-            self.out.append("|")
+            self.write("|")
         elif tag == "table" and self.tables:
             self.tables.pop()
         elif tag in STRUCK:
-            self.out.append("~~")
+            self.write("~~")
         elif tag == "a" and self.hrefs and (link := self.hrefs.pop()) is not None:
-            self.marks.append(("a", len(self.out), link))
-            self.out.append(f" [{link}] ")
+            self.mark("a", link[0])
+            self.originals.setdefault(link[0], {})[link[1]] = None
+            self.write(f" [{link[0]}] ")
         if tag in BLOCKS:
-            self.boundary()
+            self.write("\n")
 
     def handle_data(self, data: str) -> None:
+        if self.depth is None and self.stack and self.stack[-1][0] == "title":
+            self.title.append(data)
         if not self.silent():
-            self.out.append(re.sub(r"\s+", " ", data))
+            self.write(re.sub(r"\s+", " ", data))
 
     def result(self) -> tuple:
-        starts, line_of, lines = [], [], []
-        at = 0
-        for piece in self.out:
-            starts.append(at)
-            at += len(piece)
-        text = "".join(self.out)
-        place = 0
-        for raw in text.splitlines(keepends=True):
+        kept = [not self.has_area or inside for _, inside in self.out]
+        offsets, size = [], 0  # of each piece in the text
+        for (piece, _), keep in zip(self.out, kept, strict=True):
+            offsets.append(size)
+            size += len(piece) if keep else 0
+        lines, begins, numbers, place = [], [], [], 0
+        for raw in "".join(p for (p, _), keep in zip(self.out, kept, strict=True) if keep).splitlines(keepends=True):
             if raw.strip():
                 lines.append(" ".join(raw.split()) if raw.lstrip().startswith("|") else raw.strip())
-            line_of.append((place, max(1, len(lines))))
+            begins.append(place)
+            numbers.append(max(1, len(lines)))
             place += len(raw)
-
-        def line_at(position: int) -> int:
-            low, high = 0, len(line_of)
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if line_of[mid][0] <= position else (low, mid)
-            return line_of[low][1] if line_of else 1
-
-        headings, line_links = [], []
-        for kind, piece, value in self.marks:
-            if piece >= len(starts):
+        headings, line_links, line_notes = [], {}, {}
+        for kind, piece, value, source_line in self.marks:
+            if piece >= len(offsets) or not kept[piece] or not lines:
                 continue
-            line = line_at(starts[piece])
-            if kind == "h" and lines and lines[line - 1].startswith("#" * value + " "):
-                headings.append((value, line, lines[line - 1][value + 1 :].strip()))
-            elif kind == "a":
-                line_links.append((line, value))
+            line = numbers[bisect_right(begins, offsets[piece]) - 1]
+            if kind == "h" and lines[line - 1].startswith("#" * value + " "):
+                headings.append((value, line, source_line, lines[line - 1][value + 1 :].strip()))
+            elif kind != "h":
+                (line_links if kind == "a" else line_notes)[line, value] = None
         error = "no_container" if self.depth is None else None if lines else "empty_article"
-        links = [(i, h) for h, i in self.links.items()]
-        return error, lines, headings, links, line_links, [tuple(c) for c in self.cells], self.images, self.closed
+        if self.depth is not None and not self.closed:
+            self.warnings.append("the container is not closed")
+        links = [(i, h, list(self.originals.get(i, ()))) for h, i in self.links.items()]
+        title = "".join(self.title).strip() or None
+        return (error, title, lines, headings, links, list(line_links), list(line_notes), [tuple(c) for c in self.cells], self.images,
+                self.selector.name if self.depth is not None else None, self.closed, list(dict.fromkeys(self.warnings)))
 
 
-def parse_page(html: str | None, base: str | None, selector: Selector, skip_classes: frozenset[str]) -> tuple:
-    empty = ([], [], [], [], [], [], False)
+def parse_page(html: str | None, base: str | None, selectors: tuple[Selector, ...], skip_classes: frozenset[str]) -> tuple:
+    """The first of ``selectors`` that the page has is its container."""
+    empty = (None, [], [], [], [], [], [], [], None, False, [])
     if html is None:
         return ("no_html", *empty)
     if len(html) > MAX_BYTES:
         return ("page_too_large", *empty)
-    parser = ArticleParser(base or "", selector, skip_classes)
     try:
-        parser.feed(html)
-        parser.close()
+        for n, selector in enumerate(selectors):
+            parser = ArticleParser(base or "", selector, skip_classes)
+            for start in range(0, len(html), CHUNK):
+                parser.feed(html[start : start + CHUNK])
+                if parser.closed:  # nothing behind the container is part of it
+                    break
+            else:
+                parser.close()
+            if parser.depth is not None:
+                if n:
+                    parser.warnings.append(f"{selectors[0].name} is absent, {selector.name} was taken")
+                break
         return parser.result()
     except Exception as e:  # a page must not fail the job; the code says what it was
         return (f"processing_error:{type(e).__name__}", *empty)
 
 
 def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-                selector: Selector = Selector(tag="article"), skip_classes: tuple[str, ...] = ()) -> DataFrame:
-    """key, url and article (see ``ARTICLE``) of each page."""
+                selectors: tuple[Selector, ...] = (Selector(tag="article"),), skip_classes: tuple[str, ...] = ()) -> DataFrame:
+    """key, url and article (see ``ARTICLE``) of each page.
+
+    The first selector that fits gives the container.  In it, where there is an
+    element of the article's own classes, only these elements' text counts."""
     skipped = frozenset([*rules.AD_CLASSES, *rules.CHROME_CLASSES, *skip_classes])
     names = ARTICLE.fieldNames()
     nested = {f.name: f.dataType.elementType.fieldNames() for f in ARTICLE if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
 
     @F.pandas_udf(ARTICLE)
     def parse(urls: pd.Series, htmls: pd.Series) -> pd.DataFrame:
-        rows = [parse_page(h, u, selector, skipped) for u, h in zip(urls, htmls, strict=True)]
+        rows = [parse_page(h, u, selectors, skipped) for u, h in zip(urls, htmls, strict=True)]
         found = pd.DataFrame(rows, columns=names)
         for column, fields in nested.items():
             found[column] = [[dict(zip(fields, x, strict=True)) for x in xs] for xs in found[column]]
@@ -279,15 +338,19 @@ def child(articles: DataFrame, part: str, key: str = "page_id") -> DataFrame:
 
 def metadata(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, last_updated, categories and tags: the first of each block of a page."""
-    updated = plain_text(F.regexp_extract(html, r'(?is)<p\b[^>]*class="(?:[^"]*\s)?update(?:\s[^"]*)?"[^>]*>(.*?)</p>', 1))
-
-    def items(element_id: str):
-        block = F.regexp_extract(html, rf'(?is)<ul\b[^>]*id="{element_id}"[^>]*>(.*?)</ul>', 1)
-        rows = F.filter(F.regexp_extract_all(block, F.lit(r'(?is)(<li\b[^>]*>.*?)(?=<li\b|</li>|$)'), 1), lambda r: ~r.rlike(r'(?i)^<li\b[^>]*class="(?:[^"]*\s)?title'))
-        return F.array_distinct(F.filter(F.transform(rows, plain_text), lambda t: t != ""))
-
-    said = F.trim(F.regexp_replace(updated, r"^最終更新\s*[:：]?\s*", ""))
-    return pages.select(key, F.nullif(said, F.lit("")).alias("last_updated"), items("page-category").alias("categories"), items("page-tags").alias("tags"))
+    page = pages.select(key, markup.page_of(html).alias("page"))
+    first = lambda fits: F.try_element_at(F.filter("page.elements", fits), F.lit(1))
+    updated = first(lambda e: (e["tag"] == "p") & F.array_contains(markup.classes(e), "update"))
+    block = lambda name: first(lambda e: (e["tag"] == "ul") & (markup.attribute(e, "id") == name))
+    page = page.select(key, "page", updated.alias("updated"), block("page-category").alias("categories"), block("page-tags").alias("tags"))
+
+    def items(name: str):
+        rows = F.filter("page.elements", lambda e: (e["tag"] == "li") & markup.within(e, F.col(name)) & ~F.array_contains(markup.classes(e), "title"))
+        said = F.array_distinct(F.filter(F.transform(rows, lambda e: markup.text_of(e)), lambda t: t != ""))
+        return F.coalesce(said, F.array().cast("array<string>")).alias(name)
+
+    said = F.trim(F.regexp_replace(markup.text_of(F.col("updated")), r"^最終更新\s*[:：]?\s*", ""))
+    return page.select(key, F.nullif(said, F.lit("")).alias("last_updated"), items("categories"), items("tags"))
 
 
 def empty_state(articles: DataFrame, html: str = "html") -> DataFrame:

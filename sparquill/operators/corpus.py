@@ -46,9 +46,9 @@ def tables_below(tables: DataFrame, heading: str) -> DataFrame:
 def visible_lines(positions: DataFrame, key: str) -> DataFrame:
     """line of every position: its own if it is visible, else the one before, else
     the next, else 1.  ``positions``: key, pos, line (null where blank)."""
-    order = Window.partitionBy(key).orderBy("pos")
-    before = F.last("line", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("line", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    so_far = lambda order: Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("line", ignorenulls=True).over(so_far(F.asc("pos")))
+    after = F.last("line", ignorenulls=True).over(so_far(F.desc("pos")))
     return positions.select(key, "pos", F.coalesce(before, after, F.lit(1)).cast("long").alias("line"))
 
 

@@ -1,12 +1,17 @@
 """Numbered lines of documents: literal search, context, paging.
 
 ``lines`` tables hold a key, ``line`` (1, 2, ... without gaps) and ``text``.
+A document is one row, so context and pages are worked out inside it, on the
+array of its lines: only the lines that are asked for become rows, and nothing
+is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,63 +32,72 @@ def find(lines: DataFrame, literal: str) -> DataFrame:
     return lines.where(F.contains("text", F.lit(literal)))
 
 
-def with_context(lines: DataFrame, key: str, literal: str, around: int) -> DataFrame:
-    """Lines within ``around`` lines of one that holds ``literal``."""
-    near = Window.partitionBy(key).orderBy("line").rowsBetween(-around, around)
-    hit = F.contains("text", F.lit(literal)).cast("int")
-    return lines.withColumn("near", F.max(hit).over(near)).where("near = 1").drop("near")
+def _rows(numbers: Column, all_lines: str = "_lines") -> Column:
+    """line and text of the given line numbers."""
+    return F.transform(numbers, lambda i: F.struct(i.cast("long").alias("line"), F.element_at(all_lines, i).alias("text")))
+
+
+def _hits(literal: str, all_lines: str = "_lines") -> Column:
+    """Numbers of the lines that hold ``literal``."""
+    return F.filter(F.transform(all_lines, lambda x, i: F.when(F.contains(x, F.lit(literal)), i + 1)), lambda i: i.isNotNull())
+
+
+def _near(hits: str, around: int, all_lines: str = "_lines") -> Column:
+    """Numbers of the lines within ``around`` of a hit, in order."""
+    frames = F.transform(hits, lambda h: F.sequence(F.greatest(h - around, F.lit(1)), F.least(h + around, F.size(all_lines))))
+    return F.array_distinct(F.flatten(frames))
+
+
+def _held(docs: DataFrame, key: str, literal: str, text: str, split: Callable[[Column], Column]) -> DataFrame:
+    """key, _lines and _hits of the documents that hold ``literal`` at all."""
+    if not literal.strip():
+        raise ValueError("the literal to find is blank")
+    kind = docs.schema[text].dataType.simpleString()
+    body = F.col(text) if kind == "string" else F.array_join(text, "\n")
+    some = docs.where(F.contains(body, F.lit(literal)))
+    return some.select(key, split(F.col(text)).alias("_lines")).select(key, "_lines", _hits(literal).alias("_hits"))
+
+
+def with_context(docs: DataFrame, key: str, literal: str, around: int, text: str = "text", split: Callable[[Column], Column] = lines_of) -> DataFrame:
+    """key, line and text of the lines within ``around`` lines of one that holds
+    ``literal``.  ``split`` makes the array of lines of the column ``text``."""
+    held = _held(docs, key, literal, text, split)
+    near = held.select(key, "_lines", _near("_hits", around).alias("_near"))
+    return near.select(key, F.inline(_rows(F.col("_near"))))
 
 
-def page(lines: DataFrame, key: str, start: int, count: int) -> DataFrame:
+def page(docs: DataFrame, key: str, start: int, count: int, text: str = "text", split: Callable[[Column], Column] = lines_of) -> DataFrame:
     """``count`` lines from number ``start``, with flags for more of them."""
-    last = F.max("line").over(Window.partitionBy(key))
-    return (
-        lines.withColumn("total", last)
-        .where(F.col("line").between(start, start + count - 1))
-        .withColumn("more_before", F.lit(start > 1) & (F.col("total") > 0))
-        .withColumn("more_after", F.least(F.lit(start + count - 1), "total") < F.col("total"))
-        .drop("total")
+    whole = docs.select(key, split(F.col(text)).alias("_lines"))
+    cut = whole.select(key, F.size("_lines").alias("_total"), F.slice("_lines", start, count).alias("_shown"))
+    return cut.select(key, "_total", F.posexplode("_shown").alias("_at", "text")).select(
+        key, (F.col("_at") + start).cast("long").alias("line"), "text",
+        F.lit(start > 1).alias("more_before"), (F.lit(start + count - 1) < F.col("_total")).alias("more_after"),
     )
 
 
-def page_of_matches(lines: DataFrame, key: str, literal: str, around: int, start: int, count: int) -> DataFrame:
+def page_of_matches(docs: DataFrame, key: str, literal: str, around: int, start: int, count: int, text: str = "text",
+                    split: Callable[[Column], Column] = lines_of) -> DataFrame:
     """From match number ``start``, lines near matches, ``count`` of them at most.
 
     Lines up to the match before the first do not come back as its context, and
     the page moves on until the first match is on it.  Columns: key, line, text,
     match_offset, more_before, more_after, more_matches.
     """
-    whole = Window.partitionBy(key)
-    order = whole.orderBy("line")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = order.rowsBetween(-around, around)
-    hit: Column = F.contains("text", F.lit(literal)).cast("int")
-    marked = (
-        lines.withColumn("hit", hit)
-        .withColumn("number", F.sum("hit").over(so_far))
-        .withColumn("near", F.max("hit").over(near))
-        .where("near = 1")
-    )
-    at = lambda n: F.max(F.when((F.col("hit") == 1) & (F.col("number") == n), F.col("line"))).over(whole)
-    placed = (
-        marked.withColumn("first", at(start))
-        .withColumn("floor", F.greatest(F.col("first") - around, F.coalesce(at(start - 1), F.lit(0)) + 1))
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("total", F.count(F.lit(1)).over(whole))
-    )
+    held = _held(docs, key, literal, text, split)
+    near = held.select(key, "_lines", "_hits", _near("_hits", around).alias("_near"))
+    first = F.try_element_at("_hits", F.lit(start))
+    before = F.coalesce(F.try_element_at("_hits", F.lit(start - 1)), F.lit(0)) if start > 1 else F.lit(0)
+    placed = near.select(key, "_lines", "_hits", "_near", first.alias("_first"), F.greatest(first - around, before + 1).alias("_floor"))
     begin = F.greatest(
-        F.min(F.when(F.col("line") >= F.col("floor"), F.col("place"))).over(whole),
-        F.max(F.when(F.col("line") == F.col("first"), F.col("place"))).over(whole) - count + 1,
+        F.size(F.filter("_near", lambda i: i < F.col("_floor"))) + 1, F.array_position("_near", F.col("_first")).cast("int") - count + 1
     )
-    shown = placed.where("first is not null").withColumn("begin", begin)
-    last_match = F.max(F.when(F.col("hit") == 1, F.col("line"))).over(whole)
-    shown = shown.withColumn("last_match", last_match).where((F.col("place") >= F.col("begin")) & (F.col("place") < F.col("begin") + count))
+    shown = placed.select(key, "_lines", "_hits", "_near", begin.alias("_begin"), F.slice("_near", F.coalesce(begin, F.lit(1)), F.when(F.col("_first").isNotNull(), count).otherwise(0)).alias("_shown"))
     return shown.select(
-        key, "line", "text", F.lit(start).cast("long").alias("match_offset"),
-        (F.col("begin") > 1).alias("more_before"),
-        (F.col("begin") + count - 1 < F.col("total")).alias("more_after"),
-        (F.col("last_match") > F.max("line").over(whole)).alias("more_matches"),
-    )
+        key, F.lit(start).cast("long").alias("match_offset"), (F.col("_begin") > 1).alias("more_before"),
+        (F.col("_begin") + count - 1 < F.size("_near")).alias("more_after"),
+        (F.array_max("_hits") > F.array_max("_shown")).alias("more_matches"), F.inline(_rows(F.col("_shown"))),
+    ).select(key, "line", "text", "match_offset", "more_before", "more_after", "more_matches")
 
 
 def cut_lines(text: str, limit: int) -> list[str]:

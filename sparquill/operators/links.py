@@ -6,15 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import urls
-from sparquill.functions.text import closeness
+from sparquill.functions.text import REPLACEMENT, closeness
+from sparquill.operators import markup
 
-HREF = r'<a [^>]*?href="([^"]*)"'
+# Fixed value: longest URL that a title index learns.
+LONGEST_URL = 1024
 
 
 def harvest(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, href, first_pos and n for each distinct link of a page."""
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(HREF), 1)).alias("pos", "href"))
-    return found.groupBy(key, "href").agg((F.min("pos") + 1).cast("long").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+    found = markup.elements(pages, key, html, ("a",)).select(key, "pos", F.col("attributes")["href"].alias("href")).where("href is not null")
+    order = Window.partitionBy(key).orderBy("pos")
+    found = found.withColumn("pos", F.row_number().over(order))
+    return found.groupBy(key, "href").agg(F.min("pos").cast("long").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+
+
+def observed_links(pages: DataFrame, slug: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """key, title and url of the links to articles (below /slug/d/) of the page's
+    own host; links that are too long or damaged are left out."""
+    found = markup.elements(pages, key, html, ("a",)).select(key, F.col("attributes")["href"].alias("href"), F.col("text").alias("title"))
+    joined = found.where("href is not null").join(pages.select(key, F.col(url).alias("_base")), key)
+    full = joined.select(key, "title", "_base", urls.absolute("_base", "href").alias("url")).where(F.length("url") <= LONGEST_URL)
+    inside = (urls.host(F.col("url")) == urls.host(F.col("_base"))) & F.col("url").rlike(rf"^https?://[^/?#]+/{slug}/d/[^?#]")
+    return full.where(inside & ~F.contains("url", F.lit(REPLACEMENT)) & ~F.contains("title", F.lit(REPLACEMENT))).select(key, "title", "url").distinct()
 
 
 def link_ids(links: DataFrame, key: str = "page_id") -> DataFrame:
@@ -23,10 +37,12 @@ def link_ids(links: DataFrame, key: str = "page_id") -> DataFrame:
     return links.select(key, "href", F.dense_rank().over(order).cast("long").alias("link_id"))
 
 
-def observe(pages: DataFrame, url: str = "url") -> DataFrame:
-    """What the title index learns from seen URLs: identity, url, plain."""
+def observe(pages: DataFrame, url: str = "url", order: str | None = None) -> DataFrame:
+    """What the title index learns from seen URLs: identity, url, plain and ord,
+    the column ``order`` as text (the URL itself without one)."""
     plain = urls.article_url(F.col(url))
-    return pages.select(plain.alias("identity"), F.col(url).alias("url"), (F.col(url) == plain).alias("plain"), F.monotonically_increasing_id().alias("ord"))
+    place = F.lpad(F.col(order).cast("string"), 20, "0") if order else F.col(url)
+    return pages.select(plain.alias("identity"), F.col(url).alias("url"), (F.col(url) == plain).alias("plain"), place.alias("ord"))
 
 
 def title_index(seen: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.functions.text import collapse
+from sparquill.operators import markup
 
 
 def reconcile(markers: DataFrame, entries: DataFrame, key: str) -> DataFrame:
@@ -42,39 +43,49 @@ def reconcile(markers: DataFrame, entries: DataFrame, key: str) -> DataFrame:
 
 # --- notes in a page's markup --------------------------------------------------
 
-ANCHOR = r"(?i)<a\b[^>]*>"
-MARKER = r'(?i)\bhref="#footer-footnote([0-9]+)"'
-TARGET = r'(?i)\b(?:name|id)="footer-footnote([0-9]+)"'
-LIST = r'(?is)<(?:ul|ol)\b[^>]*class="[^"]*\bfooter-footnote\b[^"]*"[^>]*>(.*?)</(?:ul|ol)>'
-ROW = r"(?is)<li\b[^>]*>(.*?)(?=<li\b|</li>|$)"
-
-
-def plain_text(markup: Column) -> Column:
-    """Markup without tags, with the common character references and one space
-    for each run of white space."""
-    bare = F.regexp_replace(markup, r"(?s)<[^>]*>", "")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(sign))
-    return F.trim(collapse(bare))
+# Targets of notes, and the list at the page's foot that defines them.
+TARGET, LIST_CLASS = "footer-footnote([0-9]{1,9})", "footer-footnote"
 
 
 def markers(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, number, title, ord: links to notes, with what their title says."""
-    tags = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), 0)).alias("ord", "tag"))
-    title = plain_text(F.regexp_extract("tag", r'(?i)\btitle="([^"]*)"', 1))
-    return tags.where(F.col("tag").rlike(MARKER)).select(key, F.regexp_extract("tag", MARKER, 1).cast("long").alias("number"), title.alias("title"), "ord")
+    """key, number, title, ord, line: links to notes, with what their title says."""
+    found = markup.elements(pages, key, html, ("a",)).withColumn("href", F.col("attributes")["href"])
+    number = F.regexp_extract("href", f"^#{TARGET}$", 1)
+    title = F.coalesce(markup.folded(F.col("attributes")["title"]), F.lit(""))
+    return found.where(number != "").select(key, number.cast("long").alias("number"), title.alias("title"), F.col("pos").alias("ord"), "line")
 
 
 def entries(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, number, text, ord: rows of the note lists that hold one note's target.
 
-    A row with several targets defines none of them.  The label in front of the
-    text is dropped, and one separator behind it."""
-    lists = pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(LIST), 1)).alias("list"))
-    rows = lists.select(key, F.posexplode(F.regexp_extract_all("list", F.lit(ROW), 1)).alias("ord", "row"))
-    numbers = F.array_distinct(F.regexp_extract_all("row", F.lit(TARGET), 1))
-    said = plain_text(F.regexp_replace("row", r'(?is)<a\b[^>]*(?:name|id)="footer-footnote[0-9]+"[^>]*>.*?</a>', ""))
-    return rows.where(F.size(numbers) == 1).select(key, F.element_at(numbers, 1).cast("long").alias("number"), F.trim(F.regexp_replace(said, "^[:：]", "")).alias("text"), "ord")
+    Such a row defines its note with everything inside; a row with several
+    targets defines none, and the rows in it are read.  The label in front of
+    the text is dropped, and one separator behind it."""
+    page = pages.select(key, markup.page_of(html).alias("page"))
+    target = lambda e: F.regexp_extract(F.coalesce(markup.attribute(e, "id"), markup.attribute(e, "name"), F.lit("")), f"^{TARGET}$", 1)
+    lists = F.filter("page.elements", lambda e: F.array_contains(markup.classes(e), LIST_CLASS))
+    page = page.select(
+        key, "page", lists.alias("lists"),
+        F.filter(F.transform("page.elements", lambda e: F.struct(e["node"].alias("node"), e["start"].alias("start"), e["size"].alias("size"), target(e).alias("number"))),
+                 lambda t: t["number"] != "").alias("targets"),
+    ).where("size(lists) > 0 and size(targets) > 0")
+    rows = F.filter("page.elements", lambda e: (e["tag"] == "li") & F.exists("lists", lambda x: markup.within(e, x)))
+    own = lambda e: F.filter("targets", lambda t: (t["node"] >= e["node"]) & (t["node"] <= e["last"]))
+    rows = page.select(key, "page", F.transform(rows, lambda e: F.struct(e.alias("e"), own(e).alias("targets"))).alias("rows"))
+    single = F.filter("rows", lambda r: F.size(F.array_distinct(F.transform(r["targets"], lambda t: t["number"]))) == 1)
+    rows = rows.select(key, "page", single.alias("rows"))
+    outer = F.filter("rows", lambda r: ~F.exists("rows", lambda o: markup.within(r["e"], o["e"])))
+
+    def said(r: Column) -> Column:
+        e, label = r["e"], r["targets"][0]
+        before = F.substring("page.text", e["start"] + 1, label["start"] - e["start"])
+        after = F.substring("page.text", label["start"] + label["size"] + 1, e["start"] + e["size"] - label["start"] - label["size"])
+        whole = F.when(label["node"] == e["node"], F.substring("page.text", e["start"] + 1, e["size"])).otherwise(F.concat(before, after))
+        return F.trim(F.regexp_replace(markup.folded(whole), "^[:：]", ""))
+
+    found = F.transform(outer, lambda r: F.struct(
+        r["targets"][0]["number"].cast("long").alias("number"), said(r).alias("text"), r["e"]["node"].cast("long").alias("ord")))
+    return rows.select(key, F.inline(found))
 
 
 def diagnose(found: DataFrame, key: str) -> DataFrame:

@@ -10,11 +10,11 @@ def bounds(headings: DataFrame, key: str, totals: DataFrame) -> DataFrame:
     """key, level, text, line and end_line: the line before the next heading of
     the same or a higher level, else the last line (``totals``: key, total).
 
-    Headings of one document meet in one window row set, so a map from level to
-    the next heading's line, folded backwards, replaces the theta self-join.
+    Headings of one document are gone through from the last to the first, with
+    the line of the next one of each level kept as a running minimum.
     """
     levels = range(1, 7)
-    after = Window.partitionBy(key).orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     nexts = [F.min(F.when(F.col("level") <= n, F.col("line"))).over(after) for n in levels]
     end = F.element_at(F.array(*nexts), F.col("level").cast("int")) - 1
     return headings.join(totals, key).select(key, "level", "text", "line", F.coalesce(end, F.col("total")).cast("long").alias("end_line"))

@@ -57,8 +57,8 @@ def _headings(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Article lines with a literal and one line around them, with a flag for more."""
-    found = articles.lines(articles.parse_pages(table(spark, d, "pages").select("page_id", "url", "html")))
-    return lines.page_of_matches(found, "page_id", " ", 1, 1, 80)
+    found = articles.parse_pages(table(spark, d, "pages").select("page_id", "url", "html")).select("page_id", "article.lines")
+    return lines.page_of_matches(found, "page_id", "e", 1, 1, 80, text="lines", split=lambda x: x)
 
 
 # --- lines -------------------------------------------------------------------
@@ -77,13 +77,13 @@ def find_literal(spark, d):
   select *, max(contains(text, ' the ')::int) over (partition by doc_id order by line rows between 1 preceding and 1 following) as near from lines)
   select doc_id, line, text from near where near = 1""")
 def find_context(spark, d):
-    return lines.with_context(_lines(spark, d), "doc_id", " the ", 1)
+    return lines.with_context(table(spark, d, "documents"), "doc_id", " the ", 1)
 
 
 @query(f"""with {LINES_SQL}, t as (select *, max(line) over (partition by doc_id) as total from lines)
   select doc_id, line, text, true as more_before, least(6, total) < total as more_after from t where line between 3 and 6""")
 def paging(spark, d):
-    return lines.page(_lines(spark, d), "doc_id", 3, 4)
+    return lines.page(table(spark, d, "documents"), "doc_id", 3, 4)
 
 
 @query(f"""with {LINES_SQL},
@@ -101,7 +101,7 @@ def paging(spark, d):
   select doc_id, line, text, 2::bigint as match_offset, begin > 1 as more_before, begin + 4 < total as more_after,
          last_match > max(line) over (partition by doc_id) as more_matches from s""")
 def find_match_paging(spark, d):
-    return lines.page_of_matches(_lines(spark, d), "doc_id", " of ", 1, 2, 5)
+    return lines.page_of_matches(table(spark, d, "documents"), "doc_id", " of ", 1, 2, 5)
 
 
 @query()

@@ -13,7 +13,7 @@ from sparquill.streaming import events
 
 def parse(body, **selector):
     wanted = articles.Selector(**(selector or {"tag": "div"}))
-    row = articles.parse_page(f"<html><body><div>{body}</div></body></html>", "http://w/x/", wanted, frozenset(["adsense-box"]))
+    row = articles.parse_page(f"<html><body><div>{body}</div></body></html>", "http://w/x/", (wanted,), frozenset(["adsense-box"]))
     return dict(zip(articles.ARTICLE.fieldNames(), row, strict=True))
 
 
@@ -26,15 +26,48 @@ def test_article_lines():
     assert parse("<p>a</p><script>x</script><div class='adsense-box'>ad</div><p>b</p>")["lines"] == ["a", "b"]
     assert parse("<div class='user-area adsense-box'>kept</div>")["lines"] == ["kept"]
     found = parse("<h1>A</h1>t<h2>B <a href='q'>l</a></h2><p><a href='q'>m</a> <a href='/r'>n</a></p>")
-    assert found["headings"] == [(1, 1, "A"), (2, 3, "B l [1]")] and found["links"] == [(1, "http://w/x/q"), (2, "http://w/r")]
+    assert found["headings"] == [(1, 1, 1, "A"), (2, 3, 1, "B l [1]")] and found["links"] == [(1, "http://w/x/q", ["q"]), (2, "http://w/r", ["/r"])]
     assert found["line_links"] == [(3, 1), (4, 1), (4, 2)] and found["closed"]
 
 
 def test_article_errors():
     assert parse("x", element_id="none")["error_code"] == "no_container"
     assert parse(" <br> ")["error_code"] == "empty_article"
-    assert articles.parse_page(None, None, articles.Selector(), frozenset())[0] == "no_html"
-    assert articles.parse_page("<div>" * 20_000 + "deep", "", articles.Selector(tag="div"), frozenset())[1] == ["deep"]
+    assert articles.parse_page(None, None, (articles.Selector(),), frozenset())[0] == "no_html"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 20_000 + "deep", "<div>" + "<b>" * 30_000 + "deep", "<div>" + "<p><b>" * 30_000 + "deep", "<div>" + "<table><tr><td>" * 2_000 + "deep"):
+        began = time.process_time()
+        row = articles.parse_page(page, "", (articles.Selector(tag="div"),), frozenset())
+        assert row[2][-1].strip("| ") == "deep" and time.process_time() - began < 3
+
+
+def test_nested_tables_keep_their_cells():
+    found = parse("<table><tr><td>outer <table><tr><td rowspan='x'>inner</td></tr></table> tail</td><td>next</td></tr></table>")
+    assert [(c[0], c[1], c[2], c[9], c[3], c[5], c[8]) for c in found["cells"]] == [
+        (1, 1, 1, None, 1, None, "outer\n| [rowspan=x] inner |\ntail"), (2, 1, 1, 1, None, "x", "inner"), (1, 1, 2, None, 1, None, "next")]
+
+
+def test_container_areas_notes_and_originals():
+    page = (
+        "<title> T &amp; t </title><div id=page-body><h2>out</h2><div class='user-area'><h2>in</h2><p>a<a href='#footer-footnote3'>*3</a> <a href='q'>x</a><a href='./q'>y</a></p></div>"
+        "<p>chrome</p><ul class='footer-footnote'><li>note</li></ul><img src='//['></div><p>behind</p>"
+    )
+    wanted = (articles.Selector(element_id="page-body-inner"), articles.Selector(element_id="page-body"))
+    found = dict(zip(articles.ARTICLE.fieldNames(), articles.parse_page(page, "http://w/x/", wanted, frozenset()), strict=True))
+    assert found["lines"] == ["## in", "a*3 x [1] y [1]", "note"] and found["headings"] == [(2, 1, 1, "in")]
+    assert found["line_notes"] == [(2, 3)] and found["line_links"] == [(2, 1)] and found["links"] == [(1, "http://w/x/q", ["q", "./q"])]
+    assert found["page_title"] == "T & t" and found["container"] == "#page-body" and found["closed"]
+    assert len(found["warnings"]) == 2 and found["images"][0][2] is None
+
+
+def test_feeding_stops_behind_the_container():
+    page = "<div>a</div>" + "<p>x</p>" * 100_000
+    parser = articles.ArticleParser("", articles.Selector(tag="div"), frozenset())
+    assert articles.parse_page(page, "", (articles.Selector(tag="div"),), frozenset())[2] == ["a"] and parser.depth is None
 
 
 def test_broken_pages_do_not_fail_the_job(spark):
@@ -55,15 +88,22 @@ def test_sections(spark):
 
 
 def test_context_page(spark):
-    rows = spark.createDataFrame([(1, i, "hit" if i in (2, 4) else "-") for i in range(1, 7)], "k long, line long, text string")
+    rows = spark.createDataFrame([(1, "\n".join("hit" if i in (2, 4) else "-" for i in range(1, 7)))], "k long, text string")
     got = lines.page_of_matches(rows, "k", "hit", 1, 2, 80).orderBy("line").collect()
     assert [r["line"] for r in got] == [3, 4, 5] and got[0]["more_before"] and not got[0]["more_after"] and got[0]["match_offset"] == 2
     with pytest.raises(ValueError):
         lines.find(rows, " ")
 
 
+def test_search_does_not_shuffle(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for found in (lines.with_context(docs, "doc_id", " the ", 1), lines.page(docs, "doc_id", 3, 4), lines.page_of_matches(docs, "doc_id", " of ", 1, 2, 5)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_pages_of_lines_make_the_whole(spark):
-    rows = spark.createDataFrame([(1, i, str(i)) for i in range(1, 24)], "k long, line long, text string")
+    rows = spark.createDataFrame([(1, "\n".join(map(str, range(1, 24))))], "k long, text string")
     seen = [r["line"] for start in range(1, 24, 5) for r in lines.page(rows, "k", start, 5).orderBy("line").collect()]
     assert seen == list(range(1, 24))
 
@@ -263,7 +303,7 @@ def test_metadata_and_states(spark):
     pages = spark.createDataFrame([(1, "u", html % "x"), (2, "u", "<div> </div>"), (3, "u", "<div><img src=a></div>"), (4, "u", None)], "page_id long, url string, html string")
     got = articles.metadata(pages).orderBy("page_id").first()
     assert (got["last_updated"], got["categories"], got["tags"]) == ("2024", ["a", "b"], [])
-    states = articles.empty_state(articles.parse_pages(pages, selector=articles.Selector(tag="div"))).orderBy("page_id").collect()
+    states = articles.empty_state(articles.parse_pages(pages, selectors=(articles.Selector(tag="div"),))).orderBy("page_id").collect()
     assert [r["article_state"] for r in states] == ["text", "empty", "no_extractable_text", "error"]
 
 
