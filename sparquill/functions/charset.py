@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import codecs
-import gzip
 import re
 import zlib
 
@@ -25,45 +24,66 @@ DECODED = T.StructType([
 ])
 
 
+# Codecs that are no character sets of pages.
+NO_CHARSETS = frozenset(("idna", "punycode", "unicode-escape", "unicode_escape", "raw-unicode-escape", "raw_unicode_escape", "undefined"))
+
+
 def codec(label: str | None) -> str | None:
-    """The text codec of a label, null for others."""
+    """The character set of a label, null for others."""
     try:
-        found = codecs.lookup(label or "")
+        found = codecs.lookup((label or "").strip())
     except (LookupError, ValueError):
         return None
-    return found.name if getattr(found, "_is_text_encoding", True) else None
+    return found.name if getattr(found, "_is_text_encoding", True) and found.name not in NO_CHARSETS else None
 
 
 def inflate(raw: bytes, encoding: str | None) -> bytes:
-    """A body without its content coding; ValueError names what is wrong."""
+    """A body without its content coding; ValueError names what is wrong.  No more
+    than MAX_BODY bytes are unpacked, however much a small body holds."""
     kind = (encoding or "identity").strip().lower()
     if kind == "identity":
+        if len(raw) > MAX_BODY:
+            raise ValueError("page_too_large")
         return raw
+    if kind not in ("gzip", "x-gzip", "deflate"):
+        raise ValueError("unsupported_compression")
     try:
-        if kind in ("gzip", "x-gzip"):
-            out = gzip.decompress(raw)
-        elif kind == "deflate":
+        if kind == "deflate":
             try:
-                out = zlib.decompress(raw)
+                return unpacked(raw, zlib.MAX_WBITS)
             except zlib.error:
-                out = zlib.decompress(raw, -zlib.MAX_WBITS)
-        else:
-            raise ValueError("unsupported_compression")
-    except (OSError, EOFError, zlib.error) as e:
+                return unpacked(raw, -zlib.MAX_WBITS)
+        return unpacked(raw, 16 + zlib.MAX_WBITS)
+    except (EOFError, zlib.error) as e:
         raise ValueError("invalid_compression") from e
-    if len(out) > MAX_BODY:
-        raise ValueError("page_too_large")
-    return out
 
 
-def decode_page(raw: bytes, content_type: str | None) -> tuple[str, str, bool]:
-    """Text, encoding and whether characters were replaced.  The header goes
-    first, then a byte order mark, a meta element, the default; strict decoding
-    first, the default's wider form next."""
+def unpacked(raw: bytes, window: int) -> bytes:
+    """One zlib stream, or the members of a gzip body one after the other."""
+    out, size = [], 0
+    while raw:
+        stream = zlib.decompressobj(window)
+        part = stream.decompress(raw, MAX_BODY + 1 - size)
+        size += len(part)
+        if size > MAX_BODY:
+            raise ValueError("page_too_large")
+        if not stream.eof:
+            raise EOFError
+        out.append(part)
+        raw = stream.unused_data.lstrip(b"\0") if window > zlib.MAX_WBITS else b""
+    return b"".join(out)
+
+
+def decode_page(raw: bytes, content_type: str | None, override: str | None = None) -> tuple[str, str, bool]:
+    """Text, encoding and whether characters were replaced.  An override goes
+    first, then the header, a byte order mark, a meta element, the default; strict
+    decoding first, the default's wider form next."""
+    if override is not None and codec(override) is None:
+        raise ValueError("invalid_encoding")
     header = HEADER.search(content_type or "")
     bom = next((c for mark, c in BOMS if raw.startswith(mark)), None)
     meta = META.search(raw[:SNIFFED])
-    name = codec(header[1] if header else None) or bom or codec(meta[1].decode() if meta else None) or DEFAULT
+    name = codec(override) or codec(header[1] if header else None) or bom or codec(meta[1].decode() if meta else None) or DEFAULT
     for attempt in (name, WIDER) if name == DEFAULT else (name,):
         try:
             return raw.decode(attempt), attempt, False
@@ -82,16 +102,21 @@ def replacement_counts(raw: bytes, text: str, encoding: str) -> tuple[int, int]:
     return literal, total - literal
 
 
+def decode(bodies, content_types, codings, override: str | None = None):
+    """A column of ``DECODED`` for columns of bodies, content types and codings."""
+    return decode_as(bodies, content_types, codings, F.lit(override).cast("string"))
+
+
 @F.pandas_udf(DECODED)
-def decode(bodies: pd.Series, content_types: pd.Series, codings: pd.Series) -> pd.DataFrame:
+def decode_as(bodies: pd.Series, content_types: pd.Series, codings: pd.Series, overrides: pd.Series) -> pd.DataFrame:
     rows = []
-    for raw, kind, coding in zip(bodies, content_types, codings, strict=True):
+    for raw, kind, coding, override in zip(bodies, content_types, codings, overrides, strict=True):
         if raw is None:
             rows.append((None, None, None, None, None, "no_body"))
             continue
         try:
             body = inflate(bytes(raw), coding)
-            text, encoding, lossy = decode_page(body, kind)
+            text, encoding, lossy = decode_page(body, kind, override)
             rows.append((text, encoding, lossy, *replacement_counts(body, text, encoding), None))
         except ValueError as e:
             rows.append((None, None, None, None, None, str(e)))
@@ -144,3 +169,54 @@ def repaired(pages, html: str = "html"):
     damaged = F.coalesce(has_surrogates(html), F.lit(False))
     fixed = pages.where(damaged).withColumn(html, join_surrogates(html))
     return pages.where(~damaged).unionByName(fixed)
+
+
+# --- bytes beyond the default character set -------------------------------------
+
+# One unit of two-byte text beyond ASCII; the row whose signs two vendors' sets share.
+UNIT = re.compile(rb"\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe]{2}|[\xa1-\xfe]{2}|[\x80-\xff]")
+SHARED_ROW, VENDOR_LEAD = 0xAD, 0x87
+PLACES = T.ArrayType(T.StructType([T.StructField("unit", T.BinaryType()), T.StructField("offset", T.LongType()), T.StructField("line", T.LongType())]))
+
+
+def _fits(unit: bytes, name: str) -> bool:
+    try:
+        unit.decode(name)
+    except UnicodeError:
+        return False
+    return True
+
+
+@F.pandas_udf(PLACES)
+def odd_units(bodies: pd.Series) -> pd.Series:
+    """Units of a body that the default character set lacks: bytes, offset (from
+    0) and line (from 1) of each."""
+    known: dict[bytes, bool] = {}
+    out = []
+    for raw in bodies:
+        found, line, seen = [], 1, 0
+        for m in UNIT.finditer(raw or b""):
+            unit = m[0]
+            if known.setdefault(unit, _fits(unit, DEFAULT)):
+                continue
+            line, seen = line + raw.count(b"\n", seen, m.start()), m.start()
+            found.append({"unit": unit, "offset": m.start(), "line": line})
+        out.append(found)
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.StringType())
+def unit_category(units: pd.Series) -> pd.Series:
+    """undecodable_unit where the wider set lacks it too; common_nec_mapping_agrees
+    where a vendor's set has the same sign; else source_mapping_unconfirmed."""
+
+    def category(unit: bytes) -> str:
+        if not _fits(unit, WIDER):
+            return "undecodable_unit"
+        if len(unit) == 2 and unit[0] == SHARED_ROW:
+            other = bytes((VENDOR_LEAD, unit[1] - 0x61 + (unit[1] >= 0xE0)))
+            if _fits(other, "cp932") and other.decode("cp932") == unit.decode(WIDER):
+                return "common_nec_mapping_agrees"
+        return "source_mapping_unconfirmed"
+
+    return units.map(lambda u: category(bytes(u)), na_action="ignore")

@@ -12,7 +12,7 @@ FUNCTIONS = {
     "closeness": text.closeness,
     "article_identity": urls.article_identity,
     "absolute_url": urls.absolute,
-    "decode_page": charset.decode,
+    "decode_page": charset.decode_as,
     "title_escape": charset.title_escape,
     "join_surrogates": charset.join_surrogates,
 }

@@ -7,6 +7,7 @@ UDF works on Arrow batches; everything else is built of Spark's functions.
 from __future__ import annotations
 
 import difflib
+import html
 import re
 import unicodedata
 
@@ -25,10 +26,20 @@ REPLACEMENT = "�"
 # Patterns of name cells: struck names, bracketed notes, note marks, breaks between names.
 STRUCK, BRACKETED, NOTE_MARK, NAME_BREAKS = "~~.*?~~", "[（(][^）)]*[）)]", r"[*＊]\d+", r"[、,，/／;；]\s*|\s{2,}"
 # Patterns of profile rows: the row that lists accounts, an account, a name with its reading.
-ACCOUNT_ROW = r"^\s*\|\s*X\s*[（(](?:旧\s*)?Twitter[）)]\s*\|"
+ACCOUNT_ROW = r"^\|\s*X\s*(?:[（(]旧\s*Twitter[）)]|\(Twitter\)|（Twitter）)\s*\|([^|]*)\|"
 ACCOUNT = r"(?<![A-Za-z0-9_])(@[A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])"
 READING_ROW = r"^\|\s*\[colspan=\d+\]\s*([^|（(]+?)\s*[（(]([^|（()）]+)[）)]"
 
+# Words that name a role or a pronoun rather than one person, and those that may yet be one person's title.
+GENERIC_WORDS = (
+    "私 わたし わたくし あたし あたい 僕 ぼく 俺 おれ おいら おら うち 自分 余 我 吾輩 わがはい ワイ 拙者 あーし"
+    " わっち あちき 小生 本人 先輩 せんぱい パイセン 後輩 同期 相方 ちゃん さん くん 君 きみ 様 さま たん 氏 殿 姉 姉さん"
+    " 姉ちゃん お姉ちゃん おねえちゃん ねえさん 兄 兄貴 お兄ちゃん 妹 弟 ママ まま パパ 母 父 お母さん 母上 娘 息子 嫁 旦那"
+    " 彼女 彼氏 先生 社長 会長 部長 団長 隊長 総帥 姫 王 女王 師匠 お嬢 お嬢様 あなた あんた お前 おまえ みんな 皆 全員"
+    " ホロメン リスナー 視聴者 ファン 友達 友人 あいつ こいつ そいつ"
+).split()
+ROLE_TITLES = "会長 社長 部長 団長 隊長 総帥 姫 王 女王 師匠 先生 お嬢 お嬢様".split()
+
 _KATAKANA = {c: c + 0x60 for c in range(ord("ぁ"), ord("ゖ") + 1)}
 
 
@@ -86,17 +97,31 @@ def split_names(cell: Column) -> Column:
 
 
 def accounts(lines: Column) -> Column:
-    """Distinct @handles of the profile rows that list accounts."""
-    rows = F.filter(lines, lambda x: x.rlike(ACCOUNT_ROW))
-    return F.array_distinct(F.regexp_extract_all(F.array_join(rows, " "), F.lit(ACCOUNT), 1))
+    """Distinct @handles in the second cell of the profile rows that list accounts."""
+    cells = F.transform(lines, lambda x: F.regexp_extract(F.trim(x), ACCOUNT_ROW, 1))
+    return F.array_distinct(F.regexp_extract_all(F.array_join(cells, " "), F.lit(ACCOUNT), 1))
+
+
+@F.pandas_udf(T.StringType())
+def reading(lines: pd.Series, names: pd.Series) -> pd.Series:
+    """The reading in brackets in the first table row that has the name, as folds
+    compare; null if there is none or it is the name itself."""
 
+    def find(rows, name: str) -> str | None:
+        for row in rows:
+            m = re.match(READING_ROW, row.strip())
+            if m and fold_text(m[1]) == fold_text(name):
+                said = m[2].strip()
+                return said if fold_text(said) != fold_text(name) else None
+        return None
 
-def reading(lines: Column, name: Column) -> Column:
-    """The reading in brackets behind ``name`` in the first table row that has one,
-    unless it is the name itself."""
-    rows = F.filter(lines, lambda x: F.regexp_extract(x, READING_ROW, 1) == name)
-    found = F.regexp_extract(F.try_element_at(rows, F.lit(1)), READING_ROW, 2)
-    return F.when((found != "") & (found != name), found)
+    return pd.Series([find(r, n) if r is not None and n is not None else None for r, n in zip(lines, names, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """Character references as characters; call it on texts that hold an ampersand."""
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def replacements(text: Column) -> Column:

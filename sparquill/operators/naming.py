@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparquill.functions.text import closeness
+from sparquill.functions.text import GENERIC_WORDS, ROLE_TITLES, closeness, fold_text
 
 STRONG_KINDS = ("name", "slug", "alias", "reading", "handle")
 # Shortest and longest key of a nickname; rows that support a role's title.
 KEY_LENGTHS, ROLE_SUPPORT = (2, 24), 3
+#: Characters of the pieces by which names are found that hold a query.
+PIECE = 3
 
 
 def mutual(edges: DataFrame) -> DataFrame:
@@ -38,7 +40,15 @@ def strong_keys(people: DataFrame, fold) -> DataFrame:
     return people.where(F.col("kind").isin(*STRONG_KINDS)).select(fold(F.col("original")).alias("key"), "slug", "kind", "original").where("key <> ''")
 
 
-def nickname_keys(nicknames: DataFrame, strong: DataFrame, fold, generic: tuple[str, ...] = (), role_titles: tuple[str, ...] = ()) -> DataFrame:
+def folded_words(words: list[str]) -> tuple[str, ...]:
+    return tuple(sorted({fold_text(w) for w in words}))
+
+
+#: Keys of words that mean no one in particular, and of those that a role may yet give to one person.
+GENERIC, ROLES = folded_words(GENERIC_WORDS), folded_words(ROLE_TITLES)
+
+
+def nickname_keys(nicknames: DataFrame, strong: DataFrame, fold, generic: tuple[str, ...] = GENERIC, role_titles: tuple[str, ...] = ROLES) -> DataFrame:
     """key, status (nickname or ambiguous), slugs, support.
 
     ``nicknames``: slug, original, one row for each naming record.  Keys that
@@ -57,40 +67,82 @@ def nickname_keys(nicknames: DataFrame, strong: DataFrame, fold, generic: tuple[
     return supported.select("key", F.when(F.size("slugs") > 1, "ambiguous").otherwise("nickname").alias("status"), "slugs", "support")
 
 
-def resolve(queries: DataFrame, keys: DataFrame, words: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:
+def resolve(queries: DataFrame, keys: DataFrame, words: DataFrame, generic: tuple[str, ...] = GENERIC) -> DataFrame:
     """qid, query, stage, status and slugs for each of ``queries`` (qid, query, key).
 
     Stages: 1 a strong key, 2 a nickname, 3 the start of a word (from 3
-    characters, or 2 beyond ASCII), 4 a part of a name, alias or reading.  All
-    are found at once; the lowest stage with a hit counts.  ``keys``: key, slug,
-    kind; ``words``: word, slug.
+    characters, or 2 beyond ASCII), 4 a part of a name, alias or reading, which
+    no generic word may be.  All are found at once; the lowest stage with a hit
+    counts.  ``keys``: key, slug, kind; ``words``: word, slug.
+
+    Every stage is a join on equal keys: words meet queries by their first two
+    characters, names by a piece of at most three that both hold.
     """
     exact = queries.join(keys, "key").select(
         "qid", "slug", F.when(F.col("kind").isin(*STRONG_KINDS), 1).otherwise(2).alias("stage")
     )
     least = F.when(F.col("key").rlike(r"^[\x00-\x7f]*$"), 3).otherwise(2)
-    open_ = F.col("key") != ""
-    if generic:
-        open_ = open_ & ~F.col("key").isin(*generic)
-    starts = queries.where(F.length("key") >= least).select("qid", "key")
-    prefix = starts.join(words.select("word", "slug").distinct(), F.startswith(F.col("word"), F.col("key"))).select("qid", "slug", F.lit(3).alias("stage"))
+    common = F.col("key").isin(*generic) if generic else F.lit(False)
+    head = lambda c: F.substring(c, 1, 2).alias("head")
+    starts = queries.where(F.length("key") >= least).select("qid", "key", head("key"))
+    prefix = starts.join(words.select("word", "slug", head("word")).distinct(), "head").where(F.startswith("word", F.col("key")))
+    prefix = prefix.select("qid", "slug", F.lit(3).alias("stage"))
+    inside = queries.where((F.col("key") != "") & ~common).select("qid", "key", F.substring("key", 1, PIECE).alias("piece"))
     named = keys.where(F.col("kind").isin("name", "alias", "reading")).select(F.col("key").alias("other"), "slug").distinct()
-    inside = queries.where(open_).select("qid", "key").join(named, F.contains(F.col("other"), F.col("key"))).select("qid", "slug", F.lit(4).alias("stage"))
-    hits = exact.unionByName(prefix).unionByName(inside).distinct()
+    within = inside.join(named.select("other", "slug", F.explode(pieces(F.col("other"))).alias("piece")), "piece").where(F.contains("other", F.col("key")))
+    within = within.select("qid", "slug", F.lit(4).alias("stage"))
+    hits = exact.unionByName(prefix).unionByName(within).distinct()
     best = hits.groupBy("qid", "stage").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
     chosen = best.groupBy("qid").agg(F.min_by(F.struct("stage", "slugs"), "stage").alias("hit"))
     n = F.size("hit.slugs")
+    missing = F.when(common, "generic").otherwise("not_found")
     return queries.join(chosen, "qid", "left").select(
         "qid", "query", F.col("hit.stage").cast("long").alias("stage"),
-        F.when(F.col("key") == "", "empty").when(F.col("hit").isNull(), "not_found").when(n > 1, "ambiguous").otherwise("ok").alias("status"),
+        F.when(F.col("key") == "", "empty").when(F.col("hit").isNull(), missing).when(n > 1, "ambiguous").otherwise("ok").alias("status"),
         F.coalesce("hit.slugs", F.array().cast("array<string>")).alias("slugs"),
     )
 
 
-def suggest(queries: DataFrame, keys: DataFrame, cutoff: float = 0.7, most: int = 5, similarity=closeness) -> DataFrame:
-    """qid, slug, score: the closest keys of names that were not found."""
+def pieces(text: Column, most: int = PIECE) -> Column:
+    """The distinct pieces of 1 to ``most`` characters of a text."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.when(F.length(text) >= n, of(n)).otherwise(none) for n in range(1, most + 1)]))
+
+
+def numbered_letters(text: Column) -> Column:
+    """The characters of a text with the number of their occurrence, as a set that
+    stands for the multiset; in descending order, as rarer letters come late."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    numbered = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+    return F.sort_array(numbered, asc=False)
+
+
+def suggest(queries: DataFrame, keys: DataFrame, cutoff: float = 0.7, keys_most: int = 8, most: int = 5, similarity=closeness) -> DataFrame:
+    """qid, slug, score: the owners of the closest keys of names that were not
+    found, from the ``keys_most`` closest keys ``most`` owners.
+
+    A similarity of ``cutoff`` takes letters in common: cutoff / 2 of both
+    lengths together.  So of each side only the letters at the front of its order
+    that cannot all be missing are looked up, and pairs with too few letters in
+    common never reach ``similarity``.
+    """
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        letters = rows.withColumn("letters", numbered_letters(F.col(name)))
+        spare = F.size("letters") - F.ceil(F.size("letters") * cutoff / (2 - cutoff) - 1e-9).cast("int") + 1
+        return letters.withColumn("letter", F.explode(F.slice("letters", F.lit(1), spare)))
+
+    asked = side(queries.where(F.length("key") > 0).select("qid", "key"), "key")
+    known = side(keys.select(F.col("key").alias("other")).where(F.length("other") > 0).distinct(), "other")
+    known = known.withColumnRenamed("letters", "other_letters")
+    pairs = asked.join(known, "letter").drop("letter").distinct()
+    shared = F.size(F.array_intersect("letters", "other_letters"))
+    near = pairs.where(2 * shared >= cutoff * (F.size("letters") + F.size("other_letters")) - 1e-9)
     score: Column = similarity(F.col("key"), F.col("other"))
-    near = Window.partitionBy("qid").orderBy(F.desc("score"), "slug")
-    pairs = queries.select("qid", "key").join(keys.select(F.col("key").alias("other"), "slug"), F.abs(F.length("key") - F.length("other")) <= F.length("key"))
-    best = pairs.withColumn("score", score).where(F.col("score") >= cutoff).groupBy("qid", "slug").agg(F.max("score").alias("score"))
-    return best.withColumn("place", F.row_number().over(near)).where(F.col("place") <= most).drop("place")
+    scored = near.select("qid", "key", "other").withColumn("score", score).where(F.col("score") >= cutoff)
+    by_key = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("other"))
+    closest = scored.withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= keys_most)
+    owners = closest.join(keys.select(F.col("key").alias("other"), "slug").distinct(), "other")
+    best = owners.groupBy("qid", "slug").agg(F.max("score").alias("score"))
+    near_owner = Window.partitionBy("qid").orderBy(F.desc("score"), "slug")
+    return best.withColumn("place", F.row_number().over(near_owner)).where(F.col("place") <= most).drop("place")

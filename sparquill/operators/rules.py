@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import urls
+from sparquill.functions.text import unescape
+from sparquill.operators import markup
 
 # Hosts by kind; a rule covers its subdomains.
 HOSTS = {
@@ -16,7 +18,7 @@ HOSTS = {
         " adingo.jp gmossp-sp.jp geniee.jp gsspat.jp logly.co.jp popin.cc ad-generation.jp impact-ad.jp yads.yahoo.co.jp yads.c.yimg.jp"
         " uncn.jp smartnews-ads.com"
     ).split(),
-    "tracking": "googletagmanager.com google-analytics.com b.st-hatena.com platform.twitter.com connect.facebook.net".split(),
+    "tracking": "googletagmanager.com google-analytics.com rainman.seesaawiki.jp b.st-hatena.com platform.twitter.com connect.facebook.net".split(),
     "affiliate": (
         "a8.net moshimo.com valuecommerce.com accesstrade.net afi-b.com linksynergy.com afl.rakuten.co.jp amzn.to felmat.net"
         " rentracks.jp affiliate.dmm.com al.dmm.com"
@@ -27,7 +29,8 @@ AFFILIATE_PARAMETER = {"amazon.co.jp": "tag", "amazon.com": "tag", "dmm.com": "a
 
 # Element rules, in the order in which they are tried.
 AD_CLASSES = "adsense-box adsense-main-top adsense-main-inner side-adsense ad-extra ads-box adsbygoogle gliaplayer-container header-banner".split()
-AD_IDS = ("adsense-location-top", "browsi-tag")
+AD_IDS = ("adsense-location-top", "seesaa-bnr", "seesaa-bnr-close", "browsi-tag")
+URL_ATTRIBUTES = ("href", "src", "data-src", "data-original", "data", "poster", "srcset", "data-srcset", "action")
 AD_ID_PREFIXES = ("crt-",)
 AD_DATA = ("data-revive-zoneid", "data-ad-client", "data-ad-slot")
 CHROME_IDS = (
@@ -97,10 +100,71 @@ def element_kind(classes: Column, element_id: Column, attributes: Column, host_c
     )
 
 
-def element_log(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = 40) -> DataFrame:
-    """key, class_name, n: how often each class attribute of a div occurs."""
-    found = pages.select(key, F.explode(F.regexp_extract_all(html, F.lit('<div class="([^"]*)"'), 1)).alias("class_name"))
-    return found.groupBy(key, "class_name").agg(F.count(F.lit(1)).alias("n"))
+def ad_address(attributes: Column) -> Column:
+    """Whether a URL attribute of an element leads to an ad host."""
+    listed = F.filter(F.transform(F.array(*map(F.lit, URL_ATTRIBUTES)), lambda a: F.try_element_at(attributes, a)), lambda u: u.isNotNull())
+    addresses = F.flatten(F.transform(listed, lambda u: F.transform(F.split(u, ","), lambda part: F.split_part(F.trim(part), F.lit(" "), F.lit(1)))))
+    ads = F.array(*map(F.lit, HOSTS["ad"]))
+    return F.exists(addresses, lambda u: F.coalesce(F.arrays_overlap(urls.parents(urls.host(u)), ads), F.lit(False)))
+
+
+def skipped_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, kind, reason, tag, line and ord of each element that the rules skip; what
+    is inside a skipped element goes with it."""
+    page = pages.select(key, markup.page_of(html).alias("page"))
+    said = lambda e: element_kind(
+        markup.classes(e), markup.attribute(e, "id"), F.map_keys(e["attributes"]), F.when(ad_address(e["attributes"]), "ad"))
+    kinds = F.transform("page.elements", lambda e: F.struct(
+        e["node"].alias("node"), e["last"].alias("last"), e["tag"].alias("tag"), e["line"].alias("line"), said(e).alias("kind")))
+    hits = page.select(key, F.filter(kinds, lambda e: e["kind"].isNotNull()).alias("hits"))
+    outer = F.filter("hits", lambda e: ~F.exists("hits", lambda o: markup.within(e, o)))
+    found = hits.select(key, F.inline(outer))
+    return found.select(key, F.split_part("kind", F.lit("/"), F.lit(1)).alias("kind"), F.regexp_extract("kind", "/(.*)", 1).alias("reason"),
+                        "tag", F.col("line").cast("long").alias("line"), F.col("node").cast("long").alias("ord"))
+
+
+def skip_log(skipped: DataFrame, key: str = "page_id", samples: int = 40) -> DataFrame:
+    """key, n, by_kind, by_reason, samples (the first ones, in page order) and
+    truncated for each page on which something was skipped."""
+    counted = skipped.groupBy(key, "kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+    by_reason = counted.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("/", "kind", "reason"), "n")))).alias("by_reason"))
+    by_kind = counted.groupBy(key, "kind").agg(F.sum("n").alias("n")).groupBy(key).agg(
+        F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_kind")
+    )
+    first = Window.partitionBy(key).orderBy("ord")
+    sampled = skipped.withColumn("place", F.row_number().over(first)).where(F.col("place") <= samples).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "kind", "reason", "tag", "line"))).alias("samples")
+    )
+    return by_kind.join(by_reason, key).join(sampled, key).select(key, "n", "by_kind", "by_reason", "samples", (F.col("n") > samples).alias("truncated"))
+
+
+def output_scan(fields: DataFrame, rules: DataFrame, key: str, paths: int = 5, most: int = 40) -> DataFrame:
+    """key, bucket, url, n_paths, paths and bucket_count: ad and affiliate URLs in
+    the texts of extracted fields.
+
+    ``fields``: key, path, structural, text.  URLs of link and media fields are
+    structural; an ad URL that is structural somewhere on the page is not a
+    textual one as well.  ``paths`` are the smallest; ``most`` URLs of a bucket
+    are listed, bucket_count counts all.
+    """
+    held = fields.where(F.contains("text", F.lit("//")))
+    plain = F.coalesce(~F.contains("text", F.lit("&")), F.lit(True))
+    texts = held.where(plain).unionByName(held.where(~plain).withColumn("text", unescape("text")))
+    found = texts.select(key, "path", "structural", F.explode(urls.urls_in(F.col("text"))).alias("url"))
+    address = F.when(F.startswith("url", F.lit("//")), F.concat(F.lit("https:"), F.col("url"))).otherwise(F.col("url"))
+    judged = host_categories(found.withColumn("address", address), rules, "address").where(F.col("category").isin("ad", "affiliate"))
+    uses = judged.groupBy(key, F.substring("url", 1, 300).alias("url"), "category", "path").agg(F.max("structural").alias("structural"))
+    whole = Window.partitionBy(key, "url", "category")
+    uses = uses.withColumn("shown", F.max("structural").over(whole))
+    bucket = F.when(F.col("category") == "affiliate", "affiliate_urls").when(F.col("shown"), "ad_urls_structural").otherwise("ad_urls_textual")
+    # of a structural URL only the structural paths are listed
+    uses = uses.where((F.col("category") == "affiliate") | (F.col("structural") == F.col("shown"))).withColumn("bucket", bucket)
+    ranked = uses.withColumn("place", F.row_number().over(Window.partitionBy(key, "bucket", "url").orderBy("path")))
+    listed = ranked.groupBy(key, "bucket", "url").agg(
+        F.count(F.lit(1)).alias("n_paths"), F.array_sort(F.collect_list(F.when(F.col("place") <= paths, F.col("path")))).alias("paths"))
+    of_bucket = Window.partitionBy(key, "bucket")
+    numbered = listed.withColumn("place", F.row_number().over(of_bucket.orderBy("url"))).withColumn("bucket_count", F.count(F.lit(1)).over(of_bucket))
+    return numbered.where(F.col("place") <= most).drop("place")
 
 
 def output_urls(texts: DataFrame, bucket: str, path: str, text: str, paths: int = 5) -> DataFrame:

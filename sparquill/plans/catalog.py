@@ -254,21 +254,56 @@ def host_category(spark, d):
     return found.select("page_id", "host", "rule", "category")
 
 
-@query("""select page_id, class_name, count(*) as n from (
-    select page_id, unnest(regexp_extract_all(html, '<div class="([^"]*)"', 1)) as class_name from pages) group by page_id, class_name""")
+_AD_PAGES = "select page_id, replace(replace(html, '<div class=\"ad\"', '<div class=\"x adsbygoogle\"'), '<nav', '<nav id=\"page-extra\"') as html from pages"
+
+
+@query(f"""with p as ({_AD_PAGES}), k as (
+    select page_id, 'ad' as kind, 'ad_class:adsbygoogle' as reason, len(regexp_extract_all(html, '<div class="x adsbygoogle"')) as n from p
+    union all select page_id, 'chrome', 'chrome_id:page-extra', len(regexp_extract_all(html, '<nav id="page-extra"')) from p)
+  select page_id, sum(n)::bigint as n, string_agg(kind || '/' || reason || '=' || n::varchar, ' ' order by kind) as by_reason,
+    least(sum(n), 1)::bigint as n_samples, sum(n) > 1 as truncated from k where n > 0 group by page_id""")
 def ad_skip_log(spark, d):
-    return rules.element_log(table(spark, d, "pages"))
+    """The test pages' advert and menu, under names that the rules know."""
+    html = F.replace(F.replace("html", F.lit('<div class="ad"'), F.lit('<div class="x adsbygoogle"')), F.lit("<nav"), F.lit('<nav id="page-extra"'))
+    log = rules.skip_log(rules.skipped_elements(table(spark, d, "pages").select("page_id", html.alias("html"))), samples=1)
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("by_reason")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), " ")
+    return log.select("page_id", "n", said.alias("by_reason"), F.size("samples").cast("long").alias("n_samples"), "truncated")
 
 
-@query("""with u as (select split_part(url, '/', 4) as bucket, page_id, unnest(regexp_extract_all(url, '(?:https?:)?//[^\\s<>"''`\\\\|\\]\\[)(]+')) as url from pages),
-  c as (select bucket, url, page_id, count(*) as uses from u group by all),
+@query("""with u as (select split_part(url, '/', 4) as bucket, page_id, unnest(regexp_extract_all(html, '(?:https?:)?//[^\\s<>"''`\\\\|\\]\\[)(]+')) as url from pages),
+  c as (select bucket, regexp_replace(url, '[,;.]+$', '') as url, page_id from u group by all),
   f as (select *, row_number() over (partition by bucket, url order by page_id) as place from c)
-  select bucket, url, sum(uses)::bigint as n, string_agg(page_id::varchar, ',' order by page_id) filter (where place <= 5) as paths from f group by bucket, url""")
-def output_scan(spark, d):
-    texts = table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(4)).alias("bucket"), "page_id", F.col("url").alias("text"))
+  select bucket, url, count(*) as n, string_agg(page_id::varchar, ',' order by page_id) filter (where place <= 5) as paths from f group by bucket, url""")
+def output_urls(spark, d):
+    texts = table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(4)).alias("bucket"), "page_id", F.col("html").alias("text"))
     return rules.output_urls(texts, "bucket", "page_id", "text").select("bucket", "url", "n", F.array_join(F.col("paths").cast("array<string>"), ",").alias("paths"))
 
 
+@query("""with f as (select page_id, '/link' as path, true as structural, replace(url, '&', '&amp;') as text from pages where page_id % 2 = 0
+    union all select page_id, '/line', false, 'see ' || url || '.' from pages
+    union all select page_id, '/note', false, 'at //' || split_part(url, '/', 3) || '/x' from pages),
+  u as (select page_id, path, structural, case when path = '/note' then '//' || split_part(text, '/', 3) || '/x' when path = '/line' then regexp_replace(substr(text, 5), '[,;.]+$', '')
+      else replace(text, '&amp;', '&') end as url from f),
+  h as (select *, lower(regexp_extract(url, '//([^/?#:]*)', 1)) as host from u),
+  rules(rule, category) as (values ('example.net', 'ad'), ('m.example.com', 'ad'), ('blog.tionble.example.com', 'tracking'), ('example.com', 'affiliate'), ('a8.net', 'affiliate')),
+  m as (select h.*, r.category, row_number() over (partition by page_id, path, url order by length(r.rule) desc) as rn from h join rules r on host = rule or suffix(host, '.' || rule)),
+  c as (select *, max(structural::int) over (partition by page_id, url, category) as shown from m where rn = 1 and category in ('ad', 'affiliate')),
+  b as (select *, case when category = 'affiliate' then 'affiliate_urls' when shown = 1 then 'ad_urls_structural' else 'ad_urls_textual' end as bucket
+    from c where category = 'affiliate' or structural = (shown = 1)),
+  g as (select page_id, bucket, url, count(*) as n_paths, string_agg(path, ',' order by path) as paths from b group by page_id, bucket, url)
+  select *, count(*) over (partition by page_id, bucket) as bucket_count from g""")
+def output_scan(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    field = lambda rows, path, structural, body: rows.select("page_id", F.lit(path).alias("path"), F.lit(structural).alias("structural"), body.alias("text"))
+    fields = (
+        field(pages.where("page_id % 2 = 0"), "/link", True, F.replace("url", F.lit("&"), F.lit("&amp;")))
+        .unionByName(field(pages, "/line", False, F.concat(F.lit("see "), F.col("url"), F.lit("."))))
+        .unionByName(field(pages, "/note", False, F.concat(F.lit("at //"), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/x"))))
+    )
+    found = rules.output_scan(fields, rules.host_rules(spark, _HOST_RULES), "page_id")
+    return found.select("page_id", "bucket", "url", "n_paths", F.array_join("paths", ",").alias("paths"), "bucket_count")
+
+
 # --- articles ----------------------------------------------------------------
 
 @query()
@@ -416,7 +451,7 @@ _FOLD_SQL = "regexp_replace(lower({}), '[ \\t\\n\\r_.''`@-]', '', 'g')"
 def name_keys_ambiguous(spark, d):
     part = table(spark, d, "part")
     none = part.limit(0).select(F.col("p_name").alias("key"))
-    found = naming.nickname_keys(part.select(F.col("p_brand").alias("slug"), F.col("p_name").alias("original")), none, text.ascii_fold)
+    found = naming.nickname_keys(part.select(F.col("p_brand").alias("slug"), F.col("p_name").alias("original")), none, text.fold)
     return found.select("key", "status", F.size("slugs").cast("long").alias("owners"), "support")
 
 
@@ -433,14 +468,14 @@ def name_keys_ambiguous(spark, d):
     coalesce(n, 0) as n_candidates, slug as first_slug from qk left join c using (qid)""")
 def name_resolve(spark, d):
     wanted = [(1, "NATION_7"), (2, "nation 1"), (3, "Region 2"), (4, "zzz"), (5, "small"), (6, ".-")]
-    asked = spark.createDataFrame(wanted, "qid long, query string").withColumn("key", text.ascii_fold(F.col("query")))
+    asked = spark.createDataFrame(wanted, "qid long, query string").withColumn("key", text.fold(F.col("query")))
     parts = table(spark, d, "part").select("p_name").distinct()
     people = (
         table(spark, d, "nation").select(F.col("n_name").alias("original")).unionByName(parts.select(F.col("p_name").alias("original")))
         .unionByName(table(spark, d, "region").select(F.col("r_name").alias("original"))).select("original", F.col("original").alias("slug"), F.lit("name").alias("kind"))
     )
     words = parts.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"), F.col("p_name").alias("slug"))
-    found = naming.resolve(asked, naming.strong_keys(people, text.ascii_fold), words)
+    found = naming.resolve(asked, naming.strong_keys(people, text.fold), words)
     return found.select("qid", "query", "stage", "status", F.size("slugs").cast("long").alias("n_candidates"), F.try_element_at("slugs", F.lit(1)).alias("first_slug"))
 
 
@@ -462,7 +497,7 @@ def name_suggest_edit_distance(spark, d):
 
     keys = table(spark, d, "part").select(text.ascii_fold(F.col("p_name")).alias("key"), F.col("p_name").alias("slug")).distinct()
     asked = spark.createDataFrame([(1, "smalring"), (2, "redwigdet"), (3, "hotgears")], "qid long, key string")
-    return naming.suggest(asked, keys, similarity=similarity)
+    return naming.suggest(asked, keys, similarity=similarity, keys_most=1 << 30)
 
 
 # --- packs -------------------------------------------------------------------
