@@ -32,9 +32,9 @@ def find(lines: DataFrame, literal: str) -> DataFrame:
     return lines.where(F.contains("text", F.lit(literal)))
 
 
-def _rows(numbers: Column, all_lines: str = "_lines") -> Column:
-    """line and text of the given line numbers."""
-    return F.transform(numbers, lambda i: F.struct(i.cast("long").alias("line"), F.element_at(all_lines, i).alias("text")))
+def _rows(numbers: Column, all_lines: str = "_lines", *more: Callable[[Column], Column]) -> Column:
+    """line and text of the given line numbers, and what ``more`` says of a number."""
+    return F.transform(numbers, lambda i: F.struct(i.cast("long").alias("line"), F.element_at(all_lines, i).alias("text"), *[m(i) for m in more]))
 
 
 def _hits(literal: str, all_lines: str = "_lines") -> Column:

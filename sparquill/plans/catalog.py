@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text, urls
-from sparquill.operators import articles, audits, corpus, grid, lines, links, naming, notes, packs, rules, sections
+from sparquill.operators import articles, audits, commands, corpus, grid, lines, links, naming, notes, packs, rules, sections
 from sparquill.sources import pages, snapshots
 from sparquill.streaming import events as streams
 from sparquill.tables import table
@@ -306,20 +306,90 @@ def output_scan(spark, d):
 
 # --- articles ----------------------------------------------------------------
 
-@query()
+# The test pages' articles, cut out by patterns: each has one h1, paragraphs and line breaks.
+ARTICLES_SQL = """
+  cut as (
+    select page_id, contains(html, '</article>') as closed, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) as body from pages),
+  marked as (
+    select page_id, closed, regexp_replace(replace(replace(body, '<h1>', chr(10) || '# '), '<br>', chr(10)), '</?(h1|p)>', chr(10), 'g') as body from cut),
+  plain as (
+    select page_id, closed, replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as body from marked),
+  pieces as (
+    select page_id, closed, trim(regexp_replace(unnest(string_split(body, chr(10))), '\\s+', ' ', 'g')) as text,
+      generate_subscripts(string_split(body, chr(10)), 1) as pos from plain),
+  article as (
+    select page_id, closed, text, row_number() over (partition by page_id order by pos) as line from pieces where text <> '')"""
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    return articles.parse_pages(table(spark, d, "pages"))
+
+
+@query(f"with {ARTICLES_SQL} select page_id, line, text from article")
 def article_lines(spark, d):
-    return articles.lines(articles.parse_pages(table(spark, d, "pages")))
+    return articles.lines(_articles(spark, d))
 
 
-@query()
+@query(f"with {ARTICLES_SQL} select page_id, 1::bigint as level, line, substr(text, 3) as text from article where starts_with(text, '# ')")
 def article_headings(spark, d):
-    return articles.child(articles.parse_pages(table(spark, d, "pages")), "headings")
+    return articles.child(_articles(spark, d), "headings").select("page_id", "level", "line", "text")
 
 
-@query("select page_id, 1::bigint as n_h1, true as is_closed from pages")
+@query(f"""with {ARTICLES_SQL} select page_id, count(*) filter (starts_with(text, '# ')) as n_h1, count(*) as n_lines, max(length(text)) as longest,
+    bool_or(closed) as is_closed from article group by page_id""")
 def article_summary(spark, d):
-    parsed = articles.parse_pages(table(spark, d, "pages"))
-    return parsed.select("page_id", F.size(F.filter("article.headings", lambda h: h["level"] == 1)).cast("long").alias("n_h1"), F.col("article.closed").alias("is_closed"))
+    a = F.col("article")
+    return _articles(spark, d).select(
+        "page_id", F.size(F.filter(a["headings"], lambda h: h["level"] == 1)).cast("long").alias("n_h1"), F.size(a["lines"]).cast("long").alias("n_lines"),
+        F.array_max(F.transform(a["lines"], F.length)).cast("long").alias("longest"), a["closed"].alias("is_closed"))
+
+
+@query(f"""with {ARTICLES_SQL},
+  s as (select page_id, line as first from article where starts_with(text, '# ') and contains(text, 'e')),
+  m as (select a.page_id, a.line, a.text, contains(a.text, 'on')::int as hit, s.first from article a join s using (page_id) where a.line >= s.first),
+  n as (select *, sum(hit) over w as number, max(hit) over (w rows between 1 preceding and 1 following) as near from m window w as (partition by page_id order by line)),
+  k as (select *, row_number() over w as place, count(*) over p as total, max(case when hit = 1 and number = 2 then line end) over p as second,
+      coalesce(max(case when hit = 1 and number = 1 then line end) over p, 0) as before, max(case when hit = 1 then line end) over p as last_match
+    from n where near = 1 window w as (partition by page_id order by line), p as (partition by page_id)),
+  b as (select *, greatest(min(case when line >= greatest(second - 1, before + 1) then place end) over p, max(case when line = second then place end) over p - 3) as begin
+    from k where second is not null window p as (partition by page_id)),
+  v as (select * from b where place >= begin and place < begin + 4)
+  select page_id, 'ok' as status, line, text, begin > 1 as more_before, begin + count(*) over (partition by page_id) - 1 < total as more_after,
+    last_match > max(line) over (partition by page_id) as more_matches from v
+  union all select distinct page_id, 'section_not_found', null::bigint, null, null, null, null from article where page_id not in (select page_id from s)""")
+def read_section(spark, d):
+    """From the second match on, in the section whose heading holds a letter."""
+    found = commands.read(_articles(spark, d), section="e", find="on", context=1, start=2, count=4)
+    return found.select("page_id", "status", "line", "text", "more_before", "more_after", "more_matches")
+
+
+_STORY_DETAILS = {"ace": 100_000, "full": 20_000, "normal": 4_000, "brief": 800, "cameo": 100, "names": 40}
+
+
+@query(f"""with details(detail, cap) as (values {", ".join(f"('{k}', {v})" for k, v in _STORY_DETAILS.items())}),
+  members as (select source as pack, doc_id::varchar as name, row_number() over (partition by source order by doc_id) as place, text from documents),
+  items as (select pack, place, 0::bigint as place_2, name, null::varchar as other, detail, 'item' as kind, left(text, cap) as text from members cross join details),
+  pairs as (select a.pack, a.place, b.place as place_2, a.name, b.name as other, detail, 'pair' as kind, left(a.name || ' ' || b.name, cap) as text
+    from members a join members b on a.pack = b.pack and b.place = a.place + 1 cross join details),
+  texts as (select * from items union all select * from pairs),
+  tiers(rank, item, pair) as (values {", ".join(f"({n}, '{i}', '{p}')" for n, (i, p) in enumerate(packs.TIERS, 1))}),
+  sized as (select pack, rank, sum(length(text)) as size from texts join tiers on detail = case when kind = 'item' then item else pair end group by pack, rank),
+  limits as (select pack, least(120000 + 15000 * (count(*) - 1), 300000) as limit_ from members group by pack),
+  chosen as (select pack, coalesce(min(case when size <= limit_ then rank end), 99)::bigint as tier, min_by(rank, (size, rank)) as least_ from sized join limits using (pack) group by pack),
+  kept as (select t.*, c.tier from texts t join chosen c using (pack) join tiers on rank = case when tier = 99 then least_ else tier end and detail = case when kind = 'item' then item else pair end)
+  select pack, tier, row_number() over (partition by pack order by kind, place, place_2) as place, kind, name, other, text from kept""")
+def story_pack(spark, d):
+    """Each source's documents as a cast, neighbours as pairs."""
+    order = Window.partitionBy("source").orderBy("doc_id")
+    cast = table(spark, d, "documents").select(
+        F.col("source").alias("pack"), F.col("doc_id").cast("string").alias("name"), F.row_number().over(order).alias("place"), F.lit(None).cast("long").alias("limit"),
+        "text", F.lead(F.col("doc_id").cast("string")).over(order).alias("next"))
+    details = F.explode(F.array(*[F.struct(F.lit(k).alias("detail"), F.lit(v).alias("cap")) for k, v in _STORY_DETAILS.items()])).alias("d")
+    cut = lambda text: F.substring(text, F.lit(1), F.col("d.cap")).alias("text")
+    items = cast.select("name", "text", details).select("name", "d.detail", cut(F.col("text")))
+    pairs = cast.where("next is not null").select("name", "next", details).select(F.col("name").alias("src"), F.col("next").alias("dst"), "d.detail", cut(F.concat_ws(" ", "name", "next")))
+    return commands.story(cast.select("pack", "name", "place", "limit"), items, pairs)
 
 
 # --- audits ------------------------------------------------------------------
