@@ -104,7 +104,14 @@ def find_match_paging(spark, d):
     return lines.page_of_matches(table(spark, d, "documents"), "doc_id", " of ", 1, 2, 5)
 
 
-@query()
+@query("""with recursive l as (
+    select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+  c(doc_id, i, part, size) as (
+    select doc_id, i, 1::bigint, length(line) from l where i = 1
+    union all select l.doc_id, l.i, case when c.size + 1 + length(l.line) <= 15000 then c.part else c.part + 1 end,
+      case when c.size + 1 + length(l.line) <= 15000 then c.size + 1 + length(l.line) else length(l.line) end
+    from c join l on l.doc_id = c.doc_id and l.i = c.i + 1)
+  select doc_id, part, string_agg(line, chr(10) order by i) as body from c join l using (doc_id, i) group by doc_id, part""")
 def pack_parts(spark, d):
     return lines.parts(table(spark, d, "documents"), "doc_id")
 
@@ -257,15 +264,19 @@ def host_category(spark, d):
 _AD_PAGES = "select page_id, replace(replace(html, '<div class=\"ad\"', '<div class=\"x adsbygoogle\"'), '<nav', '<nav id=\"page-extra\"') as html from pages"
 
 
+def _skipped(spark: SparkSession, d: str) -> DataFrame:
+    """The test pages' advert and menu, under names that the rules know."""
+    html = F.replace(F.replace("html", F.lit('<div class="ad"'), F.lit('<div class="x adsbygoogle"')), F.lit("<nav"), F.lit('<nav id="page-extra"'))
+    return rules.skipped_elements(table(spark, d, "pages").select("page_id", html.alias("html")))
+
+
 @query(f"""with p as ({_AD_PAGES}), k as (
     select page_id, 'ad' as kind, 'ad_class:adsbygoogle' as reason, len(regexp_extract_all(html, '<div class="x adsbygoogle"')) as n from p
     union all select page_id, 'chrome', 'chrome_id:page-extra', len(regexp_extract_all(html, '<nav id="page-extra"')) from p)
   select page_id, sum(n)::bigint as n, string_agg(kind || '/' || reason || '=' || n::varchar, ' ' order by kind) as by_reason,
     least(sum(n), 1)::bigint as n_samples, sum(n) > 1 as truncated from k where n > 0 group by page_id""")
 def ad_skip_log(spark, d):
-    """The test pages' advert and menu, under names that the rules know."""
-    html = F.replace(F.replace("html", F.lit('<div class="ad"'), F.lit('<div class="x adsbygoogle"')), F.lit("<nav"), F.lit('<nav id="page-extra"'))
-    log = rules.skip_log(rules.skipped_elements(table(spark, d, "pages").select("page_id", html.alias("html"))), samples=1)
+    log = rules.skip_log(_skipped(spark, d), samples=1)
     said = F.array_join(F.transform(F.array_sort(F.map_entries("by_reason")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), " ")
     return log.select("page_id", "n", said.alias("by_reason"), F.size("samples").cast("long").alias("n_samples"), "truncated")
 
@@ -394,10 +405,32 @@ def story_pack(spark, d):
 
 # --- audits ------------------------------------------------------------------
 
-@query("""select page_id, token, count(*) as n, 'named' as reason from (
-    select page_id, unnest(regexp_extract_all(html, '&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z]+);', 1)) as token from pages) group by page_id, token""")
+_REFERENCES = {"&copy;": "&#xA9;", "&middot;": "&#0;", "</h1>": "&#xD800;&#133;&#1114112;</h1>"}
+_REFERENCES_SQL = "html"
+for _a, _b in _REFERENCES.items():
+    _REFERENCES_SQL = f"replace({_REFERENCES_SQL}, '{_a}', '{_b}')"
+_REFERENCES_SQL = f"""t as (select page_id, unnest(regexp_extract_all({_REFERENCES_SQL}, '&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z]+);', 1)) as token from pages),
+  r as (select *, case token when '#xA9' then 'character' when '#0' then 'null_character' when '#xD800' then 'surrogate' when '#133' then 'c1_control'
+    when '#1114112' then 'out_of_range' else 'named' end as reason from t)"""
+
+
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    for a, b in _REFERENCES.items():
+        html = F.replace(html, F.lit(a), F.lit(b))
+    return audits.references(table(spark, d, "pages").select("page_id", html.alias("html")))
+
+
+@query(f"with {_REFERENCES_SQL} select page_id, token, count(*) as n, reason from r group by page_id, token, reason")
 def reference_audit(spark, d):
-    return audits.references(table(spark, d, "pages"))
+    return _references(spark, d)
+
+
+@query(f"""with {_REFERENCES_SQL}, g as (select page_id, reason, token, count(*) as n from r group by page_id, reason, token),
+  c as (select *, row_number() over (partition by page_id, reason order by n desc, token) as place from g)
+  select page_id, reason, sum(n)::bigint as n, string_agg(token, ' ' order by place) filter (where place <= 2) as samples from c group by page_id, reason""")
+def reference_report(spark, d):
+    return audits.reference_report(_references(spark, d), samples=2).withColumn("samples", F.array_join("samples", " "))
 
 
 @query("""select doc_id, (length(text) - length(replace(text, 'é', '')))::bigint as n from documents where contains(text, 'é')""")
@@ -455,12 +488,51 @@ def grid_spread(spark, d):
     return grid.spread(cells, "l_orderkey").groupBy("l_orderkey", "grid_row", "grid_col").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_CELLS_SQL = """cells as (
+    select l_orderkey, (n - 1) // 3 + 1 as row_idx, (n - 1) % 3 + 1 as cell_idx, l_quantity::bigint % 3 + 1 as colspan, l_quantity::bigint as q from (
+      select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as n from lineitem))"""
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a table: its items in rows of three cells, as wide as their quantity says."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    n = F.row_number().over(order) - 1
+    q = F.col("l_quantity").cast("long")
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", F.lit(1).cast("long").alias("table_idx"), (F.floor(n / 3) + 1).alias("row_idx"), (n % 3 + 1).cast("long").alias("cell_idx"),
+        F.lit(1).cast("long").alias("rowspan"), (q % 3 + 1).alias("colspan"), q.alias("q"))
+
+
+@query(f"""with {_CELLS_SQL}, placed as (
+    select *, coalesce(sum(colspan) over (partition by l_orderkey, row_idx order by cell_idx rows between unbounded preceding and 1 preceding), 0)::bigint as before from cells)
+  select l_orderkey, row_idx as grid_row, before + unnest(range(1, colspan + 1)) as grid_col, row_idx as src_row, cell_idx as src_cell from placed""")
 def grid_expand(spark, d):
-    cells = table(spark, d, "lineitem").select(
-        "l_orderkey", F.lit(1).cast("long").alias("table_idx"), F.col("l_linenumber").cast("long").alias("row_idx"), F.lit(1).cast("long").alias("cell_idx"),
-        F.lit(1).cast("long").alias("rowspan"), (F.col("l_quantity").cast("long") % 3 + 1).alias("colspan"))
-    return grid.expand(cells, "l_orderkey")
+    return grid.expand(_cells(spark, d).drop("q"), "l_orderkey").drop("table_idx", "warning")
+
+
+@query(f"""with {_CELLS_SQL}, placed as (
+    select *, coalesce(sum(colspan) over (partition by l_orderkey, row_idx order by cell_idx rows between unbounded preceding and 1 preceding), 0)::bigint as before from cells)
+  select l_orderkey, row_idx as grid_row, before + unnest(range(1, colspan + 1)) as grid_col, 'q' || q::varchar as text from placed""")
+def grid_cells(spark, d):
+    cells = _cells(spark, d).withColumn("text", F.concat(F.lit("q"), F.col("q").cast("string"))).drop("q")
+    return corpus.filled_grid(grid.expand(cells.drop("text"), "l_orderkey"), cells, "l_orderkey").select("l_orderkey", "grid_row", "grid_col", "text")
+
+
+@query(f"""with {_CELLS_SQL} select l_orderkey, row_idx, cell_idx, colspan, 'q' || q::varchar || chr(10) || 'n' as text from cells""")
+def table_cells(spark, d):
+    """Each order written as a table of a page, and read from it."""
+    cell = F.format_string('<td colspan="%s">q%s<br>n</td>', F.col("colspan").cast("string"), F.col("q").cast("string"))
+    rows = _cells(spark, d).groupBy("l_orderkey", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", cell.alias("c")))), lambda x: x["c"]), "").alias("r"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "r"))), lambda x: F.concat(F.lit("<tr>"), x["r"])), "")
+    built = rows.groupBy("l_orderkey").agg(F.concat(F.lit("<article><table>"), body, F.lit("</table></article>")).alias("html")).withColumn("url", F.lit("http://h/"))
+    return articles.child(articles.parse_pages(built, "l_orderkey"), "cells", "l_orderkey").select("l_orderkey", "row_idx", "cell_idx", "colspan", "text")
+
+
+@query(f"""with {_CELLS_SQL} select l_orderkey, 1::bigint as table_idx, count(distinct row_idx) as n_rows from cells where l_orderkey % 4 = 1 group by l_orderkey""")
+def tables_below(spark, d):
+    path = F.array(F.lit("order"), F.concat(F.lit("q"), (F.col("l_orderkey") % 4).cast("string")))
+    tables = _cells(spark, d).groupBy("l_orderkey", "table_idx").agg(F.count_distinct("row_idx").alias("n_rows")).withColumn("path", path)
+    return corpus.tables_below(tables, "q1").drop("path")
 
 
 @query("""select o_custkey, o_orderkey + 2 as grid_row, o_orderkey::varchar as counterpart,
@@ -485,17 +557,18 @@ def definition_items(spark, d):
 
 # --- names -------------------------------------------------------------------
 
-_EDGES_SQL = """edges as (select distinct c_nationkey::bigint as src, s_nationkey::bigint as dst from lineitem join orders on l_orderkey = o_orderkey
-    join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity > 48 and l_returnflag = 'R' and l_linestatus = 'F' and o_totalprice > 300000)"""
+_EDGES_SQL = """edges as (select c_nationkey::bigint as src, s_nationkey::bigint as dst from lineitem join orders on l_orderkey = o_orderkey
+    join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all having sum(l_quantity) > 25.5 * count(*))"""
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    item = table(spark, d, "lineitem").where("l_quantity > 48 and l_returnflag = 'R' and l_linestatus = 'F'")
-    orders = table(spark, d, "orders").where("o_totalprice > 300000")
+    """Nations whose customers buy more than 25.5 pieces a line from another's suppliers, on average."""
+    item, orders = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
     joined = item.join(orders, item.l_orderkey == orders.o_orderkey)
     joined = joined.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     joined = joined.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+    pairs = joined.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
+    return pairs.agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n")).where("q > 25.5 * n").select("src", "dst")
 
 
 @query(f"with {_EDGES_SQL} select a.src, a.dst, b.src is not null as mutual from edges a left join edges b on a.src = b.dst and a.dst = b.src")
@@ -704,9 +777,11 @@ def stream_windows(spark, d):
 
 # --- corpus, responses, selections -------------------------------------------
 
-@query("select page_id, true as is_html from pages")
+@query("select page_id as id, true as is_html from pages union all select -1 - doc_id, false from documents")
 def html_evidence(spark, d):
-    return table(spark, d, "pages").select("page_id", pages.looks_like_html(F.col("html")).alias("is_html"))
+    bodies = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body"))
+    bodies = bodies.unionByName(table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("body")))
+    return bodies.select("id", pages.looks_like_html(F.col("body")).alias("is_html"))
 
 
 @query("""select doc_id, case when n_chars % 7 = 0 then 'partial_response' when n_chars % 5 = 0 then 'truncated_response' end as error_code from documents""")
@@ -793,11 +868,12 @@ def damaged_fields(spark, d):
     return corpus.damaged_fields(rows, "doc_id", ["text", "source"])
 
 
-@query("""select zone, count(*) filter (kind = 'ad') as ad, count(*) filter (kind = 'chrome') as chrome from (
-    select unnest(regexp_extract_all(html, '<(nav|div|article|footer)[ >]', 1)) as zone, case when page_id % 2 = 0 then 'ad' else 'chrome' end as kind from pages) group by zone""")
+@query(f"""with p as ({_AD_PAGES}), e as (
+    select 'div' as zone, 'ad' as kind, unnest(regexp_extract_all(html, '<div class="x adsbygoogle"')) as x from p
+    union all select 'nav', 'chrome', unnest(regexp_extract_all(html, '<nav id="page-extra"')) from p)
+  select zone, count(*) filter (kind = 'ad') as ad, count(*) filter (kind = 'chrome') as chrome from e group by zone""")
 def zone_inventory(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(nav|div|article|footer)[ >]"), 1)).alias("zone"))
-    return corpus.inventory(rows.withColumn("kind", F.when(F.col("page_id") % 2 == 0, "ad").otherwise("chrome")))
+    return corpus.inventory(_skipped(spark, d), "tag").withColumnRenamed("tag", "zone")
 
 
 @query("""select l_orderkey, max(r) as height, 2::bigint as width, max(r) * 2 - count(distinct r) * 2 as holes from (
@@ -816,7 +892,7 @@ def footnotes_from_markup(spark, d):
     title = F.concat(F.lit("n"), (F.col("page_id") % 3).cast("string"))
     other = F.when(F.col("page_id") % 2 == 0, title).otherwise("x")
     marked = F.concat(F.lit('<p>a<a href="#footer-footnote1" title="'), other, F.lit('">*1</a></p><ul class="footer-footnote"><li><a id="footer-footnote1">*1</a>: '), title, F.lit("</li></ul>"))
-    rows = table(spark, d, "pages").select("page_id", marked.alias("html"))
+    rows = table(spark, d, "pages").select("page_id", F.concat("html", marked).alias("html"))
     found = notes.reconcile(notes.markers(rows, "page_id"), notes.entries(rows, "page_id"), "page_id")
     return found.select("page_id", "number", "text", "agreement")
 
@@ -825,5 +901,5 @@ def footnotes_from_markup(spark, d):
 def page_metadata(spark, d):
     block = F.concat(F.lit('<p class="update">最終更新： '), F.regexp_extract("url", "://([^/?#]*)", 1), F.lit('</p><ul id="page-category"><li class="title">c</li><li>'),
                      F.split_part("url", F.lit("/"), F.lit(4)), F.lit("</li></ul>"))
-    found = articles.metadata(table(spark, d, "pages").select("page_id", block.alias("html")))
+    found = articles.metadata(table(spark, d, "pages").select("page_id", F.concat("html", block).alias("html")))
     return found.select("page_id", F.col("last_updated").alias("updated"), F.array_join("categories", ",").alias("categories"))
