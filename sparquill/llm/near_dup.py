@@ -234,10 +234,11 @@ class Linker:
             "labelled",
         )
         split = labelled.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
-        sizes = labelled.join(split, "key").groupBy("key", "component").count()
+        # written, so that components are counted by (key, component) and not all of a key in one task
+        sizes = keep(labelled.join(split, "key").groupBy("key", "component").count(), "sizes")
         main = keep(sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main")), "mixed-buckets")
         mixed = keep(labelled.join(main, "key").select("key", "n", "node", "component", "main"), "mixed-members")
-        drop(labelled, main)
+        drop(labelled, main, sizes)
         sketches = self._wide_sketches(mixed.select("node").distinct())
         rows = keep(mixed.join(sketches, "node"), "mixed-sketches")
         side = F.struct("node", "component", "main", "n_shingles", "bands", "sketch")
