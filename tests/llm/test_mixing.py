@@ -69,3 +69,73 @@ def test_messy_rows(spark, messy, nothing):
     assert all(any(i == r["doc_id"] and r["text"] in t for i, t in texts if t) or r["doc_id"] == 7 for r in got)
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert mixing.mix_documents(nothing).count() == 0
+
+
+def test_taken_equals_a_simulation(spark, sf_dir):
+    """Streams, blocks, draws, quotas and passes gone through one by one; only the
+    hashed numbers come from Spark."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    words, slots = 32, 64
+    mix = mixing.Mix(mixing.sized_rows(docs), block_words=words, shard_slots=slots)
+    plan = {r["source_no"]: r for r in mix.plan.collect()}
+    streams = defaultdict(list)
+    for r in mix.documents.orderBy("source_no", "start").collect():
+        assert r["start"] == len(streams[r["source_no"]])
+        streams[r["source_no"]] += [r["rid"]] * r["size"]
+    total = sum(p["quota"] for p in plan.values())
+    at = {r["id"]: r["at"] for r in spark.range(total).select("id", mixing.uniform(F.lit(mixing.SEED), "id").alias("at")).collect()}
+    drawn = defaultdict(lambda: defaultdict(int))  # source -> shard -> slots
+    for slot, u in at.items():
+        source = next(s for s, p in plan.items() if p["low"] <= u < p["high"])
+        drawn[source][slot // slots] += 1
+    numbers, counts = [], defaultdict(int)
+    for source, p in plan.items():
+        made = sum(drawn[source].values())
+        if made < p["quota"]:
+            drawn[source][-(-total // slots)] += p["quota"] - made
+        got = min(p["quota"], sum(drawn[source].values()))
+        assert got == p["quota"] == round(p["target"] * p["n_blocks"] / p["source_size"] if p["source_size"] else 0)
+        numbers += [(source, p["n_blocks"], n) for n in range(got)]
+    frame = spark.createDataFrame(numbers, "source_no long, n_blocks long, number long")
+    key = F.col("number") % F.col("n_blocks")
+    blocks = frame.select("source_no", mixing.permuted(key, F.col("n_blocks"), F.lit(mixing.SEED), F.col("source_no"), F.floor(F.col("number") / F.col("n_blocks"))).alias("block"))
+    for r in blocks.collect():
+        for rid in streams[r["source_no"]][r["block"] * words : (r["block"] + 1) * words]:
+            counts[rid] += 1
+    got = {r["rid"]: r["taken"] for r in mix.spans.groupBy("rid").agg(F.sum("n_words").alias("taken")).collect()}
+    assert got == counts
+    per_shard = defaultdict(int)
+    for r in mix.spans.select("source_no", "shard", "slot").distinct().collect():
+        per_shard[r["source_no"], r["shard"]] += 1
+        assert 0 <= r["slot"] < slots or r["shard"] == -(-total // slots)
+    left = {s: p["quota"] for s, p in plan.items()}
+    for source in drawn:
+        for shard in sorted(drawn[source]):
+            want = min(left[source], drawn[source][shard])
+            left[source] -= want
+            assert per_shard.get((source, shard), 0) == want
+
+
+def test_counts_vary_as_multinomial_ones(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mix = mixing.Mix(mixing.sized_rows(docs), block_words=16, shard_slots=256)
+    plan = {r["source_no"]: r for r in mix.plan.collect()}
+    last = mix.n_slots // 256
+    squares, expected = 0.0, 0.0
+    counts = {(r["source_no"], r["shard"]): r["drawn"] for r in mix._drawn(mixing.SEED, 256).where(F.col("shard") < last).collect()}
+    for source, p in plan.items():
+        share = p["high"] - p["low"]
+        for shard in range(last):
+            squares += (counts.get((source, shard), 0) - 256 * share) ** 2
+            expected += 256 * share * (1 - share)
+    assert 0.9 < squares / expected < 1.1
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(i % 3, text if i % 2 else text + " more", "s", 1, {"k": i}) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rid int, print map<string,int>")
+    out = mixing.mix_documents(docs)
+    taken = sum(len(r["text"].split()) for r in out.collect())
+    size = sum(len(t.split()) for _, t, *_ in rows)
+    assert out.columns == docs.columns and taken == pytest.approx(1.5 * size, abs=2 * mixing.BLOCK_WORDS)

@@ -229,3 +229,91 @@ def test_path_equals_plain_viterbi_on_real_words(spark):
         path = model.path(scores)
         got = scores[np.arange(len(path)), path].sum() - langid.SWITCH * (path[1:] != path[:-1]).sum()
         assert got == pytest.approx(best.max())
+
+
+def test_scores_equal_votes_by_hand(spark):
+    """Every labelled text against every text, one pair at a time."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.fit(docs, labels, ~quality_model.held_out(F.col("doc_id"), 3, 1))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    seen = Counter()
+    learnt = {}
+    for r in labels.where(~quality_model.held_out(F.col("doc_id"), 3, 1)).collect():
+        learnt[r["doc_id"]] = max(r["quality"], learnt.get(r["doc_id"], 0))
+    counts = {i: quality_model.term_counts(texts[i]) for i in learnt if i in texts}
+    for c in counts.values():
+        seen.update(c.keys())
+    for kind, most in quality_model.TERMS.items():
+        best = sorted((t for t in seen if quality_model.kind_of(t) == kind), key=lambda t: (-seen[t], t))[:most]
+        assert all(t in model.terms for t in best)
+
+    def vector(text):
+        count = quality_model.term_counts(text)
+        words = max(1, sum(n for t, n in count.items() if t[0] != " "))
+        row = np.zeros(len(model.terms))
+        for t, n in count.items():
+            if t in model.terms:
+                row[model.terms[t]] += n
+            elif t[0] != " ":
+                row[model.terms[quality_model.OTHER]] += n
+        v = np.sqrt(row / words) * model.idf @ model.axes
+        return v / (np.linalg.norm(v) or 1)
+
+    vectors = {i: vector(texts[i]) for i in counts}
+    for r in quality_model.classify(docs, labels).limit(40).collect():
+        own = vector(texts[r["doc_id"]])
+        votes = sorted(((max(0.0, float(own @ v)), learnt[i]) for i, v in vectors.items()), reverse=True)[: quality_model.NEIGHBOURS]
+        weight = sum(s**quality_model.SHARPNESS for s, _ in votes)
+        want = sum(s**quality_model.SHARPNESS * y for s, y in votes) / weight if weight else model.prior
+        assert r["score"] == pytest.approx(want, abs=2e-3)
+
+
+def test_no_term_of_a_labelled_text_is_cut(spark):
+    """A text of more distinct words than any bound of the model counts whole."""
+    long = " ".join(f"w{'x' * (i % 50)}{i}!{'?' * (i % 7)}" for i in range(6000))
+    docs = spark.createDataFrame([(i, long if i % 2 else "plain words only") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = quality_model.classify(docs, labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
+def test_verdicts_equal_exact_quantiles(spark):
+    """Groups that fit into the sketch, against fences from the sorted ratios."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = quality_rules.judge_quality(docs).collect()
+
+    def ratios(r):
+        words = max(1, r["n_words"])
+        return {"symbols": r["n_symbols"] / words, "dup_lines": r["n_dup_lines"] / max(1, r["n_lines"]), "repeats": r["n_repeat_words"] / words, "length": r["word_chars"] / words}
+
+    def fences(group):
+        out = {}
+        for k, least in quality_rules.SPREAD.items():
+            values = np.sort([ratios(r)[k] for r in group])
+            q = lambda p: values[max(0, int(np.ceil(p * len(values))) - 1)]  # noqa: B023, E731
+            out[f"max_{k}"] = q(0.5) + quality_rules.REACH * max(least, quality_rules.QUARTILES * (q(0.5) - q(0.25)))
+            if k == "length":
+                out["min_length"] = q(0.5) ** 2 / (q(0.5) + quality_rules.REACH * max(least, quality_rules.QUARTILES * (q(0.75) - q(0.5))))
+        return out
+
+    groups, langs = {}, {}
+    for r in rows:
+        if not r["base_failed"]:
+            groups.setdefault((r["lang"], r["source"]), []).append(r)
+            langs.setdefault(r["lang"], []).append(r)
+    whole = {k: fences(v) for k, v in langs.items()}
+    for r in rows:
+        group = groups.get((r["lang"], r["source"]))
+        if r["base_failed"] or not group:
+            assert not r["kept"]
+            continue
+        own, lang, n = fences(group), whole[r["lang"]], len(group)
+        limit = {k: (n * own[k] + quality_rules.SMALL * lang[k]) / (n + quality_rules.SMALL) for k in own}
+        x = ratios(r)
+        close = any(abs(x[k] - limit[f"max_{k}"]) < 0.02 for k in x) or abs(x["length"] - limit["min_length"]) < 0.02
+        want = all(x[k] <= limit[f"max_{k}"] for k in x) and x["length"] >= limit["min_length"]
+        assert close or r["kept"] == want, r["doc_id"]
