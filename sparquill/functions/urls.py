@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 # Fixed values.
 SLUG = "[A-Za-z0-9_-]{1,128}"
+ENCODINGS = ("euc_jp", "euc_jis_2004")  # of titles in addresses
 UNRESERVED = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 URL_IN_TEXT = r"(?i)(?:https?:)?//[^\s<>\"'`\\|\]\[)(]+"
 
@@ -83,6 +84,32 @@ def scope_error(url: Column, allowed_host: str, slug: str) -> Column:
     )
 
 
+def wiki_slug(url: Column) -> Column:
+    """The first step of a URL's path, if it is a slug; null otherwise."""
+    return F.nullif(F.regexp_extract(url, rf"^https?://[^/?#]+/({SLUG})(?:[/?#]|$)", 1), F.lit(""))
+
+
+def wiki_base(url: Column) -> Column:
+    """Scheme, host and slug of a URL, with a slash at the end; null without a slug."""
+    return F.concat(F.nullif(F.regexp_extract(url, rf"^(https?://[^/?#]+/{SLUG})(?:[/?#]|$)", 1), F.lit("")), F.lit("/"))
+
+
+def page_title(url: str | None) -> str | None:
+    """The title in an article's address (below /slug/d/); null if it is none or not in the expected encodings."""
+    m = re.match(rf"https?://[^/?#]+/{SLUG}/d/([^?#]+)", url or "")
+    for name in ENCODINGS:
+        try:
+            return unquote_to_bytes(m[1]).decode(name) if m else None
+        except UnicodeError:
+            pass
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def article_title(urls: pd.Series) -> pd.Series:
+    return urls.map(page_title, na_action="ignore")
+
+
 def slug_is_valid(slug: Column, keyword: str = "") -> Column:
     return slug.rlike(f"^{SLUG}$") & F.contains(F.lower(slug), F.lit(keyword))
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparquill.functions.urls import page_title
 from sparquill.operators import markup, rules
 
 # Fixed values.
@@ -35,6 +36,7 @@ IMPLIED_END = {  # an open element of the first kind ends where one of the secon
 }
 SCOPE = frozenset("article body div section table td th ul ol dl html".split())
 MAX_BYTES, CHUNK = 24 << 20, 64 << 10
+LINK_MODES = ("references", "inline", "off")
 NOTE = re.compile("#footer-footnote([0-9]{1,9})")
 
 
@@ -88,9 +90,9 @@ class ArticleParser(HTMLParser):
     Open elements are found by tag through their places in the stack, so no end
     tag looks through all of them."""
 
-    def __init__(self, base: str, selector: Selector, skip_classes: frozenset[str]):
+    def __init__(self, base: str, selector: Selector, skip_classes: frozenset[str], link_mode: str = "references"):
         super().__init__(convert_charrefs=True)
-        self.base, self.selector, self.skip_classes = base, selector, skip_classes
+        self.base, self.selector, self.skip_classes, self.link_mode = base, selector, skip_classes, link_mode
         self.stack: list[tuple[str, bool, bool]] = []  # open elements, whether they are silent, and in an area of the article
         self.places: dict[str, list[int]] = {}  # in the stack, by tag
         self.scopes: list[int] = []
@@ -107,7 +109,7 @@ class ArticleParser(HTMLParser):
         self.tables: list[list[int]] = []  # index, row, cell of the open tables
         self.n_tables = 0
         self.open_cells: list[tuple[int, int]] = []  # index in cells, and where its text begins
-        self.hrefs: list[tuple[int, str] | None] = []
+        self.hrefs: list[tuple[int, str, str, int] | None] = []  # link id, href, its source, place in out
         self.warnings: list[str] = []
 
     def silent(self) -> bool:
@@ -116,6 +118,16 @@ class ArticleParser(HTMLParser):
     def write(self, text: str) -> None:
         self.out.append((text, bool(self.stack) and self.stack[-1][2]))
 
+    def replace(self, begin: int, text: str) -> None:
+        """Puts one piece in place of all from ``begin`` on, with their marks."""
+        inside = self.out[begin][1] if begin < len(self.out) else bool(self.stack and self.stack[-1][2])
+        i = len(self.marks) - 1
+        while i >= 0 and self.marks[i][1] > begin:
+            kind, _, value, line = self.marks[i]
+            self.marks[i] = (kind, begin, value, line)
+            i -= 1
+        self.out[begin:] = [(text, inside)]
+
     def mark(self, kind: str, value: object) -> None:
         self.marks.append((kind, len(self.out), value, self.getpos()[0]))
 
@@ -185,7 +197,7 @@ class ArticleParser(HTMLParser):
             href = None if note or raw is None or raw.strip().startswith("#") else self.join(raw)
             if note:
                 self.mark("n", int(note[1]))
-            self.hrefs.append(None if href is None else (self.links.setdefault(href, len(self.links) + 1), raw))
+            self.hrefs.append(None if href is None else (self.links.setdefault(href, len(self.links) + 1), href, raw, len(self.out)))
 
     def join(self, href: str | None) -> str | None:
         try:
@@ -221,13 +233,7 @@ class ArticleParser(HTMLParser):
             cell, begin = self.open_cells.pop()
             parts = [" ".join(p.split()) for p in "".join(t for t, _ in self.out[begin:]).split("\n")]
             self.cells[cell][8] = "\n".join(p for p in parts if p)
-            inside = self.out[begin][1] if begin < len(self.out) else bool(self.stack and self.stack[-1][2])
-            i = len(self.marks) - 1
-            while i >= 0 and self.marks[i][1] > begin:  # the cell becomes one piece
-                kind, _, value, line = self.marks[i]
-                self.marks[i] = (kind, begin, value, line)
-                i -= 1
-            self.out[begin:] = [(" / ".join(p for p in parts if p) + " ", inside)]
+            self.replace(begin, " / ".join(p for p in parts if p) + " ")
             return
         if tag == "tr" and self.tables:
             self.write("|")
@@ -236,9 +242,16 @@ class ArticleParser(HTMLParser):
         elif tag in STRUCK:
             self.write("~~")
         elif tag == "a" and self.hrefs and (link := self.hrefs.pop()) is not None:
-            self.mark("a", link[0])
-            self.originals.setdefault(link[0], {})[link[1]] = None
-            self.write(f" [{link[0]}] ")
+            number, href, raw, begin = link
+            self.originals.setdefault(number, {})[raw] = None
+            self.mark("a", number)
+            if self.link_mode == "references":
+                self.write(f" [{number}] ")
+            elif self.link_mode == "inline" and (title := page_title(href)):
+                label = "".join(t for t, _ in self.out[begin:]).strip()
+                self.replace(begin, f"[[{title}]]" if label in ("", title) else f"[[{title}|{label}]]")
+            elif self.link_mode == "inline":
+                self.write(f" ({href})")
         if tag in BLOCKS:
             self.write("\n")
 
@@ -279,7 +292,7 @@ class ArticleParser(HTMLParser):
                 self.selector.name if self.depth is not None else None, self.closed, list(dict.fromkeys(self.warnings)))
 
 
-def parse_page(html: str | None, base: str | None, selectors: tuple[Selector, ...], skip_classes: frozenset[str]) -> tuple:
+def parse_page(html: str | None, base: str | None, selectors: tuple[Selector, ...], skip_classes: frozenset[str], link_mode: str = "references") -> tuple:
     """The first of ``selectors`` that the page has is its container."""
     empty = (None, [], [], [], [], [], [], [], None, False, [])
     if html is None:
@@ -288,7 +301,7 @@ def parse_page(html: str | None, base: str | None, selectors: tuple[Selector, ..
         return ("page_too_large", *empty)
     try:
         for n, selector in enumerate(selectors):
-            parser = ArticleParser(base or "", selector, skip_classes)
+            parser = ArticleParser(base or "", selector, skip_classes, link_mode)
             for start in range(0, len(html), CHUNK):
                 parser.feed(html[start : start + CHUNK])
                 if parser.closed:  # nothing behind the container is part of it
@@ -305,18 +318,24 @@ def parse_page(html: str | None, base: str | None, selectors: tuple[Selector, ..
 
 
 def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-                selectors: tuple[Selector, ...] = (Selector(tag="article"),), skip_classes: tuple[str, ...] = ()) -> DataFrame:
+                selectors: tuple[Selector, ...] = (Selector(tag="article"),), skip_classes: tuple[str, ...] = (),
+                link_mode: str = "references") -> DataFrame:
     """key, url and article (see ``ARTICLE``) of each page.
 
     The first selector that fits gives the container.  In it, where there is an
-    element of the article's own classes, only these elements' text counts."""
+    element of the article's own classes, only these elements' text counts.  Links
+    show in the lines as references (by number), inline (as [[title|label]] where
+    the address is an article's, else the address in brackets) or off (not at all).
+    """
+    if link_mode not in LINK_MODES:
+        raise ValueError(f"link_mode is one of {LINK_MODES}")
     skipped = frozenset([*rules.AD_CLASSES, *rules.CHROME_CLASSES, *skip_classes])
     names = ARTICLE.fieldNames()
     nested = {f.name: f.dataType.elementType.fieldNames() for f in ARTICLE if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
 
     @F.pandas_udf(ARTICLE)
     def parse(urls: pd.Series, htmls: pd.Series) -> pd.DataFrame:
-        rows = [parse_page(h, u, selectors, skipped) for u, h in zip(urls, htmls, strict=True)]
+        rows = [parse_page(h, u, selectors, skipped, link_mode) for u, h in zip(urls, htmls, strict=True)]
         found = pd.DataFrame(rows, columns=names)
         for column, fields in nested.items():
             found[column] = [[dict(zip(fields, x, strict=True)) for x in xs] for xs in found[column]]

@@ -43,6 +43,15 @@ def tables_below(tables: DataFrame, heading: str) -> DataFrame:
     return tables.where(F.array_contains("path", heading))
 
 
+def near_headings(tables: DataFrame, heading: str, key: str, most: int = 20) -> DataFrame:
+    """key and candidates: for pages without a table below ``heading``, the headings
+    above their tables that hold it."""
+    paths = tables.select(key, F.explode_outer("path").alias("heading"))
+    near = F.when(F.contains("heading", F.lit(heading)), F.col("heading"))
+    found = paths.groupBy(key).agg(F.max(F.coalesce(F.col("heading") == heading, F.lit(False))).alias("exact"), F.sort_array(F.collect_set(near)).alias("candidates"))
+    return found.where(~F.col("exact")).select(key, F.slice("candidates", 1, most).alias("candidates"))
+
+
 def visible_lines(positions: DataFrame, key: str) -> DataFrame:
     """line of every position: its own if it is visible, else the one before, else
     the next, else 1.  ``positions``: key, pos, line (null where blank)."""

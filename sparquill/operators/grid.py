@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from sparquill.functions.text import cell_value
 
 # Limits beyond which a table has no grid.
-MAX_ROWS, MAX_COLUMNS, MAX_AREA, MAX_SPAN = 50_000, 256, 1_000_000, 10_000
+MAX_ROWS, MAX_COLUMNS, MAX_AREA, MAX_SPAN, MAX_PAGE_AREA = 50_000, 256, 1_000_000, 10_000, 4_000_000
 
 
 PLACED = T.StructType([
@@ -59,17 +59,24 @@ def place(tables: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"warning": [w for w, _ in rows], "cells": [[dict(zip(names, c, strict=True)) for c in cells] for _, cells in rows]})
 
 
-def expand(cells: DataFrame, key: str = "page_id") -> DataFrame:
+def expand(cells: DataFrame, key: str = "page_id", most: int = MAX_PAGE_AREA) -> DataFrame:
     """key, table_idx, grid_row, grid_col, src_row, src_cell, warning.
 
     ``cells``: key, table_idx, row_idx, cell_idx, rowspan, colspan.  A table
-    without a grid gives one row with a warning and null coordinates.  Only the
+    without a grid gives one row with a warning and null coordinates, as do those
+    with which a page's grids come to more than ``most`` positions.  Only the
     placing, where each cell depends on those before it, leaves the JVM, for
     many tables at once; the spans are spread by ``sequence``.
     """
     ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("row_idx", "cell_idx", "rowspan", "colspan")])))
     tables = cells.groupBy(key, "table_idx").agg(ordered.alias("cells")).select(key, "table_idx", place.asNondeterministic()("cells").alias("placed"))
-    return spread(tables.select(key, "table_idx", "placed.warning", F.inline_outer("placed.cells")), key)
+    area = F.aggregate("placed.cells", F.lit(0).cast("long"), lambda s, c: s + c["h"] * c["w"])
+    so_far = F.sum(area).over(Window.partitionBy(key).orderBy("table_idx").rowsBetween(Window.unboundedPreceding, 0))
+    over = so_far > most
+    tables = tables.select(
+        key, "table_idx", F.when(over, "page size").otherwise(F.col("placed.warning")).alias("warning"), F.when(~over, F.col("placed.cells")).alias("cells")
+    )
+    return spread(tables.select(key, "table_idx", "warning", F.inline_outer("cells")), key)
 
 
 def spread(placed: DataFrame, key: str) -> DataFrame:

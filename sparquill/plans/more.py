@@ -133,6 +133,49 @@ def record_errors(spark, d):
     return record.select("doc_id", snapshots.record_error("v", F.lit(100_000).cast("timestamp")).alias("error"))
 
 
+@query("""select count(*) as seen, count(*) filter (doc_id % 5 > 0 and doc_id % 3 > 0 and doc_id % 7 > 0 and doc_id % 2 = 0) as reindexed,
+    count(*) filter (doc_id % 5 > 0 and doc_id % 3 > 0 and doc_id % 7 > 0 and doc_id % 2 = 1) as other, count(*) filter (doc_id % 5 > 0 and doc_id % 3 = 0) as old,
+    count(*) filter (doc_id % 5 > 0 and doc_id % 3 > 0 and doc_id % 7 = 0) as expired, count(*) filter (doc_id % 5 = 0) as invalid from documents""")
+def rebuild_report(spark, d):
+    n = F.col("doc_id")
+    body = F.encode("text", "UTF-8")
+    records = table(spark, d, "documents").select(
+        F.when(n % 5 == 0, 2).otherwise(1).alias("schema"), F.when(n % 3 == 0, "u").otherwise("v").alias("reader_version"), F.when(n % 7 == 0, 0.0).otherwise(99_000.0).alias("stored_at"),
+        F.struct(F.lit(200).alias("http_status")).alias("metadata"), F.base64(body).alias("html_base64"), F.sha2(body, 256).alias("sha256"),
+        F.when(n % 2 == 0, "https://w/a/x").otherwise("https://w/b/x").alias("requested_url"))
+    return snapshots.rebuild_report(records, "v", F.lit(100_000).cast("timestamp"), "https://w/a/")
+
+
+@query("""select doc_id, case when doc_id % 7 = 0 then 'missing' when doc_id % 5 = 0 then 'extra' when doc_id % 3 = 0 then 'digest' else 'ok' end as status,
+    doc_id % 7 > 0 and doc_id % 5 > 0 and doc_id % 3 > 0 as given from documents where doc_id % 35 > 0""")
+def checked_files(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), "doc_id").where("doc_id % 35 > 0")
+    listed = docs.where("doc_id % 5 > 0").select("path", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.encode(F.lit("x"), "UTF-8")).otherwise(F.col("content")), 256).alias("sha256"))
+    found = pages.checked(docs.where("doc_id % 7 > 0").select("path", "content"), listed)
+    return found.select(F.col("path").cast("long").alias("doc_id"), "status", F.col("content").isNotNull().alias("given"))
+
+
+@query("""with c as (select distinct l_orderkey, l_orderkey % 4 as q from lineitem)
+  select l_orderkey, case when q = 2 then 'q2x' else '' end as candidates from c where q <> 1""")
+def near_headings(spark, d):
+    q = F.col("l_orderkey") % 4
+    tables = table(spark, d, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.array(F.lit("order"), F.when(q == 1, "q").when(q == 2, "q2x").otherwise("z")).alias("path"))
+    return corpus.near_headings(tables, "q", "l_orderkey").withColumn("candidates", F.array_join("candidates", " "))
+
+
+@query("""select page_id, url, case when not starts_with(url, 'http') then null else split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || '/' || split_part(url, '/', 4) || '/' end as base,
+    split_part(url, '/', 4) as slug, 'a b' || chr(12354) as title from pages""")
+def wiki_addresses(spark, d):
+    article = F.concat(F.array_join(F.slice(F.split("url", "/"), 1, 4), "/"), F.lit("/d/a%20b%a4%a2?x#y"))
+    return table(spark, d, "pages").select("page_id", "url", urls.wiki_base(F.col("url")).alias("base"), urls.wiki_slug(F.col("url")).alias("slug"), urls.article_title(article).alias("title"))
+
+
+@query("""select doc_id, case when doc_id % 5 = 0 then false else doc_id % 3 > 0 end as valid from documents""")
+def slug_checks(spark, d):
+    slug = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("wiki/"), "source")).otherwise(F.concat(F.when(F.col("doc_id") % 3 == 0, "x-").otherwise("WIKI-"), F.col("source")))
+    return table(spark, d, "documents").select("doc_id", urls.slug_is_valid(slug, "wiki").alias("valid"))
+
+
 @query("""select doc_id, (doc_id % 4 > 0 and doc_id % 5 > 0) as clean, doc_id % 4 > 0 as diagnostic from documents""")
 def storable(spark, d):
     n = F.col("doc_id")

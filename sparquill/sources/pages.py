@@ -28,6 +28,18 @@ def list_files(spark: SparkSession, path: str, digests: bool = False) -> DataFra
     return files.select("path", F.col("length").alias("size"), digest.alias("sha256"))
 
 
+def checked(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path, content and status (ok, digest, missing, extra) of files and what the
+    manifest lists; content is given only where it is the listed one."""
+    listed = manifest.select("path", F.col("sha256").alias("_sha"), F.lit(True).alias("_listed"))
+    both = files.select("path", "content", F.lit(True).alias("_found")).join(listed, "path", "full_outer")
+    status = (
+        F.when(F.col("_found").isNull(), "missing").when(F.col("_listed").isNull(), "extra")
+        .when(F.sha2("content", 256) == F.col("_sha"), "ok").otherwise("digest")
+    )
+    return both.withColumn("status", status).select("path", F.when(F.col("status") == "ok", F.col("content")).alias("content"), "status")
+
+
 def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files (path, content) whose digest is the manifest's (path, sha256)."""
     listed = manifest.select("path", F.col("sha256").alias("_sha"))

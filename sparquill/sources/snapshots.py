@@ -48,6 +48,18 @@ def record_error(version: str, now: Column, ttl: float = TTL_SECONDS) -> Column:
     )
 
 
+def rebuild_report(records: DataFrame, version: str, now: Column, base: str, ttl: float = TTL_SECONDS) -> DataFrame:
+    """One row with the number of stored records that a title index may learn from
+    (reindexed), of other wikis, of older versions, expired and invalid ones."""
+    error = record_error(version, now, ttl)
+    inside = F.coalesce(F.startswith("requested_url", F.lit(base)), F.lit(False))
+    kind = (
+        F.when(error.isin("version"), "old").when(error == "expired", "expired").when(error.isNotNull(), "invalid").when(~inside, "other").otherwise("reindexed")
+    )
+    kinds = records.select(kind.alias("kind"))
+    return kinds.agg(F.count(F.lit(1)).alias("seen"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("reindexed", "other", "old", "expired", "invalid")])
+
+
 def usable_records(records: DataFrame, version: str, now: Column, ttl: float = TTL_SECONDS) -> DataFrame:
     """The newest usable record of each requested URL and user agent."""
     sound = records.withColumn("error", record_error(version, now, ttl)).where("error is null")

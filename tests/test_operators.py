@@ -160,6 +160,9 @@ def test_text_functions(spark):
     assert one(text.replacements, "a�b�") == 2
     assert one(lambda c: text.accounts(F.array(c)), "| X（旧Twitter） | @main / @sub, mail@x |") == ["@main", "@sub"]
     assert one(lambda c: text.reading(F.array(c), F.lit("Name")), "| [colspan=2] Name（なまえ） |") == "なまえ"
+    assert one(lambda c: text.reading(F.array(c, F.lit("| [colspan=2] nａme（other） |")), F.lit("Name")), "| [colspan=2] NAME（ﾈｰﾑ） |") == "ﾈｰﾑ"
+    assert one(lambda c: text.reading(F.array(c), F.lit("なまえ")), "| [colspan=2] ナマエ（なまえ） |") is None
+    assert one(lambda c: text.accounts(F.array(c)), "| X (Twitter) | @a | @not_this |") == ["@a"]
     assert one(lambda c: text.expand_label(c, F.lit("https://a/bc")), "https://a/...") == "https://a/bc"
     assert spark.createDataFrame([("Ninomae Ina'nis",)], "t string").select(text.words("t").alias("x")).first()["x"] == ["ninomae", "inanis"]
 
@@ -355,3 +358,106 @@ def test_lookup_joins_profiles(spark):
     resolved = spark.createDataFrame([(1, "A", 1, "ok", ["a"]), (2, "x", None, "not_found", [])], "qid long, query string, stage long, status string, slugs array<string>")
     profiles = spark.createDataFrame([("a", "JP"), ("b", "EN")], "slug string, region string")
     assert [tuple(r) for r in corpus.profiles_of(resolved, profiles).collect()] == [("a", 1, "A", 1, "JP")]
+
+
+def test_inline_links_and_modes():
+    body = "<p>see <a href='/x/d/%a4%a2'>this</a> and <a href='/x/d/%a4%a2'>\u3042</a>, <a href='http://o/'>o</a></p>"
+    asked = (articles.Selector(tag="article"),)
+    page = f"<article>{body}</article>"
+    lines_in = lambda mode: articles.parse_page(page, "https://w/x/", asked, frozenset(), mode)[2]
+    assert lines_in("inline") == ["see [[\u3042|this]] and [[\u3042]], o (http://o/)"]
+    assert lines_in("off") == ["see this and \u3042, o"] and lines_in("references") == ["see this [1]  and \u3042 [1] , o [2]"]
+    with pytest.raises(ValueError):
+        articles.parse_pages(None, link_mode="x")
+
+
+def test_small_bodies_do_not_unpack_without_bound():
+    import gzip
+    import zlib
+
+    bomb = gzip.compress(b"\0" * (charset.MAX_BODY + 10))
+    for body, coding in ((bomb, "gzip"), (zlib.compress(b"\0" * (charset.MAX_BODY + 10)), "deflate")):
+        with pytest.raises(ValueError, match="page_too_large"):
+            charset.inflate(body, coding)
+    whole = gzip.compress(b"one ") + gzip.compress(b"two")
+    raw = zlib.compressobj(wbits=-15)
+    assert charset.inflate(whole, "x-gzip") == b"one two" and charset.inflate(raw.compress(b"raw") + raw.flush(), "deflate") == b"raw"
+    for broken in (whole[:-3], b"no gzip"):
+        with pytest.raises(ValueError, match="invalid_compression"):
+            charset.inflate(broken, "gzip")
+    assert charset.codec("idna") is None and charset.codec("unicode-escape") is None and charset.codec(" UTF8 ") == "utf-8"
+    assert charset.decode_page("\u3042".encode("utf-8"), "text/html; charset=euc-jp", "utf-8")[0] == "\u3042"
+    with pytest.raises(ValueError):
+        charset.decode_page(b"", None, "punycode")
+
+
+def test_extension_units(spark):
+    raw = "\u3042".encode("euc_jp") + b"\xad\xa1\n\xad\xa1 \xff\n\xf5\xa1" + b"\x8f\xa1\xa1"
+    frame = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(b"plain")), (3, None)], "k long, raw binary")
+    got = {r["unit"]: r for r in audits.extension_units(frame, "k", places=1).collect()}
+    assert got["ada1"]["category"] == "common_nec_mapping_agrees" and got["ada1"]["n"] == 2 and (got["ada1"]["offsets"], got["ada1"]["lines"]) == ([2], [1])
+    assert got["ff"]["category"] == "undecodable_unit" and got["ff"]["lines"] == [2] and {r["n_units"] for r in got.values()} == {len(got)}
+    totals = {r["category"]: (r["occurrences"], r["distinct_units"]) for r in audits.extension_categories(frame, "k").collect()}
+    assert totals["common_nec_mapping_agrees"] == (2, 1) and sum(n for n, _ in totals.values()) == sum(r["n"] for r in got.values())
+
+
+def test_nested_strings(spark):
+    row = (1, {"a": ["x\ufffd", None], "b": {"k/1": "\ufffd\ufffd"}, "n": 3}, "y")
+    frame = spark.createDataFrame([row, (2, None, None)], "k long, f struct<a:array<string>,b:map<string,string>,n:int>, g string")
+    got = {(r["path"], r["n"], r["n_values"]) for r in audits.damaged_strings(frame, "k", ["f", "g"]).collect()}
+    assert got == {("/f/a/0", 1, 2), ("/f/b/k~11", 2, 2)}
+
+
+def test_skipped_elements_hold_what_is_in_them(spark):
+    html = ("<div class='user-area adsbygoogle'>kept<div class='ads-box x'><div id=browsi-tag></div></div></div><p id=crt-9>a</p><iframe data-src='//x.nend.net/1'></iframe>"
+            "<div id=comment-box><b class=ad-extra></b></div><img srcset='//a.example/1 1x, //b.criteo.com/2 2x'>")
+    found = rules.skipped_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert [(r["kind"], r["reason"], r["tag"]) for r in found.orderBy("ord").collect()] == [
+        ("ad", "ad_class:ads-box", "div"), ("ad", "ad_id_prefix:crt-", "p"), ("ad", "ad_host", "iframe"), ("chrome", "chrome_id:comment-box", "div"), ("ad", "ad_host", "img")]
+    log = rules.skip_log(found, samples=2).first()
+    assert log["n"] == 5 and log["by_kind"] == {"ad": 4, "chrome": 1} and log["truncated"] and len(log["samples"]) == 2
+
+
+def test_resolve_and_suggest_equal_brute_force(spark):
+    import difflib
+
+    random_ = random.Random(9)
+    names = sorted({"".join(random_.choices("abcno", k=random_.randint(1, 9))) for _ in range(150)})
+    keys = spark.createDataFrame([(n, f"s{i // 2}", "name") for i, n in enumerate(names)], "key string, slug string, kind string")
+    asked_for = names[::9] + ["ab", "bcn", "o", "abcnoabc", "nocbaab", "ccccc"]
+    asked = spark.createDataFrame(list(enumerate(asked_for)), "qid long, key string")
+    owner = {n: f"s{i // 2}" for i, n in enumerate(names)}
+    for r in naming.resolve(asked.withColumn("query", F.col("key")), keys, keys.select(F.col("key").alias("word"), "slug")).collect():
+        q = asked_for[r["qid"]]
+        stages = ({owner[n] for n in names if n == q}, set(), {owner[n] for n in names if n.startswith(q) and len(q) >= 3}, {owner[n] for n in names if q in n})
+        want = next(((i, s) for i, s in enumerate(stages, 1) if s), (None, set()))
+        assert (r["stage"], set(r["slugs"])) == want, q
+    got = {}
+    for r in naming.suggest(asked, keys).collect():
+        got.setdefault(asked_for[r["qid"]], []).append((round(r["score"], 9), r["slug"]))
+    for q in asked_for:
+        close = sorted(((difflib.SequenceMatcher(None, q, n).ratio(), n) for n in names), reverse=True)
+        close = [(s, n) for s, n in close if s >= 0.7][:8]
+        best = {}
+        for s, n in close:
+            best[owner[n]] = max(s, best.get(owner[n], 0))
+        want = sorted(((round(s, 9), o) for o, s in best.items()), key=lambda x: (-x[0], x[1]))[:5]
+        assert sorted(got.get(q, []), key=lambda x: (-x[0], x[1])) == want, q
+
+
+def test_close_titles_equal_difflib(spark, sf_dir):
+    import difflib
+
+    titles = sorted({r["p_name"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()})
+    index = spark.createDataFrame([(t,) for t in titles], "title string")
+    for wanted in ("smal rings", "ring", "red"):
+        rank = lambda t: 0 if t == wanted else 1 if wanted in t else 2 if difflib.SequenceMatcher(None, t, wanted).ratio() >= 0.6 else None  # noqa: B023, E731
+        want = sorted((rank(t), t) for t in titles if rank(t) is not None)[:8]
+        assert [(r["rank"], r["title"]) for r in links.search_titles(index, wanted).orderBy("rank", "title").collect()] == want
+
+
+def test_page_budget_of_grids(spark):
+    cells = [(1, t, 1, 1, 1, 3) for t in range(1, 5)]
+    frame = spark.createDataFrame(cells, "page_id long, table_idx long, row_idx long, cell_idx long, rowspan long, colspan long")
+    got = grid.expand(frame, most=7).groupBy("table_idx").agg(F.count("grid_col").alias("n"), F.max("warning").alias("w")).orderBy("table_idx").collect()
+    assert [(r["n"], r["w"]) for r in got] == [(3, None), (3, None), (0, "page size"), (0, "page size")]
