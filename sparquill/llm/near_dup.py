@@ -380,6 +380,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     def printed(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([fingerprint(s) for s in shingle_sets(texts.tolist(), rule.words)], columns=["fa", "fb"])
 
-    good = judged.where("kept").join(again, "doc_id", "left_semi").select("doc_id", F.struct("fa", "fb").alias("_print")).distinct()
-    split = named.join(again, "doc_id", "left_semi").withColumn("_print", printed("text")).join(good, ["doc_id", "_print"], "left_semi")
-    return rest.union(split.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*columns))
+    good = judged.where("kept").join(again, "doc_id", "left_semi").select("doc_id", F.struct("fa", "fb").alias("print")).distinct()
+    split = named.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*columns).alias("row"), printed("text").alias("print"), F.xxhash64("text").alias("text_hash"))
+    one = split.join(good, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return rest.union(one.select("row.*"))
