@@ -27,8 +27,10 @@ SHARD_SLOTS = 4096
 SEED = 20240607
 #: Parts that a source's documents are dealt into for running totals, and shards in a run.
 PARTS, RUN_SHARDS = 1024, 64
-#: Equal ranges of [0, 1) under which the sources' shares are filed, and slots of one task.
-BINS, TASK_SLOTS = 4096, 100_000
+#: Equal ranges of [0, 1) under which the sources' shares are filed.
+BINS = 4096
+#: Slots of one task, up to so many tasks; beyond that tasks hold more, which they stream.
+TASK_SLOTS, MOST_TASKS = 100_000, 20_000
 ROUNDS = 12
 
 
@@ -101,8 +103,8 @@ class Mix:
     ``rid`` numbers the rows of ``rows``, so repeated doc_ids stay apart.  Null
     sources form one source, the last in order.  Null and empty texts have size
     0 and are never taken; sources without words have the target 0.  Rows of a
-    source follow each other by a hash of doc_id, then doc_id, size and text
-    hash; rows alike in all of these are interchangeable.
+    source follow each other by a hash of doc_id and text, then doc_id, size and
+    text hash; rows alike in all of these are interchangeable.
     """
 
     def __init__(self, rows: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED,
@@ -110,7 +112,7 @@ class Mix:
         """``rows``: rid, doc_id, source, size, text_hash; read more than once."""
         key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
         keyed = rows.select("rid", "doc_id", "source", "size", "text_hash", key.alias("key"),
-                            F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(PARTS)).alias("part"))
+                            F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(PARTS)).alias("part"))
         by_source = keyed.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
         plan = targets(by_source, weights, share, max_passes)
         blocks = F.ceil(F.col("source_size") / F.lit(float(block_words))).cast("long")
@@ -130,7 +132,7 @@ class Mix:
             placed.join(self.plan, "key").select("rid", "doc_id", "size", "source_size", "target", "source_no", "start"), "documents"
         )
         self.n_slots = self.plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-        self.n_tasks = max(1, -(-self.n_slots // TASK_SLOTS))
+        self.n_tasks = min(MOST_TASKS, max(1, -(-self.n_slots // TASK_SLOTS)))
         # both sides grow with the words; their sizes after explode are not known to
         # the optimizer, which would otherwise broadcast the slots
         self.spans = self._pieces(block_words).join(self._slots(seed, shard_slots).hint("merge"), ["source_no", "block"])

@@ -26,9 +26,9 @@ from .common import Scratch, give_back, in_pieces, staged
 # Parameters.
 SAMPLES, SKETCH_BITS = 168, 1024  # MinHash samples of a set, and its odd sketch
 MISS = 4e-6  # largest chance that no band brings a pair at the threshold together
-MARGIN = 0.2  # below the threshold; see the README for how rarely a pair falls below it
+MARGIN = 0.17  # below the threshold; see the README for how rarely a pair falls below it
 #: The same for nodes of buckets that hold several components, where pairs are many.
-WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 4096, 0.08
+WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 2048, 8192, 0.05
 SEED = 9127
 #: Ids of documents are broadcast up to so many bytes, counted before.
 BROADCAST_BYTES = 32 << 20
@@ -300,21 +300,22 @@ class Linker:
         return links
 
     def documents(self) -> DataFrame:
-        """doc_id, n_shingles, fa, fb and component_id of each row.  Only what has
-        a set looks for its component; the copies of a text are split between
+        """doc_id, n_shingles, fa, fb, component_id and group (a number for each
+        component; two may have the same doc_id) of each row.  Only what has a set looks for its component; the copies of a text are split between
         tasks where Spark finds their key skewed."""
         found = self.components()
         lowest = self.nodes.join(found, "node").groupBy("component").agg(F.min("first_doc").alias("component_id"))
         named = self.scratch.staged(
             self.nodes.select("node", "fa", "fb", "n_shingles", "first_doc")
             .join(found, "node", "left").join(lowest, "component", "left")
-            .select("fa", "fb", "n_shingles", F.coalesce("component_id", "first_doc").alias("component_id")),
+            .select("fa", "fb", "n_shingles", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("component", "node").alias("group")),
             "components",
         )
         rows = self.signed.select("doc_id", "n_shingles", "fa", "fb")
         linked = rows.where("n_shingles > 0").join(named, ["fa", "fb", "n_shingles"], "left")
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-        both = linked.select(*rows.columns, own.alias("component_id")).union(rows.where("n_shingles = 0").select("*", F.col("doc_id").alias("component_id")))
+        empty = rows.where("n_shingles = 0").select("*", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+        both = linked.select(*rows.columns, own.alias("component_id"), "group").union(empty)
         out = staged(both, "near-duplicates")
         self.scratch.close()
         return out
@@ -352,7 +353,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     doc_id is) and they are kept.  Repeated rows each get a row; kept is doc_id =
     component_id, for each row by its own text.  Other columns are ignored.
     """
-    return _judged(docs, rule).drop("fa", "fb")
+    return _judged(docs, rule).drop("fa", "fb", "group")
 
 
 def _judged(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -360,8 +361,8 @@ def _judged(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all columns; of rows that agree
-    in doc_id and text one stays.  Rows without doc_id all stay.
+    """The rows of ``docs`` that are kept, with all columns; of a group's rows
+    with the same doc_id one stays.  Rows without doc_id all stay.
 
     Texts meet only the ids that go: an anti join, which Spark broadcasts while
     that table is small.
@@ -380,7 +381,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     def printed(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([fingerprint(s) for s in shingle_sets(texts.tolist(), rule.words)], columns=["fa", "fb"])
 
-    good = judged.where("kept").join(again, "doc_id", "left_semi").select("doc_id", F.struct("fa", "fb").alias("print")).distinct()
-    split = named.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*columns).alias("row"), printed("text").alias("print"), F.xxhash64("text").alias("text_hash"))
-    one = split.join(good, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    good = judged.where("kept").join(again, "doc_id", "left_semi").groupBy("doc_id", "group").agg(F.min(F.struct("fa", "fb")).alias("print"))
+    split = named.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*columns).alias("row"), printed("text").alias("print"))
+    one = split.join(good, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
     return rest.union(one.select("row.*"))

@@ -85,3 +85,12 @@ def test_repeated_id_drops_its_near_copy_only(spark):
     rows = [(1, text), (5, other), (5, text + " end"), (6, other + " end"), (None, text), (7, "")]
     kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), RULE).collect()
     assert {tuple(r) for r in kept} == {(1, text), (5, other), (None, text), (7, "")} and len(kept) == 4
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Rows that share a doc_id, in one group or in two that are named alike."""
+    text, other = (" ".join(f"{w}{i}" for i in range(200)) for w in "ab")
+    rows = [(5, text), (5, text + " end"), (5, text + "  end"), (5, other), (7, other + " end"), (8, text), (9, None), (9, " ")]
+    kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), RULE).collect()
+    assert [r["doc_id"] for r in kept].count(5) == 2 and {r["doc_id"] for r in kept} == {5, 9} and (5, other) in {tuple(r) for r in kept}
+    assert [r["doc_id"] for r in kept].count(9) == 1
