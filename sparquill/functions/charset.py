@@ -173,7 +173,7 @@ def repaired(pages, html: str = "html"):
 
 # --- bytes beyond the default character set -------------------------------------
 
-# One unit of two-byte text beyond ASCII; the row whose signs two vendors' sets share.
+# One unit of two-byte text beyond ASCII; row 13 of its plane, and that row's lead byte in the vendor's set.
 UNIT = re.compile(rb"\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe]{2}|[\xa1-\xfe]{2}|[\x80-\xff]")
 SHARED_ROW, VENDOR_LEAD = 0xAD, 0x87
 PLACES = T.ArrayType(T.StructType([T.StructField("unit", T.BinaryType()), T.StructField("offset", T.LongType()), T.StructField("line", T.LongType())]))
@@ -214,7 +214,8 @@ def unit_category(units: pd.Series) -> pd.Series:
         if not _fits(unit, WIDER):
             return "undecodable_unit"
         if len(unit) == 2 and unit[0] == SHARED_ROW:
-            other = bytes((VENDOR_LEAD, unit[1] - 0x61 + (unit[1] >= 0xE0)))
+            cell = unit[1] - 0xA0  # of the row; in the vendor's set cells begin at 0x40 and leave out 0x7F
+            other = bytes((VENDOR_LEAD, 0x3F + cell + (cell > 63)))
             if _fits(other, "cp932") and other.decode("cp932") == unit.decode(WIDER):
                 return "common_nec_mapping_agrees"
         return "source_mapping_unconfirmed"

@@ -10,9 +10,14 @@ FUNCTIONS = {
     "fold": text.fold,
     "name_words": text.words,
     "closeness": text.closeness,
+    "profile_reading": text.reading,
+    "unescape_html": text.unescape,
     "article_identity": urls.article_identity,
+    "article_title": urls.article_title,
     "absolute_url": urls.absolute,
     "decode_page": charset.decode_as,
+    "odd_units": charset.odd_units,
+    "unit_category": charset.unit_category,
     "title_escape": charset.title_escape,
     "join_surrogates": charset.join_surrogates,
 }

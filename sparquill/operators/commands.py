@@ -79,6 +79,13 @@ def read(articles: DataFrame, key: str = "page_id", section: str | None = None,
     ).select(key, "status", "candidates", "line", "text", "link_ids", "notes", "more_before", "more_after", "more_matches")
 
 
+def rendered(found: DataFrame, key: str = "page_id", mark: str = ": ") -> DataFrame:
+    """key, status and text: what ``read`` gives, as numbered lines, one text a page."""
+    line = F.concat(F.col("line").cast("string"), F.lit(mark), F.col("text"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", line.alias("shown")))))
+    return found.groupBy(key, "status").agg(F.array_join(F.transform(rows, lambda r: r["shown"]), "\n").alias("text"))
+
+
 def show(resolved: DataFrame, cards: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """qid, query, slug, section, status, line and text: the cards of the names
     that mean one entity (see ``naming.resolve``), whole or the wanted sections.

@@ -810,12 +810,20 @@ def stop_after_failures(spark, d):
     return found.select("event_id", "user_id", "status")
 
 
-@query("""select count(*) as requests, count(*) filter (blocked) as blocked, string_agg(distinct case when not blocked then host end, ',' order by case when not blocked then host end) as hosts
-  from (select regexp_extract(url, '://([^/?#]*)', 1) as host, not suffix(regexp_extract(url, '://([^/?#]*)', 1), '.example.org') as blocked from pages)""")
+_REQUESTS_SQL = "r as (select regexp_extract(url, '://([^/?#]*)', 1) as host, not suffix(regexp_extract(url, '://([^/?#]*)', 1), '.example.org') as blocked from pages)"
+
+
+@query(f"with {_REQUESTS_SQL} select host, blocked, count(*) as n from r group by host, blocked")
 def network_log(spark, d):
     host = urls.host(F.col("url"))
-    found = pages.network_summary(table(spark, d, "pages"), host, ~host.endswith(".example.org"))
-    return found.select("requests", "blocked", F.array_join("hosts", ",").alias("hosts"))
+    return pages.network_hosts(table(spark, d, "pages"), host, ~host.endswith(".example.org"))
+
+
+@query(f"""with {_REQUESTS_SQL} select count(*) as requests, count(*) filter (blocked) as blocked, count(distinct host) filter (not blocked) as hosts,
+  count(distinct host) filter (blocked) as blocked_hosts from r""")
+def network_summary(spark, d):
+    host = urls.host(F.col("url"))
+    return pages.network_summary(table(spark, d, "pages"), host, ~host.endswith(".example.org"))
 
 
 @query(f"""with {LINES_SQL}, p as (select doc_id, n_chars, source from documents), n as (select doc_id, count(*) as n_lines from lines group by doc_id)

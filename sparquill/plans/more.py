@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import charset, text, urls
 from sparquill.operators import articles, audits, commands, corpus, markup, naming, notes, packs, rules
-from sparquill.plans.catalog import _articles, _HOST_RULES, query
+from sparquill.plans.catalog import ARTICLES_SQL, _articles, query
 from sparquill.sources import pages, snapshots
 from sparquill.tables import table
 
@@ -223,6 +223,11 @@ def article_links(spark, d):
     return lines.join(links, ["page_id", "link_id"]).select("page_id", "link_id", (F.col("n") / 2).cast("long").alias("n_lines"), "originals")
 
 
+@query(f"""with {ARTICLES_SQL} select page_id, 'ok' as status, string_agg(line::varchar || ': ' || text, chr(10) order by line) as text from article where line <= 3 group by page_id""")
+def rendered_pages(spark, d):
+    return commands.rendered(commands.read(_articles(spark, d), count=3))
+
+
 @query("""select page_id, case page_id % 4 when 0 then 'empty' when 1 then 'no_extractable_text' when 2 then 'text' else 'error' end as article_state from pages""")
 def article_states(spark, d):
     body = F.element_at(F.array(*map(F.lit, ("<article> </article>", "<article><img src=a></article>", "<article>x</article>", "<p>x</p>"))), (F.col("page_id") % 4 + 1).cast("int"))

@@ -41,6 +41,31 @@ def read_names(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return keys.select("key", F.get("r", F.lit(0)).alias("slug"), F.get("r", F.lit(1)).alias("kind"), F.get("r", F.lit(2)).alias("original"), "seq"), people, ambiguous
 
 
+def names_index(keys: DataFrame, people: DataFrame, ambiguous: DataFrame, schema: str) -> DataFrame:
+    """One row of the form that ``read_names`` reads, from what it returns.
+
+    An index holds the names of one roster, so its parts meet in one row."""
+    rows = keys.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "slug", "kind", "original"))), lambda r: F.array(r["slug"], r["kind"], r["original"])).alias("rows"))
+    as_map = lambda df, name, value: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))))
+    person = F.struct(*[F.col(f.name) for f in PERSON]).alias("person")
+    parts = [as_map(people.select("slug", person), "slug", "person").toDF("people"), as_map(rows, "key", "rows").toDF("keys"), as_map(ambiguous, "key", "slugs").toDF("ambiguous_nicknames")]
+    one = [p.withColumn("_one", F.lit(1)) for p in parts]
+    return one[0].join(one[1], "_one").join(one[2], "_one").select(F.lit(schema).alias("schema"), "people", "keys", "ambiguous_nicknames")
+
+
+def damaged_files(spark: SparkSession, path: str, kind: T.StructType, schemas: tuple, required: tuple[str, ...]) -> DataFrame:
+    """path and error of JSON files that cannot be used: not_json, unsupported_schema,
+    or the first required field that is missing."""
+    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    whole = T.StructType([*kind.fields, T.StructField("_corrupt_record", _S)])
+    parsed = files.select("path", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    error = F.when(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull(), "not_json")
+    error = error.when(~F.coalesce(F.col("r.schema").isin(*schemas), F.lit(False)), "unsupported_schema")
+    for name in required:
+        error = error.when(F.col(f"r.{name}").isNull(), f"missing {name}")
+    return parsed.select("path", error.alias("error")).where("error is not null")
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Profiles with their required fields; others are left out, extra fields dropped."""
     files = spark.read.option("multiLine", "true").schema(T.StructType([T.StructField("people", T.ArrayType(PROFILE))])).json(path)

@@ -97,13 +97,18 @@ def short_gaps(log: DataFrame, key: str, at: str, least: float = MIN_GAP_SECONDS
 
 
 def network_summary(log: DataFrame, host: Column, blocked: Column) -> DataFrame:
-    """One row: requests, blocked ones, and the hosts of each, sorted."""
+    """One row: requests, blocked ones, and how many hosts were asked."""
     return log.agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(blocked).alias("blocked"),
-        F.sort_array(F.collect_set(F.when(~blocked, host))).alias("hosts"), F.sort_array(F.collect_set(F.when(blocked, host))).alias("blocked_hosts"),
+        F.count(F.lit(1)).alias("requests"), F.count_if(blocked).alias("blocked"), F.count_distinct(F.when(~blocked, host)).alias("hosts"),
+        F.count_distinct(F.when(blocked, host)).alias("blocked_hosts"),
     )
 
 
+def network_hosts(log: DataFrame, host: Column, blocked: Column) -> DataFrame:
+    """host, blocked and n: the requests to each host, as rows, whatever their number."""
+    return log.groupBy(host.alias("host"), blocked.alias("blocked")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def failing_in_a_row(log: DataFrame, key: str, at: list[str], code: Column, most: int) -> DataFrame:
     """Rows up to the ``most``-th like failure in a row; what follows is not tried."""
     order = Window.partitionBy(key).orderBy(*at)

@@ -342,6 +342,14 @@ def test_indexes(spark, tmp_path):
     keys, people, ambiguous = indexes.read_names(spark, str(tmp_path / "n.txt"))
     assert sorted(tuple(r) for r in keys.collect()) == [("k", "a", "name", "K", 0), ("k", "b", "alias", "k", 1)]
     assert people.first()["name"] == "A" and ambiguous.first()["slugs"] == ["a", "b"]
+    indexes.names_index(keys, people, ambiguous, "s").coalesce(1).write.json(str(tmp_path / "again"))
+    again = indexes.read_names(spark, str(tmp_path / "again"))
+    assert [sorted(map(repr, df.collect())) for df in again] == [sorted(map(repr, df.collect())) for df in (keys, people, ambiguous)]
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "late.json").write_text(json.dumps({"schema": 9, "wiki": "w", "entries": []}))
+    (tmp_path / "bare.json").write_text(json.dumps({"schema": 2, "wiki": "w"}))
+    found = indexes.damaged_files(spark, str(tmp_path / "*.json"), indexes.TITLE_INDEX, (1, 2), ("wiki", "entries"))
+    assert {r["path"].rsplit("/", 1)[1]: r["error"] for r in found.collect()} == {"bad.json": "not_json", "late.json": "unsupported_schema", "bare.json": "missing entries"}
 
 
 def test_functions_from_sql(spark):
