@@ -299,6 +299,7 @@ def parse_page(html: str | None, base: str | None, selectors: tuple[Selector, ..
         return ("no_html", *empty)
     if len(html) > MAX_BYTES:
         return ("page_too_large", *empty)
+    html = markup.whole_tags(html)
     try:
         for n, selector in enumerate(selectors):
             parser = ArticleParser(base or "", selector, skip_classes, link_mode)

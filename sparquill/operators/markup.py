@@ -7,6 +7,7 @@ they hold; which element is inside which follows from their numbers (``node`` to
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -76,12 +77,20 @@ class Elements(HTMLParser):
         return "".join(self.text), self.rows
 
 
+def whole_tags(html: str) -> str:
+    """``html`` without a tag that its end cuts off: no tag is whole behind the last
+    bracket, and the parser would look for its end from each start anew."""
+    end = html.rfind(">") + 1
+    cut = re.compile("<[a-zA-Z/!?]").search(html, end)
+    return html[: cut.start()] if cut else html
+
+
 def parse(html: str | None) -> tuple[str | None, list[list]]:
     if html is None:
         return None, []
     parser = Elements()
     try:
-        parser.feed(html)
+        parser.feed(whole_tags(html))
         parser.close()
     except (AssertionError, ValueError):  # what was read so far stands
         pass

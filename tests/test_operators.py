@@ -45,6 +45,21 @@ def test_deep_pages_take_linear_time():
         assert row[2][-1].strip("| ") == "deep" and time.process_time() - began < 3
 
 
+def test_tags_that_are_never_whole_take_linear_time():
+    import time
+
+    from sparquill.operators import markup
+
+    for piece in ("<p", "<p ", '<a b="', "<!--", "</", "<a b=c ", "&a"):
+        for tail in ("", ">", "</div>"):
+            began = time.process_time()
+            page = "<div>x" + piece * 100_000 + tail
+            assert articles.parse_page(page, "", (articles.Selector(tag="div"),), frozenset())[2][0].startswith("x")
+            markup.parse(page)
+            assert time.process_time() - began < 5, (piece, tail)
+    assert markup.whole_tags("<p>a<b") == "<p>a" and markup.whole_tags("a < b") == "a < b" and markup.whole_tags("") == ""
+
+
 def test_nested_tables_keep_their_cells():
     found = parse("<table><tr><td>outer <table><tr><td rowspan='x'>inner</td></tr></table> tail</td><td>next</td></tr></table>")
     assert [(c[0], c[1], c[2], c[9], c[3], c[5], c[8]) for c in found["cells"]] == [
