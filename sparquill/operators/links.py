@@ -13,12 +13,38 @@ from sparquill.operators import markup
 LONGEST_URL = 1024
 
 
+# What holds no links; an anchor's attributes; the value of its address.
+SILENT = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+RAW = r"(?i)<(?:!--|(?:script|style|textarea|xmp|iframe|noembed|noframes|plaintext)\b)|<title[^<>]*>[^<]*<a"
+QUOTED = r"""="[^"]*"|='[^']*'"""
+ANCHOR, ANCHOR_START = r"(?i)<a(\s[^<>]*)>", r"(?i)<a[\s/]"
+ADDRESS = r"""(?i)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"']+)"""
+
+
+def hrefs_of(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key and hrefs: the addresses of a page's anchors, in order.
+
+    Plain anchors are read by Spark's own functions.  Pages with one that these
+    may misread (brackets or references in it, href twice or without a value,
+    elements whose text is not markup) go through the parser."""
+    tags = pages.select(key, html, F.regexp_replace(html, SILENT, " ").alias("_clean")).select(
+        key, html, F.regexp_extract_all("_clean", F.lit(ANCHOR), 1).alias("_tags"), F.regexp_count("_clean", F.lit(ANCHOR_START)).alias("_n"),
+        F.col("_clean").rlike(RAW).alias("_raw"))
+    unclear = lambda t: F.contains(t, F.lit("&")) | F.regexp_replace(t, QUOTED, "").rlike("[\"']") | (F.regexp_count(t, F.lit("(?i)href")) > F.regexp_count(t, F.lit(ADDRESS))) | (F.regexp_count(t, F.lit(ADDRESS)) > 1)
+    odd = F.coalesce(F.col("_raw") | (F.size("_tags") != F.col("_n")) | F.exists("_tags", unclear), F.lit(False))
+    values = F.filter(F.transform("_tags", lambda t: F.regexp_extract(t, ADDRESS, 1)), lambda v: v != "")
+    native = tags.where(~odd).select(key, F.transform(values, lambda v: F.regexp_replace(v, """^["']|["']$""", "")).alias("hrefs"))
+    page = tags.where(odd).select(key, markup.page_of(html).alias("page"))
+    found = F.filter("page.elements", lambda e: (e["tag"] == "a") & markup.attribute(e, "href").isNotNull())
+    return native.unionByName(page.select(key, F.transform(found, lambda e: markup.attribute(e, "href")).alias("hrefs")))
+
+
 def harvest(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, href, first_pos and n for each distinct link of a page."""
-    found = markup.elements(pages, key, html, ("a",)).select(key, "pos", F.col("attributes")["href"].alias("href")).where("href is not null")
-    order = Window.partitionBy(key).orderBy("pos")
-    found = found.withColumn("pos", F.row_number().over(order))
-    return found.groupBy(key, "href").agg(F.min("pos").cast("long").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+    """key, href, first_pos and n for each distinct link of a page.  A page is one
+    row, so its links are counted in it."""
+    distinct = F.transform(F.array_distinct("hrefs"), lambda h: F.struct(
+        h.alias("href"), F.array_position("hrefs", h).cast("long").alias("first_pos"), F.size(F.filter("hrefs", lambda x: x == h)).cast("long").alias("n")))
+    return hrefs_of(pages, key, html).select(key, F.inline(distinct))
 
 
 def observed_links(pages: DataFrame, slug: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -484,3 +484,19 @@ def test_page_budget_of_grids(spark):
     frame = spark.createDataFrame(cells, "page_id long, table_idx long, row_idx long, cell_idx long, rowspan long, colspan long")
     got = grid.expand(frame, most=7).groupBy("table_idx").agg(F.count("grid_col").alias("n"), F.max("warning").alias("w")).orderBy("table_idx").collect()
     assert [(r["n"], r["w"]) for r in got] == [(3, None), (3, None), (0, "page size"), (0, "page size")]
+
+
+def test_links_equal_the_parsers(spark, sf_dir):
+    from sparquill.operators import markup
+
+    pages = [
+        "<a href='x'>1</a><A HREF=y>2</A><a class=c\nhref = \"z w\" >3</a><a name=n>4</a>", "<!-- <a href=no> --><script>'<a href=no>'</script><a href=yes>", "<a title='a > b' href=x>", "<a title=' href=no' href=x>",
+        "<a href='a&amp;b'>", "<a href>", "<a href=''>", "<a/href=x>", "<abbr href=no><a data-href=no href=x>", "<a href=x", "", None, "<a href=x><a href=x><a href=y>",
+    ]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    for df in (frame, spark.read.parquet(f"{sf_dir}/pages.parquet")):
+        want = []
+        for r in df.select("page_id", "html").collect():
+            hrefs = [row[3]["href"] for row in markup.parse(r["html"])[1] if row[2] == "a" and "href" in row[3]]
+            want += [(r["page_id"], h, hrefs.index(h) + 1, hrefs.count(h)) for h in dict.fromkeys(hrefs)]
+        assert sorted(map(tuple, links.harvest(df).collect())) == sorted(want)
