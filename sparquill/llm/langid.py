@@ -172,12 +172,12 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
     one from those whose hash lies in a range that holds SAMPLE on average.
     """
     labelled = staged(
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn_from).select("doc_id", "lang").distinct(),
+        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn_from).groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("copies")),
         "language-ids",
     )
     held = staged(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("held")), "languages")
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))  # from 0 to 1
-    chosen = staged(labelled.join(F.broadcast(held), "lang").where(at * F.col("held") <= SAMPLE).select("doc_id", "lang"), "language-sample")
+    chosen = staged(labelled.join(F.broadcast(held), "lang").where(at * F.col("held") <= SAMPLE).select("doc_id", "lang", "copies"), "language-sample")
     n_scripts = len(SCRIPTS) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +196,9 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
 
     # the sample has about SAMPLE rows of a language at most, so it may be broadcast and meet in few parts
     texts = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    # of texts that share a doc_id and language one stands for all, so the sample stays bounded
-    texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
-    rows = texts.repartition(FIT_PARTS).mapInArrow(count, "lang string, trigrams binary, scripts binary").collect()
+    if not chosen.where("copies > 1").isEmpty():  # of texts that share a doc_id and language one stands for all, so the sample stays bounded
+        texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = texts.select("lang", "text").repartition(FIT_PARTS).mapInArrow(count, "lang string, trigrams binary, scripts binary").collect()
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
