@@ -27,16 +27,17 @@ def hrefs_of(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     Plain anchors are read by Spark's own functions.  Pages with one that these
     may misread (brackets or references in it, href twice or without a value,
     elements whose text is not markup) go through the parser."""
-    tags = pages.select(key, html, F.regexp_replace(html, SILENT, " ").alias("_clean")).select(
-        key, html, F.regexp_extract_all("_clean", F.lit(ANCHOR), 1).alias("_tags"), F.regexp_count("_clean", F.lit(ANCHOR_START)).alias("_n"),
-        F.col("_clean").rlike(RAW).alias("_raw"))
-    unclear = lambda t: F.contains(t, F.lit("&")) | F.regexp_replace(t, QUOTED, "").rlike("[\"']") | (F.regexp_count(t, F.lit("(?i)href")) > F.regexp_count(t, F.lit(ADDRESS))) | (F.regexp_count(t, F.lit(ADDRESS)) > 1)
-    odd = F.coalesce(F.col("_raw") | (F.size("_tags") != F.col("_n")) | F.exists("_tags", unclear), F.lit(False))
+    clean = pages.select(key, html, F.regexp_replace(html, SILENT, " ").alias("_clean"))
+    tags = clean.select(key, html, "_clean", F.regexp_extract_all("_clean", F.lit(ANCHOR), 1).alias("_tags"))
+    words = lambda t: F.regexp_count(t, F.lit("(?i)href"))
+    unclear = lambda t: F.contains(t, F.lit("&")) | F.regexp_replace(t, QUOTED, "").rlike("[\"']") | (words(t) > F.least(F.regexp_count(t, F.lit(ADDRESS)), F.lit(1)))
+    odd = F.col("_clean").rlike(RAW) | (F.size("_tags") != F.regexp_count("_clean", F.lit(ANCHOR_START))) | F.exists("_tags", unclear)
     values = F.filter(F.transform("_tags", lambda t: F.regexp_extract(t, ADDRESS, 1)), lambda v: v != "")
-    native = tags.where(~odd).select(key, F.transform(values, lambda v: F.regexp_replace(v, """^["']|["']$""", "")).alias("hrefs"))
-    page = tags.where(odd).select(key, markup.page_of(html).alias("page"))
+    # the parser gets the html of odd pages only, and nulls for the others
+    read = tags.select(key, F.when(odd, F.col(html)).alias("_odd"), F.transform(values, lambda v: F.trim(v, F.lit("\"'"))).alias("_plain"))
+    page = read.select(key, "_odd", "_plain", markup.page_of("_odd").alias("page"))
     found = F.filter("page.elements", lambda e: (e["tag"] == "a") & markup.attribute(e, "href").isNotNull())
-    return native.unionByName(page.select(key, F.transform(found, lambda e: markup.attribute(e, "href")).alias("hrefs")))
+    return page.select(key, F.when(F.col("_odd").isNull(), F.col("_plain")).otherwise(F.transform(found, lambda e: markup.attribute(e, "href"))).alias("hrefs"))
 
 
 def harvest(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
