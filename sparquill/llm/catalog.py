@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_extract, langid, license_scan, mixing, near_dup, quality_model, quality_rules, url_filter, vector_codes
+from . import ann, bpe, html_extract, langid, lexical_search, license_scan, mixing, near_dup, quality_model, quality_rules, url_filter, vector_codes
 from .common import small_batches
 from .common import table as read_table
 
@@ -69,10 +69,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = (
     op1_mixing, op2_quality_classifier, op3_license_scan, op4_language_id, op5_quality_rules,
     op6_near_duplicates, op7_byte_bpe, op8_html_extraction, op9_nearest_neighbours, op10_url_filter,
-    op11_vector_codes,
+    op11_vector_codes, op12_lexical_search,
 )
 
 
@@ -81,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_nearest_neighbours": ann.oracle(), "op10_url_filter": url_filter.oracle(), "op11_vector_codes": vector_codes.oracle()}
+    return {"op9_nearest_neighbours": ann.oracle(), "op10_url_filter": url_filter.oracle(), "op11_vector_codes": vector_codes.oracle(), "op12_lexical_search": lexical_search.oracle()}
