@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_extract, langid, lexical_search, license_scan, mixing, near_dup, quality_model, quality_rules, url_filter, vector_codes
+from . import ann, bpe, html_extract, langid, lexical_search, license_scan, mixing, near_dup, quality_model, quality_rules, secret_scan, url_filter, vector_codes
 from .common import small_batches
 from .common import table as read_table
 
@@ -73,10 +73,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = (
     op1_mixing, op2_quality_classifier, op3_license_scan, op4_language_id, op5_quality_rules,
     op6_near_duplicates, op7_byte_bpe, op8_html_extraction, op9_nearest_neighbours, op10_url_filter,
-    op11_vector_codes, op12_lexical_search,
+    op11_vector_codes, op12_lexical_search, op13_secret_scan,
 )
 
 
