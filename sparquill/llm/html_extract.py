@@ -35,7 +35,8 @@ HEADINGS = ("h1", "h2", "h3")
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus"
     " footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related"
-    " respond share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
+    " respond share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget"
+    " commentarea commentbox commentform commentlist commentsection discussion discussions replies reply usercomments".split()
 )
 # A class or id with such a word tells a state, not what the element is for; the others name what holds an article.
 STATE_WORDS = frozenset("allowed closed disabled enabled free has hide is no off on open with without".split())
@@ -55,7 +56,9 @@ ENDED_BY = {
 WALLS = frozenset("article aside body div footer form header html main nav section table td th ul ol dl".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# One attribute after the other, so that a value never counts as a name.
+ATTRIBUTE = re.compile(r"""([^\s"'/=>][^\s/=>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 ROOT = 0
 
 
@@ -91,17 +94,22 @@ class Page:
             if m[1]:
                 self._end(tag)
             else:
-                self._start(tag, m[3])
-                if tag in RAW and not m[3].endswith("/"):
+                opened = self._start(tag, m[3])
+                if tag in RAW and opened:
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
                     self._cut(len(self.stack) - 1)
         self._settle()
 
-    def _start(self, tag: str, attributes: str) -> None:
+    def _start(self, tag: str, attributes: str) -> bool:
+        """Whether the element is open now."""
         while self.ending and tag in ENDED_BY.get(self.tags[self.stack[self.ending[-1]]], ()):
             self._cut(self.ending[-1])
-        names = {k.lower(): (a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
+        names, closed = {}, attributes.endswith("/")
+        if attributes:
+            for found in ATTRIBUTE.finditer(attributes):
+                names.setdefault(found[1].lower(), (found[2] or found[3] or found[4] or "").lower())
+                closed = closed and not (found[4] and found.end() == len(attributes))  # a last "/" may belong to a value
         parent, node = self.stack[-1], len(self.tags)
         self.tags.append(tag)
         self.parents.append(parent)
@@ -120,7 +128,7 @@ class Page:
             self.flow.append((node, None))
         elif tag == "br":
             self.flow.append((parent, " "))
-        if tag not in VOID and not attributes.endswith("/"):
+        if opens := tag not in VOID and not closed:
             place = len(self.stack)
             self.stack.append(node)
             self.places.setdefault(tag, []).append(place)
@@ -128,16 +136,21 @@ class Page:
                 self.walls.append(place)
             if tag in WALLS or tag in ENDED_BY:
                 self.ending.append(place)
+        return opens
 
     @staticmethod
     def _kind(tag: str, names: dict[str, str]) -> str:
+        if tag in ("html", "body", "article", "main"):
+            return ""
         if "hidden" in names or names.get("aria-hidden") == "true" or names.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search"):
             return "hard"
+        if NOT_SHOWN.search(names.get("style", "")):
+            return "hard"
         if tag in ("form", "header"):
             return tag
         if tag in BOILERPLATE_TAGS:
             return "hard"
-        if not names or tag in ("html", "body", "article", "main"):
+        if not names:
             return ""
         named = article = False
         for token in f"{names.get('class', '')} {names.get('id', '')}".split():

@@ -74,6 +74,34 @@ def test_articles_named_or_wrapped_like_boilerplate():
         assert best_text(page) == want, page
 
 
+def test_values_are_not_names():
+    """What stands in an attribute's value hides nothing; hidden and unshown elements go."""
+    body = "<p>" + "long text " * 40 + "</p>"
+    want = ("long text " * 40).strip()
+    shown = (
+        "style='overflow:hidden'", 'style="overflow: hidden"', "title='a hidden gem'", 'data-id="nav"', "title='class=sidebar'", 'data-x="id=footer"', "alt = 'role=banner'",
+        "data-u=/x/", "data-hidden=1", "data-class=sidebar", "style='background:none'", "onclick=\"this.hidden=true\"", "aria-label='aria-hidden=true'", "aria-hidden=false",
+    )
+    for attributes in shown:
+        for tag in ("body", "main", "article", "div"):
+            assert best_text(f"<html><body><{tag} {attributes}>{body}</{tag}>") == want, (tag, attributes)
+    for attributes in ("hidden", "hidden=''", "HIDDEN", "style='color:red; display: none'", 'style="display:none"', "aria-hidden=true", "class=a id=x role=search"):
+        assert best_text(f"<body><article>{body}<div {attributes}>gone</div></article>") == want, attributes
+        assert best_text(f"<body {attributes}><article {attributes}>{body}</article></body>") == want, attributes
+    assert best_text(f"<body><article>{body}<div class=share class=text>gone</div></article>") == want  # the first of two counts
+    assert best_text(f"<body><article><br/><img src=/a/><hr>{body}<script src=/x/>var a</script></article>") == want
+
+
+def test_comment_lists_go():
+    body = "<p>" + "long text " * 20 + "</p>"
+    want = ("long text " * 20).strip()
+    lists = ("class=commentlist", "class='comment-list'", "id=replies", "class=reply", "id=discussion", "class='reader-replies'", "id=usercomments", "class='comments-area'", "id=CommentSection")
+    for attributes in lists:
+        comments = f"<ol {attributes}>" + "<li><p>a reader's own long remark on all of this and more</p></li>" * 30 + "</ol>"
+        assert best_text(f"<body><article>{body}{comments}</article></body>") == want, attributes
+        assert best_text(f"<body><div class=post>{body}</div>{comments}</body>") == want, attributes
+
+
 def test_deep_and_long_pages_take_linear_time():
     import time
 
