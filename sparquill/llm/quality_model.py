@@ -1,7 +1,8 @@
 """Quality by the votes of the nearest labelled texts in a latent space.
 
 A text's terms are its words, the shapes of its words (letters, capitals, digits
-and runs of them folded; signs kept) and whether words repeat the one before.  TF-IDF
+and runs of them folded; signs kept) and whether words repeat the one before.  Every
+term counts: it is hashed into one of BINS bins of its kind.  TF-IDF
 rows of a bounded labelled sample give latent axes by an eigendecomposition.
 The sample's latent vectors are broadcast; blocked matrix products give the
 exact cosine of every document with every one of them, and the nearest vote
@@ -10,6 +11,7 @@ with weights that grow with similarity.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -25,95 +27,84 @@ from .common import give_back, once, staged
 
 # Parameters.
 SAMPLE = 4096  # labelled texts, the bound of everything that is learnt or broadcast
-TERMS = {"shape": 1024, "word": 512}  # most frequent terms of the sample; other shapes count as one
+BINS = 1024  # of shapes, and as many of words
 WEIGHT = {"shape": 1.0, "word": 0.5}  # of a term's TF-IDF
 AXES = 32
 NEIGHBOURS = 25
 SHARPNESS = 6.0  # power of the similarity in a vote
 BLOCK = 512  # documents of one matrix product
-REPEAT, OTHER = "=", "?"
+DIGITS = 6  # to which cosines are compared, so that equal texts are equally near
 
 _SHAPE = bytes(
     97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256)
 )
 
 
-def term_counts(text: str | None) -> dict[str, int]:
-    """How often each word and each word shape occurs, and words equal to the one
-    before.  Words have a space in front, which no shape has."""
+def bins_of(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The bins of a text's shapes, then words, and repeats of the word before (the
+    last bin), with how often each occurs; and the number of words."""
     if not text:
-        return {}
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     raw = text.encode()
     shape = np.frombuffer(raw.translate(_SHAPE), np.uint8)
     folded = shape[np.concatenate([[True], shape[1:] != shape[:-1]])].tobytes()
-    counts = {k.decode("utf-8", "replace"): v for k, v in Counter(folded.split()).items()}
-    words = raw.lower().split()
-    counts |= {" " + k.decode(): v for k, v in Counter(words).items()}
     words = raw.split()
-    repeats = sum(map(eq, words, words[1:]))
-    return counts | ({REPEAT: repeats} if repeats else {})
+    counts = np.zeros(2 * BINS + 1, np.int64)
+    for offset, terms in ((0, folded.split()), (BINS, raw.lower().split())):
+        for term, n in Counter(terms).items():
+            counts[offset + zlib.crc32(term) % BINS] += n
+    counts[-1] = sum(map(eq, words, words[1:]))
+    held = np.flatnonzero(counts)
+    return held, counts[held], len(words)
 
 
-def kind_of(term: str) -> str:
-    return "word" if term[0] == " " else "shape"
+def unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
+
+
+def frequencies(texts: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """One row for each text: the shares of its words that fall into each bin."""
+    out = np.zeros((len(texts), 2 * BINS + 1), np.float32)
+    for row, (held, counts, n) in zip(out, texts, strict=True):
+        row[held] = counts / max(1, n)
+    return out
 
 
 class Model:
-    """Fitted on the counts of the sample's texts: ``frequency`` has, of each of
-    its most frequent terms, the number of texts that hold it."""
-
-    def __init__(self, counts: list[dict[str, int]], labels: list[int], frequency: dict[str, int]):
-        self.labels = np.array(labels, np.float32)
-        self.terms = {t: i for i, t in enumerate(sorted({*frequency, OTHER}))}
-        df = np.array([frequency.get(t, 0) for t in self.terms], np.float32)
-        weight = np.array([WEIGHT[kind_of(t)] for t in self.terms], np.float32)
-        self.idf = (np.log((len(counts) + 1) / (df + 1)) + 1) * weight
-        rows = self.rows(counts)
-        gram = rows.T.astype(np.float64) @ rows
-        _, vectors = np.linalg.eigh(gram)
+    """Fitted on the bins of the sample's texts, which come in the order of doc_id."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int]):
+        self.labels = np.array(labels, np.float64)
+        share = frequencies(texts)
+        kinds = np.repeat(np.array([WEIGHT["shape"], WEIGHT["word"], WEIGHT["shape"]], np.float32), [BINS, BINS, 1])
+        self.idf = (np.log((len(texts) + 1) / ((share > 0).sum(axis=0) + 1)) + 1).astype(np.float32) * kinds
+        rows = self.rows(share)
+        _, vectors = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
         self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :AXES], np.float32)
-        self.latent = self._unit(rows @ self.axes)
+        self.latent = unit(rows @ self.axes)
         self.prior = float(self.labels.mean())
 
-    @staticmethod
-    def known(count: dict[str, int], terms) -> dict[str, int]:
-        """``count`` by terms that are known; other shapes are one term, other
-        words none.  As every word has a shape, shapes sum up to the words."""
-        out: dict[str, int] = {}
-        for term, n in count.items():
-            if term not in terms:
-                if term[0] == " ":
-                    continue
-                term = OTHER
-            out[term] = out.get(term, 0) + n
-        return out
-
-    def rows(self, counts: list[dict[str, int]]) -> np.ndarray:
-        out = np.zeros((len(counts), len(self.terms)), np.float32)
-        words = np.ones((len(counts), 1), np.float32)
-        for i, (row, count) in enumerate(zip(out, counts, strict=True)):
-            for term, n in self.known(count, self.terms).items():
-                row[self.terms[term]] = n
-            words[i] = max(1, sum(n for t, n in count.items() if t[0] != " "))
-        return np.sqrt(out / words) * self.idf
-
-    @staticmethod
-    def _unit(x: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
+    def rows(self, share: np.ndarray) -> np.ndarray:
+        return np.sqrt(share) * self.idf
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
-        k = min(NEIGHBOURS, len(self.labels))
         for start in range(0, len(texts), BLOCK):
-            latent = self._unit(self.rows([term_counts(t) for t in texts[start : start + BLOCK]]) @ self.axes)
-            cosine = latent @ self.latent.T
-            nearest = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(cosine, nearest, axis=1), 0).astype(np.float64) ** SHARPNESS
-            votes = (weight * self.labels[nearest]).sum(axis=1) + 1e-9 * self.prior
-            out[start : start + BLOCK] = votes / (weight.sum(axis=1) + 1e-9)
+            latent = unit(self.rows(frequencies([bins_of(t) for t in texts[start : start + BLOCK]])) @ self.axes)
+            cosine = np.round(latent @ self.latent.T, DIGITS)
+            weight = np.where(self.nearest(cosine), np.maximum(cosine, 0), 0).astype(np.float64) ** SHARPNESS
+            out[start : start + BLOCK] = (weight @ self.labels + 1e-9 * self.prior) / (weight.sum(axis=1) + 1e-9)
         return np.clip(out, 0.0, 1.0)
 
+    @staticmethod
+    def nearest(cosine: np.ndarray) -> np.ndarray:
+        """Which NEIGHBOURS of the sample vote for each row: of equally near ones the smaller doc_ids."""
+        k = min(NEIGHBOURS, cosine.shape[1])
+        last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
+        above, tied = cosine > last, cosine == last
+        return above | tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True))
+
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
@@ -132,43 +123,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [term_counts(t) for t in batch.column(1).to_pylist()]
+            found = [bins_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())),
-                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))],
-                ["doc_id", "quality", "terms", "numbers"],
+                [batch.column(0), batch.column(2), *[pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)], pa.array([f[2] for f in found], pa.int64())],
+                ["doc_id", "quality", "bins", "counts", "n_words"],
             )
 
     # the sample has SAMPLE rows at most, so it may be broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    counted = texts.mapInArrow(count, f"doc_id {kind}, quality int, terms array<string>, numbers array<long>")
+    counted = texts.mapInArrow(count, f"doc_id {kind}, quality int, bins array<long>, counts array<long>, n_words long")
     # a doc_id may come more than once: of its texts the one with the least hash stands for it
-    held = staged(counted.withColumn("order", F.xxhash64("terms", "numbers")), "term-counts")
+    held = staged(counted.withColumn("order", F.xxhash64("bins", "counts", "n_words")), "term-counts")
     first = held.groupBy("doc_id").agg(F.min("order").alias("order"))
     held = held.join(F.broadcast(first), ["doc_id", "order"]).dropDuplicates(["doc_id"])
-    held = staged(held.select("doc_id", "quality", "terms", "numbers"), "sample-counts")
-    seen = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    frequency: dict[str, int] = {}
-    for name, most in TERMS.items():
-        of_kind = seen.where(F.startswith("term", F.lit(" ")) == F.lit(name == "word"))
-        frequency |= {r["term"]: r["n"] for r in of_kind.orderBy(F.desc("n"), "term").limit(most).collect()}
-
-    names = held.columns
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("terms").to_pylist(), batch.column("numbers").to_pylist(), strict=True)
-            known = [Model.known(dict(zip(*p, strict=True)), frequency) for p in pairs]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), pa.array([list(c) for c in known], pa.list_(pa.string())),
-                 pa.array([list(c.values()) for c in known], pa.list_(pa.int64()))],
-                names,
-            )
-
-    # of each text the driver gets its known terms, and one for all other shapes: bounded by TERMS
-    rows = held.mapInArrow(reduce, held.schema).orderBy("doc_id").collect()
-    counts = [dict(zip(r["terms"], r["numbers"], strict=True)) for r in rows]
-    return Model(counts, [r["quality"] for r in rows], frequency) if rows else None
+    rows = held.orderBy("doc_id").toArrow()  # SAMPLE rows of no more than 2 * BINS + 1 bins
+    pairs = [[x.values.to_numpy() for x in rows.column(c)] for c in ("bins", "counts")]
+    texts = list(zip(*pairs, rows.column("n_words").to_pylist(), strict=True))
+    return Model(texts, rows.column("quality").to_pylist()) if texts else None
 
 
 def scorer(docs: DataFrame, model: Model | None):
@@ -193,7 +164,9 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1)
     Null and empty texts are near no labelled text and get the sample's share
     of good ones; without labels every score is 0.5.  Labels other than 0 and 1
     and labels without a document are ignored; of several for one doc_id the
-    larger counts.  Repeated rows are scored alike; other columns are ignored.
+    larger counts.  Of labelled texts that are equally near at the last place
+    those with smaller doc_ids vote.  Texts of any length are read whole.  Repeated
+    rows are scored alike; other columns are ignored; an empty table gives no rows.
     """
     model = fit(docs, labels, ~held_out(F.col("doc_id"), parts, part))
     rows = docs.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), scorer(docs, model)("text").alias("score"))

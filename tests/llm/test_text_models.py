@@ -1,6 +1,11 @@
+import itertools
+import math
+import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +109,44 @@ def test_sketch_fences_equal_exact_quantiles(spark):
     assert r["max_symbols"] == pytest.approx(4 * quality_rules.SPREAD["symbols"])
 
 
+def exact_fence(values, k):
+    """The fence of a ratio near 0 by the ranks of sorted rows."""
+    values = sorted(values)
+    read = [values[max(0, math.ceil(r * len(values)) - 1)] for r in quality_rules.RANKS]
+    for low, high in itertools.pairwise(read):
+        if high - low >= quality_rules.LEAST_LEAP[k] and high >= quality_rules.LEAP * low:
+            return low + max(quality_rules.INTO * (high - low), quality_rules.REACH * quality_rules.SPREAD[k])
+    return read[-1] + quality_rules.REACH * max(read[-1] - read[0], quality_rules.SPREAD[k])
+
+
+def test_every_fence_is_learnt(spark):
+    """Languages with other bulks and other junk have other fences, those of exact quantiles."""
+    random_ = random.Random(8)
+    tables = {
+        "aa": [random_.randint(0, 3) for _ in range(183)] + [random_.randint(60, 200) for _ in range(17)],
+        "bb": [random_.randint(0, 9) for _ in range(153)] + [random_.randint(90, 250) for _ in range(47)],
+        "cc": [random_.choice((0, 0, 0, 5, 15, 30, 45)) for _ in range(200)],
+        "dd": [0] * 200,
+    }
+    rows = [(lang, "s", 100, 500, n, n // 5, 100, n // 4) for lang, counts in tables.items() for n in counts]
+    got = {r["lang"]: r for r in quality_rules.fences(spark.createDataFrame(rows, COUNTED)).collect()}
+    for lang, counts in tables.items():  # a sketch errs by about 1 % of the ranks
+        assert got[lang]["max_symbols"] == pytest.approx(exact_fence([n / 100 for n in counts], "symbols"), rel=0.15), lang
+    for k in ("symbols", "dup_lines", "repeats"):
+        assert got["dd"][f"max_{k}"] == pytest.approx(quality_rules.REACH * quality_rules.SPREAD[k])
+    assert len({round(r["max_symbols"], 3) for r in got.values()}) == 4 and len({round(r["max_repeats"], 3) for r in got.values()}) >= 3
+
+
+def test_fences_of_the_test_table_differ(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    counted = docs.select("lang", "source", quality_rules.counts_of("text").alias("c")).select("lang", "source", "c.*")
+    found = quality_rules.fences(counted).collect()
+    for k in ("symbols", "dup_lines", "repeats", "length"):
+        assert len({round(r[f"max_{k}"], 4) for r in found}) > 12, k
+        assert len({round(max(r[f"max_{k}"] for r in found if r["lang"] == lang), 4) for lang in {r["lang"] for r in found}}) == 4, k
+    assert all(0.1 < r["max_symbols"] < 0.32 for r in found)  # junk of this table begins at 0.32
+
+
 COUNTED = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
 
 
@@ -238,30 +281,24 @@ def test_scores_equal_votes_by_hand(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     model = quality_model.fit(docs, labels, ~quality_model.held_out(F.col("doc_id"), 3, 1))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    seen = Counter()
     learnt = {}
     for r in labels.where(~quality_model.held_out(F.col("doc_id"), 3, 1)).collect():
-        learnt[r["doc_id"]] = max(r["quality"], learnt.get(r["doc_id"], 0))
-    counts = {i: quality_model.term_counts(texts[i]) for i in learnt if i in texts}
-    for c in counts.values():
-        seen.update(c.keys())
-    for kind, most in quality_model.TERMS.items():
-        best = sorted((t for t in seen if quality_model.kind_of(t) == kind), key=lambda t: (-seen[t], t))[:most]
-        assert all(t in model.terms for t in best)
+        if r["doc_id"] in texts:
+            learnt[r["doc_id"]] = max(r["quality"], learnt.get(r["doc_id"], 0))
+    bins = quality_model.BINS
 
     def vector(text):
-        count = quality_model.term_counts(text)
-        words = max(1, sum(n for t, n in count.items() if t[0] != " "))
-        row = np.zeros(len(model.terms))
-        for t, n in count.items():
-            if t in model.terms:
-                row[model.terms[t]] += n
-            elif t[0] != " ":
-                row[model.terms[quality_model.OTHER]] += n
-        v = np.sqrt(row / words) * model.idf @ model.axes
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+        row = np.zeros(2 * bins + 1)
+        for w in words:
+            shape = re.sub(rb"(.)\1+", rb"\1", re.sub(rb"[0-9]", b"0", re.sub(rb"[A-Z]", b"A", re.sub(rb"[a-z\x80-\xff]", b"a", w))), flags=re.S)
+            row[zlib.crc32(shape) % bins] += 1
+            row[bins + zlib.crc32(w.lower()) % bins] += 1
+        row[-1] = sum(a == b for a, b in itertools.pairwise(words))
+        v = np.sqrt(row / max(1, len(words))) * model.idf @ model.axes
         return v / (np.linalg.norm(v) or 1)
 
-    vectors = {i: vector(texts[i]) for i in counts}
+    vectors = {i: vector(texts[i]) for i in learnt}
     for r in quality_model.classify(docs, labels).limit(40).collect():
         own = vector(texts[r["doc_id"]])
         votes = sorted(((max(0.0, float(own @ v)), learnt[i]) for i, v in vectors.items()), reverse=True)[: quality_model.NEIGHBOURS]
@@ -270,6 +307,28 @@ def test_scores_equal_votes_by_hand(spark):
         assert r["score"] == pytest.approx(want, abs=2e-3)
 
 
+def test_equally_near_texts_vote_by_doc_id(spark):
+    """Exact copies with different labels: the smaller doc_ids have the votes."""
+    k = quality_model.NEIGHBOURS
+    docs = spark.createDataFrame([(i, "one text and no other") for i in range(3 * k)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 10), 0) for i in range(3 * k)], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(docs, labels, F.lit(True))
+    assert model.scores(["one text and no other", "one text"])[0] == pytest.approx(10 / k)
+    cosine = np.round(np.random.default_rng(1).random((50, 200)), 1)
+    for row, chosen in zip(cosine, quality_model.Model.nearest(cosine), strict=True):
+        assert set(np.flatnonzero(chosen)) == set(sorted(range(200), key=lambda i: (-row[i], i))[:k])
+
+
+def test_every_term_counts(spark):
+    """Texts that differ only in words that are rare in the sample have different scores."""
+    rare = [f"rare{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rare[(i % 2) :: 2][i * 10 : i * 10 + 400])) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(docs, labels, F.lit(True))
+    low, high = model.scores([" ".join(rare[0:1200:2]), " ".join(rare[1:1200:2])])
+    assert low < 0.5 < high
+
+
 def test_no_term_of_a_labelled_text_is_cut(spark):
     """A text of more distinct words than any bound of the model counts whole."""
     long = " ".join(f"w{'x' * (i % 50)}{i}!{'?' * (i % 7)}" for i in range(6000))
