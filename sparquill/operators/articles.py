@@ -15,12 +15,13 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparquill.functions.urls import page_title
 from sparquill.operators import markup, rules
+from sparquill.operators.element_rules import SHIPPED, ElementRules
 
 # Fixed values.
 BLOCKS = frozenset(
@@ -36,6 +37,8 @@ IMPLIED_END = {  # an open element of the first kind ends where one of the secon
 }
 SCOPE = frozenset("article body div section table td th ul ol dl html".split())
 MAX_BYTES, CHUNK = 24 << 20, 64 << 10
+# How silent an open element is: not, skipped by a rule, or of a kind whose text is never one.
+SHOWN, SKIPPED, RAW = range(3)
 LINK_MODES = ("references", "inline", "off")
 NOTE = re.compile("#footer-footnote([0-9]{1,9})")
 
@@ -76,13 +79,24 @@ ARTICLE = T.StructType([
     T.StructField("line_links", T.ArrayType(T.StructType(_long("line", "link_id")))),
     T.StructField("line_notes", T.ArrayType(T.StructType(_long("line", "number")))),
     T.StructField("cells", T.ArrayType(T.StructType([
-        *_long("table_idx", "row_idx", "cell_idx", "rowspan", "colspan"), *_string("rowspan_raw", "colspan_raw", "tag", "text"), *_long("outer_table")]))),
+        *_long("table_idx", "row_idx", "cell_idx", "rowspan", "colspan"), *_string("rowspan_raw", "colspan_raw", "tag", "text"), *_long("outer_table"),
+        T.StructField("link_ids", T.ArrayType(T.LongType())), T.StructField("notes", T.ArrayType(T.LongType()))]))),
     T.StructField("images", T.ArrayType(T.StructType([*_string("src", "alt", "url", "width", "height", "srcset"), *_long("source_line")]))),
     T.StructField("container", T.StringType()),
     T.StructField("closed", T.BooleanType()),
     T.StructField("warnings", T.ArrayType(T.StringType())),
+    # of each line, in the order of lines
+    T.StructField("line_refs", T.ArrayType(T.StructType([T.StructField("link_ids", T.ArrayType(T.LongType())), T.StructField("notes", T.ArrayType(T.LongType()))]))),
+    T.StructField("tables", T.ArrayType(T.StructType([*_long("table_idx", "line"), T.StructField("path", T.ArrayType(T.StringType()))]))),
+    T.StructField("skips", T.ArrayType(T.StructType([*_string("kind", "reason", "tag"), *_long("line")]))),
+    # what the container holds beside its lines: text that no line shows, media, forms, areas of the article and how many of them end
+    T.StructField("content", T.StructType([*[T.StructField(n, T.BooleanType()) for n in ("has_text", "has_media", "has_forms")], *_long("areas", "closed_areas")])),
 ])
 
+# Elements that are content without text, and those that only take input.
+MEDIA = frozenset("img iframe svg canvas video audio object embed table hr".split())
+FORMS = frozenset("form textarea select button input".split())
+
 
 class ArticleParser(HTMLParser):
     """Follows one container; writes text, boundaries and marks as it goes.
@@ -90,15 +104,20 @@ class ArticleParser(HTMLParser):
     Open elements are found by tag through their places in the stack, so no end
     tag looks through all of them."""
 
-    def __init__(self, base: str, selector: Selector, skip_classes: frozenset[str], link_mode: str = "references"):
+    def __init__(self, base: str, selector: Selector, skip: ElementRules | frozenset[str] = SHIPPED, link_mode: str = "references"):
         super().__init__(convert_charrefs=True)
-        self.base, self.selector, self.skip_classes, self.link_mode = base, selector, skip_classes, link_mode
-        self.stack: list[tuple[str, bool, bool]] = []  # open elements, whether they are silent, and in an area of the article
+        self.base, self.selector, self.link_mode = base, selector, link_mode
+        self.rules = skip if isinstance(skip, ElementRules) else ElementRules(ad_classes=skip)
+        #: Open elements, how silent they are (see ``SHOWN``), and whether they are in an area of the article.
+        self.stack: list[tuple[str, int, bool]] = []
+        self.skips: list[tuple[str, str, str, int]] = []
+        self.has = dict.fromkeys(("text", "media", "forms"), False)
+        self.areas = self.closed_areas = 0
         self.places: dict[str, list[int]] = {}  # in the stack, by tag
         self.scopes: list[int] = []
         self.ending: list[int] = []  # of elements that may end without an end tag, and of scopes
         self.depth = None  # of the container
-        self.closed = self.has_area = False
+        self.closed = self.has_area = self.ended = False
         self.title: list[str] = []
         self.out: list[tuple[str, bool]] = []  # text, and whether it is in an area
         self.marks: list[tuple[str, int, object, int]] = []  # kind, place in out, value, source line
@@ -138,18 +157,28 @@ class ArticleParser(HTMLParser):
         area = bool(self.stack) and self.stack[-1][2]
         if self.depth is None and not self.closed and self.selector.fits(tag, attributes):
             self.depth = len(self.stack)
-            self.push(tag, False, False)
+            self.push(tag, SHOWN, False)
             return
-        quiet = bool(self.stack and self.stack[-1][1]) or tag in SILENT or self.is_skipped(attributes)
-        if self.depth is not None and not area and not quiet and not set(attributes.get("class", "").split()).isdisjoint(rules.ARTICLE_CLASSES):
+        quiet = self.stack[-1][1] if self.stack else SHOWN
+        inside = self.depth is not None and not self.closed
+        if inside and quiet != RAW:
+            self.has["media"] |= tag in MEDIA
+            self.has["forms"] |= tag in FORMS
+        if inside and quiet == SHOWN and (why := self.rules.judge(attrs)):
+            quiet = SKIPPED
+            self.skips.append((*why.split("/", 1), tag, self.getpos()[0]))
+        if tag in SILENT:
+            quiet = RAW
+        if inside and not area and not quiet and not set(attributes.get("class", "").split()).isdisjoint(rules.ARTICLE_CLASSES):
             area = True
+            self.areas += 1
             self.has_area = self.has_area or rules.ARTICLE_CLASSES[0] in attributes.get("class", "").split()
         if tag not in VOID:
             self.push(tag, quiet, area)
         if not quiet and not self.silent():
             self.open(tag, attributes)
 
-    def push(self, tag: str, quiet: bool, area: bool) -> None:
+    def push(self, tag: str, quiet: int, area: bool) -> None:
         place = len(self.stack)
         self.stack.append((tag, quiet, area))
         self.places.setdefault(tag, []).append(place)
@@ -158,12 +187,6 @@ class ArticleParser(HTMLParser):
         if tag in SCOPE or tag in IMPLIED_END:
             self.ending.append(place)
 
-    def is_skipped(self, attributes: dict[str, str]) -> bool:
-        classes = set(attributes.get("class", "").split())
-        if classes & set(rules.ARTICLE_CLASSES) or attributes.get("id") in rules.ARTICLE_IDS:
-            return False
-        return bool(classes & self.skip_classes) or attributes.get("id") in rules.AD_IDS or not attributes.keys().isdisjoint(rules.AD_DATA)
-
     def open(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in BLOCKS:
             self.write("\n")
@@ -172,6 +195,7 @@ class ArticleParser(HTMLParser):
             self.write("#" * int(tag[1]) + " ")
         elif tag == "table":
             self.n_tables += 1
+            self.mark("t", self.n_tables)
             self.tables.append([self.n_tables, 0, 0])
         elif tag == "tr" and self.tables:
             self.tables[-1][1:] = [self.tables[-1][1] + 1, 0]
@@ -179,7 +203,7 @@ class ArticleParser(HTMLParser):
             self.tables[-1][2] += 1
             raw = [attributes.get(k) for k in ("rowspan", "colspan")]
             outer = self.tables[-2][0] if len(self.tables) > 1 else None
-            self.cells.append([*self.tables[-1], *map(self.span, raw), *raw, tag, "", outer])
+            self.cells.append([*self.tables[-1], *map(self.span, raw), *raw, tag, "", outer, {}, {}])
             spans = "".join(f"[{k}={' '.join(v.split())}] " for k, v in zip(("rowspan", "colspan"), raw, strict=True) if v not in (None, "1"))
             self.write("| " + spans)
             self.open_cells.append((len(self.cells) - 1, len(self.out)))
@@ -197,6 +221,8 @@ class ArticleParser(HTMLParser):
             href = None if note or raw is None or raw.strip().startswith("#") else self.join(raw)
             if note:
                 self.mark("n", int(note[1]))
+                for cell, _ in self.open_cells:
+                    self.cells[cell][11][int(note[1])] = None
             self.hrefs.append(None if href is None else (self.links.setdefault(href, len(self.links) + 1), href, raw, len(self.out)))
 
     def join(self, href: str | None) -> str | None:
@@ -218,7 +244,8 @@ class ArticleParser(HTMLParser):
 
     def close_to(self, place: int) -> None:
         while len(self.stack) > place:
-            tag, quiet, _ = self.stack[-1]
+            tag, quiet, area = self.stack[-1]
+            self.closed_areas += area and not self.stack[-2][2] and not self.closed and not self.ended
             if self.depth is not None and len(self.stack) - 1 == self.depth and not self.closed:
                 self.closed = True
             elif not quiet and not self.silent():
@@ -245,6 +272,8 @@ class ArticleParser(HTMLParser):
             number, href, raw, begin = link
             self.originals.setdefault(number, {})[raw] = None
             self.mark("a", number)
+            for cell, _ in self.open_cells:
+                self.cells[cell][10][number] = None
             if self.link_mode == "references":
                 self.write(f" [{number}] ")
             elif self.link_mode == "inline" and (title := page_title(href)):
@@ -258,6 +287,8 @@ class ArticleParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.depth is None and self.stack and self.stack[-1][0] == "title":
             self.title.append(data)
+        if self.depth is not None and not self.closed and self.stack[-1][1] != RAW and data.strip():
+            self.has["text"] = True
         if not self.silent():
             self.write(re.sub(r"\s+", " ", data))
 
@@ -267,20 +298,25 @@ class ArticleParser(HTMLParser):
         for (piece, _), keep in zip(self.out, kept, strict=True):
             offsets.append(size)
             size += len(piece) if keep else 0
-        lines, begins, numbers, place = [], [], [], 0
+        lines, begins, numbers, following, place = [], [], [], [], 0
         for raw in "".join(p for (p, _), keep in zip(self.out, kept, strict=True) if keep).splitlines(keepends=True):
             if raw.strip():
                 lines.append(" ".join(raw.split()) if raw.lstrip().startswith("|") else raw.strip())
             begins.append(place)
+            following.append(len(lines) + (not raw.strip()))  # of a table's boundary, the line behind it
             numbers.append(max(1, len(lines)))
             place += len(raw)
-        headings, line_links, line_notes = [], {}, {}
+        headings, line_links, line_notes, tables, path = [], {}, {}, [], []
         for kind, piece, value, source_line in self.marks:
             if piece >= len(offsets) or not kept[piece] or not lines:
                 continue
-            line = numbers[bisect_right(begins, offsets[piece]) - 1]
+            at = bisect_right(begins, offsets[piece]) - 1
+            line = numbers[at]
             if kind == "h" and lines[line - 1].startswith("#" * value + " "):
                 headings.append((value, line, source_line, lines[line - 1][value + 1 :].strip()))
+                path = [h for h in path if h[0] < value] + [headings[-1]]
+            elif kind == "t":
+                tables.append((value, min(following[at], len(lines)), [h[3] for h in path]))
             elif kind != "h":
                 (line_links if kind == "a" else line_notes)[line, value] = None
         error = "no_container" if self.depth is None else None if lines else "empty_article"
@@ -288,34 +324,96 @@ class ArticleParser(HTMLParser):
             self.warnings.append("the container is not closed")
         links = [(i, h, list(self.originals.get(i, ()))) for h, i in self.links.items()]
         title = "".join(self.title).strip() or None
-        return (error, title, lines, headings, links, list(line_links), list(line_notes), [tuple(c) for c in self.cells], self.images,
-                self.selector.name if self.depth is not None else None, self.closed, list(dict.fromkeys(self.warnings)))
+        refs = [([], []) for _ in lines]
+        for which, found in ((0, line_links), (1, line_notes)):
+            for line, value in found:
+                refs[line - 1][which].append(value)
+        return (error, title, lines, headings, links, list(line_links), list(line_notes), [(*c[:10], list(c[10]), list(c[11])) for c in self.cells], self.images,
+                self.selector.name if self.depth is not None else None, self.closed, list(dict.fromkeys(self.warnings)), refs, tables, self.skips,
+                (*self.has.values(), self.areas, self.closed_areas))
+
+
+NOTHING = (None, [], [], [], [], [], [], [], None, False, [], [], [], [], (False, False, False, 0, 0))
+
+
+class Reader(HTMLParser):
+    """Reads a page once for several parsers; one that fails is told no more."""
+
+    def __init__(self, parsers: list[HTMLParser]):
+        super().__init__(convert_charrefs=True)
+        self.parsers, self.failed = list(parsers), {}
+        for p in parsers:
+            p.getpos = self.getpos
+
+    def tell(self, what: str, *said) -> None:
+        for p in list(self.parsers):
+            try:
+                getattr(p, what)(*said)
+            except Exception as e:  # a page must not fail the job; the code says what it was
+                self.failed[id(p)] = f"processing_error:{type(e).__name__}"
+                self.parsers.remove(p)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.tell("handle_starttag", tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        self.tell("handle_endtag", tag)
+
+    def handle_data(self, data: str) -> None:
+        self.tell("handle_data", data)
 
 
-def parse_page(html: str | None, base: str | None, selectors: tuple[Selector, ...], skip_classes: frozenset[str], link_mode: str = "references") -> tuple:
-    """The first of ``selectors`` that the page has is its container."""
-    empty = (None, [], [], [], [], [], [], [], None, False, [])
+def parse_whole(html: str | None, base: str | None, selectors: tuple[Selector, ...], skip=SHIPPED, link_mode: str = "references",
+                elements: markup.Elements | None = None) -> tuple:
+    """The article of a page, read in one pass; the first of ``selectors`` that the
+    page has is its container.  ``elements`` reads the page's elements on the way,
+    to the end; without it reading stops behind the container of the first selector."""
     if html is None:
-        return ("no_html", *empty)
+        return ("no_html", *NOTHING)
     if len(html) > MAX_BYTES:
-        return ("page_too_large", *empty)
+        return ("page_too_large", *NOTHING)
     html = markup.whole_tags(html)
+    parsers = [ArticleParser(base or "", s, skip, link_mode) for s in selectors]
+    reader = Reader([*parsers, *([elements] if elements else [])])
+    error = None
     try:
-        for n, selector in enumerate(selectors):
-            parser = ArticleParser(base or "", selector, skip_classes, link_mode)
-            for start in range(0, len(html), CHUNK):
-                parser.feed(html[start : start + CHUNK])
-                if parser.closed:  # nothing behind the container is part of it
-                    break
-            else:
-                parser.close()
-            if parser.depth is not None:
-                if n:
-                    parser.warnings.append(f"{selectors[0].name} is absent, {selector.name} was taken")
+        for start in range(0, len(html), CHUNK):
+            reader.feed(html[start : start + CHUNK])
+            if parsers[0].closed and elements is None:  # nothing behind the container is part of it
                 break
-        return parser.result()
-    except Exception as e:  # a page must not fail the job; the code says what it was
-        return (f"processing_error:{type(e).__name__}", *empty)
+        else:
+            reader.close()
+    except (AssertionError, ValueError) as e:  # not markup that can be read on; the elements keep what was read
+        error = f"processing_error:{type(e).__name__}"
+    n, parser = next(((n, p) for n, p in enumerate(parsers) if p.depth is not None), (len(parsers) - 1, parsers[-1]))
+    if error or id(parser) in reader.failed:
+        return (error or reader.failed[id(parser)], *NOTHING)
+    if n and parser.depth is not None:
+        parser.warnings.append(f"{selectors[0].name} is absent, {selectors[n].name} was taken")
+    return parser.result()
+
+
+def parse_page(html: str | None, base: str | None, selectors: tuple[Selector, ...], skip=SHIPPED, link_mode: str = "references") -> tuple:
+    """The article of a page, as the fields of ``ARTICLE``."""
+    return parse_whole(html, base, selectors, skip, link_mode)
+
+
+def _as_rows(kind: T.StructType, rows: list[tuple]) -> pd.DataFrame:
+    """Tuples in the order of a struct's fields as its rows."""
+    found = pd.DataFrame(rows, columns=kind.fieldNames())
+    for f in kind:
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            names = f.dataType.elementType.fieldNames()
+            found[f.name] = [[dict(zip(names, x, strict=True)) for x in xs] for xs in found[f.name]]
+        elif isinstance(f.dataType, T.StructType):
+            found[f.name] = [dict(zip(f.dataType.fieldNames(), x, strict=True)) for x in found[f.name]]
+    return found
+
+
+def _asked(skip_classes: tuple[str, ...], link_mode: str) -> ElementRules:
+    if link_mode not in LINK_MODES:
+        raise ValueError(f"link_mode is one of {LINK_MODES}")
+    return ElementRules(ad_classes=skip_classes)
 
 
 def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
@@ -324,27 +422,46 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """key, url and article (see ``ARTICLE``) of each page.
 
     The first selector that fits gives the container.  In it, where there is an
-    element of the article's own classes, only these elements' text counts.  Links
+    element of the article's own classes, only these elements' text counts, and
+    what ``ElementRules`` (and ``skip_classes``) skip is not read.  Links
     show in the lines as references (by number), inline (as [[title|label]] where
     the address is an article's, else the address in brackets) or off (not at all).
     """
-    if link_mode not in LINK_MODES:
-        raise ValueError(f"link_mode is one of {LINK_MODES}")
-    skipped = frozenset([*rules.AD_CLASSES, *rules.CHROME_CLASSES, *skip_classes])
-    names = ARTICLE.fieldNames()
-    nested = {f.name: f.dataType.elementType.fieldNames() for f in ARTICLE if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
+    skip = _asked(skip_classes, link_mode)
 
     @F.pandas_udf(ARTICLE)
     def parse(urls: pd.Series, htmls: pd.Series) -> pd.DataFrame:
-        rows = [parse_page(h, u, selectors, skipped, link_mode) for u, h in zip(urls, htmls, strict=True)]
-        found = pd.DataFrame(rows, columns=names)
-        for column, fields in nested.items():
-            found[column] = [[dict(zip(fields, x, strict=True)) for x in xs] for xs in found[column]]
-        return found
+        return _as_rows(ARTICLE, [parse_page(h, u, selectors, skip, link_mode) for u, h in zip(urls, htmls, strict=True)])
 
     return pages.select(key, url, parse.asNondeterministic()(url, html).alias("article"))
 
 
+#: What ``read_pages`` adds: the article, and all elements of the page.
+WHOLE = T.StructType([T.StructField("article", ARTICLE), T.StructField("page", markup.PAGE)])
+
+
+def read_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+               selectors: tuple[Selector, ...] = (Selector(tag="article"),), skip_classes: tuple[str, ...] = (),
+               link_mode: str = "references") -> DataFrame:
+    """``pages`` (all columns) with article and page (see ``ARTICLE`` and
+    ``markup.PAGE``), both from one reading of the html: lines, links, tables and
+    audits come from the one, notes and metadata from the other."""
+    skip = _asked(skip_classes, link_mode)
+
+    @F.pandas_udf(WHOLE)
+    def read(urls: pd.Series, htmls: pd.Series) -> pd.DataFrame:
+        found, elements = [], []
+        for u, h in zip(urls, htmls, strict=True):
+            parser = markup.Elements()
+            found.append(parse_whole(h, u, selectors, skip, link_mode, parser))
+            text, rows = parser.result() if h is not None else (None, [])
+            elements.append(markup.as_page(text, rows))
+        return pd.DataFrame({"article": _as_rows(ARTICLE, found).to_dict("records"), "page": elements})
+
+    whole = pages.withColumn("_whole", read.asNondeterministic()(url, html))
+    return whole.select(*[F.col(f"`{c}`") for c in pages.columns], F.col("_whole.article").alias("article"), F.col("_whole.page").alias("page"))
+
+
 def lines(articles: DataFrame, key: str = "page_id") -> DataFrame:
     """key, line and text of every line."""
     found = articles.select(key, F.posexplode("article.lines").alias("line", "text"))
@@ -356,30 +473,44 @@ def child(articles: DataFrame, part: str, key: str = "page_id") -> DataFrame:
     return articles.select(key, F.inline(f"article.{part}"))
 
 
-def metadata(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, last_updated, categories and tags: the first of each block of a page."""
-    page = pages.select(key, markup.page_of(html).alias("page"))
+def with_metadata(pages: DataFrame) -> DataFrame:
+    """``pages`` with last_updated, categories and tags from the column page."""
     first = lambda fits: F.try_element_at(F.filter("page.elements", fits), F.lit(1))
     updated = first(lambda e: (e["tag"] == "p") & F.array_contains(markup.classes(e), "update"))
     block = lambda name: first(lambda e: (e["tag"] == "ul") & (markup.attribute(e, "id") == name))
-    page = page.select(key, "page", updated.alias("updated"), block("page-category").alias("categories"), block("page-tags").alias("tags"))
+    page = pages.withColumn("_updated", updated).withColumn("_categories", block("page-category")).withColumn("_tags", block("page-tags"))
 
-    def items(name: str):
-        rows = F.filter("page.elements", lambda e: (e["tag"] == "li") & markup.within(e, F.col(name)) & ~F.array_contains(markup.classes(e), "title"))
-        said = F.array_distinct(F.filter(F.transform(rows, lambda e: markup.text_of(e)), lambda t: t != ""))
-        return F.coalesce(said, F.array().cast("array<string>")).alias(name)
+    def items(name: str) -> Column:
+        inside = F.slice("page.elements", F.coalesce(F.col(f"{name}.node") + 1, F.lit(1)), F.coalesce(F.col(f"{name}.last") - F.col(f"{name}.node"), F.lit(0)))
+        rows = F.filter(inside, lambda e: (e["tag"] == "li") & ~F.array_contains(markup.classes(e), "title"))
+        return F.array_distinct(F.filter(F.transform(rows, lambda e: markup.text_of(e)), lambda t: t != ""))
 
-    said = F.trim(F.regexp_replace(markup.text_of(F.col("updated")), r"^最終更新\s*[:：]?\s*", ""))
-    return page.select(key, F.nullif(said, F.lit("")).alias("last_updated"), items("categories"), items("tags"))
+    none = F.array().cast("array<string>")
+    said = F.trim(F.regexp_replace(markup.text_of(F.col("_updated")), r"^最終更新\s*[:：]?\s*", ""))
+    found = page.withColumn("last_updated", F.nullif(said, F.lit(""))).withColumn("categories", F.coalesce(items("_categories"), none)).withColumn("tags", F.coalesce(items("_tags"), none))
+    return found.drop("_updated", "_categories", "_tags")
 
 
-def empty_state(articles: DataFrame, html: str = "html") -> DataFrame:
-    """``articles`` with article_state: text, empty (the container closed and held
-    nothing), no_extractable_text (it held media or forms only), or error."""
-    media = F.size("article.images") > 0
-    state = (
-        F.when(F.size("article.lines") > 0, "text")
-        .when((F.col("article.error_code") == "empty_article") & F.col("article.closed"), F.when(media, "no_extractable_text").otherwise("empty"))
+def metadata(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, last_updated, categories and tags: the first of each block of a page, which
+    ``read_pages`` has read or which is read here."""
+    return with_metadata(markup.read(pages, key, html)).select(key, "last_updated", "categories", "tags")
+
+
+def article_state(article: Column) -> Column:
+    """text; empty (the container and its areas end and hold nothing); no_extractable_text
+    (media, or text that is not shown); or error, as for forms alone."""
+    content = article["content"]
+    shut = (article["error_code"] == "empty_article") & article["closed"] & (content["areas"] == content["closed_areas"])
+    held = content["has_text"] | content["has_media"]
+    return (
+        F.when(F.size(article["lines"]) > 0, "text")
+        .when(shut & held, "no_extractable_text")
+        .when(shut & ~content["has_forms"], "empty")
         .otherwise("error")
     )
-    return articles.withColumn("article_state", state)
+
+
+def empty_state(articles: DataFrame) -> DataFrame:
+    """``articles`` with article_state."""
+    return articles.withColumn("article_state", article_state(F.col("article")))

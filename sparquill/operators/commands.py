@@ -29,6 +29,53 @@ def section_of(headings: Column, total: Column, wanted: str) -> Column:
     )
 
 
+def selected(articles: DataFrame, section: str | None = None, find: str | None = None, context: int = 0, start: int = 1, count: int | None = 80) -> DataFrame:
+    """``articles`` and selection: status, candidates, first and last line of what is
+    asked of a page (see ``read``), near (the lines that pages are cut from), begin
+    (the first of them that is shown), shown and hits.  A page is one row, so
+    nothing is shuffled."""
+    if find is not None and not find.strip():
+        raise ValueError("the literal to find is blank")
+    none, total = F.array().cast("array<int>"), F.size("article.lines")
+    whole = F.struct(F.lit("ok").alias("status"), F.array().cast("array<string>").alias("candidates"), F.lit(1).alias("first"), total.alias("last"))
+    chosen = whole if section is None else section_of(F.col("article.headings"), total, section)
+    failed = F.col("article.error_code").isNotNull()
+    page = articles.withColumn("_chosen", chosen)
+    first, last = (F.when(~failed, F.col(f"_chosen.{c}")) for c in ("first", "last"))
+    page = page.withColumn("_first", first).withColumn("_last", last)
+    page = page.withColumn("_inside", F.when(F.col("_last") >= F.col("_first"), F.sequence("_first", "_last")).otherwise(none))
+    if find is None:
+        page = page.withColumn("_hits", none).withColumn("_near", F.col("_inside")).withColumn("_begin", F.lit(1 if count is None else start))
+        shown = F.col("_near") if count is None else F.slice("_near", start, count)
+    else:
+        page = page.withColumn("_hits", F.filter("_inside", lambda i: F.contains(F.element_at("article.lines", i), F.lit(find))))
+        frames = F.transform("_hits", lambda h: F.sequence(F.greatest(h - context, F.col("_first")), F.least(h + context, F.col("_last"))))
+        page = page.withColumn("_near", F.array_distinct(F.flatten(frames)))
+        if count is None:
+            begin, size = F.lit(1), F.size("_near")
+        else:
+            at = F.try_element_at("_hits", F.lit(start))
+            floor = F.greatest(at - context, (F.coalesce(F.try_element_at("_hits", F.lit(start - 1)), F.lit(0)) if start > 1 else F.lit(0)) + 1)
+            begin = F.greatest(F.size(F.filter("_near", lambda i: i < floor)) + 1, F.array_position("_near", at).cast("int") - count + 1)
+            begin, size = F.coalesce(begin, F.lit(1)), F.when(at.isNotNull(), count).otherwise(0)
+        page = page.withColumn("_begin", begin)
+        shown = F.slice("_near", F.col("_begin"), size)
+    page = page.withColumn("_shown", shown)
+    return page.withColumn("selection", F.struct(
+        F.when(failed, F.col("article.error_code")).otherwise(F.col("_chosen.status")).alias("status"), F.col("_chosen.candidates").alias("candidates"),
+        *[F.col(f"_{c}").alias(c) for c in ("first", "last", "near", "begin", "shown", "hits")],
+    )).drop("_chosen", "_first", "_last", "_inside", "_hits", "_near", "_begin", "_shown")
+
+
+def more_flags(s: Column) -> list[Column]:
+    """more_before, more_after and more_matches of a selection."""
+    flag = lambda c, name: F.when(s["status"] == "ok", F.coalesce(c, F.lit(False))).alias(name)
+    return [
+        flag((s["begin"] > 1) & (F.size(s["near"]) > 0), "more_before"), flag(s["begin"] + F.size(s["shown"]) - 1 < F.size(s["near"]), "more_after"),
+        flag(F.array_max(s["hits"]) > F.array_max(s["shown"]), "more_matches"),
+    ]
+
+
 def read(articles: DataFrame, key: str = "page_id", section: str | None = None, find: str | None = None, context: int = 0,
          start: int = 1, count: int | None = 80) -> DataFrame:
     """key, status, candidates, line, text, link_ids, notes, more_before, more_after
@@ -38,44 +85,16 @@ def read(articles: DataFrame, key: str = "page_id", section: str | None = None,
     ``start`` on, or, with ``find``, lines within ``context`` of a match from match
     ``start`` on.  A page whose section is missing or not single, or that could
     not be parsed, is one row with its status and no line; pages without a match
-    give none.  A page is one row, so nothing is shuffled.
+    give none.
     """
-    if find is not None and not find.strip():
-        raise ValueError("the literal to find is blank")
-    page = articles.select(key, F.col("article").alias("a"), F.size("article.lines").alias("total"))
-    whole = F.struct(F.lit("ok").alias("status"), F.array().cast("array<string>").alias("candidates"), F.lit(1).alias("first"), F.col("total").alias("last"))
-    chosen = whole if section is None else section_of(F.col("a.headings"), F.col("total"), section)
-    failed = F.col("a.error_code").isNotNull()
-    page = page.select(key, "a", F.when(failed, F.col("a.error_code")).otherwise(chosen["status"]).alias("status"), chosen["candidates"].alias("candidates"),
-                       F.when(~failed, chosen["first"]).alias("first"), F.when(~failed, chosen["last"]).alias("last"))
-    inside = F.when(F.col("last") >= F.col("first"), F.sequence("first", "last")).otherwise(F.array().cast("array<int>"))
-    if find is None:
-        shown = F.col("inside") if count is None else F.slice("inside", start, count)
-        page = page.withColumn("inside", inside).withColumn("near", F.col("inside")).withColumn("hits", F.array().cast("array<int>"))
-        page = page.withColumn("begin", F.lit(1 if count is None else start)).withColumn("shown", shown)
-    else:
-        hits = F.filter("inside", lambda i: F.contains(F.element_at("a.lines", i), F.lit(find)))
-        frames = F.transform("hits", lambda h: F.sequence(F.greatest(h - context, F.col("first")), F.least(h + context, F.col("last"))))
-        page = page.withColumn("inside", inside).withColumn("hits", hits).withColumn("near", F.array_distinct(F.flatten(frames)))
-        if count is None:
-            begin, size = F.lit(1), F.size("near")
-        else:
-            first = F.try_element_at("hits", F.lit(start))
-            floor = F.greatest(first - context, (F.coalesce(F.try_element_at("hits", F.lit(start - 1)), F.lit(0)) if start > 1 else F.lit(0)) + 1)
-            begin = F.greatest(F.size(F.filter("near", lambda i: i < floor)) + 1, F.array_position("near", first).cast("int") - count + 1)
-            begin, size = F.coalesce(begin, F.lit(1)), F.when(first.isNotNull(), count).otherwise(0)
-        page = page.withColumn("begin", begin).withColumn("shown", F.slice("near", F.col("begin"), size))
-    of_line = lambda part, value: lambda i: F.transform(F.filter(f"a.{part}", lambda x: x["line"] == i), lambda x: x[value]).alias("link_ids" if value == "link_id" else "notes")
-    rows = line_ops._rows(F.col("shown"), "a.lines", of_line("line_links", "link_id"), of_line("line_notes", "number"))
+    page = selected(articles.select(key, "article"), section, find, context, start, count)
+    s = F.col("selection")
+    of_line = lambda name: lambda i: F.element_at("article.line_refs", i)[name].alias(name)
+    rows = line_ops._rows(F.col("selection.shown"), "article.lines", of_line("link_ids"), of_line("notes"))
     none = F.lit(None)
     missing = F.array(F.struct(none.cast("long").alias("line"), none.cast("string").alias("text"), none.cast("array<bigint>").alias("link_ids"), none.cast("array<bigint>").alias("notes")))
-    ok = F.col("status") == "ok"
-    flag = lambda c: F.when(ok, F.coalesce(c, F.lit(False)))
     return page.select(
-        key, "status", "candidates",
-        flag((F.col("begin") > 1) & (F.size("near") > 0)).alias("more_before"),
-        flag(F.col("begin") + F.size("shown") - 1 < F.size("near")).alias("more_after"),
-        flag(F.array_max("hits") > F.array_max("shown")).alias("more_matches"), F.inline(F.when(ok, rows).otherwise(missing)),
+        key, s["status"].alias("status"), s["candidates"].alias("candidates"), *more_flags(s), F.inline(F.when(s["status"] == "ok", rows).otherwise(missing)),
     ).select(key, "status", "candidates", "line", "text", "link_ids", "notes", "more_before", "more_after", "more_matches")
 
 

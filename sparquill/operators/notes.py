@@ -9,11 +9,26 @@ from sparquill.functions.text import collapse
 from sparquill.operators import markup
 
 
+def judged(titles: Column, texts: Column, referenced: Column, defined: Column, without_text: Column) -> list[Column]:
+    """agreement, reference_state and definition_state of a note, from the distinct
+    texts of its markers and of its entries, whether it has any of these, and
+    whether an entry holds something other than text."""
+    agreement = (
+        F.when(F.size(F.array_union(titles, texts)) > 1, "conflict")
+        .when((F.size(titles) > 0) & (F.size(texts) > 0), "match")
+        .when(F.size(titles) > 0, "marker_only")
+        .when(F.size(texts) > 0, "footer_only")
+        .otherwise("unavailable")
+    )
+    definition = F.when(~defined, "missing").when(F.size(texts) > 0, "text").when(without_text, "non_text").otherwise("empty")
+    return [agreement.alias("agreement"), F.when(referenced, "referenced").otherwise("unreferenced").alias("reference_state"), definition.alias("definition_state")]
+
+
 def reconcile(markers: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """key, number, text, agreement, reference_state and definition_state.
 
     ``markers``: key, number, title; ``entries``: key, number, text (null for an
-    entry with no text), ord.  Texts compare with white space folded.
+    entry with no text but links or media), ord.  Texts compare with white space folded.
     """
     said = markers.groupBy(key, "number").agg(
         F.collect_set(F.nullif(F.trim(collapse(F.col("title"))), F.lit(""))).alias("titles"),
@@ -22,70 +37,35 @@ def reconcile(markers: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     defined = entries.groupBy(key, "number").agg(
         F.collect_set(F.nullif(F.trim(collapse(F.col("text"))), F.lit(""))).alias("texts"),
         F.min_by("text", "ord").alias("entry"),
-        F.max((F.trim(F.col("text")) != "").cast("int")).alias("has_text"),
+        F.max(F.col("text").isNull()).alias("without_text"),
     )
     both = said.join(defined, [key, "number"], "full_outer")
     none = F.array().cast("array<string>")
     titles, texts = F.coalesce("titles", none), F.coalesce("texts", none)
-    agreement = (
-        F.when(F.size(F.array_union(titles, texts)) > 1, "conflict")
-        .when((F.size(titles) > 0) & (F.size(texts) > 0), "match")
-        .when(F.size(titles) > 0, "marker_only")
-        .when(F.size(texts) > 0, "footer_only")
-        .otherwise("unavailable")
-    )
     return both.select(
-        key, "number", F.coalesce(F.nullif("entry", F.lit("")), "title").alias("text"), agreement.alias("agreement"),
-        F.when(F.col("titles").isNull(), "unreferenced").otherwise("referenced").alias("reference_state"),
-        F.when(F.col("texts").isNull(), "missing").when(F.col("has_text") == 1, "text").when(F.col("has_text").isNull(), "non_text").otherwise("empty").alias("definition_state"),
+        key, "number", F.coalesce(F.nullif("entry", F.lit("")), "title").alias("text"),
+        *judged(titles, texts, F.col("titles").isNotNull(), F.col("texts").isNotNull(), F.coalesce("without_text", F.lit(False))),
     )
 
 
 # --- notes in a page's markup --------------------------------------------------
 
-# Targets of notes, and the list at the page's foot that defines them.
-TARGET, LIST_CLASS = "footer-footnote([0-9]{1,9})", "footer-footnote"
-
-
 def markers(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, number, title, ord, line: links to notes, with what their title says."""
-    found = markup.elements(pages, key, html, ("a",)).withColumn("href", F.col("attributes")["href"])
-    number = F.regexp_extract("href", f"^#{TARGET}$", 1)
-    title = F.coalesce(markup.folded(F.col("attributes")["title"]), F.lit(""))
-    return found.where(number != "").select(key, number.cast("long").alias("number"), title.alias("title"), F.col("pos").alias("ord"), "line")
+    return markup.read(pages, key, html).select(key, F.inline("page.markers"))
 
 
 def entries(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, number, text, ord: rows of the note lists that hold one note's target.
-
-    Such a row defines its note with everything inside; a row with several
-    targets defines none, and the rows in it are read.  The label in front of
-    the text is dropped, and one separator behind it."""
-    page = pages.select(key, markup.page_of(html).alias("page"))
-    target = lambda e: F.regexp_extract(F.coalesce(markup.attribute(e, "id"), markup.attribute(e, "name"), F.lit("")), f"^{TARGET}$", 1)
-    lists = F.filter("page.elements", lambda e: F.array_contains(markup.classes(e), LIST_CLASS))
-    page = page.select(
-        key, "page", lists.alias("lists"),
-        F.filter(F.transform("page.elements", lambda e: F.struct(e["node"].alias("node"), e["start"].alias("start"), e["size"].alias("size"), target(e).alias("number"))),
-                 lambda t: t["number"] != "").alias("targets"),
-    ).where("size(lists) > 0 and size(targets) > 0")
-    rows = F.filter("page.elements", lambda e: (e["tag"] == "li") & F.exists("lists", lambda x: markup.within(e, x)))
-    own = lambda e: F.filter("targets", lambda t: (t["node"] >= e["node"]) & (t["node"] <= e["last"]))
-    rows = page.select(key, "page", F.transform(rows, lambda e: F.struct(e.alias("e"), own(e).alias("targets"))).alias("rows"))
-    single = F.filter("rows", lambda r: F.size(F.array_distinct(F.transform(r["targets"], lambda t: t["number"]))) == 1)
-    rows = rows.select(key, "page", single.alias("rows"))
-    outer = F.filter("rows", lambda r: ~F.exists("rows", lambda o: markup.within(r["e"], o["e"])))
-
-    def said(r: Column) -> Column:
-        e, label = r["e"], r["targets"][0]
-        before = F.substring("page.text", e["start"] + 1, label["start"] - e["start"])
-        after = F.substring("page.text", label["start"] + label["size"] + 1, e["start"] + e["size"] - label["start"] - label["size"])
-        whole = F.when(label["node"] == e["node"], F.substring("page.text", e["start"] + 1, e["size"])).otherwise(F.concat(before, after))
-        return F.trim(F.regexp_replace(markup.folded(whole), "^[:：]", ""))
-
-    found = F.transform(outer, lambda r: F.struct(
-        r["targets"][0]["number"].cast("long").alias("number"), said(r).alias("text"), r["e"]["node"].cast("long").alias("ord")))
-    return rows.select(key, F.inline(found))
+    """key, number, text, ord, hrefs: rows of the note lists (see ``markup.note_entries``)."""
+    return markup.read(pages, key, html).select(key, F.inline("page.entries"))
+
+
+def of_page(notes: Column) -> Column:
+    """number, text, agreement, reference_state, definition_state and hrefs of each
+    note of a page that ``markup`` has read: ``reconcile`` within the row."""
+    return F.transform(notes, lambda n: F.struct(
+        n["number"].alias("number"), F.coalesce(F.nullif(n["entry"], F.lit("")), n["title"]).alias("text"),
+        *judged(n["titles"], n["texts"], n["marks"] > 0, n["rows"] > 0, n["without_text"] > 0), n["hrefs"].alias("hrefs")))
 
 
 def diagnose(found: DataFrame, key: str) -> DataFrame:

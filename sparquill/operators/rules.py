@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import urls
 from sparquill.functions.text import unescape
-from sparquill.operators import markup
 
 # Hosts by kind; a rule covers its subdomains.
 HOSTS = {
@@ -39,6 +38,7 @@ CHROME_IDS = (
 ).split()
 CHROME_CLASSES = ("comment-form-box",)
 ARTICLE_CLASSES = ("user-area", "footer-footnote")
+ARTICLE_CLASS_SET = frozenset(ARTICLE_CLASSES)
 ARTICLE_IDS = ("page-body-inner", "page-body")
 
 
@@ -70,56 +70,50 @@ def host_categories(pages: DataFrame, rules: DataFrame, url: str = "url", allowe
 
 
 def request_decision(url: Column, category: Column, allowed: tuple[str, ...]) -> Column:
-    """allow, or why a request is refused."""
-    inside = F.coalesce(urls.host(url).isin(*allowed), F.lit(False)) & F.startswith(url, F.lit("https://"))
+    """allow, or why a request is refused.  Of the allowed hosts, one that begins with
+    a dot stands for all hosts below that domain."""
+    host = urls.host(url)
+    fits = F.lit(False)
+    for a in allowed:
+        fits = fits | (F.endswith(host, F.lit(a)) if a.startswith(".") else host == a)
+    inside = F.coalesce(fits, F.lit(False)) & F.startswith(url, F.lit("https://"))
     return F.when(inside, "allow").otherwise(F.coalesce(F.concat(category, F.lit(" host")), F.lit("outside the allowed hosts")))
 
 
-def element_kind(classes: Column, element_id: Column, attributes: Column, host_category: Column) -> Column:
-    """kind/reason of a page element, null if it stays.
+def element_kind(classes: Column, element_id: Column, attributes: Column, host_rule: Column) -> Column:
+    """kind/reason of a page element whose parts are columns, null if it stays; what
+    ``element_rules.ElementRules.judge`` says of an element in a parser.
 
-    ``classes``: array of tokens; ``attributes``: array of names.  Containers of
-    the article always stay; then ad class, id, id prefix, data attribute and
-    host, chrome id and class are tried in turn.
+    ``classes``: array of tokens; ``attributes``: array of names in page order;
+    ``host_rule``: of the ad host that it leads to.
     """
     which = lambda names: F.array_min(F.array_intersect(classes, F.array(*map(F.lit, names))))
     article = F.arrays_overlap(classes, F.array(*map(F.lit, ARTICLE_CLASSES))) | F.coalesce(element_id.isin(*ARTICLE_IDS), F.lit(False))
-    prefix = F.lit(None).cast("string")
+    prefix = F.lit(False)
     for p in AD_ID_PREFIXES:
-        prefix = F.when(F.startswith(element_id, F.lit(p)), F.lit(p)).otherwise(prefix)
-    data = F.array_min(F.array_intersect(attributes, F.array(*map(F.lit, AD_DATA))))
+        prefix = prefix | F.startswith(element_id, F.lit(p))
+    data = F.try_element_at(F.filter(attributes, lambda a: a.isin(*AD_DATA)), F.lit(1))
+    said = lambda kind, reason, detail: F.concat(F.lit(f"{kind}/{reason}:"), detail)
     return (
         F.when(article, None)
-        .when(which(AD_CLASSES).isNotNull(), F.concat(F.lit("ad/ad_class:"), which(AD_CLASSES)))
-        .when(element_id.isin(*AD_IDS), F.concat(F.lit("ad/ad_id:"), element_id))
-        .when(prefix.isNotNull(), F.concat(F.lit("ad/ad_id_prefix:"), prefix))
-        .when(data.isNotNull(), F.concat(F.lit("ad/ad_data:"), data))
-        .when(host_category == "ad", F.lit("ad/ad_host"))
-        .when(element_id.isin(*CHROME_IDS), F.concat(F.lit("chrome/chrome_id:"), element_id))
-        .when(which(CHROME_CLASSES).isNotNull(), F.concat(F.lit("chrome/chrome_class:"), which(CHROME_CLASSES)))
+        .when(which(AD_CLASSES).isNotNull(), said("ad", "ad_class", which(AD_CLASSES)))
+        .when(element_id.isin(*AD_IDS), said("ad", "ad_id", element_id))
+        .when(prefix, said("ad", "ad_id_prefix", element_id))
+        .when(data.isNotNull(), said("ad", "ad_attribute", data))
+        .when(host_rule.isNotNull(), said("ad", "ad_host", host_rule))
+        .when(element_id.isin(*CHROME_IDS), said("chrome", "chrome_id", element_id))
+        .when(which(CHROME_CLASSES).isNotNull(), said("chrome", "chrome_class", which(CHROME_CLASSES)))
     )
 
 
-def ad_address(attributes: Column) -> Column:
-    """Whether a URL attribute of an element leads to an ad host."""
-    listed = F.filter(F.transform(F.array(*map(F.lit, URL_ATTRIBUTES)), lambda a: F.try_element_at(attributes, a)), lambda u: u.isNotNull())
-    addresses = F.flatten(F.transform(listed, lambda u: F.transform(F.split(u, ","), lambda part: F.split_part(F.trim(part), F.lit(" "), F.lit(1)))))
-    ads = F.array(*map(F.lit, HOSTS["ad"]))
-    return F.exists(addresses, lambda u: F.coalesce(F.arrays_overlap(urls.parents(urls.host(u)), ads), F.lit(False)))
-
-
 def skipped_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, kind, reason, tag, line and ord of each element that the rules skip; what
-    is inside a skipped element goes with it."""
+    is inside a skipped element goes with it, as the parser notes only the outermost."""
+    from sparquill.operators import markup
+
     page = pages.select(key, markup.page_of(html).alias("page"))
-    said = lambda e: element_kind(
-        markup.classes(e), markup.attribute(e, "id"), F.map_keys(e["attributes"]), F.when(ad_address(e["attributes"]), "ad"))
-    kinds = F.transform("page.elements", lambda e: F.struct(
-        e["node"].alias("node"), e["last"].alias("last"), e["tag"].alias("tag"), e["line"].alias("line"), said(e).alias("kind")))
-    hits = page.select(key, F.filter(kinds, lambda e: e["kind"].isNotNull()).alias("hits"))
-    outer = F.filter("hits", lambda e: ~F.exists("hits", lambda o: markup.within(e, o)))
-    found = hits.select(key, F.inline(outer))
-    return found.select(key, F.split_part("kind", F.lit("/"), F.lit(1)).alias("kind"), F.regexp_extract("kind", "/(.*)", 1).alias("reason"),
+    found = page.select(key, F.inline(F.filter("page.elements", lambda e: e["skipped"].isNotNull())))
+    return found.select(key, F.split_part("skipped", F.lit("/"), F.lit(1)).alias("kind"), F.regexp_extract("skipped", "/(.*)", 1).alias("reason"),
                         "tag", F.col("line").cast("long").alias("line"), F.col("node").cast("long").alias("ord"))
 
 
@@ -179,8 +173,11 @@ def output_urls(texts: DataFrame, bucket: str, path: str, text: str, paths: int
     )
 
 
-def attribute_hosts(elements: DataFrame, key: str, attribute: str = "value") -> DataFrame:
-    """key and host of each URL of an attribute; a srcset has several."""
-    candidates = F.transform(F.split(F.col(attribute), ","), lambda u: F.split_part(F.trim(u), F.lit(" "), F.lit(1)))
+def attribute_hosts(elements: DataFrame, key: str, attribute: str = "value", name: str | None = None) -> DataFrame:
+    """key and host of each URL of an attribute; only a srcset has several (without
+    the column ``name`` of the attribute's name, all are taken for one)."""
+    several = F.split(F.col(attribute), ",")
+    parts = several if name is None else F.when(F.contains(name, F.lit("srcset")), several).otherwise(F.array(attribute))
+    candidates = F.transform(parts, lambda u: F.split_part(F.trim(u), F.lit(" "), F.lit(1)))
     found = elements.select(key, F.explode(candidates).alias("url"))
     return found.select(key, urls.host(F.col("url")).alias("host")).where("host is not null").distinct()

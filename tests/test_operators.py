@@ -203,7 +203,7 @@ def test_rules(spark):
     cells = spark.createDataFrame([(["ad-extra", "ads-box"], "comment-box", []), (["user-area", "ads-box"], None, []), ([], "crt-1", []), ([], "comment-box", []), (["x"], None, ["data-ad-slot"])],
                                   "c array<string>, i string, a array<string>")
     kinds = [r[0] for r in cells.select(rules.element_kind(F.col("c"), F.col("i"), F.col("a"), F.lit(None))).collect()]
-    assert kinds == ["ad/ad_class:ad-extra", None, "ad/ad_id_prefix:crt-", "chrome/chrome_id:comment-box", "ad/ad_data:data-ad-slot"]
+    assert kinds == ["ad/ad_class:ad-extra", None, "ad/ad_id_prefix:crt-1", "chrome/chrome_id:comment-box", "ad/ad_attribute:data-ad-slot"]
 
 
 def test_title_index_merges_without_change(spark):
@@ -436,7 +436,7 @@ def test_skipped_elements_hold_what_is_in_them(spark):
             "<div id=comment-box><b class=ad-extra></b></div><img srcset='//a.example/1 1x, //b.criteo.com/2 2x'>")
     found = rules.skipped_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
     assert [(r["kind"], r["reason"], r["tag"]) for r in found.orderBy("ord").collect()] == [
-        ("ad", "ad_class:ads-box", "div"), ("ad", "ad_id_prefix:crt-", "p"), ("ad", "ad_host", "iframe"), ("chrome", "chrome_id:comment-box", "div"), ("ad", "ad_host", "img")]
+        ("ad", "ad_class:ads-box", "div"), ("ad", "ad_id_prefix:crt-9", "p"), ("ad", "ad_host:nend.net", "iframe"), ("chrome", "chrome_id:comment-box", "div"), ("ad", "ad_host:criteo.com", "img")]
     log = rules.skip_log(found, samples=2).first()
     assert log["n"] == 5 and log["by_kind"] == {"ad": 4, "chrome": 1} and log["truncated"] and len(log["samples"]) == 2
 
