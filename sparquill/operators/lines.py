@@ -121,9 +121,14 @@ def parts(docs: DataFrame, key: str, limit: int = 15_000, text: str = "text") ->
     Where a part ends depends on all parts before it, so a pandas UDF goes
     through each document's lines once.
     """
+    return docs.select(key, F.posexplode(cut_column(text, limit)).alias("part", "body")).select(key, (F.col("part") + 1).cast("long").alias("part"), "body")
+
+
+def cut_column(text: str, limit: int) -> Column:
+    """The bodies of a text's parts."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: cut_lines(t, limit), na_action="ignore")
 
-    return docs.select(key, F.posexplode(cut(F.col(text))).alias("part", "body")).select(key, (F.col("part") + 1).cast("long").alias("part"), "body")
+    return cut.asNondeterministic()(text)

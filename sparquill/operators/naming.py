@@ -10,8 +10,8 @@ from sparquill.functions.text import GENERIC_WORDS, ROLE_TITLES, closeness, fold
 STRONG_KINDS = ("name", "slug", "alias", "reading", "handle")
 # Shortest and longest key of a nickname; rows that support a role's title.
 KEY_LENGTHS, ROLE_SUPPORT = (2, 24), 3
-#: Characters of the pieces by which names are found that hold a query.
-PIECE = 3
+#: Characters of the pieces by which names are found that hold a query, and names that one task meets of a frequent piece.
+PIECE, HOT = 3, 4096
 
 
 def mutual(edges: DataFrame) -> DataFrame:
@@ -67,36 +67,68 @@ def nickname_keys(nicknames: DataFrame, strong: DataFrame, fold, generic: tuple[
     return supported.select("key", F.when(F.size("slugs") > 1, "ambiguous").otherwise("nickname").alias("status"), "slugs", "support")
 
 
+def name_keys(strong: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """key, slug and kind: ``strong_keys``, and of ``nickname_keys`` both the
+    nicknames and the ambiguous ones, which no weaker stage may override."""
+    weak = nicknames.select("key", F.explode("slugs").alias("slug"), F.col("status").alias("kind"))
+    return strong.select("key", "slug", "kind").unionByName(weak)
+
+
+def prefix_hits(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """key and slug where a word begins with the key: words are filed under each of
+    their beginnings, so the join is on equal keys and meets nothing else."""
+    heads = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring("word", F.lit(1), n))
+    filed = words.where(F.length("word") > 0).select("word", "slug").distinct().select("slug", F.explode(heads).alias("key")).distinct()
+    return asked.select("key").join(filed, "key")
+
+
+def grams(text: Column) -> Column:
+    """The distinct pieces of PIECE characters of a text, or the whole of a shorter one."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - PIECE + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(PIECE))))
+
+
+def part_pairs(asked: DataFrame, named: DataFrame, hot: int = HOT) -> DataFrame:
+    """key, other, slug, piece and salt of the keys and names that share the key's
+    rarest piece: the only names that can hold the key.
+
+    Pieces are counted over all names first.  A piece of more than ``hot`` names is
+    split by salt, and the keys that hang on it are sent to each of its parts."""
+    filed = named.select("other", "slug").distinct().select("other", "slug", F.explode(pieces(F.col("other"))).alias("piece"))
+    counts = filed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    wanted = asked.select("key", F.explode(grams(F.col("key"))).alias("piece")).join(counts, "piece", "left")
+    rarest = wanted.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rare"))
+    parts = F.ceil(F.col("rare.n") / hot).cast("int")
+    rarest = rarest.where("rare.n > 0").select("key", F.col("rare.piece").alias("piece"), parts.alias("parts"))
+    salted = filed.join(rarest.select("piece", "parts").distinct(), "piece").withColumn("salt", F.pmod(F.xxhash64("other", "slug"), F.col("parts")).cast("int"))
+    asking = rarest.select("key", "piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    return asking.join(salted.select("piece", "salt", "other", "slug"), ["piece", "salt"])
+
+
 def resolve(queries: DataFrame, keys: DataFrame, words: DataFrame, generic: tuple[str, ...] = GENERIC) -> DataFrame:
     """qid, query, stage, status and slugs for each of ``queries`` (qid, query, key).
 
-    Stages: 1 a strong key, 2 a nickname, 3 the start of a word (from 3
-    characters, or 2 beyond ASCII), 4 a part of a name, alias or reading, which
-    no generic word may be.  All are found at once; the lowest stage with a hit
-    counts.  ``keys``: key, slug, kind; ``words``: word, slug.
+    Stages: 1 a strong key, 2 a nickname or one that is known to be ambiguous, 3 the
+    start of a word (from 3 characters, or 2 beyond ASCII), 4 a part of a name,
+    alias or reading, which no generic word may be.  All are found at once; the
+    lowest stage with a hit counts.  ``keys``: key, slug, kind (see ``name_keys``);
+    ``words``: word, slug.
 
-    Every stage is a join on equal keys: words meet queries by their first two
-    characters, names by a piece of at most three that both hold.
+    Distinct keys are looked up once, however many queries ask for them, and every
+    stage is a join on equal keys: beginnings of words, and rarest pieces of keys.
     """
-    exact = queries.join(keys, "key").select(
-        "qid", "slug", F.when(F.col("kind").isin(*STRONG_KINDS), 1).otherwise(2).alias("stage")
-    )
+    asked = queries.select("key").where(F.col("key") != "").distinct()
+    exact = asked.join(keys, "key").select("key", "slug", F.when(F.col("kind").isin(*STRONG_KINDS), 1).otherwise(2).alias("stage"))
     least = F.when(F.col("key").rlike(r"^[\x00-\x7f]*$"), 3).otherwise(2)
     common = F.col("key").isin(*generic) if generic else F.lit(False)
-    head = lambda c: F.substring(c, 1, 2).alias("head")
-    starts = queries.where(F.length("key") >= least).select("qid", "key", head("key"))
-    prefix = starts.join(words.select("word", "slug", head("word")).distinct(), "head").where(F.startswith("word", F.col("key")))
-    prefix = prefix.select("qid", "slug", F.lit(3).alias("stage"))
-    inside = queries.where((F.col("key") != "") & ~common).select("qid", "key", F.substring("key", 1, PIECE).alias("piece"))
-    named = keys.where(F.col("kind").isin("name", "alias", "reading")).select(F.col("key").alias("other"), "slug").distinct()
-    within = inside.join(named.select("other", "slug", F.explode(pieces(F.col("other"))).alias("piece")), "piece").where(F.contains("other", F.col("key")))
-    within = within.select("qid", "slug", F.lit(4).alias("stage"))
-    hits = exact.unionByName(prefix).unionByName(within).distinct()
-    best = hits.groupBy("qid", "stage").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
-    chosen = best.groupBy("qid").agg(F.min_by(F.struct("stage", "slugs"), "stage").alias("hit"))
+    prefix = prefix_hits(asked.where(F.length("key") >= least), words).select("key", "slug", F.lit(3).alias("stage"))
+    named = keys.where(F.col("kind").isin("name", "alias", "reading")).select(F.col("key").alias("other"), "slug")
+    within = part_pairs(asked.where(~common), named).where(F.contains("other", F.col("key"))).select("key", "slug", F.lit(4).alias("stage"))
+    best = exact.unionByName(prefix).unionByName(within).groupBy("key", "stage").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
+    chosen = best.groupBy("key").agg(F.min_by(F.struct("stage", "slugs"), "stage").alias("hit"))
     n = F.size("hit.slugs")
     missing = F.when(common, "generic").otherwise("not_found")
-    return queries.join(chosen, "qid", "left").select(
+    return queries.join(chosen, "key", "left").select(
         "qid", "query", F.col("hit.stage").cast("long").alias("stage"),
         F.when(F.col("key") == "", "empty").when(F.col("hit").isNull(), missing).when(n > 1, "ambiguous").otherwise("ok").alias("status"),
         F.coalesce("hit.slugs", F.array().cast("array<string>")).alias("slugs"),
@@ -112,37 +144,55 @@ def pieces(text: Column, most: int = PIECE) -> Column:
 
 def numbered_letters(text: Column) -> Column:
     """The characters of a text with the number of their occurrence, as a set that
-    stands for the multiset; in descending order, as rarer letters come late."""
+    stands for the multiset."""
     letters = F.filter(F.split(text, ""), lambda c: c != "")
-    numbered = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
-    return F.sort_array(numbered, asc=False)
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+
+
+def signatures(letters: Column, share: float) -> Column:
+    """What two sets of letters have in common at least once, if each has ``share``
+    of its letters in common with the other: pairs of the letters at the front, in
+    an order that is one for all sets, of which two at least cannot be missing.
+    Sets so small that one common letter may do give single letters as well."""
+    size, need = F.size(letters), F.ceil(F.size(letters) * share - 1e-9).cast("int")
+    front = F.slice(letters, F.lit(1), F.least(size, size - need + 2))
+    pairs = F.flatten(F.transform(front, lambda a, i: F.transform(F.slice(front, i + 2, size), lambda b: F.concat_ws("\x01", a, b))))
+    return F.when(need < 2, F.concat(pairs, letters)).otherwise(pairs)
 
 
 def suggest(queries: DataFrame, keys: DataFrame, cutoff: float = 0.7, keys_most: int = 8, most: int = 5, similarity=closeness) -> DataFrame:
     """qid, slug, score: the owners of the closest keys of names that were not
-    found, from the ``keys_most`` closest keys ``most`` owners.
-
-    A similarity of ``cutoff`` takes letters in common: cutoff / 2 of both
-    lengths together.  So of each side only the letters at the front of its order
-    that cannot all be missing are looked up, and pairs with too few letters in
-    common never reach ``similarity``.
+    found (of two characters at least), from the ``keys_most`` closest keys
+    ``most`` owners.
+
+    A similarity of ``cutoff`` takes letters in common: cutoff / 2 of both lengths
+    together, so cutoff / (2 - cutoff) of each.  Letters are ordered by the number
+    of keys that hold them, the rarest first, and texts meet where the pairs at the
+    front of both agree (see ``signatures``); pairs with too few letters in common
+    never reach ``similarity``.  Distinct keys are looked up once.
     """
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        letters = rows.withColumn("letters", numbered_letters(F.col(name)))
-        spare = F.size("letters") - F.ceil(F.size("letters") * cutoff / (2 - cutoff) - 1e-9).cast("int") + 1
-        return letters.withColumn("letter", F.explode(F.slice("letters", F.lit(1), spare)))
-
-    asked = side(queries.where(F.length("key") > 0).select("qid", "key"), "key")
-    known = side(keys.select(F.col("key").alias("other")).where(F.length("other") > 0).distinct(), "other")
-    known = known.withColumnRenamed("letters", "other_letters")
-    pairs = asked.join(known, "letter").drop("letter").distinct()
+    asked = queries.where(F.length("key") >= 2).select(F.col("key").alias("word")).distinct()
+    known = keys.select(F.col("key").alias("word")).where(F.length("word") > 0).distinct()
+    letters = lambda rows: rows.select("word", F.explode(numbered_letters(F.col("word"))).alias("letter"))
+    held = letters(known).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+
+    def side(rows: DataFrame) -> DataFrame:
+        ranked = letters(rows).join(held, "letter", "left")
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter")))
+        sets = ranked.groupBy("word").agg(ordered.alias("ordered")).select("word", F.transform("ordered", lambda x: x["letter"]).alias("letters"))
+        return sets.withColumn("signature", F.explode(signatures(F.col("letters"), cutoff / (2 - cutoff))))
+
+    one = side(asked).select(F.col("word").alias("key"), "letters", "signature")
+    other = side(known).select(F.col("word").alias("other"), F.col("letters").alias("other_letters"), "signature")
+    pairs = one.join(other, "signature").drop("signature").distinct()
     shared = F.size(F.array_intersect("letters", "other_letters"))
     near = pairs.where(2 * shared >= cutoff * (F.size("letters") + F.size("other_letters")) - 1e-9)
     score: Column = similarity(F.col("key"), F.col("other"))
-    scored = near.select("qid", "key", "other").withColumn("score", score).where(F.col("score") >= cutoff)
-    by_key = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("other"))
+    scored = near.select("key", "other").withColumn("score", score).where(F.col("score") >= cutoff)
+    by_key = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("other"))
     closest = scored.withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= keys_most)
     owners = closest.join(keys.select(F.col("key").alias("other"), "slug").distinct(), "other")
-    best = owners.groupBy("qid", "slug").agg(F.max("score").alias("score"))
-    near_owner = Window.partitionBy("qid").orderBy(F.desc("score"), "slug")
-    return best.withColumn("place", F.row_number().over(near_owner)).where(F.col("place") <= most).drop("place")
+    best = owners.groupBy("key", "slug").agg(F.max("score").alias("score"))
+    near_owner = Window.partitionBy("key").orderBy(F.desc("score"), "slug")
+    found = best.withColumn("place", F.row_number().over(near_owner)).where(F.col("place") <= most).drop("place")
+    return queries.select("qid", "key").join(found, "key").select("qid", "slug", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import charset, text, urls
-from sparquill.operators import articles, audits, commands, corpus, markup, naming, notes, packs, results, rules
+from sparquill.operators import articles, audits, commands, corpus, markup, naming, notes, packs, results, rules, stories
 from sparquill.plans.catalog import ARTICLES_SQL, _articles, query
 from sparquill.sources import pages, snapshots
 from sparquill.tables import table
@@ -343,15 +343,64 @@ def name_index_counts(spark, d):
 
 
 @query("""with n(name, generic) as (values ('先輩', true), ('ｓｅｎｐａｉ', false), ('お姉ちゃん', true))
-  select p_partkey, name, case when generic then 'generic' else 'not_found' end as status from part cross join n where p_partkey % 3 = 0""")
+  select p_partkey, name, case when generic then 'generic' else 'not_found' end as status from part cross join n""")
 def generic_names(spark, d):
-    asked = table(spark, d, "part").where("p_partkey % 3 = 0").select("p_partkey", F.explode(F.array(*map(F.lit, ("先輩", "ｓｅｎｐａｉ", "お姉ちゃん")))).alias("name"))
+    asked = table(spark, d, "part").select("p_partkey", F.explode(F.array(*map(F.lit, ("先輩", "ｓｅｎｐａｉ", "お姉ちゃん")))).alias("name"))
     asked = asked.select(F.concat_ws("#", "p_partkey", "name").alias("qid"), F.col("name").alias("query"), text.fold("name").alias("key"))
     keys = table(spark, d, "region").select(text.fold("r_name").alias("key"), F.col("r_name").alias("slug"), F.lit("name").alias("kind"))
     found = naming.resolve(asked, keys, keys.select(F.col("key").alias("word"), "slug"))
     return found.select(F.split_part("qid", F.lit("#"), F.lit(1)).cast("long").alias("p_partkey"), F.col("query").alias("name"), "status")
 
 
+_EVERYONE_SQL = """names as (select c_custkey as k, lower(c_mktsegment) || c_nationkey::varchar || 'x' || c_custkey::varchar as name, c_custkey::varchar as slug, lower(c_mktsegment) as nick from customer),
+  asked as (select k as qid, case k % 6 when 0 then name when 1 then nick when 2 then left(name, length(name) - 1) when 3 then right(name, 5) when 4 then nick || 'zz' || k::varchar else 'x' || k::varchar end as key from names)"""
+
+
+@query(f"""with {_EVERYONE_SQL}, keys as (select distinct key from asked),
+  nicks as (select nick as key, string_agg(distinct slug, ',' order by slug) as slugs, count(distinct slug) as n from names group by nick having count(distinct slug) < 200),
+  hits as (
+    select key, slug, 1 as stage from keys join names on name = key
+    union select k.key, n.slug, 2 from keys k join nicks using (key) join names n on n.nick = k.key
+    union select k.key, n.slug, 3 from keys k join names n on starts_with(n.name, k.key) where length(k.key) >= 3
+    union select k.key, n.slug, 4 from keys k join names n on contains(n.name, k.key)),
+  best as (select *, min(stage) over (partition by key) as first from hits),
+  c as (select key, first, count(distinct slug) as n, min(slug) as slug from best where stage = first group by key, first)
+  select qid, first::bigint as stage, case when n is null then 'not_found' when n > 1 then 'ambiguous' else 'ok' end as status, coalesce(n, 0) as n_candidates, slug as first_slug
+  from asked left join c using (key)""")
+def everyone_resolved(spark, d):
+    """A name for every customer, and as many queries: whole names, nicknames of many, beginnings, ends, parts and unknown ones."""
+    k, nick = F.col("c_custkey"), F.lower("c_mktsegment")
+    people = table(spark, d, "customer").select(k.alias("k"), F.concat(nick, F.col("c_nationkey").cast("string"), F.lit("x"), k.cast("string")).alias("name"), k.cast("string").alias("slug"), nick.alias("nick"))
+    n = F.col("k") % 6
+    key = (
+        F.when(n == 0, F.col("name")).when(n == 1, F.col("nick")).when(n == 2, F.expr("left(name, length(name) - 1)")).when(n == 3, F.expr("right(name, 5)"))
+        .when(n == 4, F.concat("nick", F.lit("zz"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("x"), F.col("k").cast("string")))
+    )
+    asked = people.select(F.col("k").alias("qid"), key.alias("query"), key.alias("key"))
+    strong = people.select(F.col("name").alias("key"), "slug", F.lit("name").alias("kind"))
+    owned = naming.nickname_keys(people.select("slug", F.col("nick").alias("original")), strong, lambda c: c).where("size(slugs) < 200")
+    found = naming.resolve(asked, naming.name_keys(strong, owned), people.select(F.col("name").alias("word"), "slug"))
+    return found.select("qid", "stage", "status", F.size("slugs").cast("long").alias("n_candidates"), F.try_element_at("slugs", F.lit(1)).alias("first_slug"))
+
+
+@query("""with parts as (select distinct replace(p_name, ' ', '') as name from part),
+  asked as (select name, substr(name, 1, 1 + pos) || 'q' || substr(name, 3 + pos) as key from parts, (values (0), (2), (4)) as p(pos)),
+  s as (select a.key, b.name as other, round(1 - levenshtein(a.key, b.name)::double / greatest(length(a.key), length(b.name)), 9) as score from (select distinct key from asked) a cross join parts b),
+  r as (select *, row_number() over (partition by key order by score desc, other) as place from s where score >= 0.7)
+  select name || '/' || a.key as qid, other as slug, score from asked a join r using (key) where place <= 5""")
+def everyone_suggested(spark, d):
+    """Every part's name misspelt in three places, against all names."""
+    parts = table(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("name")).distinct()
+    misspelt = parts.select("name", F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))).alias("pos"))
+    key = F.concat(F.substring("name", F.lit(1), F.col("pos") + 1), F.lit("q"), F.substring("name", F.col("pos") + 3, F.lit(99)))
+    asked = misspelt.select(F.concat_ws("/", "name", key).alias("qid"), key.alias("key"))
+
+    def similarity(a, b):
+        return F.round(1 - F.levenshtein(a, b).cast("double") / F.greatest(F.length(a), F.length(b)), 9)
+
+    return naming.suggest(asked, parts.select(F.col("name").alias("key"), F.col("name").alias("slug")), similarity=similarity, keys_most=1 << 30)
+
+
 @query("""select n_nationkey::bigint as qid, n_name as query, 1::bigint as stage, r_name as region from nation join region on n_regionkey = r_regionkey""")
 def profile_lookup(spark, d):
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -381,20 +430,87 @@ def section_by_priority(spark, d):
     return rows.select("source", "doc_id").join(found, "doc_id")
 
 
-@query("""with ranked as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id) as ord, count(*) over (partition by source) as n from documents),
-  c as (select *, 20000 * n - sum(n_chars) over (partition by source) as left_ from ranked)
-  select source, doc_id, (left_ >= n * 2 * 10)::bigint * 2 as level from c where left_ >= n * 2 * 10 or left_ < 10""")
+@query("""with r as (select source, doc_id, row_number() over (partition by source order by doc_id) as ord, count(*) over (partition by source) as n,
+    sum(n_chars) over (partition by source)::bigint as total from documents)
+  select source, doc_id, (total % (3 * n) >= ord)::bigint + (total % (3 * n) >= n + ord)::bigint as level from r""")
 def pack_upgrades(spark, d):
-    """Each source's documents may grow twice by ten characters; packs with room for all, or for none."""
+    """Each source's documents may grow twice by ten characters; most packs have room for some of that."""
     docs = table(spark, d, "documents")
     whole = Window.partitionBy("source")
-    items = docs.select("source", F.col("doc_id").alias("item"), F.col("doc_id").alias("ord"), F.lit(0).alias("level"), (F.count(F.lit(1)).over(whole) * 20_000).alias("limit"),
-                        F.transform(F.array(F.lit(0), F.lit(10), F.lit(20)), lambda x: (F.col("n_chars") + x).cast("long")).alias("sizes"), F.sum("n_chars").over(whole).alias("total"), F.count(F.lit(1)).over(whole).alias("n"))
-    room = F.col("limit") - F.col("total")
-    items = items.where((room >= F.col("n") * 20) | (room < 10)).drop("total", "n")
+    total, n = F.sum("n_chars").over(whole), F.count(F.lit(1)).over(whole)
+    items = docs.select("source", F.col("doc_id").alias("item"), F.col("doc_id").alias("ord"), F.lit(0).alias("level"), (total + total % (3 * n) * 10).alias("limit"),
+                        F.transform(F.array(F.lit(0), F.lit(10), F.lit(20)), lambda x: (F.col("n_chars") + x).cast("long")).alias("sizes"))
     return packs.upgrade(items, "source").select("source", F.col("item").alias("doc_id"), "level")
 
 
+_CUTS = {"cameo": 100, "brief": 800, "normal": 2000, "full": 4000, "ace": 100_000}
+_PLAN_SQL = f"""members as (select source as pack, doc_id::varchar as name, row_number() over (partition by source order by doc_id) as place, text from documents),
+  limits as (select pack, (least(120000 + 15000 * (count(*) - 1), 300000) / 3)::bigint as limit_, count(*) as n from members group by pack),
+  extra as (select pack, name, coalesce(sum(length(l)), 0)::bigint as extra from (
+      select pack, name, unnest(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'tion'))[1:2]) as l from members) group by pack, name),
+  own as (select m.pack, name, place, [{", ".join(f"length(left(text, {v}))" for v in _CUTS.values())}] as sizes, coalesce(extra, 0) as extra from members m left join extra using (pack, name)),
+  pairs as (select a.pack, length(a.name || ' and ' || b.name) as size from members a join members b on a.pack = b.pack and b.place = a.place + 1),
+  sums as (select pack, [{", ".join(f"sum(sizes[{i}])" for i in range(1, 6))}] as items, sum(extra) as extra from own group by pack),
+  of_pairs as (select pack, sum(size) as one from pairs group by pack),
+  tiers(rank, item, pairs_) as (values {", ".join(f"({n}, {list(_CUTS).index(i) + 1}, {1 if p == 'names' else 2})" for n, (i, p) in enumerate(packs.TIERS, 1))}),
+  sized as (select pack, rank, item, pairs_, items[item] + extra + pairs_ * coalesce(one, 0) as size, pairs_ * coalesce(one, 0) as pair_size from sums left join of_pairs using (pack) cross join tiers),
+  chosen as (select pack, limit_, coalesce(min(rank) filter (where size <= limit_), 99)::bigint as tier, coalesce(min(rank) filter (where size <= limit_), min_by(rank, (size, rank))) as rank from sized join limits using (pack) group by pack, limit_),
+  begun as (select c.pack, c.tier, c.rank, c.limit_, s.item, s.pair_size, c.limit_ - s.size as room from chosen c join sized s using (pack, rank)),
+  rec as (
+    with recursive r(pack, step, room, levels) as (
+      select pack, 0::bigint, room::bigint, list_transform(range(n), lambda i: item::bigint) from begun join limits using (pack) where tier <> 99
+      union all
+      select r.pack, step + 1, case when up then room - cost else room end, case when up then list_transform(levels, lambda x, i: case when i = o.place then x + 1 else x end) else levels end from r
+      join lateral (select o.place, o.sizes[levels[o.place] + 1] - o.sizes[levels[o.place]] as cost, levels[o.place] < 5 and o.sizes[levels[o.place] + 1] - o.sizes[levels[o.place]] <= room as up
+        from own o where o.pack = r.pack and o.place = step % len(levels) + 1) o on true
+      where step < 5 * len(levels))
+    select pack, levels from r where step = 5 * len(levels))"""
+
+
+def _story_plan(spark, d):
+    order = Window.partitionBy("source").orderBy("doc_id")
+    docs = table(spark, d, "documents").select(F.col("source").alias("pack"), F.col("doc_id").cast("string").alias("name"), F.row_number().over(order).alias("place"), "text",
+                                               F.lead(F.col("doc_id").cast("string")).over(order).alias("next"))
+    limit = (packs.automatic_budget(F.count(F.lit(1)).over(Window.partitionBy("pack"))) / 3).cast("decimal(20,0)").cast("long")
+    cast = docs.select("pack", "name", "place", limit.alias("limit"))
+    details = F.explode(F.array(*[F.struct(F.lit(k).alias("detail"), F.lit(v).alias("cap")) for k, v in _CUTS.items()])).alias("d")
+    items = docs.select("name", "text", details).select("name", "d.detail", F.substring("text", F.lit(1), F.col("d.cap")).alias("text"))
+    said = F.concat_ws(" and ", "name", "next")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("detail"), F.lit(1 if k == "names" else 2).alias("times")) for k in ("names", *_CUTS)])).alias("k")
+    pairs = docs.where("next is not null").select(F.col("name").alias("src"), F.col("next").alias("dst"), said.alias("said"), kinds).select("src", "dst", "k.detail", F.repeat("said", F.col("k.times")).alias("text"))
+    topic = F.slice(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("tion"))), 1, 2)
+    extras = docs.select("name", F.posexplode(topic).alias("line", "text")).select("name", F.lit("topic").alias("kind"), "line", "text")
+    size = lambda rows: rows.withColumn("size", F.length("text").cast("long")).drop("text")
+    return stories.plan(cast, size(items), size(pairs), size(extras).select("name", "size")), items, pairs, extras
+
+
+@query(f"""with {_PLAN_SQL}
+  select o.pack, b.tier, case when b.rank in (8, 9) then 'names' else (select max(p) from (values {", ".join(f"({n}, '{p}')" for n, (_, p) in enumerate(packs.TIERS, 1))}) as t(n, p) where n = b.rank) end as pair_detail,
+    o.name, o.place, list_value({", ".join(f"'{k}'" for k in _CUTS)})[coalesce(r.levels[o.place], b.item)] as detail
+  from own o join begun b using (pack) left join rec r using (pack)""")
+def story_plan(spark, d):
+    """Each source's documents as a cast, neighbours as pairs, lines of a topic beside them; what is left raises the first members."""
+    return _story_plan(spark, d)[0].select("pack", "tier", "pair_detail", "name", F.col("place").cast("long").alias("place"), "detail")
+
+
+@query(f"""with {_PLAN_SQL},
+  told as (select o.pack, 0 as a, o.place as b, 0 as c, 0 as e, left(m.text, list_value({", ".join(map(str, _CUTS.values()))})[coalesce(r.levels[o.place], b.item)]) as text
+      from own o join members m using (pack, name) join begun b using (pack) left join rec r using (pack)
+    union all select pack, 0, place, 1, unnest(range(len(ls))), unnest(ls) from (select pack, place, list_filter(string_split(text, chr(10)), lambda x: contains(x, 'tion'))[1:2] as ls from members)
+    union all select a.pack, 1, a.place, b.place, 0, repeat(a.name || ' and ' || b.name, case when g.rank in (8, 9) then 1 else 2 end) from members a join members b on a.pack = b.pack and b.place = a.place + 1 join begun g on g.pack = a.pack)
+  select pack, count(*) as n_texts, sum(length(text))::bigint as size, sha256(string_agg(text, chr(10) order by a, b, c, e)) as digest, true as within from told group by pack""")
+def story_texts(spark, d):
+    """The texts of the plans, each in one detail; packs keep to their limits where a tier fits, and parts give them again."""
+    planned, items, pairs, extras = _story_plan(spark, d)
+    written = stories.write(planned, items, pairs, extras)
+    bodies = F.array_sort(F.collect_list(F.struct("part", "body", "parts")))
+    parts = stories.framed_parts(stories.joined(written), "pack").groupBy("pack").agg(bodies.alias("b"), F.max(F.length("body")).alias("longest"))
+    again = parts.select("pack", F.sha2(F.array_join(F.transform("b", lambda x: x["body"]), "\n"), 256).alias("digest"))
+    counted = written.groupBy("pack").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("size"))
+    limits = planned.groupBy("pack").agg(F.max("limit").alias("limit"), F.max("tier").alias("tier"), F.max("size").alias("planned"))
+    return counted.join(again, "pack").join(limits, "pack").select("pack", "n_texts", "size", "digest", ((F.col("planned") == F.col("size")) & ((F.col("tier") == 99) | (F.col("size") <= F.col("limit")))).alias("within"))
+
+
 @query("""with a as (select page_id, html from pages), r as (select n_nationkey::bigint as qid, n_name as query, case when n_nationkey % 3 = 0 then 'ambiguous' when n_nationkey % 3 = 1 then 'ok' else 'no_card' end as status from nation)
   select qid, query, status, case when status = 'ok' then 2::bigint end as line, case when status = 'ok' then 'born ' || query end as text from r""")
 def show_section(spark, d):

@@ -460,7 +460,7 @@ def test_resolve_and_suggest_equal_brute_force(spark):
         got.setdefault(asked_for[r["qid"]], []).append((round(r["score"], 9), r["slug"]))
     for q in asked_for:
         close = sorted(((difflib.SequenceMatcher(None, q, n).ratio(), n) for n in names), reverse=True)
-        close = [(s, n) for s, n in close if s >= 0.7][:8]
+        close = [(s, n) for s, n in close if s >= 0.7 and len(q) >= 2][:8]
         best = {}
         for s, n in close:
             best[owner[n]] = max(s, best.get(owner[n], 0))
