@@ -27,7 +27,7 @@ from .common import give_back, once, staged
 
 # Parameters.
 SAMPLE = 4096  # labelled texts, the bound of everything that is learnt or broadcast
-BINS = 1024  # of shapes, and as many of words
+BINS = 512  # of shapes, and as many of words
 WEIGHT = {"shape": 1.0, "word": 0.5}  # of a term's TF-IDF
 AXES = 32
 NEIGHBOURS = 25
@@ -76,11 +76,16 @@ class Model:
 
     def __init__(self, texts: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int]):
         self.labels = np.array(labels, np.float64)
-        share = frequencies(texts)
+        rows = frequencies(texts)
         kinds = np.repeat(np.array([WEIGHT["shape"], WEIGHT["word"], WEIGHT["shape"]], np.float32), [BINS, BINS, 1])
-        self.idf = (np.log((len(texts) + 1) / ((share > 0).sum(axis=0) + 1)) + 1).astype(np.float32) * kinds
-        rows = self.rows(share)
-        _, vectors = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
+        self.idf = (np.log((len(texts) + 1) / (np.count_nonzero(rows, axis=0) + 1)) + 1).astype(np.float32) * kinds
+        np.sqrt(rows, out=rows)
+        rows *= self.idf
+        gram = np.zeros((rows.shape[1], rows.shape[1]))
+        for start in range(0, len(rows), BLOCK):  # in blocks, as the driver holds this
+            part = rows[start : start + BLOCK].astype(np.float64)
+            gram += part.T @ part
+        _, vectors = np.linalg.eigh(gram)
         self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :AXES], np.float32)
         self.latent = unit(rows @ self.axes)
         self.prior = float(self.labels.mean())
@@ -139,7 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model | None:
     rows = held.orderBy("doc_id").toArrow()  # SAMPLE rows of no more than 2 * BINS + 1 bins
     pairs = [[x.values.to_numpy() for x in rows.column(c)] for c in ("bins", "counts")]
     texts = list(zip(*pairs, rows.column("n_words").to_pylist(), strict=True))
-    return Model(texts, rows.column("quality").to_pylist()) if texts else None
+    model = Model(texts, rows.column("quality").to_pylist()) if texts else None
+    del rows, pairs, texts
+    give_back()
+    return model
 
 
 def scorer(docs: DataFrame, model: Model | None):
