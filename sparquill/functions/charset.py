@@ -160,6 +160,10 @@ def join_surrogates(htmls: pd.Series) -> pd.Series:
     return htmls.map(lambda h: _PAIR.sub(join_pair, h), na_action="ignore")
 
 
+#: Two references to the halves of one character, one behind the other.
+SURROGATE_PAIR = "&#(?:[xX]0*[dD][89a-bA-B][0-9a-fA-F]{2}|0*5(?:529[6-9]|5[3-9][0-9]{2}|6[0-2][0-9]{2}|63[01][0-9]));&#(?:[xX]0*[dD][c-fC-F][0-9a-fA-F]{2}|0*5(?:6[3-9][0-9]{2}|7[0-3][0-9]{2}));"
+
+
 def has_surrogates(html):
     return F.col(html).rlike("&#(?:x[dD][89a-fA-F][0-9a-fA-F]{2}|5[5-7][0-9]{3});")
 

@@ -117,7 +117,7 @@ class ArticleParser(HTMLParser):
         self.scopes: list[int] = []
         self.ending: list[int] = []  # of elements that may end without an end tag, and of scopes
         self.depth = None  # of the container
-        self.closed = self.has_area = self.ended = False
+        self.closed = self.has_area = self.own_end = False  # own_end: the container has an end tag of its own
         self.title: list[str] = []
         self.out: list[tuple[str, bool]] = []  # text, and whether it is in an area
         self.marks: list[tuple[str, int, object, int]] = []  # kind, place in out, value, source line
@@ -240,12 +240,13 @@ class ArticleParser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         places = self.places.get(tag)
         if places and (tag in SCOPE or not self.scopes or self.scopes[-1] <= places[-1]):
+            self.own_end = self.own_end or places[-1] == self.depth and not self.closed
             self.close_to(places[-1])
 
     def close_to(self, place: int) -> None:
         while len(self.stack) > place:
             tag, quiet, area = self.stack[-1]
-            self.closed_areas += area and not self.stack[-2][2] and not self.closed and not self.ended
+            self.closed_areas += area and not self.stack[-2][2] and not self.closed
             if self.depth is not None and len(self.stack) - 1 == self.depth and not self.closed:
                 self.closed = True
             elif not quiet and not self.silent():
@@ -320,7 +321,7 @@ class ArticleParser(HTMLParser):
             elif kind != "h":
                 (line_links if kind == "a" else line_notes)[line, value] = None
         error = "no_container" if self.depth is None else None if lines else "empty_article"
-        if self.depth is not None and not self.closed:
+        if self.depth is not None and not self.own_end:
             self.warnings.append("the container is not closed")
         links = [(i, h, list(self.originals.get(i, ()))) for h, i in self.links.items()]
         title = "".join(self.title).strip() or None
@@ -329,7 +330,7 @@ class ArticleParser(HTMLParser):
             for line, value in found:
                 refs[line - 1][which].append(value)
         return (error, title, lines, headings, links, list(line_links), list(line_notes), [(*c[:10], list(c[10]), list(c[11])) for c in self.cells], self.images,
-                self.selector.name if self.depth is not None else None, self.closed, list(dict.fromkeys(self.warnings)), refs, tables, self.skips,
+                self.selector.name if self.depth is not None else None, self.own_end, list(dict.fromkeys(self.warnings)), refs, tables, self.skips,
                 (*self.has.values(), self.areas, self.closed_areas))
 
 
@@ -427,13 +428,19 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     show in the lines as references (by number), inline (as [[title|label]] where
     the address is an article's, else the address in brackets) or off (not at all).
     """
+    return with_article(pages.select(key, url, html), url, html, selectors, skip_classes, link_mode).select(key, url, "article")
+
+
+def with_article(pages: DataFrame, url: str = "url", html: str = "html", selectors: tuple[Selector, ...] = (Selector(tag="article"),),
+                 skip_classes: tuple[str, ...] = (), link_mode: str = "references") -> DataFrame:
+    """``pages`` (all columns) with article, as ``parse_pages`` gives it."""
     skip = _asked(skip_classes, link_mode)
 
     @F.pandas_udf(ARTICLE)
     def parse(urls: pd.Series, htmls: pd.Series) -> pd.DataFrame:
         return _as_rows(ARTICLE, [parse_page(h, u, selectors, skip, link_mode) for u, h in zip(urls, htmls, strict=True)])
 
-    return pages.select(key, url, parse.asNondeterministic()(url, html).alias("article"))
+    return pages.withColumn("article", parse.asNondeterministic()(url, html))
 
 
 #: What ``read_pages`` adds: the article, and all elements of the page.

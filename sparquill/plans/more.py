@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparquill.functions import charset, text, urls
 from sparquill.operators import articles, audits, commands, corpus, markup, naming, notes, packs, results, rules, stories
 from sparquill.plans.catalog import ARTICLES_SQL, _articles, query
-from sparquill.sources import pages, snapshots
+from sparquill.sources import pages, snapshots, store
 from sparquill.tables import table
 
 # --- functions -----------------------------------------------------------------
@@ -132,6 +132,31 @@ def record_errors(spark, d):
     return record.select("doc_id", snapshots.record_error("v", F.lit(100_000).cast("timestamp")).alias("error"))
 
 
+_STORE_FAULTS = ("schema", "version", "expired", "status", "digest", "identity", "scope", "source", "not_html", "mobile_layout", "incomplete", "content_diagnostics", "ok", "wide")
+
+
+@query(f"""with n as (select *, page_id % {len(_STORE_FAULTS)} as k from pages)
+  select page_id, case when k < 11 then list_value({", ".join(f"'{f}'" for f in _STORE_FAULTS)})[k + 1] when not contains(html, '</article>') then 'incomplete' when k = 11 then 'content_diagnostics' end as code,
+    case when k >= 9 then case when k = 11 then 'diagnostic' else 'clean' end end as quality from n""")
+def stored_records(spark, d):
+    """The pages as stored records, each with one fault or none, judged by their bytes; the last kind is written in two bytes a character."""
+    k, at = F.col("page_id") % len(_STORE_FAULTS), _STORE_FAULTS.index
+    fault = lambda name, odd, usual: F.when(k == at(name), odd).otherwise(usual)
+    url = F.concat(F.lit("https://w.example/wiki/d/"), F.col("page_id").cast("string"))
+    html = F.when(k == at("mobile_layout"), F.concat(F.lit("<link rel=stylesheet href='/css&#x2f;wiki/lite/a.css'>"), F.col("html")))
+    html = html.when(k == at("incomplete"), F.regexp_replace("html", "</?article>", "")).when(k == at("content_diagnostics"), F.replace("html", F.lit("</h1>"), F.lit("&#xFFFD;</h1>"))).otherwise(F.col("html"))
+    body = F.when(k == at("wide"), F.encode(html, "UTF-16")).otherwise(F.encode(html, "UTF-8"))
+    metadata = F.struct(
+        fault("identity", F.lit("https://w.example/wiki/d/x"), url).alias("requested_url"), fault("scope", F.lit("https://w.example/other/d/x"), url).alias("url"),
+        fault("status", F.lit(404), F.lit(200)).alias("http_status"), F.when(k == at("not_html"), "text/plain").when(k == at("wide"), "text/html").otherwise("text/html; charset=utf-8").alias("content_type"),
+        fault("source", F.lit(None), F.lit("2024")).cast("string").alias("fetched_at"))
+    rows = table(spark, d, "pages").select(
+        "page_id", fault("schema", F.lit(3), F.lit(1)).alias("schema"), fault("version", F.lit("u"), F.lit("v")).alias("reader_version"), fault("expired", F.lit(0.0), F.lit(99_000.0)).alias("stored_at"),
+        F.lit("clean").alias("quality"), url.alias("requested_url"), F.lit("agent").alias("requested_user_agent"),
+        F.sha2(F.when(k == at("digest"), F.encode(F.lit("x"), "UTF-8")).otherwise(body), 256).alias("sha256"), F.base64(body).alias("html_base64"), metadata.alias("metadata"))
+    return store.judged(rows, "v", F.lit(100_000).cast("timestamp"), selectors=(articles.Selector(tag="article"),)).select("page_id", "code", "quality")
+
+
 @query("""select count(*) as seen, count(*) filter (doc_id % 5 > 0 and doc_id % 3 > 0 and doc_id % 7 > 0 and doc_id % 2 = 0) as reindexed,
     count(*) filter (doc_id % 5 > 0 and doc_id % 3 > 0 and doc_id % 7 > 0 and doc_id % 2 = 1) as other, count(*) filter (doc_id % 5 > 0 and doc_id % 3 = 0) as old,
     count(*) filter (doc_id % 5 > 0 and doc_id % 3 > 0 and doc_id % 7 = 0) as expired, count(*) filter (doc_id % 5 = 0) as invalid from documents""")
