@@ -42,10 +42,15 @@ def hrefs_of(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
 
 def harvest(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, href, first_pos and n for each distinct link of a page.  A page is one
-    row, so its links are counted in it."""
-    distinct = F.transform(F.array_distinct("hrefs"), lambda h: F.struct(
-        h.alias("href"), F.array_position("hrefs", h).cast("long").alias("first_pos"), F.size(F.filter("hrefs", lambda x: x == h)).cast("long").alias("n")))
-    return hrefs_of(pages, key, html).select(key, F.inline(distinct))
+    row, so its links are counted in it: sorted, equal ones stand together, and
+    where a run begins and the next one does says all."""
+    numbered = F.transform("hrefs", lambda h, i: F.struct(h.alias("href"), (i + 1).cast("long").alias("pos")))
+    page = hrefs_of(pages, key, html).where("size(hrefs) > 0").select(key, F.array_sort(numbered).alias("_links"))
+    link = lambda i: F.element_at("_links", i)
+    begins = F.filter(F.sequence(F.lit(1), F.size("_links")), lambda i: (i == 1) | (link(i)["href"] != link(F.greatest(i - 1, F.lit(1)))["href"]))
+    page = page.withColumn("_begins", begins)
+    after = lambda i: F.coalesce(F.try_element_at("_begins", i + 2), F.size("_links") + 1)
+    return page.select(key, F.inline(F.transform("_begins", lambda b, i: F.struct(link(b)["href"].alias("href"), link(b)["pos"].alias("first_pos"), (after(i) - b).cast("long").alias("n")))))
 
 
 def observed_links(pages: DataFrame, slug: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bounds(headings: DataFrame, key: str, totals: DataFrame) -> DataFrame:
+def bounds(headings: DataFrame, key: str, totals: DataFrame | None = None) -> DataFrame:
     """key, level, text, line and end_line: the line before the next heading of
-    the same or a higher level, else the last line (``totals``: key, total).
+    the same or a higher level, else the last line (``totals``: key, total; or the
+    headings' own column total, which saves a join).
 
     Headings of one document are gone through from the last to the first, with
     the line of the next one of each level kept as a running minimum.
@@ -17,7 +18,8 @@ def bounds(headings: DataFrame, key: str, totals: DataFrame) -> DataFrame:
     after = Window.partitionBy(key).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     nexts = [F.min(F.when(F.col("level") <= n, F.col("line"))).over(after) for n in levels]
     end = F.element_at(F.array(*nexts), F.col("level").cast("int")) - 1
-    return headings.join(totals, key).select(key, "level", "text", "line", F.coalesce(end, F.col("total")).cast("long").alias("end_line"))
+    rows = headings if totals is None else headings.join(totals, key)
+    return rows.select(key, "level", "text", "line", F.coalesce(end, F.col("total")).cast("long").alias("end_line"))
 
 
 def choose(found: DataFrame, key: str, wanted: str) -> DataFrame:
@@ -45,14 +47,20 @@ def section_lines(lines: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
 
 
 def heading_paths(headings: DataFrame, places: DataFrame, key: str) -> DataFrame:
-    """key, place and path: the headings in force at each place (key, place).
+    """key, place and path: the headings in force at each place (key, place)."""
+    both = headings.select(key, F.col("line").alias("at"), "level", "text", F.lit(None).cast("long").alias("place")).unionByName(
+        places.select(key, F.col("place").alias("at"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("text"), "place")
+    )
+    return paths(both, key)
+
+
+def paths(both: DataFrame, key: str) -> DataFrame:
+    """key, place and path of ``both``: key, at, level and text of headings, and key, at
+    and place of places.
 
     One pass over headings and places in page order: the last heading of each
     level counts if no heading of a higher level came after it.
     """
-    both = headings.select(key, F.col("line").alias("at"), "level", "text", F.lit(None).cast("long").alias("place")).unionByName(
-        places.select(key, F.col("place").alias("at"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("text"), "place")
-    )
     so_far = Window.partitionBy(key).orderBy("at", F.col("place").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = F.col("level")
     for n in range(1, 7):

@@ -136,8 +136,10 @@ def corpus_counters(spark, d):
   from headings h join totals t using (doc_id) left join headings n on n.doc_id = h.doc_id and n.line > h.line and n.level <= h.level
   group by h.doc_id, h.level, h.text, h.line""")
 def section_bounds(spark, d):
-    totals = _lines(spark, d).groupBy("doc_id").agg(F.max("line").alias("total"))
-    return sections.bounds(_headings(spark, d), "doc_id", totals).withColumn("level", F.col("level").cast("long"))
+    """Headings come with their document's number of lines from one split."""
+    docs = table(spark, d, "documents").select("doc_id", text.lines_of(F.col("text")).alias("lines"))
+    short = F.filter(F.transform("lines", lambda x, i: F.struct((F.length(x) % 4 + 1).alias("level"), x.alias("text"), (i + 1).cast("long").alias("line"))), lambda h: F.length(h["text"]) < 60)
+    return sections.bounds(docs.select("doc_id", F.size("lines").alias("total"), F.inline(short)), "doc_id").withColumn("level", F.col("level").cast("long"))
 
 
 @query(f"""with {LINES_SQL}, {HEADINGS_SQL}, totals as (select doc_id, max(line) as total from lines group by doc_id),
@@ -162,8 +164,10 @@ def section_lines(spark, d):
   select p.doc_id, p.place, coalesce(string_agg(a.text, ' > ' order by a.level), '') as path
   from places p left join alive a on a.doc_id = p.doc_id and a.place = p.place group by p.doc_id, p.place""")
 def heading_path(spark, d):
-    places = _lines(spark, d).where("length(text) > 500").select("doc_id", F.col("line").alias("place"))
-    found = sections.heading_paths(_headings(spark, d), places, "doc_id")
+    rows = _lines(spark, d).where("length(text) < 60 or length(text) > 500")
+    heading = F.length("text") < 60
+    marks = rows.select("doc_id", F.col("line").alias("at"), F.when(heading, F.length("text") % 4 + 1).alias("level"), F.when(heading, F.col("text")).alias("text"), F.when(~heading, F.col("line")).alias("place"))
+    found = sections.paths(marks, "doc_id")
     return found.select("doc_id", "place", F.array_join("path", " > ").alias("path"))
 
 
@@ -850,11 +854,9 @@ def roster_filter(spark, d):
   select doc_id, pos, coalesce(last_value(line ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row),
     first_value(line ignore nulls) over (partition by doc_id order by pos rows between current row and unbounded following), 1)::bigint as line from v""")
 def visible_lines(spark, d):
-    parts = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("parts"))
-    shown = F.filter(F.transform("parts", lambda x, i: F.when(F.trim(x) != "", i + 1)), lambda i: i.isNotNull())
-    rows = parts.withColumn("shown", shown).select("doc_id", "shown", F.posexplode("parts").alias("pos", "text"))
-    line = F.when(F.trim("text") != "", F.array_position("shown", F.col("pos") + 1))
-    return corpus.visible_lines(rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), line.alias("line")), "doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), (F.trim("text") != "").alias("shown"))
+    so_far = F.sum(F.col("shown").cast("long")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return corpus.visible_lines(rows.select("doc_id", "pos", F.when(F.col("shown"), so_far).alias("line")), "doc_id")
 
 
 @query("""with h as (select page_id, href, min(pos) as first_pos from (
