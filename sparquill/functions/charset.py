@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparquill.functions import references
+
 # Fixed values.
 BOMS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 DEFAULT, WIDER = "euc_jp", "euc_jis_2004"
@@ -141,38 +143,13 @@ def title_escape(titles: pd.Series) -> pd.Series:
     return titles.map(encode_title, na_action="ignore")
 
 
-_PAIR = re.compile("&#(?:x([dD][89a-bA-B][0-9a-fA-F]{2})|(5[5-6][0-9]{3}));&#(?:x([dD][c-fC-F][0-9a-fA-F]{2})|(5[6-7][0-9]{3}));")
-
-
-def join_pair(m: re.Match) -> str:
-    """One character for two references to the halves of a surrogate pair."""
-    high = int(m[1], 16) if m[1] else int(m[2])
-    low = int(m[3], 16) if m[3] else int(m[4])
-    if not (0xD800 <= high <= 0xDBFF and 0xDC00 <= low <= 0xDFFF):
-        return m[0]
-    return chr(0x10000 + ((high - 0xD800) << 10) + (low - 0xDC00))
-
-
-@F.pandas_udf(T.StringType())
-def join_surrogates(htmls: pd.Series) -> pd.Series:
-    """Numeric references that are halves of one character become that character.
-    Call it on rows that hold such a reference (``has_surrogates``)."""
-    return htmls.map(lambda h: _PAIR.sub(join_pair, h), na_action="ignore")
-
-
 #: Two references to the halves of one character, one behind the other.
 SURROGATE_PAIR = "&#(?:[xX]0*[dD][89a-bA-B][0-9a-fA-F]{2}|0*5(?:529[6-9]|5[3-9][0-9]{2}|6[0-2][0-9]{2}|63[01][0-9]));&#(?:[xX]0*[dD][c-fC-F][0-9a-fA-F]{2}|0*5(?:6[3-9][0-9]{2}|7[0-3][0-9]{2}));"
 
 
-def has_surrogates(html):
-    return F.col(html).rlike("&#(?:x[dD][89a-fA-F][0-9a-fA-F]{2}|5[5-7][0-9]{3});")
-
-
 def repaired(pages, html: str = "html"):
-    """``pages`` with surrogate pairs joined; rows without any stay in the JVM."""
-    damaged = F.coalesce(has_surrogates(html), F.lit(False))
-    fixed = pages.where(damaged).withColumn(html, join_surrogates(html))
-    return pages.where(~damaged).unionByName(fixed)
+    """``pages`` with surrogate pairs joined where references count (see ``references``)."""
+    return references.prepared(pages, html, "utf16").drop("references")
 
 
 # --- bytes beyond the default character set -------------------------------------

@@ -19,7 +19,6 @@ FUNCTIONS = {
     "odd_units": charset.odd_units,
     "unit_category": charset.unit_category,
     "title_escape": charset.title_escape,
-    "join_surrogates": charset.join_surrogates,
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparquill.functions import charset, text, urls
+from sparquill.functions import charset, references, text, urls
 from sparquill.operators import articles, audits, commands, corpus, markup, naming, notes, packs, results, rules, stories
 from sparquill.plans.catalog import ARTICLES_SQL, _articles, query
 from sparquill.sources import pages, snapshots, store
@@ -14,6 +14,19 @@ from sparquill.tables import table
 # --- functions -----------------------------------------------------------------
 
 
+@query("""with n as (select page_id, html, len(regexp_extract_all(html, '&middot;'))::bigint as dots, len(regexp_extract_all(html, '&copy;'))::bigint as signs, len(regexp_extract_all(html, '<article>'))::bigint as alts from pages)
+  select page_id, dots + alts as eligible_pairs, dots + alts as joined_pairs, 2 * signs as unpaired, signs as normalized, dots + alts + 3 * signs as n_samples,
+    sha256(replace(replace(replace(html, '&middot;', '😀'), '&copy;', '&#xD800;&#xDE00' || '&#169;'), '<article>', '<script>"&#xD83D;&#xDE00;"</script><!-- &#xD83D;&#xDE00; --><article><img alt="😀" src="&#xD83D;&#xDE00;">')) as digest from n""")
+def reference_repairs(spark, d):
+    """Pairs in text and alt are joined; in scripts, comments and addresses they stay; halves alone are counted, very long references written short."""
+    pair = "&#xD83D;&#xDE00;"
+    html = F.replace(F.replace("html", F.lit("&middot;"), F.lit("&#55357;&#x0DE00;")), F.lit("&copy;"), F.lit("&#xD800;&#xDE00" + "&#" + "0" * 150 + "169;"))
+    html = F.replace(html, F.lit("<article>"), F.lit(f'<script>"{pair}"</script><!-- {pair} --><article><img alt="{pair}" src="{pair}">'))
+    found = references.prepared(table(spark, d, "pages").select("page_id", html.alias("html")), mode="utf16")
+    r = lambda c: F.col(f"references.{c}")
+    return found.select("page_id", *[r(c).alias(c) for c in ("eligible_pairs", "joined_pairs", "unpaired", "normalized")], F.size(r("samples")).cast("long").alias("n_samples"), F.sha2("html", 256).alias("digest"))
+
+
 @query("select doc_id, sha256(text) as digest, doc_id % 3 = 2 as marked, false as lossy from documents")
 def page_decode(spark, d):
     """Texts as bodies: with a charset in the header, a byte order mark, or a meta element."""
