@@ -454,6 +454,8 @@ def token_digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFr
 
     Encodes every whole text (null counts as empty), then decodes the ids, in
     one pass: each batch of encoded rows is digested in the task that made it.
+    Repeated rows are encoded alike, texts of any length BATCH_BYTES at a time or
+    as one; an empty table gives no rows, other columns are ignored.
     """
     data = _vocabulary_bytes(docs, vocabulary_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -473,7 +475,8 @@ def token_digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFr
 
 def encode_table(docs: DataFrame, vocabulary_path: str, pattern: str, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, ids, n_tokens, and round_trip: whether the decoded
-    ids are the text's bytes again.  Null texts count as empty."""
+    ids are the text's bytes again.  Null texts count as empty, repeated rows are
+    encoded alike, an empty table gives no rows, other columns are left out."""
     data = _vocabulary_bytes(docs, vocabulary_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -312,7 +312,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null and empty html gives an empty text.  Pages without a host (null url)
     vote together.  Equal votes go to the smaller path.  Repeated rows vote and
-    are extracted each; other columns are ignored.  Hosts' winning paths are
+    are extracted each; pages of any length are read whole; an empty table gives
+    no rows; other columns are ignored.  Hosts' winning paths are
     one small row per host, held against pages by a join that Spark broadcasts
     when the staged table is small and splits by skew otherwise.
     """

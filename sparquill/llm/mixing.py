@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, staged
+from .common import all_columns, Scratch, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -219,9 +219,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     are known by two hashes of their columns (maps aside).  Rows alike in these
     are interchangeable, and one of them stands for all.
     """
-    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    hashed = [c for c, f in zip(all_columns(docs), docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]
     prints = F.struct(F.xxhash64(*hashed).alias("a"), F.xxhash64(F.lit(SEED), *hashed[::-1]).alias("b"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), prints.alias("print"))
+    rows = docs.select(F.struct(*all_columns(docs)).alias("row"), prints.alias("print"))
     scratch = Scratch(docs.sparkSession, "mix-documents")
     sizes = scratch.staged(
         rows.select(F.monotonically_increasing_id().alias("rid"), "print", "row.doc_id", "row.source",

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, in_pieces, staged
+from .common import all_columns, Scratch, give_back, in_pieces, staged
 
 # Parameters.
 SAMPLES, SKETCH_BITS = 168, 1024  # MinHash samples of a set, and its odd sketch
@@ -370,7 +370,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     judged = _judged(docs, rule).where("doc_id is not null")
     by_id = judged.groupBy("doc_id").agg(F.count_if("kept").alias("good"), F.count_if(~F.col("kept")).alias("bad"))
     odd = staged(by_id.where("bad > 0 or good > 1"), "odd-ids")  # some row of theirs goes
-    columns, named = docs.columns, docs.where("doc_id is not null")
+    columns, named = all_columns(docs), docs.where("doc_id is not null")
     rest = docs.where("doc_id is null").union(named.join(odd.select("doc_id"), "doc_id", "left_anti").select(*columns))
     again = odd.where("good > 0")
     if again.isEmpty():

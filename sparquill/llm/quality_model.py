@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, once, staged
+from .common import all_columns, give_back, once, staged
 
 # Parameters.
 SAMPLE = 4096  # labelled texts, the bound of everything that is learnt or broadcast
@@ -185,4 +185,4 @@ def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFr
     """The rows of ``docs`` that are predicted good, with all their columns; the
     model is fitted on ``labelled`` documents, less those that ``classify`` holds out."""
     score = scorer(docs, fit(labelled, labels, ~held_out(F.col("doc_id"), 3, 1)))
-    return docs.select(F.struct(*docs.columns).alias("row"), score("text").alias("score")).where("score >= 0.5").select("row.*")
+    return docs.select(F.struct(*all_columns(docs)).alias("row"), score("text").alias("score")).where("score >= 0.5").select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, once, staged
+from .common import all_columns, give_back, once, staged
 
 SYMBOLS = "#*$%&|<>"
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -190,5 +190,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     counted = docs.select("lang", "source", counts_of("text").alias("c")).select("lang", "source", "c.*")
     limits = staged(fences(staged(counted, "counts")), "fences")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", counts_of("text").alias("c"))
+    rows = docs.select(F.struct(*all_columns(docs)).alias("row"), "lang", "source", counts_of("text").alias("c"))
     return with_verdict(rows.select("row", "lang", "source", "c.*"), limits).where("kept").select("row.*")

@@ -29,6 +29,9 @@ def test_messy_and_empty(spark, messy, nothing, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, messy, sf_dir).columns == messy.columns, name
         assert stage(spark, nothing, sf_dir).count() == 0, name
+    rows = corpus_pipeline.encode(spark, messy, sf_dir).collect()
+    assert len(rows) == messy.count() and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+    assert all(r["ids"] == [] for r in rows if r["doc_id"] in (2, 3)) and corpus_pipeline.encode(spark, nothing, sf_dir).count() == 0
 
 
 def test_run_equals_the_stages_by_hand(spark, sf_dir):

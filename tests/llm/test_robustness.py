@@ -103,9 +103,12 @@ def test_null_and_empty_tables(spark, sf_dir, nothing):
 def test_stages_keep_clashing_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = ("row", "c", "score", "key", "print", "rid", "words", "parts", "size", "node", "kept", "fa", "component_id", "_lang", "_source", "_print", "path", "n_words", "ids")
-    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)], F.lit("dot").alias("a.b"), F.lit("tick").alias("c`d"))
     docs = docs.union(docs.limit(5)).union(docs.limit(2).withColumn("text", F.lit("x y z")))  # repeated rows, and ids with a second text
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.count() > 0, name
         assert all(r[n] == i for r in out.limit(20).collect() for i, n in enumerate(names)), name
+        assert {(r["a.b"], r["c`d"]) for r in out.limit(20).collect()} == {("dot", "tick")}, name
+    last = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir)
+    assert last.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"] and last.count() == docs.count()
