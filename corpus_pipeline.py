@@ -19,28 +19,44 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learnt fences keep."""
+    """Documents that the base rules and the learnt fences keep, with all columns.
+
+    Null, empty and very short texts fail the base rules and go; repeated rows count
+    each and are judged alike; nulls in lang and source are groups of their own; an
+    empty table stays empty."""
     small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that look like those labelled good."""
+    """Documents that look like those labelled good, with all columns.
+
+    The model learns from the original documents and labels, so what earlier stages
+    drop makes no difference to it; without usable labels all documents stay.
+    Null and empty texts count as the share of good ones; repeated rows are judged alike."""
     return quality_model.keep_good(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
+    """The document with the smallest doc_id of each group of near-duplicates, with all columns.
+
+    Null and empty texts are near nothing and stay, as do rows without doc_id; of
+    rows that repeat a doc_id one stays for each group it is the smallest of."""
     return near_dup.drop_near_duplicates(docs, NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: a row for each pass over it."""
+    """What the mix takes of each document: a row for each pass over it, with all columns.
+
+    Documents without words, or of which nothing is taken, go; null sources are a
+    source; of rows that are alike in all columns each is mixed."""
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens, and whether decoding gave the text back."""
+    """doc_id, lang, source, ids, n_tokens, and whether decoding gave the text back.
+
+    A row for each row: null and empty texts have no ids, repeated rows equal ones."""
     import public_tokenizers
 
     return bpe.encode_table(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ("doc_id", "lang", "source"))
