@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparquill.operators import patterns
+
 # Tiers of (item detail, pair detail), the fullest first.
 TIERS = (
     ("ace", "ace"), ("full", "full"), ("full", "normal"), ("full", "brief"), ("normal", "normal"),
@@ -89,11 +91,16 @@ def topic(lines: DataFrame, phrase: str, cap: int, key: str) -> DataFrame:
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).select(key, "line", "text", F.when(F.col("whole"), "phrase").otherwise("words").alias("matched"))
 
 
-def co_mentions(lines: DataFrame, names: list[str], key: str) -> DataFrame:
-    """key, line, name: lines that hold a name as a word of its own."""
-    found = F.lit(None).cast("array<string>")
+def co_mentions(lines: DataFrame, names: list[str] | DataFrame, key: str) -> DataFrame:
+    """key, line, name: lines that hold a name as a word of its own.
+
+    A few names are looked for by Spark's own functions, a table of them (name) by
+    one automaton (see ``patterns``), in one pass over the lines."""
+    if isinstance(names, DataFrame):
+        found = patterns.occurrences(lines.select(key, "line", "text"), names.select(F.col("name").alias("pattern")), whole_words=True)
+        return found.select(key, "line", F.col("pattern").alias("name"))
     hits = [F.when(F.contains("text", F.lit(n)) & F.col("text").rlike(rf"(?<![A-Za-z0-9_])\Q{n}\E(?![A-Za-z0-9_])"), F.lit(n)) for n in names]
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<string>")
     return lines.select(key, "line", F.explode(found).alias("name"))
 
 
@@ -105,13 +112,18 @@ def first_filled(sections: DataFrame, key: str, priorities: list[str]) -> DataFr
     return best.select(key, "s.heading", "s.text", (F.col("s.rank") > 1).alias("fallback"))
 
 
-def reactions(lines: DataFrame, kinds: dict[str, list[str]], key: str, per_kind: int = 8, most: int = 48) -> DataFrame:
+def reactions(lines: DataFrame, kinds: dict[str, list[str]] | DataFrame, key: str, per_kind: int = 8, most: int = 48) -> DataFrame:
     """key, kind, line, text: lines with a keyword of a kind, in order, capped per
-    kind and document."""
-    tagged = F.filter(
-        F.array(*[F.when(F.greatest(*[F.contains("text", F.lit(w)) for w in [ws[0], *ws]]), F.lit(k)) for k, ws in kinds.items()]), lambda x: x.isNotNull()
-    )
-    rows = lines.select(key, "line", "text", F.explode(tagged).alias("kind"))
+    kind and document.  ``kinds``: keywords by kind, or a table of them (kind, pattern),
+    which one automaton looks for."""
+    if isinstance(kinds, DataFrame):
+        found = patterns.occurrences(lines.select(key, "line", "text"), kinds)
+        rows = found.join(kinds.select("kind", "pattern").distinct(), "pattern").select(key, "line", "text", "kind").distinct()
+    else:
+        tagged = F.filter(
+            F.array(*[F.when(F.greatest(*[F.contains("text", F.lit(w)) for w in [ws[0], *ws]]), F.lit(k)) for k, ws in kinds.items()]), lambda x: x.isNotNull()
+        )
+        rows = lines.select(key, "line", "text", F.explode(tagged).alias("kind"))
     inside = Window.partitionBy(key, "kind").orderBy("line")
     overall = Window.partitionBy(key).orderBy("kind", "line")
     kept = rows.withColumn("n", F.row_number().over(inside)).where(F.col("n") <= per_kind).drop("n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import charset, references, text, urls
 from sparquill.operators import articles, audits, commands, corpus, markup, naming, notes, packs, results, rules, stories
-from sparquill.plans.catalog import ARTICLES_SQL, _articles, query
+from sparquill.plans.catalog import ARTICLES_SQL, LINES_SQL, _articles, _lines, query
 from sparquill.sources import pages, snapshots, store
 from sparquill.tables import table
 
@@ -468,6 +468,25 @@ def section_by_priority(spark, d):
     return rows.select("source", "doc_id").join(found, "doc_id")
 
 
+@query(f"""with {LINES_SQL}, names as (select distinct unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as name from benchmark),
+  words as (select doc_id, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as name from lines)
+  select distinct w.doc_id, w.line, w.name from words w join names using (name)""")
+def mentions_of_many(spark, d):
+    """Every word of the benchmark's texts as a name, in every line of the documents."""
+    names = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("name")).distinct()
+    return packs.co_mentions(_lines(spark, d), names, "doc_id")
+
+
+@query(f"""with {LINES_SQL}, k as (select distinct case when length(p_name) % 2 = 0 then 'even' else 'odd' end as kind, left(p_name, 3) as pattern from part),
+  t as (select distinct doc_id, kind, line, text from lines join k on contains(text, pattern)),
+  a as (select *, row_number() over (partition by doc_id, kind order by line) as n from t)
+  select doc_id, kind, line, text from a where n <= 3""")
+def reactions_to_many(spark, d):
+    """Beginnings of the parts' names as keywords of two kinds, some of both."""
+    kinds = table(spark, d, "part").select(F.when(F.length("p_name") % 2 == 0, "even").otherwise("odd").alias("kind"), F.substring("p_name", 1, 3).alias("pattern")).distinct()
+    return packs.reactions(_lines(spark, d), kinds, "doc_id", per_kind=3)
+
+
 @query("""with r as (select source, doc_id, row_number() over (partition by source order by doc_id) as ord, count(*) over (partition by source) as n,
     sum(n_chars) over (partition by source)::bigint as total from documents)
   select source, doc_id, (total % (3 * n) >= ord)::bigint + (total % (3 * n) >= n + ord)::bigint as level from r""")
