@@ -10,7 +10,7 @@ FUNCTIONS = {
     "fold": text.fold,
     "name_words": text.words,
     "closeness": text.closeness,
-    "profile_reading": text.reading,
+    "fold_each": text.fold_each,
     "unescape_html": text.unescape,
     "article_identity": urls.article_identity,
     "article_title": urls.article_title,

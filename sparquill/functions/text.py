@@ -23,14 +23,14 @@ WORD_BREAKS = r"[\s_・]+"
 PLACEHOLDERS = ("-", "‐", "–", "—", "―", "−", "－", "ー")
 QUOTES = " 　「」『』\"'"
 REPLACEMENT = "�"
-# Patterns of name cells: struck names, bracketed notes, note marks, breaks between names.
+# Patterns of name cells (struck names, bracketed notes, note marks, breaks between names).
 STRUCK, BRACKETED, NOTE_MARK, NAME_BREAKS = "~~.*?~~", "[（(][^）)]*[）)]", r"[*＊]\d+", r"[、,，/／;；]\s*|\s{2,}"
-# Patterns of profile rows: the row that lists accounts, an account, a name with its reading.
+# Patterns of profile rows (the row that lists accounts, an account, a name with its reading).
 ACCOUNT_ROW = r"^\|\s*X\s*(?:[（(]旧\s*Twitter[）)]|\(Twitter\)|（Twitter）)\s*\|([^|]*)\|"
 ACCOUNT = r"(?<![A-Za-z0-9_])(@[A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])"
 READING_ROW = r"^\|\s*\[colspan=\d+\]\s*([^|（(]+?)\s*[（(]([^|（()）]+)[）)]"
 
-# Words that name a role or a pronoun rather than one person, and those that may yet be one person's title.
+# Names that no index may take for a person's own, and the titles among them that enough rows can give to one.
 GENERIC_WORDS = (
     "私 わたし わたくし あたし あたい 僕 ぼく 俺 おれ おいら おら うち 自分 余 我 吾輩 わがはい ワイ 拙者 あーし"
     " わっち あちき 小生 本人 先輩 せんぱい パイセン 後輩 同期 相方 ちゃん さん くん 君 きみ 様 さま たん 氏 殿 姉 姉さん"
@@ -102,20 +102,20 @@ def accounts(lines: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.array_join(cells, " "), F.lit(ACCOUNT), 1))
 
 
-@F.pandas_udf(T.StringType())
-def reading(lines: pd.Series, names: pd.Series) -> pd.Series:
-    """The reading in brackets in the first table row that has the name, as folds
-    compare; null if there is none or it is the name itself."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def fold_each(texts: pd.Series) -> pd.Series:
+    """``fold`` of every text of an array."""
+    return texts.map(lambda ts: [None if t is None else fold_text(t) for t in ts], na_action="ignore")
 
-    def find(rows, name: str) -> str | None:
-        for row in rows:
-            m = re.match(READING_ROW, row.strip())
-            if m and fold_text(m[1]) == fold_text(name):
-                said = m[2].strip()
-                return said if fold_text(said) != fold_text(name) else None
-        return None
 
-    return pd.Series([find(r, n) if r is not None and n is not None else None for r, n in zip(lines, names, strict=True)], dtype=object)
+def reading(lines: Column, name: Column) -> Column:
+    """The reading in brackets in the first table row that has the name, as folds
+    compare; null if there is none or it is the name itself."""
+    pattern = r"(?U)^\s*" + READING_ROW.removeprefix("^")
+    rows = F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("of"), F.regexp_extract(x, pattern, 2).alias("said"))), lambda r: r["of"] != "")
+    first = F.nullif(F.array_position(fold_each(F.transform(rows, lambda r: r["of"])), fold(name)), F.lit(0)).cast("int")
+    said = F.regexp_replace(F.try_element_at(F.transform(rows, lambda r: r["said"]), first), r"(?U)^\s+|\s+$", "")
+    return F.when(fold(said) != fold(name), said)
 
 
 @F.pandas_udf(T.StringType())
