@@ -428,6 +428,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     show in the lines as references (by number), inline (as [[title|label]] where
     the address is an article's, else the address in brackets) or off (not at all).
     """
+    _asked(skip_classes, link_mode)
     return with_article(pages.select(key, url, html), url, html, selectors, skip_classes, link_mode).select(key, url, "article")
 
 
