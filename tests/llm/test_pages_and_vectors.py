@@ -171,6 +171,21 @@ def test_recall_on_test_table(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_recall_over_several_chunks(spark):
+    """More vectors than one chunk holds, of no structure at all."""
+    x = np.random.default_rng(3).normal(size=(3 * ann.CHUNK_ROWS, 32)).astype(np.float32)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").coalesce(3)
+    got = {}
+    for r in ann.neighbours(frame, every=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.arange(0, len(x), 100)
+    products = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    products[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-products, axis=1)[:, :20]
+    found = sum(len(got[q] & set(w)) for q, w in zip(asked.tolist(), want.tolist(), strict=True))
+    assert found >= 0.9 * want.size
+
+
 def test_score_aware_codes_keep_products_closer():
     random_ = np.random.default_rng(1)
     x = random_.normal(size=(2000, 32))
