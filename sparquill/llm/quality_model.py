@@ -32,7 +32,7 @@ WEIGHT = {"shape": 1.0, "word": 0.5}  # of a term's TF-IDF
 AXES = 32
 NEIGHBOURS = 25
 SHARPNESS = 6.0  # power of the similarity in a vote
-BLOCK = 512  # documents of one matrix product
+BLOCK = 128  # documents of one matrix product
 DIGITS = 6  # to which cosines are compared, so that equal texts are equally near
 
 _SHAPE = bytes(
