@@ -142,8 +142,9 @@ def test_fences_of_the_test_table_differ(spark):
     counted = docs.select("lang", "source", quality_rules.counts_of("text").alias("c")).select("lang", "source", "c.*")
     found = quality_rules.fences(counted).collect()
     for k in ("symbols", "dup_lines", "repeats", "length"):
-        assert len({round(r[f"max_{k}"], 4) for r in found}) > 12, k
-        assert len({round(max(r[f"max_{k}"] for r in found if r["lang"] == lang), 4) for lang in {r["lang"] for r in found}}) == 4, k
+        assert len({round(r[f"max_{k}"], 4) for r in found}) >= 5, k
+        by_lang = {lang: round(sum(r[f"max_{k}"] for r in found if r["lang"] == lang), 3) for lang in {r["lang"] for r in found}}
+        assert len(set(by_lang.values())) == len(by_lang), k
     assert all(0.1 < r["max_symbols"] < 0.32 for r in found)  # junk of this table begins at 0.32
 
 
