@@ -226,8 +226,9 @@ def identify(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
     Texts without a letter (null, empty) are ``und`` with score 0 and no spans;
     so are all if no row has a language.  A word belongs to a language that uses
     its script; words in scripts that none uses follow their neighbours, and alone
-    fall to the most frequent language.  Repeated rows are labelled alike;
-    other columns are ignored.
+    fall to the most frequent language.  Of languages that score alike the first in
+    order counts.  Repeated rows are labelled alike, texts of any length are read
+    whole, an empty table gives no rows, other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out(F.col("doc_id"), parts, part)))
 

@@ -245,7 +245,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     Null and empty texts have no words: counts of 0, null places, empty labels
     and score 0.  The score is the best template's share of matched IDF, 0.5
     where only a base phrase matched, else 0.  Repeated rows are scanned alike;
-    other columns are ignored.
+    texts of any length are read whole; an empty table gives no rows; other columns
+    are ignored.
     """
     n_docs, frequency = document_frequencies(docs, templates)
     index = Index(templates, n_docs, frequency)

@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     Texts without words (null, empty) have an empty set and link with nothing,
     nor do rows without doc_id: their component is themselves (null where
     doc_id is) and they are kept.  Repeated rows each get a row; kept is doc_id =
-    component_id, for each row by its own text.  Other columns are ignored.
+    component_id, for each row by its own text.  Texts of any length are read
+    whole, an empty table gives no rows, other columns are ignored.
     """
     return _judged(docs, rule).drop("fa", "fb", "group")
 

@@ -177,7 +177,8 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept for each row of ``docs``.
 
     Null and empty texts have counts of 0 and fail the base rules.  Repeated
-    rows count each time and are judged alike.  Other columns are ignored.
+    rows count each time and are judged alike.  Texts of any length are counted
+    whole, an empty table gives no rows, other columns are ignored.
     """
     counted = staged(docs.select("doc_id", "lang", "source", counts_of("text").alias("c")).select("doc_id", "lang", "source", "c.*"), "counts")
     return with_verdict(counted, staged(fences(counted), "fences"))

@@ -145,9 +145,10 @@ def filter_urls(
 ) -> DataFrame:
     """page_id, url, host, path, rule, pattern, verdict for each row of ``pages``.
 
-    Null URLs and URLs without ``://`` have an empty host and path, fit no
-    rule and are allowed.  Repeated rows are judged alike, an empty table
-    gives an empty table, and other columns are ignored.
+    Null URLs and URLs without ``://`` have an empty host and path and fit no host
+    rule; null ones are allowed, the others are allowed unless a pattern rule finds
+    its pattern in the whole text.  Repeated rows are judged alike, URLs of any length are read
+    whole, an empty table gives an empty table, and other columns are ignored.
     """
     index = rule_index(pattern_rules, literal_frequencies(pages, pattern_rules))
     matched = pattern_verdict(index, {r.name: i for i, r in enumerate(pattern_rules)})
