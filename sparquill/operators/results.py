@@ -20,12 +20,17 @@ REFERENCE = "&#(?:[xX][0-9a-fA-F]+|[0-9]+);?"
 SAMPLES = 40
 
 
-def reference_audit(html: Column) -> Column:
-    """counts: numeric references of a whole page by reason, where they stand for
-    U+FFFD (explicit) or turn into it; and the first SAMPLES tokens."""
+def replaced_references(html: Column) -> Column:
+    """reference and reason of the numeric references of a whole page that stand for
+    U+FFFD or turn into it."""
     tokens = F.regexp_extract_all(html, F.lit(REFERENCE), F.lit(0))
     read = F.transform(tokens, lambda t: F.struct(F.substring(t, 1, 80).alias("reference"), replaced_reason(t).alias("reason")))
-    found = F.filter(read, lambda t: t["reason"].isNotNull())
+    return F.filter(read, lambda t: t["reason"].isNotNull())
+
+
+def reference_audit(found: Column) -> Column:
+    """Counts of ``replaced_references`` by reason, explicit ones and those that turn
+    into U+FFFD, and the first SAMPLES."""
     number = lambda *reasons: F.size(F.filter(found, lambda t: t["reason"].isin(*reasons))).cast("long")
     return F.struct(
         number("explicit_replacement").alias("explicit"), number("null_character", "surrogate", "out_of_range").alias("invalid"),
@@ -47,9 +52,13 @@ def replaced_reason(token: Column) -> Column:
     )
 
 
-def structured_audit(article: Column, kind: T.StructType) -> Column:
-    """n replacement characters in n_values strings anywhere in the article's parts, and the paths of the first."""
-    found = F.filter(audits.strings_of(article, kind), lambda s: F.contains(s["text"], F.lit(REPLACEMENT)))
+def damaged_strings(article: Column, kind: T.StructType) -> Column:
+    """path and text of the strings anywhere in the article's parts that hold replacement characters."""
+    return F.filter(audits.strings_of(article, kind), lambda s: F.contains(s["text"], F.lit(REPLACEMENT)))
+
+
+def structured_audit(found: Column) -> Column:
+    """n replacement characters in n_values ``damaged_strings``, and the paths of the first."""
     return F.struct(
         F.aggregate(found, F.lit(0).cast("long"), lambda n, s: n + replacements(s["text"])).alias("n"), F.size(found).cast("long").alias("n_values"),
         F.slice(F.transform(found, lambda s: s["path"]), 1, SAMPLES).alias("paths"),
@@ -85,6 +94,8 @@ def assemble(pages: DataFrame, key: str = "page_id", html: str = "html", section
     tables = F.when(ok, inside).otherwise(F.slice(a["tables"], 1, 0))
     numbers = F.transform(tables, lambda t: t["table_idx"])
     cells = F.filter(a["cells"], lambda c: F.array_contains(numbers, c["table_idx"]))
+    # what several parts of the answer use is worked out once
+    page = page.withColumn("_refs", replaced_references(F.col(html))).withColumn("_damaged", damaged_strings(a, articles.ARTICLE))
     page = page.withColumn("_tables", tables).withColumn("_cells", cells).withColumn("_notes", notes.of_page(F.col("page.notes")))
 
     used = [refs("link_ids")]
@@ -101,7 +112,7 @@ def assemble(pages: DataFrame, key: str = "page_id", html: str = "html", section
     for condition, said in (
         (F.exists("_notes", lambda n: n["agreement"] == "conflict"), "footnotes disagree within this page; all versions are kept"),
         (F.exists("_notes", lambda n: n["definition_state"] == "missing"), "a footnote has no entry at the foot of the page"),
-        (reference_audit(F.col(html))["explicit"] > 0, "the page's source has references to U+FFFD"),
+        (F.exists("_refs", lambda t: t["reason"] == "explicit_replacement"), "the page's source has references to U+FFFD"),
     ):
         warned.append(F.when(condition, F.array(F.lit(said))).otherwise(F.array().cast("array<string>")))
     tail = [
@@ -120,7 +131,7 @@ def assemble(pages: DataFrame, key: str = "page_id", html: str = "html", section
         a["headings"].alias("headings"), links.alias("links"), F.lit("whole_article" if whole else "selected").alias("links_scope"), F.size(a["links"]).cast("long").alias("total_links"),
         *tail, *noted, "last_updated", "categories", "tags", a["images"].alias("images"), F.size(a["tables"]).cast("long").alias("total_tables"),
         skips("ad").alias("ads_skipped"), skips("chrome").alias("chrome_skipped"),
-        reference_audit(F.col(html)).alias("reference_audit"), structured_audit(a, articles.ARTICLE).alias("structured_audit"),
+        reference_audit(F.col("_refs")).alias("reference_audit"), structured_audit(F.col("_damaged")).alias("structured_audit"),
         F.filter(marked, lambda i: i.isNotNull()).alias("replacement_lines"), F.concat(*warned).alias("warnings"),
     )
 

@@ -87,7 +87,7 @@ def judged(records: DataFrame, version: str, now: Column, ttl: float = snapshots
     odd = F.col("_html").rlike(charset.SURROGATE_PAIR) | F.col("_html").rlike("&#[0-9]{4300}")
     reasons = F.array_compact(F.array(
         F.when(F.col("_decoded.lossy"), "byte_decode_replacements"), F.when(damaged, "article_replacements"),
-        F.when(results.structured_audit(a, articles.ARTICLE)["n"] > 0, "structured_replacements"), F.when(odd, "character_reference_preprocessing")))
+        F.when(F.size(results.damaged_strings(a, articles.ARTICLE)) > 0, "structured_replacements"), F.when(odd, "character_reference_preprocessing")))
     rows = rows.withColumn("reasons", F.when(F.col("_form").isNull(), reasons))
     whole = a["closed"] & (articles.article_state(a) != "error")
     code = (
