@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import charset, references, text, urls
 from sparquill.operators import articles, audits, commands, corpus, markup, naming, notes, packs, results, rules, stories
-from sparquill.plans.catalog import ARTICLES_SQL, LINES_SQL, _articles, _lines, query
+from sparquill.plans.catalog import ARTICLES_SQL, LINES_SQL, _articles, _lines, _pages, query
 from sparquill.sources import pages, snapshots, store
 from sparquill.tables import table
 
@@ -278,7 +278,7 @@ def _rich(spark, d):
     html = swap(html, "<article>", "<article><div id='comment-box'>box</div><a href='https://ad.doubleclick.net/x'>ad</a><div id=crt-1>crt</div>")
     html = swap(html, "<nav", F.concat(F.lit("<p class=update>最終更新：2020</p><ul id=page-tags><li>t1</li><li>t1</li></ul><ul class=footer-footnote><li><a id=footer-footnote1>*1</a>: "), said, F.lit("</li></ul><nav")))
     html = swap(html, "&middot;", "&#xFFFD;&#0;")
-    return table(spark, d, "pages").select("page_id", "url", html.alias("html"))
+    return _pages(spark, d).select("page_id", "url", html.alias("html"))
 
 
 @query(f"""with rich as (select page_id, url, replace(replace(replace(html, '<p>', '<p>l [2] '), '<h1>', '<h1>*1 '), '</h1>', '</h1>| cq [1] |<br>') as html from pages), {_RICH_SQL},
@@ -324,7 +324,7 @@ def article_lines_without_furniture(spark, d):
     junk = ("<div id='comment-box'>box<div class='ad-extra'>in it</div></div><p id=crt-77>crt</p><ul class='x comment-form-box'><li>form</ul><div data-x=1 data-ad-slot=2>slot</div>"
             "<a href='//x.nend.net/1'>ad</a><a href=https://Sub.DoubleClick.net:80/x>ad</a><span class='b ads-box'>box</span><div id='page-posted'>posted</div>")
     html = F.replace(F.replace("html", F.lit("<article>"), F.lit("<article>" + junk)), F.lit("</h1>"), F.lit("</h1>" + junk))
-    return articles.lines(articles.parse_pages(table(spark, d, "pages").select("page_id", "url", html.alias("html"))))
+    return articles.lines(articles.parse_pages(_pages(spark, d).select("page_id", "url", html.alias("html"))))
 
 
 _BODIES = {  # what an article holds, and the state that it is in then
