@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparquill.functions.pieces import by_pieces
 from sparquill.functions.text import cell_value
 
 # Limits beyond which a table has no grid.
@@ -52,7 +53,7 @@ def place_cells(cells: list) -> tuple[str | None, list[tuple]]:
     return None, placed
 
 
-@F.pandas_udf(PLACED)
+@by_pieces(PLACED)
 def place(tables: pd.Series) -> pd.DataFrame:
     rows = [place_cells([(c["row_idx"], c["cell_idx"], c["rowspan"], c["colspan"]) for c in cells]) for cells in tables]
     names = PLACED["cells"].dataType.elementType.fieldNames()

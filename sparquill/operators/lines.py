@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparquill.functions.pieces import by_pieces
 from sparquill.functions.text import lines_of
 
 
@@ -127,7 +128,7 @@ def parts(docs: DataFrame, key: str, limit: int = 15_000, text: str = "text") ->
 def cut_column(text: str, limit: int) -> Column:
     """The bodies of a text's parts."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    @by_pieces(T.ArrayType(T.StringType()))
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: cut_lines(t, limit), na_action="ignore")
 
