@@ -1,11 +1,11 @@
 """Secret scans: plain patterns, and a linear-chain conditional random field.
 
-Tokens are runs of word characters, and every other sign.  The field tags them
-as secret begin, inside or outside, by their shape, the words beside them and
-features of the whole file, and Viterbi finds the best tags.  Only tokens of
-groups that could hold a secret are free; all others are held outside.  As a
-chain falls apart at a tag that is held, each run of free tokens is decoded
-alone, with the same result as the whole text's chain.
+Tokens are runs of word characters, and every other sign.  The field tags every
+token of a text as secret begin, inside or outside, by its shape, the words beside
+it and features of the whole file, and Viterbi finds the best tags.  Tokens that
+are in no stretch whose scores could pay for a secret, by an upper bound, are
+outside on the best path; as a chain falls apart at such a tag, each run of the
+others is decoded alone, with the same result as the whole text's chain.
 
 The field is trained here: on sequences of a bounded sample of the documents,
 tagged by the base patterns and by formats of public services' keys, and on
@@ -21,6 +21,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, give_back, in_pieces, small_batches, staged
+from .common import give_back, in_pieces, small_batches, staged
 
 # The base patterns, their least lengths, and their order.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -52,28 +53,26 @@ FORMAT = re.compile("|".join(rf"{re.escape(p)}[{a}]{{{n * 2 // 3},}}" for p, a,
 CUE = re.compile(
     rb"pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credential|bearer|private[_-]?key|access[_-]?key|authorization|auth[_-]?key|\bkey\b|\blogin\b"
 )
-CREDENTIAL_URL = re.compile(rb"://[^\s/@:]+:[^\s/@]+@")
 
 # Parameters.
-LONG, SHORT, WIDE = 12, 6, 24  # bytes of a group that may be a secret: by its mixture, after a cue, whatever it is made of
-REACH = 4  # groups after a cue
-CONTEXT = 96  # bytes before a group whose words it knows
+BEFORE = 8  # tokens before one whose words it knows
 LEAST_SECRET = 6  # bytes of a span
-SAMPLE = 2048  # sequences with a secret, and twice as many without, that the field is trained on
+SAMPLE = 2048  # sequences with a secret, twice as many without that hold a look-alike or a cue, and as many without either, that the field is trained on
 SAMPLE_DOCS = 65_536  # documents, about, that these are drawn from
 GENERATED = 8000
 BINS = 1 << 15
 PIECE = 64  # tokens of a training sequence; longer ones are cut there
 EPOCHS, BATCH, RATE, DECAY = 8, 128, 0.3, 1e-4
+SCAN_BYTES = 1 << 20  # of texts that are tagged together
+BLOCK = 1 << 16  # tokens that are scored at once
+KNOWN, KNOWN_BYTES = 1 << 17, 8 << 20  # words, and bytes of them, whose scores a worker remembers
+SLACK = 1e-3  # added to the bound, more than it may be off by rounding
 OUT, BEGIN, INSIDE = range(3)
 
-_BREAKERS = b"\"'`()<>[]{},;|"
-_IN_GROUP = np.array([b > 32 and b != 127 and b not in _BREAKERS for b in range(256)])
-_DIGIT = np.array([48 <= b <= 57 for b in range(256)])
-_LOWER = np.array([97 <= b <= 122 for b in range(256)])
-_UPPER = np.array([65 <= b <= 90 for b in range(256)])
-_HIGH = np.array([b >= 128 for b in range(256)])
-TOKEN = re.compile(rb"[A-Za-z0-9_+/.\x80-\xff-]+|[^\s]", re.S)
+_WHITE, _WORD, _SIGN = range(3)
+_CLASS = np.array([_WHITE if b in b" \t\n\r\f\v" else _WORD if b >= 128 or chr(b).isalnum() or b in b"_+/.-" else _SIGN for b in range(256)], np.int8)
+#: A token that looks like a secret: long, with letters and digits.
+LOOK_ALIKE = re.compile(rb"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[A-Za-z0-9_+/.-]{8,}")
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1*", re.S)
 _HEX_ONLY = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -92,41 +91,13 @@ def base_spans(raw: bytes) -> list[tuple[int, int, str]]:
     return [(start, end, BASE_KINDS[k]) for start, end, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def free_groups(text: bytes, begins: np.ndarray) -> list[tuple[int, int, int]]:
-    """document, start and end of the groups whose tokens are free.
-
-    ``text`` is documents joined by line ends, ``begins`` where each begins.  A
-    group is a run of bytes without white space, quotes, brackets and commas.
-    """
-    data = np.frombuffer(text, np.uint8)
-    inside = np.concatenate([[False], _IN_GROUP[data], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return []
-
-    def count(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return total[ends] - total[starts]
-
-    lower, upper = _LOWER[data], _UPPER[data]
-    length, digits, letters, high = ends - starts, count(_DIGIT[data]), count(lower | upper), count(_HIGH[data])
-    turns = count(np.concatenate([[False], lower[:-1] & upper[1:]]))
-    document = np.searchsorted(begins, starts, "right") - 1
-    plain = high == 0
-    chosen = plain & (length >= LONG) & (digits > 0) & (letters > 0) | plain & (length >= LONG) & (turns >= 2) | plain & (length >= WIDE) & (letters > 0)
-    cues = np.unique(np.searchsorted(starts, np.array([m.start() for m in CUE.finditer(text.lower())], np.int64), "right") - 1)
-    cues = cues[cues >= 0]
-    for step in range(1, REACH + 1):
-        near = cues[cues + step < len(starts)]
-        near = near[document[near] == document[near + step]] + step
-        chosen[near[plain[near] & (length[near] >= SHORT)]] = True
-    glued = [i for i in cues.tolist() if plain[i] and length[i] >= LONG and (b"=" in (group := text[starts[i] : ends[i]]) or b":" in group)]
-    chosen[glued] = True
-    if b"://" in text:
-        at = np.searchsorted(starts, np.array([m.start() for m in CREDENTIAL_URL.finditer(text)], np.int64), "right") - 1
-        chosen[at[at >= 0]] = True
-    return list(zip(*(x[chosen].tolist() for x in (document, starts, ends)), strict=True))
+def tokens_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all tokens: runs of word characters, and every other sign but white space."""
+    kind = _CLASS[np.frombuffer(text, np.uint8)]
+    edge = kind[1:] != kind[:-1]
+    first = (kind != _WHITE) & (np.concatenate([[True], edge]) | (kind == _SIGN))
+    last = (kind != _WHITE) & (np.concatenate([edge, [True]]) | (kind == _SIGN))
+    return np.flatnonzero(first[: len(kind)]), np.flatnonzero(last[: len(kind)]) + 1
 
 
 def bucket(n: int, *limits: int) -> int:
@@ -141,82 +112,81 @@ def file_features(raw: bytes) -> bytes:
 
 
 N_FEATURES = 22
+KINDS = (b"hex", b"uuid", b"num", b"word", b"Word", b"mix")
+ANNOUNCED = (b"-", b"0", b"1", b"2", b"3", b"4", b"5")
+STUCK = (b"s", b"g")  # white space stands before the token, or none
+TURNS = (2, 3, 4, 6, 9, 13, 20)
 
 
-def features(tokens: list[tuple[int, int]], text: bytes, before: list[bytes], after: bytes, glued: list[bool], file: bytes) -> np.ndarray:
-    """Numbers of the features of a run of free tokens, (tokens, N_FEATURES).
+def as_word(w: bytes) -> bytes:
+    """A token as those beside it see it."""
+    return w.lower()[:24] if len(w) < 40 else b"<long>"
 
-    ``before`` are the words before the run, ``after`` is the token behind it;
-    ``glued`` says of each token whether no white space stands before it.
-    """
-    words = [text[s:e] for s, e in tokens]
-    line = [w.lower() for w in before] + [w.lower() for w in words] + [after.lower()]
-    line = [w[:24] if len(w) < 40 else b"<long>" for w in line]
-    cue, out = None, np.zeros((len(words), N_FEATURES), np.int32)
-    distance = 0
-    first = len(before)
-    for i, w in enumerate(line[:first]):
-        if CUE.search(w):
-            cue, distance = w, first - i
-    for i, w in enumerate(words):
-        n = len(w)
-        shape = w.translate(_SHAPE)
-        runs = [m[0] for m in _RUN.finditer(shape)] if n < 200 else [b"a", b"0"] * 20
-        digits, upper, lower = shape.count(b"0"), shape.count(b"A"), shape.count(b"a")
-        size = b"%d" % bucket(n, 2, 4, 6, 8, 12, 16, 20, 24, 32, 40, 64)
-        mixed = b"%d%d%d" % (bucket(10 * digits // n, 1, 3, 6, 10), bucket(10 * upper // n, 1, 3, 6, 10), bucket(10 * lower // n, 1, 3, 6, 10))
-        kind = b"hex" if n >= 16 and _HEX_ONLY.match(w) else b"uuid" if _UUID.match(w) else b"num" if digits == n else b"word" if lower == n else b"Word" if lower == n - 1 and shape[:1] == b"A" else b"mix"
-        turns = b"%d" % bucket(len(runs), 2, 3, 4, 6, 9, 13, 20)
-        variety = b"%d" % bucket(10 * len(set(w)) // n, 2, 4, 6, 8, 10)
-        longest = b"%d" % bucket(max((len(r) for r in runs if r[:1] in b"aA"), default=0), 3, 5, 8, 12)
-        at = first + i
-        previous, second = line[at - 1] if at else b"", line[at - 2] if at > 1 else b""
-        stuck = b"g" if glued[i] else b"s"
-        announced = b"%d" % bucket(distance, 1, 2, 3, 4, 6) if cue else b"-"
-        short = b"".join(r[:1] + (b"+" if len(r) > 1 else b"") for r in runs[:8])
-        names = (
-            b"shape" + short, b"size" + size, b"mix" + mixed, b"kind" + kind + size, b"turns" + turns + size, b"var" + variety + size,
-            b"pre3" + w[:3], b"pre4" + w[:4], b"prev" + previous, b"sec" + second + b" " + previous, b"next" + line[at + 1], b"stuck" + stuck + kind,
-            b"cue" + announced, b"cuekind" + announced + kind + turns, b"file" + file, b"filekind" + file + kind, b"low" + line[at][:10], b"long" + longest + size,
-            b"all" + mixed + turns + size, b"sign" + (w if n == 1 else b"") + stuck, b"prevshape" + previous.translate(_SHAPE)[:6] + kind, b"bias",
-        )
-        out[i] = [zlib.crc32(x) & (BINS - 1) for x in names]
-        if CUE.search(line[at]) and n < 40:
-            cue, distance = w, 0
-        distance += 1
-    return out
 
+def is_cue(w: bytes) -> bool:
+    return len(w) < 40 and CUE.search(as_word(w)) is not None
 
-class Run:
-    """Free tokens of a document that stand together."""
 
-    def __init__(self, document: int, tokens: list[tuple[int, int]], features: np.ndarray):
-        self.document, self.tokens, self.features = document, tokens, features
+def announced(distance: int) -> bytes:
+    """``distance``: tokens to the last cue before, 0 if there is none."""
+    return b"%d" % bucket(distance, 1, 2, 3, 4, 6) if 0 < distance <= BEFORE else b"-"
 
 
-def runs_of(texts: list[bytes]) -> Iterator[Run]:
-    """The runs of free tokens of some documents, their places in bytes of the document."""
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    joined = b"\n".join(texts)
-    together: list[list[tuple[int, int, int]]] = []
-    for group in free_groups(joined, begins):
-        last = together[-1][-1] if together else None
-        if last and last[0] == group[0] and joined[last[2] : group[1]].isspace():
-            together[-1].append(group)
-        else:
-            together.append([group])
-    files: dict[int, bytes] = {}
-    for groups in together:
-        document, start, end = groups[0][0], groups[0][1], groups[-1][2]
-        begin, raw = int(begins[groups[0][0]]), texts[groups[0][0]]
-        if document not in files:
-            files = {document: file_features(raw)}
-        tokens = [(m.start() + s - begin, m.end() + s - begin) for _, s, e in groups for m in TOKEN.finditer(joined[s:e])]
-        glued = [i > 0 and tokens[i - 1][1] == s for i, (s, _) in enumerate(tokens)]
-        start, end = start - begin, end - begin
-        before = TOKEN.findall(raw[max(0, start - CONTEXT) : start])[-4:]
-        after = TOKEN.search(raw[end : end + 32])
-        yield Run(document, tokens, features(tokens, raw, before, after[0] if after else b"", glued, files[document]))
+@lru_cache(1 << 15)
+def of_shape(shape: bytes, kind: bytes) -> tuple[bytes, bytes, bytes, list[int], list[list[int]]]:
+    """kind (if it is not given), turns and size of a token of that shape, its features, and those it has beside them by ``STUCK``."""
+    n = len(shape)
+    runs = [m[0] for m in _RUN.finditer(shape)] if n < 200 else [b"a", b"0"] * 20
+    digits, upper, lower = shape.count(b"0"), shape.count(b"A"), shape.count(b"a")
+    size = b"%d" % bucket(n, 2, 4, 6, 8, 12, 16, 20, 24, 32, 40, 64)
+    mixed = b"%d%d%d" % (bucket(10 * digits // n, 1, 3, 6, 10), bucket(10 * upper // n, 1, 3, 6, 10), bucket(10 * lower // n, 1, 3, 6, 10))
+    kind = kind or (b"num" if digits == n else b"word" if lower == n else b"Word" if lower == n - 1 and shape[:1] == b"A" else b"mix")
+    turns = b"%d" % bucket(len(runs), *TURNS)
+    longest = b"%d" % bucket(max((len(r) for r in runs if r[:1] in b"aA"), default=0), 3, 5, 8, 12)
+    short = b"".join(r[:1] + (b"+" if len(r) > 1 else b"") for r in runs[:8])
+    names = (b"shape" + short, b"size" + size, b"mix" + mixed, b"kind" + kind + size, b"turns" + turns + size, b"long" + longest + size, b"all" + mixed + turns + size, b"bias")
+    return kind, turns, size, [zlib.crc32(x) for x in names], [[zlib.crc32(b"stuck" + s + kind), zlib.crc32(b"sign" + (shape if n == 1 and kind == b"mix" else b"") + s)] for s in STUCK]
+
+
+def own_codes(w: bytes) -> tuple[bytes, bytes, list[int], list[list[int]]]:
+    """kind and turns of a token, the features it has by itself, and those it has beside them by ``STUCK``; hashed."""
+    n = len(w)
+    kind = b"hex" if n >= 16 and _HEX_ONLY.match(w) else b"uuid" if n == 36 and _UUID.match(w) else b""
+    kind, turns, size, codes, beside = of_shape(w.translate(_SHAPE), kind) if n < 64 else of_shape.__wrapped__(w.translate(_SHAPE), kind)
+    variety = b"var%d" % bucket(10 * len(set(w)) // n, 2, 4, 6, 8, 10)
+    return kind, turns, [*codes, zlib.crc32(variety + size), zlib.crc32(b"pre3" + w[:3]), zlib.crc32(b"pre4" + w[:4]), zlib.crc32(b"low" + as_word(w)[:10])], beside
+
+
+def before_names(previous: bytes, kind: bytes) -> list[bytes]:
+    return [b"prev" + previous, b"prevshape" + previous.translate(_SHAPE)[:6] + kind]
+
+
+def cue_names(said: bytes, kind: bytes, turns: bytes) -> list[bytes]:
+    return [b"cue" + said, b"cuekind" + said + kind + turns]
+
+
+def file_names(file: bytes, kind: bytes) -> list[bytes]:
+    return [b"file" + file, b"filekind" + file + kind]
+
+
+def place_of(name: bytes) -> int:
+    return zlib.crc32(name) & (BINS - 1)
+
+
+def features(words: list[bytes], glued: list[bool], first: int, last: int, file: bytes) -> np.ndarray:
+    """Numbers of the features of the tokens from ``first`` to before ``last`` of a
+    text's or a part's, (tokens, N_FEATURES).  ``glued`` says of each token whether
+    no white space stands before it."""
+    line, cues = [as_word(w) for w in words] + [b""], [is_cue(w) for w in words]
+    out = np.zeros((last - first, N_FEATURES), np.int32)
+    for i in range(first, last):
+        kind, turns, own, beside = own_codes(words[i])
+        previous, second = line[i - 1] if i else b"", line[i - 2] if i > 1 else b""
+        distance = next((d for d in range(1, min(BEFORE, i) + 1) if cues[i - d]), 0)
+        names = before_names(previous, kind) + [b"sec" + second + b" " + previous, b"next" + line[i + 1]]
+        names += cue_names(announced(distance), kind, turns) + file_names(file, kind)
+        out[i - first] = [*(x & (BINS - 1) for x in own + beside[glued[i]]), *map(place_of, names)]
+    return out
 
 
 def tags_of(tokens: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> np.ndarray:
@@ -321,7 +291,11 @@ class Field:
 
     def decode(self, feats: np.ndarray) -> list[int]:
         """The most likely tags of a run that stands between outside tokens; of equal ones the smaller tags at the end."""
-        score, moves = self.weights[feats].sum(axis=1).tolist(), self.moves().tolist()
+        return self.best(self.weights[feats].sum(axis=1))
+
+    def best(self, scores: np.ndarray) -> list[int]:
+        """``decode``, by the scores of the tags of each token."""
+        score, moves = scores.tolist(), self.moves().tolist()
         best, back = [s + m for s, m in zip(score[0], moves[OUT], strict=True)], []
         for row in score[1:]:
             came = [max(range(3), key=lambda x: best[x] + moves[x][y]) for y in range(3)]
@@ -333,6 +307,133 @@ class Field:
         return tags[::-1]
 
 
+class Scorer:
+    """Scores of all tokens of texts, as ``Field`` gives them for their features.
+
+    What a token, the one before and the one behind add is remembered by word, so
+    a feature is hashed once for each word and not for each place."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.of = lambda names: field.weights[[place_of(x) for x in names]].sum(axis=0)
+        self.cue = np.array([[[self.of(cue_names(a, k, b"%d" % t)) for t in range(len(TURNS) + 1)] for k in KINDS] for a in ANNOUNCED])
+        self.said = np.array([ANNOUNCED.index(announced(d)) for d in range(BEFORE + 1)])
+        self.files: dict[bytes, np.ndarray] = {}
+        self.forget(0)
+
+    def forget(self, n: int) -> None:
+        """Room for ``n`` words, or KNOWN; number 0 is no token."""
+        self.known: dict[bytes, int] = {b"": 0}
+        self.bytes = 0
+        self.lines, self.seconds = [b""], [zlib.crc32(b"sec ")]
+        self.shapes: dict[bytes, int] = {b"": 0}  # beginnings of the shapes of words before, in the order of ``shaped``
+        self.shaped = [[self.of([b"prevshape" + k]) for k in KINDS]]
+        self.by_shape = np.array(self.shaped)
+        n = max(n, KNOWN) + 1
+        self.own, self.before, self.behind = np.zeros((n, 2, 3)), np.zeros((n, 3)), np.zeros((n, 3))
+        self.kind, self.turns, self.shape, self.cues = np.zeros(n, np.int8), np.zeros(n, np.int8), np.zeros(n, np.int32), np.zeros(n, bool)
+        self.before[0], self.behind[0] = self.of([b"prev"]), self.of([b"next"])
+
+    def learn(self, words: list[bytes]) -> None:
+        first, own, beside, around, kinds, turns, shapes, cues = len(self.known), [], [], [], [], [], [], []
+        for w in words:
+            self.known[w] = len(self.known)
+            self.bytes += len(w)
+            line = as_word(w)
+            kind, turn, codes, stuck = own_codes(w)
+            begins = line.translate(_SHAPE)[:6]
+            if begins not in self.shapes:
+                self.shapes[begins] = len(self.shapes)
+                self.shaped.append([self.of([b"prevshape" + begins + k]) for k in KINDS])
+            self.lines.append(line)
+            self.seconds.append(zlib.crc32(b"sec" + line + b" "))
+            own.append(codes)
+            beside.append(stuck)
+            around.append((zlib.crc32(b"prev" + line), zlib.crc32(b"next" + line)))
+            kinds.append(KINDS.index(kind))
+            turns.append(int(turn))
+            shapes.append(self.shapes[begins])
+            cues.append(is_cue(w))
+        if words:
+            weights, to = self.field.weights, slice(first, len(self.known))
+            at = lambda x: weights[np.array(x, np.int64) & (BINS - 1)]
+            self.own[to] = at(own).sum(axis=1)[:, None, :] + at(beside).sum(axis=2)
+            self.before[to], self.behind[to] = at(around).transpose(1, 0, 2)
+            self.kind[to], self.turns[to], self.shape[to], self.cues[to] = kinds, turns, shapes, cues
+            self.by_shape = np.array(self.shaped)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        new = set(words) - self.known.keys()
+        if len(self.known) + len(new) > KNOWN or self.bytes > KNOWN_BYTES:
+            new = set(words)
+            self.forget(len(new))
+        self.learn(list(new))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def file(self, raw: bytes) -> np.ndarray:
+        name = file_features(raw)
+        if name not in self.files:
+            self.files[name] = np.array([self.of(file_names(name, k)) for k in KINDS])
+        return self.files[name]
+
+    def scores(self, text: bytes, starts: np.ndarray, ends: np.ndarray, document: np.ndarray, files: np.ndarray) -> np.ndarray:
+        """(tokens, 3).  ``document`` of each token; ``files``: of each document, as ``file`` gives it."""
+        out = np.empty((len(starts), 3))
+        for low in range(0, len(starts), BLOCK):
+            high = min(low + BLOCK, len(starts))
+            first, last = max(0, low - BEFORE), min(high + 1, len(starts))
+            own = document[first:last]
+            ids = self.numbers([text[s:e] for s, e in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True)])
+            here = np.arange(last - first)
+            begin = np.searchsorted(own, own)  # of the document
+            seen = np.maximum.accumulate(np.where(self.cues[ids], here, -1))
+            cue = np.concatenate([[-1], seen[:-1]])
+            distance = np.where((cue >= begin) & (here - cue <= BEFORE), here - cue, 0)
+            kept = slice(low - first, high - first)
+            previous, second = (np.where(here - d >= begin, ids[np.maximum(here - d, 0)], 0)[kept] for d in (1, 2))
+            behind = np.append(np.where(own[1:] == own[:-1], ids[1:], 0), 0)[kept]
+            glued = np.concatenate([[False], (starts[first + 1 : last] == ends[first : last - 1]) & (own[1:] == own[:-1])])[kept].astype(np.int8)
+            ids, own = ids[kept], own[kept]
+            kind = self.kind[ids]
+            pairs = [zlib.crc32(self.lines[p], self.seconds[s]) for p, s in zip(previous.tolist(), second.tolist(), strict=True)]
+            total = self.own[ids, glued] + self.before[previous] + self.by_shape[self.shape[previous], kind] + self.field.weights[np.array(pairs, np.int64) & (BINS - 1)] + self.behind[behind]
+            out[low:high] = total + self.cue[self.said[distance[kept]], kind, self.turns[ids]] + files[own, kind]
+        return out
+
+    def possible(self, scores: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """Which tokens the best path may tag as a secret's.
+
+        What a stretch of such tags adds to the path that is outside all the way is at
+        most the sum of what each token adds with its dearest move, and the move out of
+        the stretch.  On the best path no stretch adds less than nothing."""
+        moves = self.field.moves() - self.field.moves()[OUT, OUT]
+        gain = scores - scores[:, OUT, None]
+        most = np.maximum(gain[:, BEGIN] + moves[:, BEGIN].max(), gain[:, INSIDE] + moves[BEGIN:, INSIDE].max())
+        # a stretch stays in its document: none is worth as much as the bar between two
+        first = np.flatnonzero(np.concatenate([[True], document[1:] != document[:-1]]))
+        sums = np.concatenate([[0.0], np.cumsum(np.insert(most, first, -1.0 - np.maximum(most, 0).sum()))])
+        reach = np.maximum.accumulate(sums[::-1])[::-1][1:] - np.minimum.accumulate(sums)[:-1]
+        return np.delete(reach, first + np.arange(len(first))) + moves[BEGIN:, OUT].max() >= -SLACK
+
+
+def tagged(texts: list[bytes], scorer: Scorer) -> Iterator[tuple[int, int, int]]:
+    """document, start and end (in bytes of the document) of the secrets that the field tags."""
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    joined = b"\n".join(texts)
+    starts, ends = tokens_of(joined)
+    if not len(starts):
+        return
+    document = np.searchsorted(begins, starts, "right") - 1
+    scores = scorer.scores(joined, starts, ends, document, np.array([scorer.file(t) for t in texts]))
+    free = np.flatnonzero(scorer.possible(scores, document))
+    cuts = np.flatnonzero((np.diff(free) > 1) | (np.diff(document[free]) > 0)) + 1
+    for run in np.split(free, cuts) if len(free) else ():
+        own = int(document[run[0]])
+        tokens = list(zip((starts[run] - begins[own]).tolist(), (ends[run] - begins[own]).tolist(), strict=True))
+        for start, end in spans_of(tokens, scorer.field.best(scores[run])):
+            yield own, start, end
+
+
 def spans_of(tokens: list[tuple[int, int]], tags: list[int]) -> Iterator[tuple[int, int]]:
     """start and end of each tagged secret."""
     start = end = None
@@ -391,8 +492,57 @@ def made_harmless(random_: random.Random) -> str:
     return random_.choice(makers)()
 
 
+SYLLABLES = "ka lor ven mi tas ru el ch sch ung ein en tion é ère ais ü ö ß ch ñ os ado ción ing er est ly ber gra dor fel nim to pa".split()
+HAN = "的一是在不了有和人这中大为上个国我以要他时来用们"
+
+
+def made_prose(random_: random.Random, n: int) -> str:
+    """``n`` words without a secret: known and invented ones, names, numbers and signs of
+    prose, in one of several manners."""
+    out, manner = [], random_.random()
+    for _ in range(n):
+        kind = random_.random()
+        word = random_.choice(WORDS) if kind < 0.4 else "".join(random_.choices(SYLLABLES, k=random_.randint(1, 6)))
+        if kind > 0.97:
+            word = drawn(random_, "0-9", random_.randint(1, 6))
+        elif kind > 0.94:
+            word = "".join(random_.choices(HAN, k=random_.randint(1, 12)))
+        elif kind > 0.92:
+            word = word.upper() if random_.random() < 0.5 else f"{word}-{random_.choice(WORDS)}"
+        if random_.random() < 0.15:
+            word = word.capitalize()
+        if random_.random() < 0.2:
+            word = random_.choice(("{}.", "{},", "{};", "{}:", "{}!", "{}?", "({})", "\"{}\"", "'{}'", "{} -", "{}/", "*{}*", "{}\n", "# {}", "<{}>", "{}=", "${}$", "%{}&", "|{}|")).format(word)
+        if manner < 0.15:  # shouted
+            word = word.upper() + random_.choice(("", "!", "!!", ",!!", ".!!"))
+        elif manner < 0.3:  # with signs behind words
+            word += random_.choice(("=", ":", "{", "}", ";", "()", "[0]", "<br>", "&amp;", *"#*$%&|<>!?~^@+")) * random_.choice((0, 1, 2, 3, 3))
+        elif manner < 0.42 and out and random_.random() < 0.8:  # the same again and again
+            word = random_.choice((out[-1], random_.choice("aeiouxyz")))
+        out.append(word)
+    return random_.choice((" ", " ", " ", "\n")).join(out) if manner < 0.6 else " ".join(out)
+
+
+def pieces_of(raw: bytes, secrets: list[tuple[int, int]]) -> Iterator[tuple[bytes, list[tuple[int, int]], int, int, np.ndarray]]:
+    """A text's sequences of PIECE tokens: the part with what their features need of
+    the tokens beside them, places in it, the first and behind the last of the sequence's own, tags."""
+    starts, ends = (x.tolist() for x in tokens_of(raw))
+    for low in range(0, len(starts), PIECE):
+        high, first = min(low + PIECE, len(starts)), max(0, low - BEFORE)
+        last = min(high + 1, len(starts))
+        at = starts[first]
+        tags = tags_of(list(zip(starts[low:high], ends[low:high], strict=True)), secrets) if secrets else np.zeros(high - low, np.int8)
+        places = [(s - at, e - at) for s, e in zip(starts[first:last], ends[first:last], strict=True)]
+        yield raw[at : ends[last - 1]], places, low - first, high - first, tags
+
+
+def piece_features(part: bytes, places: list[tuple[int, int]], first: int, last: int, file: bytes) -> np.ndarray:
+    glued = [i > 0 and places[i - 1][1] == s for i, (s, _) in enumerate(places)]
+    return features([part[s:e] for s, e in places], glued, first, last, file)
+
+
 def generated(n: int = GENERATED, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tagged sequences: secrets in announced and bare settings, look-alikes in both."""
+    """Tagged sequences: secrets in announced and bare settings, look-alikes in both, and prose."""
     random_, out = random.Random(seed), []
     for i in range(n):
         secret, bare = i % 2 == 0, random_.random() < 0.4
@@ -400,58 +550,56 @@ def generated(n: int = GENERATED, seed: int = 11) -> list[tuple[np.ndarray, np.n
         setting = random_.choice(BARE if bare else SETTINGS)
         if not secret and random_.random() < 0.3:
             setting = random_.choice(("the secret {} of {w} {w}", "token ring {} {w}", "password reset {} {w}", "the key {} to {w}", "{w} login page {} {w}"))
+        if not secret and i % 6 == 1:
+            setting, value = "{}", made_prose(random_, 56)
         setting = re.sub(r"\{w\}", lambda _: random_.choice(WORDS), setting)
-        head = " ".join(random_.choices(WORDS, k=random_.randint(0, 12)))
+        head = made_prose(random_, random_.randint(0, 12))
         lead = f"{head} " if head else ""
-        place = len(lead) + setting.index("{}")
-        text = (lead + setting.replace("{}", value) + " " + " ".join(random_.choices(WORDS, k=random_.randint(0, 9)))).encode()
-        for run in runs_of([text]):
-            tags = tags_of(run.tokens, [(place, place + len(value))] if secret else [])
-            out += [(run.features[k : k + PIECE], tags[k : k + PIECE]) for k in range(0, len(tags), PIECE)]
+        place = len((lead + setting[: setting.index("{}")]).encode())
+        text = (lead + setting.replace("{}", value) + " " + made_prose(random_, random_.randint(0, 9))).encode()
+        secrets = [(place, place + len(value))] if secret else []
+        out += [(piece_features(*piece, file_features(text)), tags) for *piece, tags in pieces_of(text, secrets)]
     return out
 
 
 def sampled(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tagged sequences of the documents: of those with a secret, and of the others,
-    the distinct ones with the least hashes, at most SAMPLE and twice SAMPLE.
+    """Tagged sequences of the documents: of those with a secret, of others that look like
+    it, and of all others, the distinct ones with the least hashes, at most SAMPLE, twice
+    SAMPLE and SAMPLE.
 
     Each task keeps that many, so that neither copies nor a long document fill
     the sample, and what meets in the driver is bounded.
     """
     shares = max(1, docs.count() // SAMPLE_DOCS)
+    most_of = (SAMPLE, 2 * SAMPLE, SAMPLE)  # plain, alike, with a secret
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[dict, dict] = {}, {}
-        for batch in in_pieces(batches, "text", BATCH_BYTES):
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            document, secrets = None, []
-            for run in runs_of(texts):
-                if run.document != document:
-                    document, secrets = run.document, known_secrets(texts[run.document])
-                tags = tags_of(run.tokens, secrets)
-                for k in range(0, len(tags), PIECE):
-                    feats, own = run.features[k : k + PIECE].tobytes(), tags[k : k + PIECE].tobytes()
-                    kept[any(own)][int.from_bytes(hashlib.blake2b(feats + own, digest_size=7).digest())] = feats, own
-            for held, most in zip(kept, (2 * SAMPLE, SAMPLE), strict=True):
-                if len(held) > 2 * most:
-                    least = heapq.nsmallest(most, held)
-                    found = {h: held[h] for h in least}
-                    held.clear()
-                    held.update(found)
-        for secret, (held, most) in enumerate(zip(kept, (2 * SAMPLE, SAMPLE), strict=True)):
-            rows = [(h, *held[h]) for h in heapq.nsmallest(most, held)]
+        kept: tuple[dict, ...] = ({}, {}, {})
+        for batch in in_pieces(batches, "text", SCAN_BYTES):
+            for raw in batch.column("text").cast(pa.binary()).to_pylist():
+                file = file_features(raw or b"")
+                for part, places, first, last, tags in pieces_of(raw or b"", known_secrets(raw or b"")):
+                    kind = 2 if tags.any() else 1 if LOOK_ALIKE.search(part) or CUE.search(part.lower()) else 0
+                    said = part + b"%d %d " % (first, last) + file + tags.tobytes()
+                    kept[kind][int.from_bytes(hashlib.blake2b(said, digest_size=7).digest())] = part, places, first, last, file, tags
+                    if len(kept[kind]) > 2 * most_of[kind]:
+                        least = {h: kept[kind][h] for h in heapq.nsmallest(most_of[kind], kept[kind])}
+                        kept[kind].clear()
+                        kept[kind].update(least)
+        for kind, (held, most) in enumerate(zip(kept, most_of, strict=True)):
+            rows = [(h, piece_features(*held[h][:5]).tobytes(), held[h][5].tobytes()) for h in heapq.nsmallest(most, held)]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bool(secret)] * len(rows), pa.bool_()), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["secret", "hash", "feats", "tags"]
+                [pa.array([kind] * len(rows), pa.int32()), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["kind", "hash", "feats", "tags"]
             )
         give_back()
 
     drawn_docs = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(shares)) == 0)
-    rows = staged(drawn_docs.mapInArrow(tag, "secret boolean, hash long, feats binary, tags binary"), "sequences")
-    distinct = rows.groupBy("secret", "hash").agg(F.min("feats").alias("feats"), F.min("tags").alias("tags"))
+    rows = staged(drawn_docs.mapInArrow(tag, "kind int, hash long, feats binary, tags binary"), "sequences")
+    distinct = rows.groupBy("kind", "hash").agg(F.min("feats").alias("feats"), F.min("tags").alias("tags"))
     out = []
-    for secret, most in ((True, SAMPLE), (False, 2 * SAMPLE)):
-        for r in distinct.where(F.col("secret") == secret).orderBy("hash", "feats").limit(most).collect():
+    for kind, most in enumerate(most_of):
+        for r in distinct.where(F.col("kind") == kind).orderBy("hash", "feats").limit(most).collect():
             tags = np.frombuffer(bytes(r["tags"]), np.int8)
             out.append((np.frombuffer(bytes(r["feats"]), np.int32).reshape(len(tags), N_FEATURES), tags))
     return out
@@ -461,18 +609,16 @@ def fit(docs: DataFrame) -> Field:
     return Field().fit(sampled(docs) + generated())
 
 
-def secrets_in(texts: list[bytes], field: Field) -> list[list[tuple[int, int, str]]]:
+def secrets_in(texts: list[bytes], field: Field | Scorer) -> list[list[tuple[int, int, str]]]:
     """start, end (in bytes) and kind of all spans of each text, in order."""
     found = [base_spans(t) for t in texts]
     starts = [[s for s, _, _ in f] for f in found]
     reach = [[*accumulate((e for _, e, _ in f), max)] for f in found]  # how far the base spans up to one go
-    for run in runs_of(texts):
-        raw = texts[run.document]
-        for start, end in spans_of(run.tokens, field.decode(run.features)):
-            end = start + len(raw[start:end].rstrip(b"."))
-            at = bisect_right(starts[run.document], start) - 1
-            if end - start >= LEAST_SECRET and not (at >= 0 and reach[run.document][at] >= end):
-                found[run.document].append((start, end, KIND))
+    for document, start, end in tagged(texts, field if isinstance(field, Scorer) else Scorer(field)):
+        end = start + len(texts[document][start:end].rstrip(b"."))
+        at = bisect_right(starts[document], start) - 1
+        if end - start >= LEAST_SECRET and not (at >= 0 and reach[document][at] >= end):
+            found[document].append((start, end, KIND))
     order = {k: i for i, k in enumerate((*BASE_KINDS, KIND))}
     return [sorted(f, key=lambda x: (x[0], order[x[2]])) for f in found]
 
@@ -507,9 +653,10 @@ def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     pairs = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, "text", BATCH_BYTES):
+        scorer = Scorer(shared.value)
+        for batch in in_pieces(batches, "text", SCAN_BYTES):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            rows = [in_code_points(t, s) for t, s in zip(texts, secrets_in(texts, shared.value), strict=True)]
+            rows = [in_code_points(t, s) for t, s in zip(texts, secrets_in(texts, scorer), strict=True)]
             spans = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in r] for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, pairs)], ["doc_id", "spans"])
         give_back()

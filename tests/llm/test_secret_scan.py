@@ -152,3 +152,26 @@ def test_prose_without_secrets_stays_clean(spark, field):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
     texts = [r["text"].encode() for r in rows if r["text"] and not secret_scan.known_secrets(r["text"].encode())]
     assert sum(map(len, secret_scan.secrets_in(texts, field))) <= 0.002 * len(texts)
+
+
+def test_every_token_of_a_text_can_be_a_secret():
+    """A field that knows one word finds it wherever it stands: short, in letters, beside characters beyond ASCII, far from any cue."""
+    own = secret_scan.Field()
+    for begin in (b"pre4qrst", b"pre4\xc3\xbcx"):
+        own.weights[secret_scan.place_of(begin)] = (-5, 5, -5)
+    texts = [t.encode() for t in ("qrstuv", "so qrstuv is", "\u00fcxyzw here", "a " * 70_000 + "qrstuv" + " b" * 10, "(qrstuv),[qrstuv]", "x" * 300 + " qrstuv")]
+    for t, found in zip(texts, secret_scan.secrets_in(texts, own), strict=True):
+        assert [(s, e) for s, e, _ in found] == [m.span() for m in re.finditer("qrstuv|\u00fcxyzw".encode(), t)], t[:20]
+
+
+def test_runs_have_the_tags_of_the_whole_chain(field):
+    random_ = random.Random(4)
+    texts = [f"{secret_scan.made_prose(random_, 30)} {random_.choice(('password is', 'key:', ''))} {secret_scan.made_secret(random_, False)} {secret_scan.made_prose(random_, 9)}".encode() for _ in range(60)]
+    got = {}
+    for n, start, end in secret_scan.tagged(texts, secret_scan.Scorer(field)):
+        got.setdefault(n, []).append((start, end))
+    for n, raw in enumerate(texts):
+        tokens = list(zip(*(x.tolist() for x in secret_scan.tokens_of(raw)), strict=True))
+        feats = secret_scan.piece_features(raw, tokens, 0, len(tokens), secret_scan.file_features(raw))
+        assert got.get(n, []) == list(secret_scan.spans_of(tokens, field.decode(feats)))
+    assert len(got) > 40
