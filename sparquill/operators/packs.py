@@ -97,7 +97,7 @@ def co_mentions(lines: DataFrame, names: list[str] | DataFrame, key: str) -> Dat
     A few names are looked for by Spark's own functions, a table of them (name) by
     one automaton (see ``patterns``), in one pass over the lines."""
     if isinstance(names, DataFrame):
-        found = patterns.occurrences(lines.select(key, "line", "text"), names.select(F.col("name").alias("pattern")), whole_words=True)
+        found = patterns.occurrences(lines.select(key, "line", "text"), names.select(F.col("name").alias("pattern")), whole_words=True, with_text=False)
         return found.select(key, "line", F.col("pattern").alias("name"))
     hits = [F.when(F.contains("text", F.lit(n)) & F.col("text").rlike(rf"(?<![A-Za-z0-9_])\Q{n}\E(?![A-Za-z0-9_])"), F.lit(n)) for n in names]
     found = F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<string>")

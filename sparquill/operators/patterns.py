@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Characters of patterns, as UTF-8, in one automaton.
 BLOCK_BYTES = 8 << 20
+#: Rows that are gone through at once.
+ROWS = 1024
 
 
 def blocks(patterns: DataFrame, largest: int | None = None) -> Iterator[list[str]]:
@@ -39,14 +41,15 @@ def word_sign(c: str) -> bool:
     return c == "_" or c.isascii() and c.isalnum()
 
 
-def occurrences(rows: DataFrame, patterns: DataFrame, text: str = "text", whole_words: bool = False, largest: int | None = None) -> DataFrame:
+def occurrences(rows: DataFrame, patterns: DataFrame, text: str = "text", whole_words: bool = False, largest: int | None = None, with_text: bool = True) -> DataFrame:
     """``rows`` with pattern and n for each of ``patterns`` (pattern) that a text
     holds: how many times, places that overlap included.
 
     With ``whole_words`` a place counts only if neither sign beside it is an ASCII
-    letter, digit or underscore.  Null texts and patterns, and empty ones, hold and
+    letter, digit or underscore.  Without ``with_text`` the text itself is left out,
+    which would come back from Python once for each pattern.  Null texts and patterns, and empty ones, hold and
     are nothing."""
-    found = []
+    found, kept_columns = [], [f for f in rows.schema if with_text or f.name != text]
     for some in blocks(patterns, largest):
         if not some:
             continue
@@ -55,10 +58,10 @@ def occurrences(rows: DataFrame, patterns: DataFrame, text: str = "text", whole_
             automaton.add_word(p, p)
         automaton.make_automaton()
         shared = rows.sparkSession.sparkContext.broadcast(automaton)
-        names = rows.columns
+        names = [f.name for f in kept_columns]
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
                 at, held, counts = [], [], []
                 for i, value in enumerate(batch.column(text).to_pylist()):
                     own: dict[str, int] = {}
@@ -70,11 +73,11 @@ def occurrences(rows: DataFrame, patterns: DataFrame, text: str = "text", whole_
                     at += [i] * len(own)
                     held += own.keys()
                     counts += own.values()
-                kept = batch.take(pa.array(at, pa.int64()))
+                kept = batch.select(names).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(held, pa.string()), pa.array(counts, pa.int64())], [*names, "pattern", "n"])
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns)
         found.append(rows.mapInArrow(search, f"{kinds}, pattern string, n long"))
     if not found:
-        return rows.limit(0).select("*", F.lit("").alias("pattern"), F.lit(0).cast("long").alias("n"))
+        return rows.limit(0).select(*[f"`{f.name}`" for f in kept_columns], F.lit("").alias("pattern"), F.lit(0).cast("long").alias("n"))
     return reduce(DataFrame.union, found)

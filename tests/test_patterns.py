@@ -37,3 +37,11 @@ def test_a_hundred_thousand_names_in_one_pass(spark):
     found = packs.co_mentions(lines, names, "k")
     assert found.count() == sum(i * 7 < 100_000 for i in range(20_000))
     assert found.where("name <> concat('name', k * 7)").count() == 0 and time.time() - began < 60
+
+
+def test_texts_need_not_come_back(spark):
+    rows = spark.createDataFrame([(i, "ab abc") for i in range(2500)], "k long, text string").coalesce(1)
+    names = spark.createDataFrame([("ab",), ("abc",)], "pattern string")
+    lean, whole = (patterns.occurrences(rows, names, with_text=w) for w in (False, True))
+    assert lean.columns == ["k", "pattern", "n"] and sorted(lean.collect()) == sorted(whole.drop("text").collect()) and lean.count() == 5000
+    assert patterns.occurrences(rows, names.limit(0), with_text=False).columns == lean.columns
