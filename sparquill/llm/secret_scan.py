@@ -21,7 +21,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate
 
 import numpy as np
@@ -47,6 +47,7 @@ FORMATS = (
     ("xoxp-", ALNUM + "-", 60), ("sk_live_", ALNUM, 24), ("rk_live_", ALNUM, 24), ("AIza", URL_SAFE, 35), ("ya29.", URL_SAFE, 60), ("SG.", URL_SAFE + ".", 60),
     ("npm_", ALNUM, 36), ("pypi-", URL_SAFE, 60), ("dop_v1_", "a-f0-9", 64), ("AKIA", UPPER, 16), ("ASIA", UPPER, 16), ("eyJ", URL_SAFE + ".", 90),
 )
+_PREFIXES = tuple(p.encode() for p, _, _ in FORMATS)
 FORMAT = re.compile("|".join(rf"{re.escape(p)}[{a}]{{{n * 2 // 3},}}" for p, a, n in FORMATS).encode())
 
 # Words that announce a secret.
@@ -59,6 +60,7 @@ BEFORE = 8  # tokens before one whose words it knows
 LEAST_SECRET = 6  # bytes of a span
 SAMPLE = 2048  # sequences with a secret, twice as many without that hold a look-alike or a cue, and as many without either, that the field is trained on
 SAMPLE_DOCS = 65_536  # documents, about, that these are drawn from
+DESCRIBED_IN = 8  # tasks
 GENERATED = 8000
 BINS = 1 << 15
 PIECE = 64  # tokens of a training sequence; longer ones are cut there
@@ -73,6 +75,7 @@ _WHITE, _WORD, _SIGN = range(3)
 _CLASS = np.array([_WHITE if b in b" \t\n\r\f\v" else _WORD if b >= 128 or chr(b).isalnum() or b in b"_+/.-" else _SIGN for b in range(256)], np.int8)
 #: A token that looks like a secret: long, with letters and digits.
 LOOK_ALIKE = re.compile(rb"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[A-Za-z0-9_+/.-]{8,}")
+_DIGIT = re.compile(rb"[0-9]")
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1*", re.S)
 _HEX_ONLY = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -116,6 +119,8 @@ KINDS = (b"hex", b"uuid", b"num", b"word", b"Word", b"mix")
 ANNOUNCED = (b"-", b"0", b"1", b"2", b"3", b"4", b"5")
 STUCK = (b"s", b"g")  # white space stands before the token, or none
 TURNS = (2, 3, 4, 6, 9, 13, 20)
+SIZES = (2, 4, 6, 8, 12, 16, 20, 24, 32, 40, 64)
+VARIETIES = (2, 4, 6, 8, 10)
 
 
 def as_word(w: bytes) -> bytes:
@@ -138,7 +143,7 @@ def of_shape(shape: bytes, kind: bytes) -> tuple[bytes, bytes, bytes, list[int],
     n = len(shape)
     runs = [m[0] for m in _RUN.finditer(shape)] if n < 200 else [b"a", b"0"] * 20
     digits, upper, lower = shape.count(b"0"), shape.count(b"A"), shape.count(b"a")
-    size = b"%d" % bucket(n, 2, 4, 6, 8, 12, 16, 20, 24, 32, 40, 64)
+    size = b"%d" % bucket(n, *SIZES)
     mixed = b"%d%d%d" % (bucket(10 * digits // n, 1, 3, 6, 10), bucket(10 * upper // n, 1, 3, 6, 10), bucket(10 * lower // n, 1, 3, 6, 10))
     kind = kind or (b"num" if digits == n else b"word" if lower == n else b"Word" if lower == n - 1 and shape[:1] == b"A" else b"mix")
     turns = b"%d" % bucket(len(runs), *TURNS)
@@ -148,12 +153,21 @@ def of_shape(shape: bytes, kind: bytes) -> tuple[bytes, bytes, bytes, list[int],
     return kind, turns, size, [zlib.crc32(x) for x in names], [[zlib.crc32(b"stuck" + s + kind), zlib.crc32(b"sign" + (shape if n == 1 and kind == b"mix" else b"") + s)] for s in STUCK]
 
 
+def own_kind(w: bytes) -> bytes:
+    """Kind of a token if its shape does not give it."""
+    n = len(w)
+    return b"" if n < 16 else b"hex" if _HEX_ONLY.match(w) else b"uuid" if n == 36 and _UUID.match(w) else b""
+
+
+def of_form(w: bytes, kind: bytes) -> tuple[bytes, bytes, bytes, list[int], list[list[int]]]:
+    """``of_shape`` of a token; only short ones' is remembered."""
+    return (of_shape if len(w) < 64 else of_shape.__wrapped__)(w.translate(_SHAPE), kind)
+
+
 def own_codes(w: bytes) -> tuple[bytes, bytes, list[int], list[list[int]]]:
     """kind and turns of a token, the features it has by itself, and those it has beside them by ``STUCK``; hashed."""
-    n = len(w)
-    kind = b"hex" if n >= 16 and _HEX_ONLY.match(w) else b"uuid" if n == 36 and _UUID.match(w) else b""
-    kind, turns, size, codes, beside = of_shape(w.translate(_SHAPE), kind) if n < 64 else of_shape.__wrapped__(w.translate(_SHAPE), kind)
-    variety = b"var%d" % bucket(10 * len(set(w)) // n, 2, 4, 6, 8, 10)
+    kind, turns, size, codes, beside = of_form(w, own_kind(w))
+    variety = b"var%d" % bucket(10 * len(set(w)) // len(w), *VARIETIES)
     return kind, turns, [*codes, zlib.crc32(variety + size), zlib.crc32(b"pre3" + w[:3]), zlib.crc32(b"pre4" + w[:4]), zlib.crc32(b"low" + as_word(w)[:10])], beside
 
 
@@ -202,8 +216,13 @@ def tags_of(tokens: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> np
 
 def known_secrets(raw: bytes) -> list[tuple[int, int]]:
     """Values of the base patterns and of the public formats."""
-    found = [m.span(2) for m in ASSIGN.finditer(raw) if len(m[2]) >= LEAST_ASSIGN] + [m.span() for m in HEX.finditer(raw)]
-    found += [m.span() for m in ACCESS.finditer(raw) if m.end() - m.start() >= LEAST_ACCESS] + [m.span() for m in FORMAT.finditer(raw)]
+    found, low = [m.span() for m in HEX.finditer(raw)], raw.lower()
+    if any(w in low for w in _ASSIGN_WORDS):
+        found += [m.span(2) for m in ASSIGN.finditer(raw) if len(m[2]) >= LEAST_ASSIGN]
+    if b"AKIA" in raw:
+        found += [m.span() for m in ACCESS.finditer(raw) if m.end() - m.start() >= LEAST_ACCESS]
+    if any(p in raw for p in _PREFIXES):
+        found += [m.span() for m in FORMAT.finditer(raw)]
     out: list[tuple[int, int]] = []
     for start, end in sorted(found):
         if out and start < out[-1][1]:
@@ -307,17 +326,23 @@ class Field:
         return tags[::-1]
 
 
+#: Hashes of the beginnings of names, from which those of whole names go on.
+_PREV, _NEXT, _SEC, _PRE3, _PRE4, _LOW = map(zlib.crc32, (b"prev", b"next", b"sec", b"pre3", b"pre4", b"low"))
+
+
 class Scorer:
     """Scores of all tokens of texts, as ``Field`` gives them for their features.
 
     What a token, the one before and the one behind add is remembered by word, so
-    a feature is hashed once for each word and not for each place."""
+    a feature is hashed once for each word and not for each place.  Most words of a
+    long tail of rare ones share their shape with many: what that adds is summed once."""
 
     def __init__(self, field: Field):
         self.field = field
         self.of = lambda names: field.weights[[place_of(x) for x in names]].sum(axis=0)
         self.cue = np.array([[[self.of(cue_names(a, k, b"%d" % t)) for t in range(len(TURNS) + 1)] for k in KINDS] for a in ANNOUNCED])
         self.said = np.array([ANNOUNCED.index(announced(d)) for d in range(BEFORE + 1)])
+        self.variety = np.array([[self.of([b"var%d%d" % (v, s)]) for s in range(len(SIZES) + 1)] for v in range(len(VARIETIES) + 1)])
         self.files: dict[bytes, np.ndarray] = {}
         self.forget(0)
 
@@ -326,41 +351,58 @@ class Scorer:
         self.known: dict[bytes, int] = {b"": 0}
         self.bytes = 0
         self.lines, self.seconds = [b""], [zlib.crc32(b"sec ")]
-        self.shapes: dict[bytes, int] = {b"": 0}  # beginnings of the shapes of words before, in the order of ``shaped``
-        self.shaped = [[self.of([b"prevshape" + k]) for k in KINDS]]
-        self.by_shape = np.array(self.shaped)
+        self.shapes: dict[bytes, int] = {b"": 0}  # beginnings of the shapes of words before, in the order of ``by_shape``
+        self.by_shape = np.array([[self.of([b"prevshape" + k]) for k in KINDS]])
+        self.forms: dict[bytes, int] = {}  # shapes, with the kinds that they do not give, in the order of the three below
+        self.form_own, self.form_kind, self.form_turns = np.zeros((0, 2, 3)), np.zeros(0, np.int8), np.zeros(0, np.int8)
         n = max(n, KNOWN) + 1
         self.own, self.before, self.behind = np.zeros((n, 2, 3)), np.zeros((n, 3)), np.zeros((n, 3))
         self.kind, self.turns, self.shape, self.cues = np.zeros(n, np.int8), np.zeros(n, np.int8), np.zeros(n, np.int32), np.zeros(n, bool)
         self.before[0], self.behind[0] = self.of([b"prev"]), self.of([b"next"])
 
+    def at(self, codes: list) -> np.ndarray:
+        return self.field.weights[np.array(codes, np.int64) & (BINS - 1)]
+
+    def form_numbers(self, words: list[bytes]) -> list[int]:
+        names, new = [w.translate(_SHAPE) + own_kind(w) for w in words], []
+        for w, name in zip(words, names, strict=True):
+            if name not in self.forms:
+                self.forms[name] = len(self.forms)
+                new.append(of_form(w, own_kind(w)))
+        if new:
+            kinds, turns, _, codes, beside = zip(*new, strict=True)
+            self.form_own = np.concatenate([self.form_own, self.at(codes).sum(axis=1)[:, None, :] + self.at(beside).sum(axis=2)])
+            self.form_kind = np.concatenate([self.form_kind, np.array([KINDS.index(k) for k in kinds], np.int8)])
+            self.form_turns = np.concatenate([self.form_turns, np.array([int(t) for t in turns], np.int8)])
+        return [self.forms[name] for name in names]
+
+    def shape_numbers(self, lines: list[bytes]) -> list[int]:
+        names = [line[:6].translate(_SHAPE) for line in lines]
+        new = list(set(names) - self.shapes.keys())
+        if new:
+            self.shapes.update(zip(new, range(len(self.shapes), len(self.shapes) + len(new)), strict=True))
+            self.by_shape = np.concatenate([self.by_shape, [[self.of([b"prevshape" + begins + k]) for k in KINDS] for begins in new]])
+        return [self.shapes[name] for name in names]
+
     def learn(self, words: list[bytes]) -> None:
-        first, own, beside, around, kinds, turns, shapes, cues = len(self.known), [], [], [], [], [], [], []
-        for w in words:
-            self.known[w] = len(self.known)
-            self.bytes += len(w)
-            line = as_word(w)
-            kind, turn, codes, stuck = own_codes(w)
-            begins = line.translate(_SHAPE)[:6]
-            if begins not in self.shapes:
-                self.shapes[begins] = len(self.shapes)
-                self.shaped.append([self.of([b"prevshape" + begins + k]) for k in KINDS])
-            self.lines.append(line)
-            self.seconds.append(zlib.crc32(b"sec" + line + b" "))
-            own.append(codes)
-            beside.append(stuck)
-            around.append((zlib.crc32(b"prev" + line), zlib.crc32(b"next" + line)))
-            kinds.append(KINDS.index(kind))
-            turns.append(int(turn))
-            shapes.append(self.shapes[begins])
-            cues.append(is_cue(w))
-        if words:
-            weights, to = self.field.weights, slice(first, len(self.known))
-            at = lambda x: weights[np.array(x, np.int64) & (BINS - 1)]
-            self.own[to] = at(own).sum(axis=1)[:, None, :] + at(beside).sum(axis=2)
-            self.before[to], self.behind[to] = at(around).transpose(1, 0, 2)
-            self.kind[to], self.turns[to], self.shape[to], self.cues[to] = kinds, turns, shapes, cues
-            self.by_shape = np.array(self.shaped)
+        if not words:
+            return
+        first, crc = len(self.known), zlib.crc32
+        to = slice(first, first + len(words))
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        lines = [as_word(w) for w in words]
+        self.lines += lines
+        self.seconds += [crc(b" ", crc(line, _SEC)) for line in lines]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.bytes += int(sizes.sum())
+        forms, several = self.form_numbers(words), np.fromiter(map(len, map(set, words)), np.int64, len(words))
+        own = self.variety[np.searchsorted(VARIETIES, 10 * several // sizes, "right"), np.searchsorted(SIZES, sizes, "right")]
+        own = own + self.at([crc(w[:3], _PRE3) for w in words]) + self.at([crc(w[:4], _PRE4) for w in words]) + self.at([crc(line[:10], _LOW) for line in lines])
+        self.own[to] = self.form_own[forms] + own[:, None, :]
+        self.before[to], self.behind[to] = self.at([crc(line, _PREV) for line in lines]), self.at([crc(line, _NEXT) for line in lines])
+        self.kind[to], self.turns[to], self.shape[to] = self.form_kind[forms], self.form_turns[forms], self.shape_numbers(lines)
+        ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)  # no word holds the line feed that parts them
+        self.cues[first + np.searchsorted(ends, [m.start() for m in CUE.finditer(b"\n".join(lines))], "right")] = True
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         new = set(words) - self.known.keys()
@@ -523,20 +565,24 @@ def made_prose(random_: random.Random, n: int) -> str:
     return random_.choice((" ", " ", " ", "\n")).join(out) if manner < 0.6 else " ".join(out)
 
 
-def pieces_of(raw: bytes, secrets: list[tuple[int, int]]) -> Iterator[tuple[bytes, list[tuple[int, int]], int, int, np.ndarray]]:
-    """A text's sequences of PIECE tokens: the part with what their features need of
-    the tokens beside them, places in it, the first and behind the last of the sequence's own, tags."""
-    starts, ends = (x.tolist() for x in tokens_of(raw))
-    for low in range(0, len(starts), PIECE):
-        high, first = min(low + PIECE, len(starts)), max(0, low - BEFORE)
-        last = min(high + 1, len(starts))
-        at = starts[first]
-        tags = tags_of(list(zip(starts[low:high], ends[low:high], strict=True)), secrets) if secrets else np.zeros(high - low, np.int8)
-        places = [(s - at, e - at) for s, e in zip(starts[first:last], ends[first:last], strict=True)]
-        yield raw[at : ends[last - 1]], places, low - first, high - first, tags
-
-
-def piece_features(part: bytes, places: list[tuple[int, int]], first: int, last: int, file: bytes) -> np.ndarray:
+def pieces_of(raw: bytes, secrets: list[tuple[int, int]]) -> Iterator[tuple[bytes, np.ndarray, int, int, np.ndarray]]:
+    """A text's sequences of PIECE tokens: the part with what their features need of the tokens
+    beside them, starts and ends in it, the first and behind the last of the sequence's own, tags."""
+    places = np.stack(tokens_of(raw)).astype(np.int32)
+    n = places.shape[1]
+    for low in range(0, n, PIECE):
+        high, first = min(low + PIECE, n), max(0, low - BEFORE)
+        last = min(high + 1, n)
+        at, end = int(places[0, first]), int(places[1, last - 1])
+        before = bisect_left(secrets, end, key=lambda s: s[0]) - 1  # the last secret that begins before the part ends
+        held = before >= 0 and secrets[before][1] > at
+        tags = tags_of(places[:, low:high].T.tolist(), secrets) if held else np.zeros(high - low, np.int8)
+        yield raw[at:end], places[:, first:last] - at, low - first, high - first, tags
+
+
+def piece_features(part: bytes, places: np.ndarray | list[tuple[int, int]], first: int, last: int, file: bytes) -> np.ndarray:
+    """``places``: starts and ends as ``pieces_of`` gives them, or pairs of them."""
+    places = places.T.tolist() if isinstance(places, np.ndarray) else places
     glued = [i > 0 and places[i - 1][1] == s for i, (s, _) in enumerate(places)]
     return features([part[s:e] for s, e in places], glued, first, last, file)
 
@@ -568,7 +614,8 @@ def sampled(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     SAMPLE and SAMPLE.
 
     Each task keeps that many, so that neither copies nor a long document fill
-    the sample, and what meets in the driver is bounded.
+    the sample, and what meets in the driver is bounded.  Only the sequences that
+    are chosen of all tasks' get features.
     """
     shares = max(1, docs.count() // SAMPLE_DOCS)
     most_of = (SAMPLE, 2 * SAMPLE, SAMPLE)  # plain, alike, with a secret
@@ -579,29 +626,34 @@ def sampled(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
                 file = file_features(raw or b"")
                 for part, places, first, last, tags in pieces_of(raw or b"", known_secrets(raw or b"")):
-                    kind = 2 if tags.any() else 1 if LOOK_ALIKE.search(part) or CUE.search(part.lower()) else 0
+                    kind = 2 if tags.any() else 1 if _DIGIT.search(part) and LOOK_ALIKE.search(part) or CUE.search(part.lower()) else 0
                     said = part + b"%d %d " % (first, last) + file + tags.tobytes()
-                    kept[kind][int.from_bytes(hashlib.blake2b(said, digest_size=7).digest())] = part, places, first, last, file, tags
+                    kept[kind][int.from_bytes(hashlib.blake2b(said, digest_size=7).digest())] = part, places.tobytes(), first, last, file, tags.tobytes()
                     if len(kept[kind]) > 2 * most_of[kind]:
                         least = {h: kept[kind][h] for h in heapq.nsmallest(most_of[kind], kept[kind])}
                         kept[kind].clear()
                         kept[kind].update(least)
         for kind, (held, most) in enumerate(zip(kept, most_of, strict=True)):
-            rows = [(h, piece_features(*held[h][:5]).tobytes(), held[h][5].tobytes()) for h in heapq.nsmallest(most, held)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(rows), pa.int32()), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["kind", "hash", "feats", "tags"]
-            )
+            yield pa.RecordBatch.from_pylist([dict(zip(drawn_as.names, (kind, h, *held[h]), strict=True)) for h in heapq.nsmallest(most, held)], drawn_as)
+        give_back()
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            feats = [piece_features(r["part"], np.frombuffer(r["places"], np.int32).reshape(2, -1), r["first"], r["last"], r["file"]).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("hash"), pa.array(feats, pa.binary()), batch.column("tags")], ["kind", "hash", "feats", "tags"])
         give_back()
 
+    drawn_as = pa.schema([("kind", pa.int32()), ("hash", pa.int64()), ("part", pa.binary()), ("places", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("file", pa.binary()), ("tags", pa.binary())])
     drawn_docs = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(shares)) == 0)
-    rows = staged(drawn_docs.mapInArrow(tag, "kind int, hash long, feats binary, tags binary"), "sequences")
-    distinct = rows.groupBy("kind", "hash").agg(F.min("feats").alias("feats"), F.min("tags").alias("tags"))
+    rows = staged(drawn_docs.mapInArrow(tag, "kind int, hash long, part binary, places binary, first int, last int, file binary, tags binary"), "sequences")
+    distinct = rows.groupBy("kind", "hash").agg(F.min(F.struct(*rows.columns[2:])).alias("said"))
+    chosen = [distinct.where(F.col("kind") == kind).orderBy("hash").limit(most) for kind, most in enumerate(most_of)]
+    chosen = reduce(DataFrame.unionAll, chosen).select("kind", "hash", "said.*").repartition(DESCRIBED_IN, "hash")
     out = []
-    for kind, most in enumerate(most_of):
-        for r in distinct.where(F.col("kind") == kind).orderBy("hash", "feats").limit(most).collect():
-            tags = np.frombuffer(bytes(r["tags"]), np.int8)
-            out.append((np.frombuffer(bytes(r["feats"]), np.int32).reshape(len(tags), N_FEATURES), tags))
+    for r in sorted(chosen.mapInArrow(describe, "kind int, hash long, feats binary, tags binary").collect(), key=lambda r: (r["kind"], r["hash"])):
+        tags = np.frombuffer(bytes(r["tags"]), np.int8)
+        out.append((np.frombuffer(bytes(r["feats"]), np.int32).reshape(len(tags), N_FEATURES), tags))
     return out
 
 

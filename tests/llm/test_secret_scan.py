@@ -175,3 +175,30 @@ def test_runs_have_the_tags_of_the_whole_chain(field):
         feats = secret_scan.piece_features(raw, tokens, 0, len(tokens), secret_scan.file_features(raw))
         assert got.get(n, []) == list(secret_scan.spans_of(tokens, field.decode(feats)))
     assert len(got) > 40
+
+
+def test_words_of_one_shape_share_what_it_adds(field, monkeypatch):
+    """Rare words make a long tail, and each has few letters of its own: a shape's features are hashed once."""
+    asked, plain = [], secret_scan.of_shape
+
+    def counted(shape, kind):
+        asked.append(shape)
+        return plain(shape, kind)
+
+    counted.__wrapped__ = plain.__wrapped__
+    monkeypatch.setattr(secret_scan, "of_shape", counted)
+    words = ["".join(w) for w in itertools.product("abcdefgh", repeat=4)]
+    secret_scan.secrets_in([" ".join(words).encode()], field)
+    assert len(asked) <= 5
+
+
+def test_scores_are_those_of_the_features(field):
+    random_ = random.Random(8)
+    odd = ["a" * 70, "9" * 64, "0123456789abcdef", "123e4567-e89b-12d3-a456-426614174000", "passwd", "my.password1", "key", "monkey", "Login", "é日", "=", ":", "x" * 39, "X" * 40, "secret" * 7]
+    for _ in range(30):
+        raw = "".join(random_.choice(odd) + random_.choice(("", " ", "\n", " token ")) for _ in range(60)).encode()
+        starts, ends = secret_scan.tokens_of(raw)
+        scorer = secret_scan.Scorer(field)
+        got = scorer.scores(raw, starts, ends, np.zeros(len(starts), np.int64), np.array([scorer.file(raw)]))
+        feats = secret_scan.piece_features(raw, np.stack([starts, ends]), 0, len(starts), secret_scan.file_features(raw))
+        assert np.allclose(got, field.weights[feats].sum(axis=1))
