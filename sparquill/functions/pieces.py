@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import Tuple  # noqa: UP035  (the spelling that Spark's type hints know)
 
 import pandas as pd
@@ -20,6 +22,22 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def uncollected(f: Callable) -> Callable:
+    """``f`` without searches for cycles while it runs: what it makes is large and has none."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        paused = gc.isenabled()
+        gc.disable()
+        try:
+            return f(*args, **kwargs)
+        finally:
+            if paused:
+                gc.enable()
+
+    return run
+
+
 def _size(value: object) -> int:
     return len(value) if hasattr(value, "__len__") else 1
 

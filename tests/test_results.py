@@ -1,6 +1,11 @@
 """Assembled answers: one reading of a page, scopes, states, audits, hard pages."""
 
+import gc
+import itertools
+import random
 import time
+import weakref
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +118,26 @@ def test_notes_and_links_of_large_pages_take_linear_time():
         markup.as_page(*parser.result())
         assert time.process_time() - began < 12, name
         assert name == "nested" or found[0] in (None, "empty_article"), name
+
+
+def test_what_a_page_took_goes_with_it():
+    """Without a search for cycles, which would let many pages' elements pile up in a worker."""
+    gc.collect()
+    gc.disable()
+    try:
+        parser = markup.Elements()
+        articles.parse_whole("<article><p>a<a href=/x>b</a></article>", "http://h/", (articles.Selector(tag="article"),), elements=parser)
+        gone = weakref.ref(parser)
+        del parser
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_joined_addresses_are_those_of_the_standard():
+    random_ = random.Random(5)
+    bits = ["/", "//", ".", "..", "/.", "a", "%20", "~b", "-", "?", "#", ";", ":", " ", "h", "\u00e9"]
+    hrefs = ["/", "/a", "/a/b.c", "/a..b", "/.a", "/a/..", "", *("/" * (i % 2) + "".join(random_.choices(bits, k=random_.randint(1, 6))) for i in range(3000))]
+    bases = ["http://h/", "https://h.x:80/a/b?c#d", "http://h", "http://h?x", "HTTP://H/", "http:///a", "", "/a", "http://u@h/", "http://h:x/", "//h/a"]
+    for base, href in itertools.product(bases, hrefs):
+        assert articles.ArticleParser(base, articles.Selector(tag="article")).join(href) == urljoin(base, href), (base, href)
