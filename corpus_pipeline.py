@@ -8,6 +8,9 @@ as the next one's documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sparquill.llm import bpe, mixing, near_dup, quality_model, quality_rules
@@ -24,7 +27,6 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and very short texts fail the base rules and go; repeated rows count
     each and are judged alike; nulls in lang and source are groups of their own; an
     empty table stays empty."""
-    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
@@ -62,12 +64,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_table(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ("doc_id", "lang", "source"))
 
 
+def in_small_batches(stage: Callable) -> Callable:
+    """A stage that holds its session's Arrow batches small, whichever ran before it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", rules),
-    ("quality classifier", classifier),
-    ("near duplicates", dedup),
-    ("mixing", mix),
-    ("byte-level BPE", encode),
+    ("quality rules", in_small_batches(rules)),
+    ("quality classifier", in_small_batches(classifier)),
+    ("near duplicates", in_small_batches(dedup)),
+    ("mixing", in_small_batches(mix)),
+    ("byte-level BPE", in_small_batches(encode)),
 ]
 
 #: The learnt stages cannot be said in SQL; tests hold each against brute force.

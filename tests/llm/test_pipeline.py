@@ -67,3 +67,11 @@ def test_run_equals_the_stages_by_hand(spark, sf_dir):
     frame = spark.createDataFrame([(f"={s}", s, n) for s, n in sizes.items()], "key string, source string, source_size long")
     for r in mixing.targets(frame).collect():
         assert by_source[r["key"][1:]] == pytest.approx(r["target"], abs=2 * mixing.BLOCK_WORDS)
+
+
+def test_each_stage_holds_its_batches_small(spark, nothing, sf_dir):
+    """Also in a session of its own, where no stage ran before."""
+    for name, stage in corpus_pipeline.STAGES:
+        own = spark.newSession()
+        stage(own, own.createDataFrame([], nothing.schema), sf_dir)
+        assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20), name
