@@ -22,7 +22,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,8 @@ OUT, BEGIN, INSIDE = range(3)
 
 _WHITE, _WORD, _SIGN = range(3)
 _CLASS = np.array([_WHITE if b in b" \t\n\r\f\v" else _WORD if b >= 128 or chr(b).isalnum() or b in b"_+/.-" else _SIGN for b in range(256)], np.int8)
+#: The tokens, as ``tokens_of`` finds them.
+TOKEN = re.compile(rb"[0-9A-Za-z_+/.\x80-\xff-]+|[^ \t\n\r\f\v]")
 #: A token that looks like a secret: long, with letters and digits.
 LOOK_ALIKE = re.compile(rb"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[A-Za-z0-9_+/.-]{8,}")
 _DIGIT = re.compile(rb"[0-9]")
@@ -328,6 +330,16 @@ class Field:
 
 #: Hashes of the beginnings of names, from which those of whole names go on.
 _PREV, _NEXT, _SEC, _PRE3, _PRE4, _LOW = map(zlib.crc32, (b"prev", b"next", b"sec", b"pre3", b"pre4", b"low"))
+#: What each byte of a hash becomes behind up to 24 more bytes; hashes are linear, so these and the hash of the bytes give the whole.
+_ONWARD = np.array([[[zlib.crc32(bytes(n), b << 8 * k) ^ zlib.crc32(bytes(n)) for b in range(256)] for k in range(4)] for n in range(25)], np.uint32)
+
+
+def hash_joined(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of strings one after the other, by their own; ``sizes``: bytes of the second, 24 at most."""
+    out = second.copy()
+    for k in range(4):
+        out ^= _ONWARD[sizes, k, (first >> np.uint32(8 * k)) & np.uint32(255)]
+    return out
 
 
 class Scorer:
@@ -350,7 +362,6 @@ class Scorer:
         """Room for ``n`` words, or KNOWN; number 0 is no token."""
         self.known: dict[bytes, int] = {b"": 0}
         self.bytes = 0
-        self.lines, self.seconds = [b""], [zlib.crc32(b"sec ")]
         self.shapes: dict[bytes, int] = {b"": 0}  # beginnings of the shapes of words before, in the order of ``by_shape``
         self.by_shape = np.array([[self.of([b"prevshape" + k]) for k in KINDS]])
         self.forms: dict[bytes, int] = {}  # shapes, with the kinds that they do not give, in the order of the three below
@@ -358,9 +369,11 @@ class Scorer:
         n = max(n, KNOWN) + 1
         self.own, self.before, self.behind = np.zeros((n, 2, 3)), np.zeros((n, 3)), np.zeros((n, 3))
         self.kind, self.turns, self.shape, self.cues = np.zeros(n, np.int8), np.zeros(n, np.int8), np.zeros(n, np.int32), np.zeros(n, bool)
-        self.before[0], self.behind[0] = self.of([b"prev"]), self.of([b"next"])
+        # hashes of words as those beside them see them, the bytes of these, and hashes of "sec", the word and a blank
+        self.hashes, self.sizes, self.seconds = np.zeros(n, np.uint32), np.zeros(n, np.int8), np.zeros(n, np.uint32)
+        self.before[0], self.behind[0], self.seconds[0] = self.of([b"prev"]), self.of([b"next"]), zlib.crc32(b"sec ")
 
-    def at(self, codes: list) -> np.ndarray:
+    def at(self, codes: list | np.ndarray) -> np.ndarray:
         return self.field.weights[np.array(codes, np.int64) & (BINS - 1)]
 
     def form_numbers(self, words: list[bytes]) -> list[int]:
@@ -391,26 +404,32 @@ class Scorer:
         to = slice(first, first + len(words))
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
         lines = [as_word(w) for w in words]
-        self.lines += lines
-        self.seconds += [crc(b" ", crc(line, _SEC)) for line in lines]
+        hashes, shown = np.fromiter(map(crc, lines), np.uint32, len(lines)), np.fromiter(map(len, lines), np.int8, len(lines))
+        self.hashes[to], self.sizes[to] = hashes, shown
+        behind = lambda start: hash_joined(np.full(len(lines), start, np.uint32), hashes, shown)
+        self.seconds[to] = hash_joined(behind(_SEC), np.full(len(lines), crc(b" "), np.uint32), np.int8(1))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.bytes += int(sizes.sum())
         forms, several = self.form_numbers(words), np.fromiter(map(len, map(set, words)), np.int64, len(words))
         own = self.variety[np.searchsorted(VARIETIES, 10 * several // sizes, "right"), np.searchsorted(SIZES, sizes, "right")]
         own = own + self.at([crc(w[:3], _PRE3) for w in words]) + self.at([crc(w[:4], _PRE4) for w in words]) + self.at([crc(line[:10], _LOW) for line in lines])
         self.own[to] = self.form_own[forms] + own[:, None, :]
-        self.before[to], self.behind[to] = self.at([crc(line, _PREV) for line in lines]), self.at([crc(line, _NEXT) for line in lines])
+        self.before[to], self.behind[to] = self.at(behind(_PREV)), self.at(behind(_NEXT))
         self.kind[to], self.turns[to], self.shape[to] = self.form_kind[forms], self.form_turns[forms], self.shape_numbers(lines)
-        ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)  # no word holds the line feed that parts them
+        ends = np.cumsum(shown + np.int64(1))  # no word holds the line feed that parts them
         self.cues[first + np.searchsorted(ends, [m.start() for m in CUE.finditer(b"\n".join(lines))], "right")] = True
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        new = set(words) - self.known.keys()
+        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(ids < 0)
+        missed = [words[i] for i in lacking.tolist()]
+        new = list(dict.fromkeys(missed))
         if len(self.known) + len(new) > KNOWN or self.bytes > KNOWN_BYTES:
-            new = set(words)
+            new, missed, lacking = list(dict.fromkeys(words)), words, slice(None)
             self.forget(len(new))
-        self.learn(list(new))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.learn(new)
+        ids[lacking] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
+        return ids
 
     def file(self, raw: bytes) -> np.ndarray:
         name = file_features(raw)
@@ -425,7 +444,7 @@ class Scorer:
             high = min(low + BLOCK, len(starts))
             first, last = max(0, low - BEFORE), min(high + 1, len(starts))
             own = document[first:last]
-            ids = self.numbers([text[s:e] for s, e in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True)])
+            ids = self.numbers(TOKEN.findall(text, int(starts[first]), int(ends[last - 1])))
             here = np.arange(last - first)
             begin = np.searchsorted(own, own)  # of the document
             seen = np.maximum.accumulate(np.where(self.cues[ids], here, -1))
@@ -437,8 +456,8 @@ class Scorer:
             glued = np.concatenate([[False], (starts[first + 1 : last] == ends[first : last - 1]) & (own[1:] == own[:-1])])[kept].astype(np.int8)
             ids, own = ids[kept], own[kept]
             kind = self.kind[ids]
-            pairs = [zlib.crc32(self.lines[p], self.seconds[s]) for p, s in zip(previous.tolist(), second.tolist(), strict=True)]
-            total = self.own[ids, glued] + self.before[previous] + self.by_shape[self.shape[previous], kind] + self.field.weights[np.array(pairs, np.int64) & (BINS - 1)] + self.behind[behind]
+            pairs = hash_joined(self.seconds[second], self.hashes[previous], self.sizes[previous])
+            total = self.own[ids, glued] + self.before[previous] + self.by_shape[self.shape[previous], kind] + self.at(pairs) + self.behind[behind]
             out[low:high] = total + self.cue[self.said[distance[kept]], kind, self.turns[ids]] + files[own, kind]
         return out
 

@@ -202,3 +202,23 @@ def test_scores_are_those_of_the_features(field):
         got = scorer.scores(raw, starts, ends, np.zeros(len(starts), np.int64), np.array([scorer.file(raw)]))
         feats = secret_scan.piece_features(raw, np.stack([starts, ends]), 0, len(starts), secret_scan.file_features(raw))
         assert np.allclose(got, field.weights[feats].sum(axis=1))
+
+
+def test_known_words_are_not_hashed_for_each_place(field, monkeypatch):
+    hashed, crc = [], secret_scan.zlib.crc32
+    scorer = secret_scan.Scorer(field)
+    words = [b"alpha", b"beta2", b"=", b"gamma", b"x" * 50, "é日".encode()]
+    raw = b" ".join(words * 500)
+    starts, ends = secret_scan.tokens_of(raw)
+    files = np.array([scorer.file(raw)])
+    monkeypatch.setattr(secret_scan.zlib, "crc32", lambda *a: hashed.append(a) or crc(*a))
+    scorer.scores(raw, starts, ends, np.zeros(len(starts), np.int64), files)
+    assert len(hashed) < len(starts) / 2
+    monkeypatch.undo()
+    raw = bytes(random.Random(4).choices(range(256), k=20_000))
+    starts, ends = secret_scan.tokens_of(raw)
+    assert secret_scan.TOKEN.findall(raw) == [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    first, second = [b"", b"prev", b"sec \xff"], [bytes(range(200, 200 + n)) for n in range(25)]
+    for one in first:
+        got = secret_scan.hash_joined(np.full(25, crc(one), np.uint32), np.array([crc(x) for x in second], np.uint32), np.arange(25))
+        assert got.tolist() == [crc(one + x) for x in second]
