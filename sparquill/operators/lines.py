@@ -102,16 +102,15 @@ def page_of_matches(docs: DataFrame, key: str, literal: str, around: int, start:
 
 
 def cut_lines(text: str, limit: int) -> list[str]:
-    bodies: list[list[str]] = []
-    size = 0
-    for line in text.split("\n"):
-        if bodies and size + 1 + len(line) <= limit:
-            bodies[-1].append(line)
-            size += 1 + len(line)
-        else:
-            bodies.append([line])
-            size = len(line)
-    return ["\n".join(b) for b in bodies]
+    bodies, start = [], 0
+    while len(text) - start > limit:
+        end = text.rfind("\n", start, start + max(limit, 0) + 1)  # of the last line that fits, else of the first
+        end = text.find("\n", start) if end < 0 else end
+        if end < 0:
+            break
+        bodies.append(text[start:end])
+        start = end + 1
+    return [*bodies, text[start:]]
 
 
 def parts(docs: DataFrame, key: str, limit: int = 15_000, text: str = "text") -> DataFrame:

@@ -1,10 +1,11 @@
 """Story plans: ceilings, tiers that do not fit, raised members, reading in parts."""
 
 import random
+import tracemalloc
 
 import pytest
 
-from sparquill.operators import packs, stories
+from sparquill.operators import lines, packs, stories
 
 SIZES = {"cameo": 10, "brief": 20, "normal": 40, "full": 80, "ace": 160}
 PAIRS = {"names": 1, "brief": 5, "normal": 10, "full": 20, "ace": 40}
@@ -85,3 +86,45 @@ def test_texts_are_not_read_for_a_plan(spark):
     cast, sizes, pairs, extras = tables(spark, {"p": 500})
     plan = stories.plan(cast, sizes, pairs, extras)._jdf.queryExecution().executedPlan().toString()
     assert "text#" not in plan
+
+
+def test_long_packs_are_cut_and_raised_in_little_memory(spark):
+    def plain(text, limit):
+        bodies, size = [], 0
+        for line in text.split("\n"):
+            if bodies and size + 1 + len(line) <= limit:
+                bodies[-1].append(line)
+                size += 1 + len(line)
+            else:
+                bodies.append([line])
+                size = len(line)
+        return ["\n".join(b) for b in bodies]
+
+    random_ = random.Random(7)
+    for _ in range(3000):
+        text = "".join(random_.choices("aé\n", weights=(3, 1, random_.choice((1, 4))), k=random_.randint(0, 30)))
+        limit = random_.randint(-1, 12)
+        assert lines.cut_lines(text, limit) == plain(text, limit), (text, limit)
+    text = "a line of a pack\n" * 200_000
+    tracemalloc.start()
+    bodies = lines.cut_lines(text, 15_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "\n".join(bodies) == text and peak < 1.5 * len(text)
+
+    def raised(rows, limit):
+        level, left = [r[1] for r in rows], limit - sum(r[2][r[1]] for r in rows)
+        while True:
+            before = list(level)
+            for i, (_, _, sizes) in enumerate(rows):
+                if level[i] + 1 < len(sizes) and sizes[level[i] + 1] - sizes[level[i]] <= left:
+                    left -= sizes[level[i] + 1] - sizes[level[i]]
+                    level[i] += 1
+            if level == before:
+                return {r[0]: x for r, x in zip(rows, level, strict=True)}
+
+    packs_ = {k: ([(f"{k}-{i}", random_.randint(0, 1), sorted(random_.choices(range(60), k=random_.randint(2, 5)))) for i in range(n)], 40 * n) for k, n in ((1, 1), (2, 300), (3, 9000))}
+    rows = [(k, i, name, level, limit, sizes) for k, (members, limit) in packs_.items() for i, (name, level, sizes) in enumerate(members)]
+    random_.shuffle(rows)
+    got = packs.upgrade(spark.createDataFrame(rows, "k long, ord int, item string, level int, limit long, sizes array<long>"), "k").collect()
+    assert {r["item"]: r["level"] for r in got} == {name: x for members, limit in packs_.values() for name, x in raised(members, limit).items()}
