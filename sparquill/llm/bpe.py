@@ -33,7 +33,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 # Blanks that need care (RE2): two together, or other than a space or line feed.
 SPECIAL_BLANKS = "[ \\n][ \\n]|[\\x01\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Text that is encoded at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 #: Entries that a worker remembers in each of its two generations.
 MEMORY = 120_000
 #: Bytes up to which pieces are encoded together and remembered.
@@ -355,7 +355,7 @@ class Tokenizer:
     def forget(self) -> None:
         """Drops the runs, which the next task need not have; the vocabulary stays."""
         self._recent, self._older = {}, {}
-        self.vocabulary.pairs = HashTable()
+        self.vocabulary.pairs, self.vocabulary._fits = HashTable(), {}
 
     def matches(self, run: str) -> list[str]:
         """Matches of the pattern; letters, after at most one space, are one."""

@@ -63,3 +63,10 @@ def test_queries(spark, messy, nothing, sf_dir, library):
     table = bpe.encode_table(messy, PATH, public_tokenizers.PATTERN, ("doc_id",)).collect()
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in table)
     assert bpe.token_digests(nothing, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_task_leaves_no_answers_about_neighbours_behind():
+    own = bpe.Tokenizer(bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"ab": 256}), bpe.CUT_PATTERN)
+    assert own.encode("ab" * 50) == [256] * 50  # a long piece asks for pairs one by one
+    own.forget()
+    assert not own.vocabulary._fits and not own.vocabulary.pairs.used and not own._recent
