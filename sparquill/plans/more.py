@@ -252,12 +252,11 @@ def article_images(spark, d):
   select page_id, 1::bigint as link_id, len(regexp_extract_all(body, '<p>'))::bigint as n_lines, case when len(regexp_extract_all(body, '<p>')) > 0 then '/a|a' end as originals
   from p where contains(body, '<p>')""")
 def article_links(spark, d):
-    """A link at the start of every paragraph, written in two ways."""
-    marked = F.replace("html", F.lit("<p>"), F.lit("<p><A HREF='/a'>l</A> x<br><a href=/a>m</a>"))
-    page = articles.parse_pages(table(spark, d, "pages").select("page_id", F.lit("http://h/x").alias("url"), marked.alias("html")))
-    lines = articles.child(page, "line_links").groupBy("page_id", "link_id").agg(F.count(F.lit(1)).alias("n"))
-    links = articles.child(page, "links").select("page_id", "link_id", F.concat(F.array_join("original_hrefs", "|"), F.lit("|a")).alias("originals"))
-    return lines.join(links, ["page_id", "link_id"]).select("page_id", "link_id", (F.col("n") / 2).cast("long").alias("n_lines"), "originals")
+    """A link behind the first line of every paragraph, written in two ways: how many lines hold it, and both ways."""
+    site = F.nullif(F.regexp_extract("url", "^https?://[A-Za-z0-9.-]+(?=[:/?#]|$)", 0), F.lit(""))
+    marked = F.replace("html", F.lit("<p>"), F.lit("<p>x<br><A HREF='/a'>l</A> <a href=a>m</a>"))
+    page = articles.parse_pages(table(spark, d, "pages").select("page_id", F.concat(F.coalesce(site, F.lit("http://h")), F.lit("/x")).alias("url"), marked.alias("html")))
+    return articles.linked(page).select("page_id", "link_id", "n_lines", F.array_join("original_hrefs", "|").alias("originals"))
 
 
 @query(f"""with {ARTICLES_SQL} select page_id, 'ok' as status, string_agg(line::varchar || ': ' || text, chr(10) order by line) as text from article where line <= 3 group by page_id""")

@@ -30,6 +30,59 @@ def test_article_lines():
     assert found["line_links"] == [(3, 1), (4, 1), (4, 2)] and found["closed"]
 
 
+def test_links_stand_on_all_their_lines():
+    links_of = lambda body: (parse(body)["line_links"], [x[2] for x in parse(body)["links"]])
+    assert links_of("<p>a <a href=q>one<br>two</a> b<br>c</p>") == ([(1, 1), (2, 1)], [["q"]])
+    assert links_of("<a href=q><p>one<p><br>two</a><p>c") == ([(1, 1), (2, 1), (3, 1)], [["q"]])  # its number stands behind the paragraph
+    assert links_of("<p>a<a href=q>b <a href=r>c<br>d</a> e</a>") == ([(1, 1), (2, 1), (1, 2), (2, 2)], [["q"], ["r"]])
+    assert links_of("<table><tr><td>k<td><a href=q>one<br>two</a></table><p><a href=./q>x</a>") == ([(1, 1), (2, 1)], [["q", "./q"]])
+    asked = (articles.Selector(tag="article"),)
+    of = lambda page, mode="references": dict(zip(articles.ARTICLE.fieldNames(), articles.parse_page(page, "http://w/x/", asked, frozenset(), mode), strict=True))
+    # a link behind which nothing is said, and one that says nothing itself
+    assert of("<article><p>a<p>b<a href=q>c</a></article>", "off")["line_links"] == [(2, 1)]
+    assert of("<article><p>a<p><a href=q></a></p><p>b</article>", "off")["line_links"] == [(1, 1)]
+    assert of("<article><p><a href=q></a></p><p>b</article>", "off")["line_links"] == []
+    # a page that is cut in a link
+    cut = of("<article><p>a <a href=q>b<br>c")
+    assert cut["lines"] == ["a b", "c [1]"] and cut["line_links"] == [(1, 1), (2, 1)] and cut["links"] == [(1, "http://w/x/q", ["q"])] and not cut["closed"]
+    # what is written outside the article's areas is no source of it
+    area = of("<article><a href=./q>menu</a><div class=user-area><a href=q>in</a></div></article>")
+    assert area["lines"] == ["in [1]"] and area["line_links"] == [(1, 1)] and area["links"] == [(1, "http://w/x/q", ["q"])]
+
+
+def test_lines_of_links_equal_those_of_their_words():
+    """Every word, and every link's number, is told which links hold it."""
+    random_ = random.Random(7)
+
+    def some(inside, depth, words):
+        out = []
+        for _ in range(random_.randint(1, 4)):
+            kind = random_.choice(["word", "word", "br", "a", "a", "div", "b", "table"]) if depth < 4 else "word"
+            if kind == "word":
+                words[f"w{len(words)}."] = inside
+                out.append([*words][-1] + random_.choice(["", " ", "\n"]))
+            elif kind == "br":
+                out.append("<br>")
+            elif kind == "a":
+                link = sum(w[0] == "[" for w in words) + 1
+                words[f"[{link}]"] = (*inside, link)
+                out.append(f"<a href=/{link}>{some((*inside, link), depth + 1, words)}</a>")
+            elif kind == "table":
+                words[f"x{len(words)}."] = inside
+                out.append(f"<table><tr><td>{[*words][-1]}</td><td>{some(inside, depth + 1, words)}</td></tr></table>")
+            else:
+                out.append(f"<{kind}>{some(inside, depth + 1, words)}</{kind}>")
+        return "".join(out)
+
+    for _ in range(400):
+        words = {}
+        body = some((), 0, words)
+        found = parse(body)
+        assert [x[2] for x in found["links"]] == [[f"/{i + 1}"] for i in range(len(found["links"]))]
+        said = [(n, w) for n, line in enumerate(found["lines"], 1) for w in line.replace(".", ". ").replace("[", " [").replace("]", "] ").split() if w in words]
+        assert len(said) == len(words) and set(found["line_links"]) == {(n, i) for n, w in said for i in words[w]}, body
+
+
 def test_article_errors():
     assert parse("x", element_id="none")["error_code"] == "no_container"
     assert parse(" <br> ")["error_code"] == "empty_article"
