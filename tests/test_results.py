@@ -72,6 +72,13 @@ def test_links_of_note_entries_count(spark):
     assert asked() == ["http://h/src"] and asked(with_notes=False) == []
 
 
+def test_a_part_of_a_links_lines_keeps_it(spark):
+    page = PAGE.replace("outro", "<p>x <a href=/long>one<br>two<br>three</a></p>outro")
+    read = articles.read_pages(spark.createDataFrame([(1, "http://h/x", page)], "page_id long, url string, html string"), selectors=(articles.Selector(element_id="page-body"),))
+    for word in ("one", "two", "three"):
+        assert [x["href"] for x in by_id(results.assemble(read, find=word, count=1))[1]["links"]] == ["http://h/long"]
+
+
 def test_one_reading_in_the_plan(read):
     for frame in (results.assemble(read, with_tables=True), results.rendered(results.assemble(read, with_tables=True)), results.assemble(read, section="First", find="A")):
         plan = frame._jdf.queryExecution().executedPlan().toString()
