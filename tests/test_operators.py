@@ -50,6 +50,11 @@ def test_links_stand_on_all_their_lines():
     assert area["lines"] == ["in [1]"] and area["line_links"] == [(1, 1)] and area["links"] == [(1, "http://w/x/q", ["q"])]
 
 
+def test_links_lead_to_pages():
+    found = parse("<p><a href='mailto:x@y'>m</a><a href=' JavaScript:z()'>j</a><a href=''>e</a><a>n</a><a href='HTTPS://o/'>o</a> <a href='//p'>p</a> <a href=?q>q</a>")
+    assert found["lines"] == ["mjeno [1]  p [2]  q [3]"] and [x[1] for x in found["links"]] == ["HTTPS://o/", "http://p", "http://w/x/?q"]
+
+
 def test_lines_of_links_equal_those_of_their_words():
     """Every word, and every link's number, is told which links hold it."""
     random_ = random.Random(7)
